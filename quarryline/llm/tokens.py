@@ -8,7 +8,6 @@ frequent ones are kept for the life of the worker, and the ids are gathered with
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +48,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.byte_chars = _printable_bytes()
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -57,7 +56,8 @@ class PieceEncoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _encode(self, piece: str) -> tuple[int, ...]:
+    def _encode(self, piece: str) -> bytes:
+        """Ids as 32-bit integers in bytes, which take a fifth of the memory of Python's integers."""
         # A run of Latin letters with at most one blank before it is a single pre-token, whatever the Unicode version.
         word = piece[1:] if piece[:1] == " " else piece
         tail = word[-1:] if word[-1:] in (",", ".") else ""
@@ -67,10 +67,11 @@ class PieceEncoder:
             ids = [t.id for t in self.model.tokenize(head.encode().decode("latin-1").translate(self.byte_chars))]
             if tail:
                 ids += [t.id for t in self.model.tokenize(tail)]
-            return tuple(ids)
-        return tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return np.array(ids, np.uint32).tobytes()
 
-    def ids(self, piece: str) -> tuple[int, ...]:
+    def ids(self, piece: str) -> bytes:
         found = self.kept.get(piece)
         if found is None:
             found = self._encode(piece)
@@ -107,19 +108,19 @@ class PieceEncoder:
         odd_text = np.zeros(n_texts, bool)
         if odd.any():
             odd_text[np.searchsorted(ends, np.flatnonzero(odd), "right") - 1] = True
-        extra: list[tuple[int, ...]] = []
+        extra: list[bytes] = []
         for i, at in enumerate(ends[:-1]):
             if odd_text[i]:
                 text = texts[i].as_py()
-                extra.append(tuple(chain.from_iterable(map(self.ids, self._irregular(text)))))
+                extra.append(b"".join(map(self.ids, self._irregular(text))))
                 index[at : ends[i + 1]] = -1
             else:
                 word = words[index[at]]
-                extra.append(self.ids(word) if word else ())
+                extra.append(self.ids(word) if word else b"")
             index[at] = len(ids_of) + len(extra) - 1
-        ids_of += [*extra, ()]  # the last, at -1, is empty
-        lengths = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
-        values = np.fromiter(chain.from_iterable(ids_of), np.uint32, int(lengths.sum()))
+        ids_of += [*extra, b""]  # the last, at -1, is empty
+        lengths = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        values = np.frombuffer(b"".join(ids_of), np.uint32)
         starts = np.cumsum(lengths) - lengths
         took = lengths[index]
         after = np.cumsum(took)
