@@ -5,23 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryline.llm import orc_tokens, packing
+from quarryline.llm import decontam, lines, orc_tokens, packing, pii, quality, simhash
 from quarryline.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(spark, table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.item_hash().alias("items_sha256"), "contaminated")
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     orc_tokens.write_orc(orc_tokens.encode_documents(table(spark, sf_dir, "documents")), path)
     return orc_tokens.digests(orc_tokens.read_orc(spark, path))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_pack_sequences, op8_token_orc)}
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op3_pack_sequences,
+        op4_pii_spans,
+        op5_quality_outliers,
+        op6_benchmark_decontamination,
+        op8_token_orc,
+        op10_simhash_components,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
