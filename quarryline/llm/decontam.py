@@ -217,11 +217,13 @@ def _extent(words: np.ndarray, at: int, tests: TestSet, query: int) -> int:
     return int(differ[0]) if len(differ) else len(a)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document ``n_words``, ``n_hit``, ``items`` (sorted) and ``contaminated``.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES, rows: bool = False) -> DataFrame:
+    """Per document ``n_words``, ``n_hit``, ``items`` (sorted) and ``contaminated``; with ``rows`` also ``__row``, its columns as a struct.
 
     Blocks after the first add to the runs of hit words and the items that the earlier ones found.
     """
+    carried = ["__row"] * rows
+    row = f"__row {docs.select(F.struct(*docs.columns).alias('r')).schema[0].dataType.simpleString()}, " if rows else ""
 
     def make(shared, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,22 +252,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 ]
                 text = [] if last else [batch.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), *text, pa.array(ends - begin), runs, pa.array(items, pa.list_(pa.string()))],
-                    names=["doc_id", *(["text"] * (not last)), "n_words", "runs", "items"],
+                    [batch.column("doc_id"), *map(batch.column, carried), *text, pa.array(ends - begin), runs, pa.array(items, pa.list_(pa.string()))],
+                    names=["doc_id", *carried, *(["text"] * (not last)), "n_words", "runs", "items"],
                 )
 
         return run
 
-    found = text_rows(docs, F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<string>").alias("items"))
+    extra = [F.struct(*docs.columns).alias("__row")] if rows else []
+    found = text_rows(docs, *extra, F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<string>").alias("items"))
     blocks = [*_blocks(benchmark, block_bytes)] or [[]]
     for k, block in enumerate(blocks, 1):
         text = "" if k == len(blocks) else "text binary, "
-        found = found.mapInArrow(make(docs.sparkSession.sparkContext.broadcast(block), not text), f"doc_id long, {text}n_words long, runs array<bigint>, items array<string>")
+        found = found.mapInArrow(make(docs.sparkSession.sparkContext.broadcast(block), not text), f"doc_id long, {row}{text}n_words long, runs array<bigint>, items array<string>")
     ends, starts = F.filter("runs", lambda _, i: i % 2 == 1), F.filter("runs", lambda _, i: i % 2 == 0)
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
-    counted = found.select("doc_id", "n_words", (total(ends) - total(starts)).alias("n_hit"), "items")
+    counted = found.select("doc_id", "n_words", (total(ends) - total(starts)).alias("n_hit"), "items", *carried)
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns as they were."""
+    return contamination(docs, benchmark, rows=True, **options).filter(~F.col("contaminated")).select("__row.*")
+
+
 def item_hash(column: str = "items"):
     return F.sha2(F.array_join(column, ","), 256)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontam, lines, orc_tokens, packing, pii, quality, simhash
+from quarryline.llm import decontam, lines, orc_tokens, packing, pii, quality, simhash, toxicity
 from quarryline.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(orc_tokens.read_orc(spark, path))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
         op5_quality_outliers,
         op6_benchmark_decontamination,
         op8_token_orc,
+        op9_toxicity,
         op10_simhash_components,
     )
 }

@@ -128,6 +128,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, ra
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id. Rows that share this id are one document and one row.
+
+    Rows without id cannot be told apart by it and stay.
+    """
+    rows = near_duplicates(spark, docs, **options).filter("doc_id is not null and doc_id = component_id")
+    chosen = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    kept = write_through(docs.join(chosen, F.col("doc_id").cast("long") == F.col("__id")), shared_dir(spark))
+    alone = kept.filter("__rows = 1").select(*docs.columns)
+    repeated = kept.filter("__rows > 1").dropDuplicates(["__id"]).select(*docs.columns)
+    return alone.union(repeated).union(docs.filter(F.col("doc_id").cast("long").isNull()))
+
+
 def hex_fingerprint(column: str = "fp"):
     """16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.batches import slices, text_rows
@@ -260,10 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
     return fit(words, rows.column("toxic").to_numpy().astype(np.int64), rows.column("lang").to_numpy().astype(np.int64), seed)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with ``toxicity``, 0 to 1; an input column of that name is replaced."""
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with their score, 0 to 1, in column ``into``; an input column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "toxicity"]
+    names = [c for c in docs.columns if c != into]
     hidden = "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +271,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, hidden, 4 << 20):
             logits = shared.value.logits(*hashed_words(batch.column(hidden).to_pylist()), table)
             values = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values)], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values)], names=[*names, into])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     texts = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias(hidden))
-    return texts.mapInArrow(run, f"{fields}, toxicity double")
+    return texts.mapInArrow(run, f"{fields}, `{into}` double")
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't call toxic, with their columns as they were."""
+    return score(docs, train(docs, labels, folds, max_rows), "__toxicity").filter("__toxicity < 0.5").select(*docs.columns)
+
+
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS) -> DataFrame:
     """``doc_id``, ``held_out`` (the fold that training never saw), ``score`` and ``predicted``."""
     model = train(docs, labels, folds, max_rows)
     rows = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
