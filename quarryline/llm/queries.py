@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontam, lines, orc_tokens, packing, pii, quality, simhash, toxicity
+from quarryline.llm import decontam, katz, lines, orc_tokens, packing, pii, quality, simhash, toxicity
 from quarryline.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.item_hash().alias("items_sha256"), "contaminated")
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     orc_tokens.write_orc(orc_tokens.encode_documents(table(spark, sf_dir, "documents")), path)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
         op4_pii_spans,
         op5_quality_outliers,
         op6_benchmark_decontamination,
+        op7_katz_scores,
         op8_token_orc,
         op9_toxicity,
         op10_simhash_components,
