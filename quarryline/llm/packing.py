@@ -44,8 +44,7 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
     """
     p, pen = places.tolist(), penalties.tolist()
     n = len(p)
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
-    where = {place: i for i, place in enumerate(p)}
+    exact, edge = _exact_starts(places, length)
     best = [0.0] * n
     came = [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # best(i) + p_i, ascending; i ascending
@@ -56,9 +55,8 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
             queue.popleft()
         value, i = queue[0]
         cost = value + length - pj
-        for power in powers:
-            k = where.get(pj - power)
-            if k is not None and best[k] < cost:
+        for k in exact[edge[j] : edge[j + 1]]:
+            if best[k] < cost:
                 cost, i = best[k], k
         cost += pen[j]
         best[j], came[j] = cost, i
@@ -72,6 +70,19 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
     return cuts[::-1]
 
 
+def _exact_starts(places: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """For every place the earlier ones at a distance that is a power of two under ``length``, nearest first, and where each place's begin."""
+    ends, starts = [], []
+    for power in (1 << k for k in range(length.bit_length()) if 1 << k < length):
+        at = np.searchsorted(places, places - power)
+        hit = np.flatnonzero((places[at] == places - power) & (places >= power))
+        ends.append(hit)
+        starts.append(at[hit])
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(ends, kind="stable")
+    return starts[order].tolist(), np.searchsorted(ends[order], np.arange(len(places) + 1)).tolist()
+
+
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut is allowed, with penalties: document ends, sentence ends, and a grid where both are far apart."""
     ends = np.flatnonzero(sentence_end[ids]) + 1

@@ -7,7 +7,11 @@ frequent ones are kept for the life of the worker, and the ids are gathered with
 
 from __future__ import annotations
 
+import gc
 import os
+from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,18 @@ def _printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Many short-lived objects without cycles are made here, which the collector would look through again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class PieceEncoder:
     """Encodes arrays of texts; one per worker and vocabulary."""
 
@@ -49,6 +65,10 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.byte_chars = _printable_bytes()
         self.kept: dict[str, bytes] = {}
+        #: Ids by word that has a blank before it.
+        self.words: dict[str, bytes] = {}
+        self.tails = {c: [t.id for t in self.model.tokenize(c)] for c in ",.:;!?"}
+        self.newline = np.array([t.id for t in self.model.tokenize(self.byte_chars[10])], np.uint32).tobytes()
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -58,18 +78,22 @@ class PieceEncoder:
 
     def _encode(self, piece: str) -> bytes:
         """Ids as 32-bit integers in bytes, which take a fifth of the memory of Python's integers."""
-        # A run of Latin letters with at most one blank before it is a single pre-token, whatever the Unicode version.
-        word = piece[1:] if piece[:1] == " " else piece
-        tail = word[-1:] if word[-1:] in (",", ".") else ""
+        if "\n" in piece:
+            # A newline between other characters than blanks is a pre-token of its own.
+            lines = piece.split("\n")
+            if all(x.strip() == x and x for x in [lines[0][1:] if piece[0] == " " else lines[0], *lines[1:]]):
+                return self.newline.join(map(self._encode, lines))
+        # A run of Latin letters with at most one blank before it is a single pre-token, whatever the Unicode version; a mark after it is another.
+        blank = piece[:1] == " "
+        word = piece[1:] if blank else piece
+        tail = self.tails.get(word[-1:], [])
         stem = word[:-1] if tail else word
-        if stem.isalpha() and max(stem) < "ɐ":
-            head = (" " if piece[:1] == " " else "") + stem
-            ids = [t.id for t in self.model.tokenize(head.encode().decode("latin-1").translate(self.byte_chars))]
-            if tail:
-                ids += [t.id for t in self.model.tokenize(tail)]
+        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+            written = stem if stem.isascii() else "".join(map(self.byte_chars.__getitem__, stem.encode()))
+            ids = [t.id for t in self.model.tokenize(self.byte_chars[32] + written if blank else written)] + tail
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, np.uint32).tobytes()
+        return array("I", ids).tobytes()
 
     def ids(self, piece: str) -> bytes:
         found = self.kept.get(piece)
@@ -79,6 +103,28 @@ class PieceEncoder:
                 self.kept[piece] = found
         return found
 
+    def after_blank(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a blank before each; words of ASCII letters, with a mark after them or not, take a short path."""
+        kept, tails, tokenize, blank = self.words, self.tails, self.model.tokenize, self.byte_chars[32]
+        found = [kept.get(w) for w in words]
+        new = [i for i, known in enumerate(found) if known is None]
+        if not new:
+            return found
+        plain = pc.match_substring_regex(pa.array([words[i] for i in new]), "^[A-Za-z]+[,.:;!?]?$").to_pylist()
+        with _no_cycles():
+            for i, short in zip(new, plain, strict=True):
+                word = words[i]
+                if not short:
+                    found[i] = self._encode(f" {word}")
+                elif (tail := tails.get(word[-1])) is None:
+                    found[i] = array("I", [t.id for t in tokenize(blank + word)]).tobytes()
+                else:
+                    found[i] = array("I", [t.id for t in tokenize(blank + word[:-1])] + tail).tobytes()
+        for i in new[: max(0, KEPT_PIECES - len(kept))]:
+            if len(words[i]) < 64:
+                kept[words[i]] = found[i]
+        return found
+
     def _irregular(self, text: str) -> list[str]:
         """Pieces of a text that has runs of blanks: a cut must have a non-blank after it."""
         out: list[str] = []
@@ -98,11 +144,12 @@ class PieceEncoder:
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         words = coded.dictionary.to_pylist()
-        odd_word = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        head = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        odd_word = pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)).to_numpy(zero_copy_only=False)
         first = np.zeros(len(index), bool)
         first[ends[:-1]] = True
         odd = odd_word[index] & ~first
-        ids_of = [self.ids(" " + w) for w in words]
+        ids_of = self.after_blank(words)
         # First pieces have no blank before them, and texts with runs of blanks get pieces of their own.
         n_texts = len(texts)
         odd_text = np.zeros(n_texts, bool)
