@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontam, katz, lines, orc_tokens, packing, pii, quality, simhash, substrings, toxicity
+from quarryline.llm import decontam, katz, lines, orc_tokens, packing, pii, quality, simhash, sql, substrings, toxicity
 from quarryline.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,4 +76,4 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": sql.LINE_DEDUP, "op6_benchmark_decontamination": sql.DECONTAMINATION}
