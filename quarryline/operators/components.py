@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.session import shared_dir, write_through
+from quarryline.session import remove, shared_dir, write_through
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = write_through(moved.union(lowest).distinct(), f"{root}/{step}")
+        remove(spark, f"{root}/{step - 1}")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
