@@ -107,3 +107,71 @@ def pair_quality(clusters: DataFrame, labels: DataFrame, id_: str, cluster: str)
     n = joined.agg(F.count_if(F.expr("said and same")).alias("hit"), F.count_if(F.expr("said and not same")).alias("wrong"), F.count_if(F.expr("same and not said")).alias("missed"))
     p, r = F.try_divide(F.col("hit"), F.col("hit") + F.col("wrong")), F.try_divide(F.col("hit"), F.col("hit") + F.col("missed"))
     return n.select("hit", "wrong", "missed", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
+
+
+#: Limits between platforms. Fixed values.
+RARE_DF, COSINE_MIN, COSINE_SUPPORT, SHARED_ENTITIES = 50, 0.30, 0.10, 2
+
+
+def cross_pairs(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entities: str, gate_hours: float = TIME_GATE_HOURS) -> DataFrame:
+    """``a`` < ``b``, their platforms ``pa`` and ``pb``, and ``score``, the TF-IDF cosine of pairs across platforms that may be one event.
+
+    Candidates share an entity of at most ``RARE_DF`` posts, so no value brings together more. A cosine of 0.30 is enough, or 0.10 with two such
+    entities that are not everywhere. ``words`` keeps repeats.
+    """
+    entity = weights(posts, entities).filter((F.col("df") <= RARE_DF) & (F.col("share") < 1.0))
+    each = posts.select(F.col(id_).alias("id"), F.col(ts).alias("ts"), F.col(platform).alias("p"), F.explode(F.array_distinct(entities)).alias("v")).join(entity.select("v", "share"), "v")
+    right = each.select("v", F.col("id").alias("b"), F.col("ts").alias("tb"), F.col("p").alias("pb"))
+    near = F.abs(times.hours_between(F.col("ts"), F.col("tb"))) <= gate_hours
+    met = each.join(right, "v").filter((F.col("id") < F.col("b")) & (F.col("p") != F.col("pb")) & near)
+    pairs = met.groupBy(F.col("id").alias("a"), "b", F.col("p").alias("pa"), "pb").agg(F.count_if(F.col("share") < GIANT_SHARE).alias("rare"))
+    tf = posts.select(F.col(id_).alias("id"), F.explode(words).alias("v")).groupBy("id", "v").agg(F.count("*").alias("tf"))
+    vectors = tf.join(weights(posts, words).select("v", "idf"), "v").select("id", "v", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+    norms = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    va, vb = vectors.withColumnsRenamed({"id": "a", "w": "wa"}), vectors.withColumnsRenamed({"id": "b", "w": "wb"})
+    dots = pairs.select("a", "b").join(va, "a").join(vb, ["b", "v"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    na, nb = norms.withColumnsRenamed({"id": "a", "norm": "na"}), norms.withColumnsRenamed({"id": "b", "norm": "nb"})
+    scored = pairs.join(dots, ["a", "b"]).join(na, "a").join(nb, "b").withColumn("score", F.col("dot") / (F.col("na") * F.col("nb")))
+    ok = (F.col("score") >= COSINE_MIN) | ((F.col("score") >= COSINE_SUPPORT) & (F.col("rare") >= SHARED_ENTITIES))
+    return scored.filter(ok).select("a", "b", "pa", "pb", "score")
+
+
+def clique_linkage(platforms: dict[int, str], scores: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
+    """Merge the groups with the highest mean score while every pair of them across platforms is linked."""
+    groups = [[i] for i in sorted(platforms)]
+    while True:
+        best, pick = threshold, None
+        for x in range(len(groups)):
+            for y in range(x + 1, len(groups)):
+                across = [scores.get((min(i, j), max(i, j))) for i in groups[x] for j in groups[y] if platforms[i] != platforms[j]]
+                if across and None not in across:
+                    mean = sum(across) / len(across)
+                    if mean > best or (pick is None and mean == best):
+                        best, pick = mean, (x, y)
+        if pick is None:
+            return groups
+        groups[pick[0]] += groups.pop(pick[1])
+
+
+def cross_stories(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entities: str, threshold: float = COSINE_SUPPORT) -> DataFrame:
+    """``id_`` and ``story``, the smallest id of its group across platforms, which stays the same from run to run."""
+    pairs = cross_pairs(posts, id_, ts, platform, words, entities)
+    labels = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        platforms = {**dict(zip(pdf.a.astype(int), pdf.pa, strict=True)), **dict(zip(pdf.b.astype(int), pdf.pb, strict=True))}
+        scores = {(int(a), int(b)): float(s) for a, b, s in zip(pdf.a, pdf.b, pdf.score, strict=True)}
+        return pd.DataFrame([(i, min(g)) for g in clique_linkage(platforms, scores, threshold) for i in g], columns=["id", "story"])
+
+    grouped = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(link, "id long, story long")
+    return posts.select(id_).join(grouped.withColumnRenamed("id", id_), id_, "left").select(id_, F.coalesce("story", F.col(id_).cast("long")).alias("story"))
+
+
+def build(members: DataFrame, older: DataFrame, story: str, id_: str, author: str, ts: str, entities: str) -> DataFrame:
+    """Per story the posts, the distinct authors, its first post, and whether it is of one author or has an entity that ``older`` posts lack."""
+    first = F.min_by(F.struct(F.col(id_).alias("id"), F.col(author).alias("author"), F.col(ts).alias("ts")), F.struct(ts, id_))
+    base = members.groupBy(story).agg(F.count("*").alias("posts"), F.countDistinct(F.lower(author)).alias("authors"), first.alias("f"))
+    each = members.select(story, F.explode(F.array_distinct(entities)).alias("e")).distinct()
+    new = each.join(older.select(F.explode(entities).alias("e")).distinct(), "e", "left_anti").select(story).distinct().withColumn("is_new", F.lit(True))
+    joined = base.join(new, story, "left")
+    return joined.select(story, "posts", "authors", F.col("f.id").alias("first_id"), F.col("f.author").alias("first_author"), F.col("f.ts").alias("first_at"), (F.col("authors") == 1).alias("is_single"), F.coalesce("is_new", F.lit(False)).alias("is_new"))

@@ -59,3 +59,9 @@ def parity(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     for more in counted[1:]:
         out = out.union(more)
     return out
+
+
+def migrate(rows: DataFrame, legacy_map: DataFrame, key: str, new_key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows under their new key, and the rows that the map does not know."""
+    known = rows.join(legacy_map.select(key, new_key), key)
+    return known, rows.join(legacy_map.select(key), key, "left_anti")

@@ -76,3 +76,23 @@ def pair_quality(spark, d):
     other = labels.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("b_id"), F.col("quality").alias("q2"))
     pairs = labels.join(other, "doc_id").select(F.col("doc_id").alias("a_id"), "b_id", (F.col("quality") == F.col("q2")).alias("same"))
     return stories.pair_quality(groups, pairs, "doc_id", "c").select("hit", "wrong", "missed")
+
+
+@plan()
+def cross_platform_stories(spark, d):
+    """C3, C5 over documents, with the language as platform, one minute apart each."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("platform"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"),
+        F.filter(T.words("text"), lambda w: F.length(w) >= 3).alias("words"), F.filter(T.content_tokens("text", 9), lambda w: F.length(w) >= 12).alias("ents"),
+    )
+    return stories.cross_stories(docs, "doc_id", "ts", "platform", "words", "ents")
+
+
+@plan("""WITH w AS (SELECT doc_id, source, lang, LIST_DISTINCT(LIST_FILTER(REGEXP_EXTRACT_ALL(LOWER(text), '[\\p{L}\\p{N}_]+'), lambda x: LENGTH(x) >= 8)) AS e FROM documents), o AS (SELECT DISTINCT UNNEST(e) AS e FROM w WHERE doc_id < 100),
+n AS (SELECT DISTINCT lang FROM (SELECT lang, UNNEST(e) AS e FROM w WHERE doc_id >= 100) WHERE e NOT IN (SELECT e FROM o))
+SELECT lang, COUNT(*) AS posts, COUNT(DISTINCT LOWER(source)) AS authors, MIN(doc_id) AS first_id, COUNT(DISTINCT LOWER(source)) = 1 AS is_single, lang IN (SELECT lang FROM n) AS is_new FROM w WHERE doc_id >= 100 GROUP BY lang""")
+def story_summary(spark, d):
+    """C4: what a story consists of, with the language as story."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.array_distinct(F.filter(T.words("text"), lambda w: F.length(w) >= 8)).alias("e"))
+    out = stories.build(docs.filter("doc_id >= 100"), docs.filter("doc_id < 100"), "lang", "doc_id", "source", "doc_id", "e")
+    return out.select("lang", "posts", "authors", "first_id", "is_single", "is_new")

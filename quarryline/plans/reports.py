@@ -198,7 +198,12 @@ def unified_report(spark, d):
     return blocks[0].union(blocks[1]).withColumn("score", F.round("score", 6))
 
 
-def decayed_first_share(moves, author: str, first: str, age_days: str, half_life: float = 30.0):
-    """Share of first moves per author, weighted by age."""
-    w = S.decay(F.col(age_days), half_life)
-    return moves.groupBy(author).agg((F.sum(F.when(F.col(first), w).otherwise(0.0)) / F.sum(w)).alias("score"))
+@plan(f"""WITH m AS (SELECT source_id, day = MIN(day) OVER (PARTITION BY topic, DATE_TRUNC('month', day)) AS first, DATE_DIFF('day', day, DATE '{ORDERS_NOW}') AS age FROM {CONTENTS}) SELECT source_id, CAST(ROUND(SUM(CASE WHEN first THEN POW(0.5, age / 365.0) ELSE 0 END) / SUM(POW(0.5, age / 365.0)), 6) AS DOUBLE) AS score FROM m GROUP BY 1""")
+def decayed_first_share(spark, d):
+    """The share of a source's posts that came first in their topic and month, recent ones counting more."""
+    posts = contents(spark, d).withColumn("month", F.trunc("day", "month"))
+    first = posts.groupBy("topic", "month").agg(F.min("day").alias("first_day"))
+    w = S.decay(F.datediff(F.to_date(F.lit(ORDERS_NOW)), "day"), 365.0)
+    moves = posts.join(first, ["topic", "month"])
+    share = F.sum(F.when(F.col("day") == F.col("first_day"), w).otherwise(0.0)) / F.sum(w)
+    return moves.groupBy("source_id").agg(F.round(share, 6).alias("score"))

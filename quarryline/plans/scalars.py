@@ -233,3 +233,9 @@ def page_heads(spark, d):
 def page_paragraphs(spark, d):
     """Paragraphs of raw pages as posts. No SQL: nested markup; tested by hand."""
     return markup.paragraphs(table(spark, d, "pages"), "html", ["page_id"])
+
+
+@plan()
+def names_in_titles(spark, d):
+    """words of first lines that look like names. No SQL; tested by hand."""
+    return table(spark, d, "documents").select("doc_id", T.distinctive_names(F.split_part("text", F.lit("\n"), F.lit(1))).alias("names"))

@@ -41,3 +41,10 @@ def parity(spark, d):
 
     posts = contents(spark, d)
     return upsert.parity([("posts", table(spark, d, "orders"), posts), ("sources", table(spark, d, "customer"), posts.select("source_id").distinct())])
+
+
+@plan(f"""SELECT c.content_id, m.new_id FROM {CONTENTS} c JOIN (SELECT source_id, source_id * 10 + 1 AS new_id FROM {SOURCES} WHERE tier <> 'BUILDING') m USING (source_id)""")
+def migrated_ids(spark, d):
+    """Rows under their new keys."""
+    known, _ = upsert.migrate(contents(spark, d), sources(spark, d).filter("tier <> 'BUILDING'").select("source_id", (F.col("source_id") * 10 + 1).alias("new_id")), "source_id", "new_id")
+    return known.select("content_id", "new_id")

@@ -135,3 +135,8 @@ def test_mid_ranks_and_top_fraction(spark):
     assert {r.id: r.x for r in stats.mid_rank_factor(df, "f", "x").collect()} == {1: pytest.approx(4 / 3), 2: pytest.approx(4 / 3), 3: pytest.approx(11 / 6), 4: 1.0}
     assert [r.id for r in stats.top_fraction(df, [], "f", "id", 0.1).collect()] == [3]
     assert stats.most_frequent(df.withColumn("k", F.lit(1)), ["k"], "f").first().f == 5
+
+
+def test_names(spark):
+    assert values(spark, [("@News.org",), ("the",), ("--x--",), ("42",), (None,), ("Qwen-3.",)], "t string", T.normal_name("t")) == ["news", None, None, None, None, "qwen-3"]
+    assert values(spark, [("Dynamic ZCode meets gpt-4 in 2024",), (None,)], "t string", T.distinctive_names("t")) == [["zcode", "gpt-4"], []]

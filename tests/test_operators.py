@@ -217,3 +217,22 @@ def test_components_of_nothing_and_of_a_chain(spark):
     assert connected_components(empty).count() == 0
     chain = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100)], "src long, dst long")
     assert {r.component for r in connected_components(chain).collect()} == {0, 100}
+
+
+def test_cross_platform_stories_need_every_link(spark):
+    quake = ["quake", "island", "harbour", "rescue", "night"]
+    rows = [(1, "x", at(0), quake, ["@coast", "@sea"]), (2, "y", at(1), quake, ["@coast"]), (3, "z", at(2), quake[:1] + ["merger", "bank", "share"], ["@sea"]), (4, "x", at(1), quake, ["@coast"]), (5, "y", at(60), quake, ["@coast"])]
+    df = spark.createDataFrame(rows, "id long, p string, ts timestamp, words array<string>, ents array<string>")
+    got = {r.id: r.story for r in stories.cross_stories(df, "id", "ts", "p", "words", "ents").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+    assert stories.clique_linkage({1: "x", 2: "y", 3: "z"}, {(1, 2): 0.9, (2, 3): 0.8}, 0.1) == [[1, 2], [3]]
+
+
+def test_story_build_and_migration(spark):
+    rows = [(1, 1, "Ann", at(0), ["a"]), (1, 2, "ann", at(1), ["b"]), (2, 3, "bob", at(2), ["a"]), (2, 4, "cy", at(3), [])]
+    df = spark.createDataFrame(rows, "story long, id long, author string, ts timestamp, ents array<string>")
+    older = df.filter("id = 1")
+    got = {r.story: (r.posts, r.authors, r.first_id, r.is_single, r.is_new) for r in stories.build(df, older, "story", "id", "author", "ts", "ents").collect()}
+    assert got == {1: (2, 1, 1, True, True), 2: (2, 2, 3, False, False)}
+    known, unknown = upsert.migrate(df, spark.createDataFrame([(1, 100)], "story long, new long"), "story", "new")
+    assert (known.count(), unknown.count()) == (2, 2)
