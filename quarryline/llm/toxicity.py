@@ -11,6 +11,7 @@ several labels of an id counts. With labels of one class only, or none, every sc
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ LEAST_STEPS = 900
 BATCH = 32
 RATE = 0.01
 PAD = max(WIDTHS) - 1
+#: Evidence of a bucket, as a root of a likelihood ratio, from which on it counts at the start of training.
+SURE = 3.5
 STEMS = (0, 4, 5, 6)
 
 _WORD_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -145,8 +148,44 @@ def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(edges[best[np.argmax(gaps[best])]])
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Train by Adam on one (words, features) array of buckets per text; every fifth row is set aside for the thresholds."""
+def evidence(positives: np.ndarray, counts: np.ndarray, rate: float) -> np.ndarray:
+    """Signed root of the likelihood ratio: how far the share of positive texts among those with a bucket is from the overall rate."""
+    negatives = counts - positives
+    part = lambda n, expected: n * np.log(np.maximum(n, 1) / expected)
+    ratio = 2 * (part(positives, counts * rate) + part(negatives, counts * (1 - rate)))
+    return np.sign(positives - counts * rate) * np.sqrt(np.maximum(ratio, 0))
+
+
+@dataclass
+class Sample:
+    """Labelled texts: ``words`` has the buckets of each distinct word, ``texts`` the words of each text as rows of it."""
+
+    words: np.ndarray
+    texts: list[np.ndarray]
+    labels: np.ndarray
+    languages: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch]) -> Sample:
+        """From rows of ``doc_id``, ``toxic`` and ``text``, in ascending order of id."""
+        parts, texts, base = [np.empty((0, len(STEMS)), np.int64)], [], 0
+        for batch in slices(batches):
+            buckets, flat, starts, languages = hashed_words(batch.column("text").to_pylist())
+            ends = np.append(starts[1:], len(flat)) - PAD
+            ids, toxic = (batch.column(c).to_pylist() for c in ("doc_id", "toxic"))
+            texts += [(i, y, k, (flat[a:b] + base).astype(np.int32)) for i, y, k, a, b in zip(ids, toxic, languages.tolist(), starts, ends, strict=True)]
+            parts.append(buckets[:-1])
+            base += len(buckets) - 1
+        texts.sort(key=lambda t: (t[0], len(t[3])))
+        every = np.ascontiguousarray(np.concatenate(parts).astype(np.int32)).view(f"V{4 * len(STEMS)}").ravel()
+        words, place = np.unique(every, return_inverse=True)
+        words = words.view(np.int32).reshape(-1, len(STEMS)).astype(np.int64)
+        return cls(words, [place[t[3]].astype(np.int32) for t in texts], np.array([t[1] for t in texts], np.int64), np.array([t[2] for t in texts], np.int64))
+
+
+def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
+    """Train by Adam; every fifth row is set aside for the thresholds."""
+    words, texts, labels, languages = sample.words, sample.texts, sample.labels, sample.languages
     positive = int(labels.sum())
     if positive == 0 or positive == len(labels):
         return constant(float(np.log((positive + 1) / (len(labels) - positive + 20))))
@@ -156,10 +195,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, seed
     if len(labels) < 200 or not 0 < labels[~aside].sum() < (~aside).sum():
         aside[:] = False
     use = every[~aside]
-    buckets, counts = np.unique(np.concatenate([np.unique(texts[i]) for i in use]), return_counts=True)
+    held = [np.unique(words[np.unique(texts[i])]) for i in use]
+    buckets, counts = np.unique(np.concatenate(held), return_counts=True)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(use)))
     known = buckets[counts >= min(MIN_DOCS, len(use))]
     n_filters = len(WIDTHS) * FILTERS
+    positives = np.bincount(np.searchsorted(buckets, np.concatenate([h for h, i in zip(held, use, strict=True) if labels[i]])), minlength=len(buckets))
+    signs = evidence(positives, counts, float(labels[use].mean()))[np.isin(buckets, known)]
     model = Model(
         known,
         np.vstack([np.zeros(DIMS), rnd.normal(0, 0.03, (len(known), DIMS))]),
@@ -169,13 +211,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, seed
         float(np.log(labels[use].mean() / (1 - labels[use].mean()))),
         np.zeros(len(LANGUAGES)),
     )
-    shape = np.cumsum([0, *map(len, texts)])
-    void = np.ascontiguousarray(np.concatenate(texts).astype(np.int32)).view(f"V{4 * len(STEMS)}").ravel()
-    words, index = np.unique(void, return_inverse=True)
-    words = words.view(np.int32).reshape(-1, len(STEMS)).astype(np.int64)
-    parts = np.vstack([*[model.rows(words.ravel()).reshape(words.shape)], np.zeros((1, len(STEMS)), np.int64)])  # embedding rows of each word
-    pad = np.full(PAD, len(words))
-    padded = [np.concatenate([index[a:b], pad]) for a, b in zip(shape[:-1], shape[1:], strict=True)]
+    # The first dimension and the first filter begin with what single words say, so that few labels are enough to start from.
+    model.embedding[1:, 0] = np.clip((signs - SURE) / SURE, -0.5, 1.5)
+    model.filters[:, 0] = 0
+    model.filters[0, 0] = 2.0
+    model.weights[0] = 1.0
+    parts = np.vstack([model.rows(words.ravel()).reshape(words.shape), np.zeros((1, len(STEMS)), np.int64)])  # embedding rows of each word
+    pad = np.full(PAD, len(words), np.int32)
+    padded = [np.concatenate([t, pad]) for t in texts]
     state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in ("embedding", "filters", "bias", "weights")}
     slots = np.concatenate([[0], np.cumsum(WIDTHS)])
     weight = np.where(labels == 1, 0.5 / labels[use].mean(), 0.5 / (1 - labels[use].mean()))
@@ -232,6 +275,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: np.ndarray, seed
         own = languages[judge] == k
         if labels[judge][own].sum() >= 10 and (1 - labels[judge][own]).sum() >= 10:
             model.shift[k] = _threshold(logits[own], labels[judge][own])
+    model.known, model.embedding = model.known.astype(np.int32), model.embedding.astype(np.float32)
     return model
 
 
@@ -241,23 +285,21 @@ def id_fold(column: str, folds: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS, seed: int = 7) -> Model:
-    """Fit on at most ``max_rows`` labelled rows outside fold 0; only their hashed words come to the driver."""
+    """Fit on at most ``max_rows`` labelled rows outside fold 0.
+
+    The bounded sample meets in one task, which trains; only the model comes to the driver.
+    """
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
     usable = known.filter(id_fold("doc_id", folds) != 0).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
     chosen = F.broadcast(sample)  # at most max_rows pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            buckets, flat, starts, languages = hashed_words(batch.column("text").to_pylist())
-            ends = np.append(starts[1:], len(flat)) - PAD
-            words = pa.array([buckets[flat[a:b]].ravel().astype(np.int32) for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(languages.astype(np.int32)), words], names=["doc_id", "toxic", "lang", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Sample.of(batches), seed))], pa.binary())], names=["model"])
 
-    rows = text_rows(docs).join(chosen, "doc_id").mapInArrow(run, "doc_id long, toxic int, lang int, words array<int>").toArrow()
-    rows = rows.sort_by("doc_id")
-    words = [x.values.to_numpy().astype(np.int64).reshape(-1, len(STEMS)) if len(x.values) else np.empty((0, len(STEMS)), np.int64) for x in rows.column("words")]
-    return fit(words, rows.column("toxic").to_numpy().astype(np.int64), rows.column("lang").to_numpy().astype(np.int64), seed)
+    rows = text_rows(docs).join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else constant(float(np.log(1 / 20)))
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
