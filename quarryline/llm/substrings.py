@@ -31,8 +31,8 @@ LENGTH = 200
 TRIGGER = 24
 #: Places of the trigger in a window that make one family.
 PLACES = 50
-SLICE_BYTES = 4 << 20
-SLICES_PER_PART = 8
+SLICE_BYTES = 2 << 20
+SLICES_PER_PART = 16
 SPANS, FOUND, WINDOWS, REPEATED = range(4)
 #: What is known of a span: it repeats nothing, all of its windows are repeats, each window must be looked at, and all are repeats that others must be held against.
 NONE, ALL, SOME, ALL_SHOWN = range(4)
