@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.exchange import Row, answer, ask, bounds, deltas, gather, make_slices, pack, part_count, unpack
+from quarryline.llm.exchange import SCHEMA, Row, answer, ask, bounds, deltas, gather, make_slices, pack, part_count, unpack
 from quarryline.session import shared_dir, write_through
 
 K = 5
@@ -35,8 +35,8 @@ START, END = np.uint64(0), np.uint64(1)
 SLICE_BYTES = 8 << 20
 SLICES_PER_PART = 2
 BASE_ADD = 0.1
-#: Kinds of rows. Questions, context statistics, answers, sums over a part.
-COUNTS, WANTED, CONTEXTS, COUNTED, ALPHAS, SUMS = range(6)
+#: Kinds of rows: questions, context statistics, answers, sums over a part, and a part's table of bigrams.
+COUNTS, WANTED, CONTEXTS, COUNTED, ALPHAS, SUMS, TABLE = range(7)
 
 
 def word_hashes(texts: list[bytes], chunk: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,10 @@ def is_held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
 
 @dataclass
 class Bigrams:
-    """The bigrams of a slice: ``words`` ascending; per distinct bigram its place in words as follower and context; per token its bigram and text."""
+    """The bigrams of a slice: ``words`` ascending; per distinct bigram its place in words as follower and context; per token its bigram and text.
+
+    With no ``folds`` all texts are held out and nothing is learnt from them.
+    """
 
     words: np.ndarray
     follower: np.ndarray
@@ -79,7 +82,7 @@ class Bigrams:
     @classmethod
     def of(cls, batch: pa.RecordBatch, folds: int) -> Bigrams:
         hashes, sizes = word_hashes(batch.column("text").to_pylist())
-        held = np.array([is_held_out(i, folds) for i in batch.column("doc_id").to_pylist()], bool)
+        held = np.array([not folds or is_held_out(i, folds) for i in batch.column("doc_id").to_pylist()], bool)
         ends = np.cumsum(sizes)
         after = np.insert(hashes, ends, END)
         before = np.insert(hashes, ends - sizes, START)
@@ -122,15 +125,16 @@ def _wanted(grams: Bigrams) -> np.ndarray:
 
 
 def _add_up(parts: int):
-    """Counts of one part's bigrams over all slices: answers to each, sums of the part, and what its contexts need."""
+    """Counts of one part's bigrams over all slices: answers to each, and where no table is among the rows the part's table, its sums and what its contexts need."""
 
     def add(part: int, rows: list[Row]) -> Iterator[Row]:
         yield from (row for row in rows if row[2] == WANTED)
-        rows = [row for row in rows if row[2] == COUNTS]
-        if not rows:
+        asked = [(row[1], unpack(row[3])) for row in rows if row[2] == COUNTS]
+        known = [unpack(row[3]) for row in rows if row[2] == TABLE]
+        shares = [x for _, x in asked] + [[x[0], x[2], x[3], x[4]] for x in known]
+        if not shares:
             return
-        keys, sizes, contexts, counts = zip(*(unpack(row[3]) for row in rows), strict=True)
-        shares = [len(k) for k in keys]
+        keys, sizes, contexts, counts = zip(*shares, strict=True)
         words, which = np.unique(np.concatenate([np.cumsum(k) for k in keys]), return_inverse=True)
         lengths = np.concatenate(sizes).astype(np.int64)
         word = np.repeat(which, lengths)
@@ -143,16 +147,21 @@ def _add_up(parts: int):
         of_entry = np.empty(len(count), np.int64)
         of_entry[order] = np.repeat(totals, np.diff(np.append(starts, len(order))))
         of_word = np.bincount(word, count, len(words)).astype(np.int64)
-        edge = np.concatenate([[0], np.cumsum(shares)])
+        edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         inside = np.concatenate([[0], np.cumsum(lengths)])
-        for i, row in enumerate(rows):
+        for i, (number, _) in enumerate(asked):
             a, b = edge[i], edge[i + 1]
-            yield part, row[1], COUNTED, pack(of_word[which[a:b]].astype(np.uint64), of_entry[inside[a] : inside[b]].astype(np.uint64))
+            yield part, number, COUNTED, pack(of_word[which[a:b]].astype(np.uint64), of_entry[inside[a] : inside[b]].astype(np.uint64))
+        if known:
+            return
         classes = np.arange(1, K + 2)[:, None]
         sums = [of_word.sum(), (of_word > 0).sum(), *(of_word == classes).sum(axis=1), *(totals == classes).sum(axis=1)]
         yield part, -1, SUMS, np.array(sums, "<i8").tobytes()
-        first = order[starts][totals > 0]
-        yield from _context_rows(part, parts, context[first], totals[totals > 0], of_word[word[first]])
+        first, seen = order[starts][totals > 0], totals[totals > 0]
+        yield from _context_rows(part, parts, context[first], seen, of_word[word[first]])
+        by = np.argsort(word[first], kind="stable")
+        runs = np.bincount(word[first], minlength=len(words)).astype(np.uint32)
+        yield part, -1, TABLE, pack(deltas(words), of_word.astype(np.uint64), runs, context[first][by], seen[by].astype(np.uint32))
 
     return add
 
@@ -292,14 +301,68 @@ def _corpus_sums(counted: DataFrame) -> list[int]:
     return [found.get(i, 0) for i in range(4 + 2 * K)]
 
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+@dataclass
+class Tables:
+    """A trained model: tables at ``path``, partitioned by ranges of the following word and of the context."""
+
+    path: str
+    parts: int
+    discounts: Discounts
+
+    def rows(self, spark: SparkSession, *kinds: int) -> DataFrame:
+        return spark.read.schema(SCHEMA).parquet(self.path).filter(F.col("kind").isin(*kinds))
+
+    def bigrams(self, spark: SparkSession) -> DataFrame:
+        """``context``, ``word`` (hashes; 0 begins and 1 ends a text), ``count`` and ``word_count``, one row per bigram."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    words, totals, runs, contexts, counts = unpack(data)
+                    columns = [contexts, np.repeat(np.cumsum(words), runs), counts, np.repeat(totals, runs)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["context", "word", "count", "word_count"])
+
+        return self.rows(spark, TABLE).select("data").mapInArrow(spread, "context long, word long, count long, word_count long")
+
+    def contexts(self, spark: SparkSession) -> DataFrame:
+        """``context`` and its backoff weight ``alpha``."""
+        discounts = self.discounts
+
+        def weigh(part: int, rows: list[Row]) -> Iterator[Row]:
+            yield part, -1, ALPHAS, pack(*context_weights([unpack(row[3]) for row in rows], discounts))
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    keys, values = unpack(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(values)], names=["context", "alpha"])
+
+        return answer(self.rows(spark, CONTEXTS), self.parts, weigh).select("data").mapInArrow(spread, "context long, alpha double")
+
+
+def train(spark: SparkSession, slices: DataFrame, path: str, folds: int = FOLDS) -> Tables:
+    """Count all texts but those of fold 0 and write the tables, with the answers to the slices."""
+    parts = part_count(spark, slices, SLICES_PER_PART)
+    counted = write_through(answer(ask(slices, _questions(parts, folds)), parts, _add_up(parts)), path)
+    return Tables(path, parts, Discounts.of(_corpus_sums(counted)))
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Train on all texts but fold 0 and score all texts."""
     root = shared_dir(spark)
     slices = make_slices(docs, f"{root}/slices", slice_bytes)
-    parts = part_count(spark, slices, SLICES_PER_PART)
-    counted = write_through(answer(ask(slices, _questions(parts, folds)), parts, _add_up(parts)), f"{root}/counts")
-    discounts = Discounts.of(_corpus_sums(counted))
-    weights = answer(counted.filter(F.col("kind").isin(WANTED, CONTEXTS)), parts, _alphas(discounts))
-    answers = counted.filter(F.col("kind") == COUNTED).union(weights)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return gather(slices, answers, _scores(discounts, folds), schema)
+    model = train(spark, slices, f"{root}/tables", folds)
+    weights = answer(model.rows(spark, WANTED, CONTEXTS), model.parts, _alphas(model.discounts))
+    return gather(slices, model.rows(spark, COUNTED).union(weights), _scores(model.discounts, folds), RESULT)
+
+
+def score_others(spark: SparkSession, model: Tables, docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Score texts that the model was not trained on; all of them are held out."""
+    slices = make_slices(docs, f"{shared_dir(spark)}/slices", slice_bytes)
+    asked = write_through(ask(slices, _questions(model.parts, 0)), f"{shared_dir(spark)}/questions")
+    counted = answer(asked.filter(F.col("kind") == COUNTS).union(model.rows(spark, TABLE)), model.parts, _add_up(model.parts))
+    weights = answer(asked.filter(F.col("kind") == WANTED).union(model.rows(spark, CONTEXTS)), model.parts, _alphas(model.discounts))
+    return gather(slices, counted.union(weights), _scores(model.discounts, 0), RESULT)

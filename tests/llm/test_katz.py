@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from quarryline.llm import exchange, katz
+from quarryline.session import shared_dir
 
 from .test_text_operators import frame
 
@@ -84,6 +85,26 @@ def test_scores_and_sums(spark, rows):
     assert [r.score for r in katz.score_texts(spark, frame(spark, [(alone, "nothing learnt")])).collect()] == [0.0]
 
 
+def test_tables_and_other_texts(spark, rows):
+    model = Plain(rows)
+    root = shared_dir(spark)
+    slices = exchange.make_slices(frame(spark, rows).repartition(3), f"{root}/slices", 900)
+    tables = katz.train(spark, slices, f"{root}/tables")
+    code = lambda w: {"<s>": 0, "</s>": 1}.get(w) if w in ("<s>", "</s>") else int(katz.word_hashes([w.encode()])[0][0])
+    got = {(r.context, r.word): (r["count"], r.word_count) for r in tables.bigrams(spark).collect()}
+    assert got == {(code(v), code(w)): (n, model.uni[w]) for (v, w), n in model.bi.items()}
+    alphas = {r.context: r.alpha for r in tables.contexts(spark).collect()}
+    assert set(alphas) == {code(v) for v in model.after}
+    for v in ["<s>", "w1", "hot"]:
+        assert alphas[code(v)] * model.unknown == pytest.approx(model.p2("never", v), rel=1e-9)
+    new = [(1, "w1 w5 never hot pair"), (None, "only here"), (2, None)]
+    seqs = {str(i): ["<s>", *words(t), "</s>"] for i, t in new}
+    scored = {str(r.doc_id): r for r in katz.score_others(spark, tables, frame(spark, new)).collect()}
+    for i, seq in seqs.items():
+        assert scored[i].score == pytest.approx(sum(math.log10(model.p2(w, v)) for v, w in zip(seq, seq[1:])), abs=1e-7)
+        assert (scored[i].n_tokens, scored[i].held_out, scored[i].train_tokens) == (len(seq) - 1, True, model.n)
+
+
 def test_probabilities_add_up_to_one(rows):
     model = Plain(rows)
     for v in ["<s>", "w1", "hot", "pair", "only", "never"]:
