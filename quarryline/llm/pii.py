@@ -130,13 +130,19 @@ def find_spans(text: str) -> list[Span]:
     def near(kind: str, start: int, end: int) -> bool:
         return bool(_CONTEXT[kind].search(text[max(0, start - CONTEXT_CHARS) : start]) or _CONTEXT[kind].search(text[end : end + CONTEXT_CHARS]))
 
-    taken = sorted((a, b) for _, a, b, _, _ in out)
+    taken = bytearray(len(text))  # a mark per character, so a text with very many spans takes no longer per span
+
+    def mark(start: int, end: int) -> None:
+        taken[start:end] = b"\1" * (end - start)
+
+    for _, a, b, _, _ in out:
+        mark(a, b)
 
     def add(kind: str, start: int, end: int, checked: bool) -> None:
         score = PRIOR[kind] + CHECKSUM * checked + CONTEXT * near(kind, start, end)
-        if score >= MIN_SCORE and not any(a < end and start < b for a, b in taken):
+        if score >= MIN_SCORE and taken.find(1, start, end) < 0:
             out.append((kind, start, end, round(score, 2), False))
-            taken.append((start, end))
+            mark(start, end)
 
     for kind, start, end in failed:
         if kind == "card":
