@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,20 +53,46 @@ def pair_scores(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str,
 
 
 def average_linkage(items: list[int], scores: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
-    """Merge the two groups with the highest mean score while it reaches the threshold; the first of equal ones."""
-    groups = [[i] for i in sorted(items)]
-    while len(groups) > 1:
-        best, pick = threshold, None
-        for x in range(len(groups)):
-            for y in range(x + 1, len(groups)):
-                total = sum(scores.get((min(i, j), max(i, j)), 0.0) for i in groups[x] for j in groups[y])
-                mean = total / (len(groups[x]) * len(groups[y]))
-                if mean > best or (pick is None and mean == best):
-                    best, pick = mean, (x, y)
-        if pick is None:
-            break
-        groups[pick[0]] += groups.pop(pick[1])
-    return groups
+    """Merge the two groups with the highest mean score while it reaches the threshold; the smallest ids of equal ones.
+
+    Only linked groups are ever compared, best first from a heap, so the work grows with the links.
+    """
+    return _linkage({i: "" for i in items}, scores, threshold, lambda a, b, linked: len(a) * len(b))
+
+
+def _linkage(platforms: dict[int, str], scores: dict[tuple[int, int], float], threshold: float, pairs_of) -> list[list[int]]:
+    """``pairs_of`` (group, group, linked pairs) is the number that a mean is taken over, or None where the groups may not merge."""
+    groups = {i: [i] for i in platforms}
+    links: dict[int, dict[int, tuple[float, int]]] = {i: {} for i in platforms}
+    for (a, b), s in scores.items():
+        links[a][b] = links[b][a] = (s, 1)
+    age = dict.fromkeys(platforms, 0)
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        total, linked = links[a][b]
+        n = pairs_of(groups[a], groups[b], linked)
+        if n and total / n >= threshold:
+            a, b = min(a, b), max(a, b)
+            heappush(heap, (-total / n, a, b, age[a], age[b]))
+
+    for a, b in scores:
+        offer(a, b)
+    while heap:
+        _, a, b, age_a, age_b = heappop(heap)
+        if age.get(a) != age_a or age.get(b) != age_b:
+            continue  # one of them has changed since
+        groups[a] += groups.pop(b)
+        age[a] += 1
+        del age[b], links[a][b]
+        for c, (total, linked) in links.pop(b).items():
+            if c != a:
+                had = links[a].get(c, (0.0, 0))
+                links[a][c] = links[c][a] = (had[0] + total, had[1] + linked)
+                del links[c][b]
+        for c in links[a]:
+            offer(a, c)
+    return [groups[i] for i in sorted(groups)]
 
 
 def stories(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, threshold: float = MATCH_MIN, gate_hours: float = TIME_GATE_HOURS) -> DataFrame:
@@ -138,19 +167,13 @@ def cross_pairs(posts: DataFrame, id_: str, ts: str, platform: str, words: str,
 
 def clique_linkage(platforms: dict[int, str], scores: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
     """Merge the groups with the highest mean score while every pair of them across platforms is linked."""
-    groups = [[i] for i in sorted(platforms)]
-    while True:
-        best, pick = threshold, None
-        for x in range(len(groups)):
-            for y in range(x + 1, len(groups)):
-                across = [scores.get((min(i, j), max(i, j))) for i in groups[x] for j in groups[y] if platforms[i] != platforms[j]]
-                if across and None not in across:
-                    mean = sum(across) / len(across)
-                    if mean > best or (pick is None and mean == best):
-                        best, pick = mean, (x, y)
-        if pick is None:
-            return groups
-        groups[pick[0]] += groups.pop(pick[1])
+
+    def across(a: list[int], b: list[int], linked: int) -> int | None:
+        here, there = Counter(platforms[i] for i in a), Counter(platforms[i] for i in b)
+        n = len(a) * len(b) - sum(k * there[p] for p, k in here.items())
+        return n if n == linked else None
+
+    return _linkage(platforms, scores, threshold, across)
 
 
 def cross_stories(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entities: str, threshold: float = COSINE_SUPPORT) -> DataFrame:

@@ -236,3 +236,28 @@ def test_story_build_and_migration(spark):
     assert got == {1: (2, 1, 1, True, True), 2: (2, 2, 3, False, False)}
     known, unknown = upsert.migrate(df, spark.createDataFrame([(1, 100)], "story long, new long"), "story", "new")
     assert (known.count(), unknown.count()) == (2, 2)
+
+
+def plain_linkage(items, scores, threshold):
+    groups = [[i] for i in sorted(items)]
+    while True:
+        best, pick = threshold, None
+        for x in range(len(groups)):
+            for y in range(x + 1, len(groups)):
+                mean = sum(scores.get((min(i, j), max(i, j)), 0) for i in groups[x] for j in groups[y]) / (len(groups[x]) * len(groups[y]))
+                if mean > best or (pick is None and mean == best):
+                    best, pick = mean, (x, y)
+        if pick is None:
+            return groups
+        groups[pick[0]] += groups.pop(pick[1])
+
+
+def test_average_linkage_equals_the_plain_one():
+    rnd = random.Random(5)
+    for _ in range(40):
+        n = rnd.randint(2, 14)
+        scores = {(i, j): rnd.random() for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.4}
+        got = stories.average_linkage(list(range(n)), scores, 0.15)
+        assert sorted(map(sorted, got)) == sorted(map(sorted, plain_linkage(range(n), scores, 0.15)))
+    chain = {(i, i + 1): 0.5 + i / 1e6 for i in range(20_000)}
+    assert len(stories.average_linkage(list(range(20_001)), chain, 0.3)) < 20_001
