@@ -37,6 +37,8 @@ PAD = max(WIDTHS) - 1
 #: Evidence of a bucket, as a root of a likelihood ratio, from which on it counts at the start of training.
 SURE = 3.5
 STEMS = (0, 4, 5, 6)
+#: Text that is split into words at once.
+SLICE_BYTES = 2 << 20
 
 _WORD_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -169,7 +171,7 @@ class Sample:
     def of(cls, batches: Iterator[pa.RecordBatch]) -> Sample:
         """From rows of ``doc_id``, ``toxic`` and ``text``, in ascending order of id."""
         parts, texts, base = [np.empty((0, len(STEMS)), np.int64)], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             buckets, flat, starts, languages = hashed_words(batch.column("text").to_pylist())
             ends = np.append(starts[1:], len(flat)) - PAD
             ids, toxic = (batch.column(c).to_pylist() for c in ("doc_id", "toxic"))
@@ -310,7 +312,7 @@ def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.table()
-        for batch in slices(batches, hidden, 4 << 20):
+        for batch in slices(batches, hidden, SLICE_BYTES):
             logits = shared.value.logits(*hashed_words(batch.column(hidden).to_pylist()), table)
             values = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values)], names=[*names, into])
