@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.operators.components import connected_components
+from quarryline.session import shared_dir, write_through
 
 RADIUS = 6
 
@@ -60,7 +61,7 @@ def near_pairs(prints: DataFrame, id_: str, radius: int = RADIUS, spare: int | N
 
 def clusters(df: DataFrame, id_: str, text: str, radius: int = RADIUS) -> DataFrame:
     """``id_`` and ``cluster``, the smallest id of its chain of near texts; texts without words stand alone."""
-    prints = simhash(df, id_, text)
+    prints = write_through(simhash(df, id_, text), shared_dir(df.sparkSession))  # read four times below
     reps = prints.groupBy("fp").agg(F.min(id_).alias("rep"))
     labels = connected_components(near_pairs(prints, id_, radius))
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("cluster"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import word_runs
+
 ACCEL_MIN, MIN_AUTHORS = 0.5, 5
 
 
@@ -58,8 +60,7 @@ def daily_counts(posts: DataFrame, keys: list[str], day: str, start, end) -> Dat
 
 def phrases(posts: DataFrame, id_: str, words: str, least: int, limit: int) -> DataFrame:
     """Single words and pairs of neighbours by the number of posts that have them."""
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array())
-    each = posts.select(F.explode(F.array_distinct(F.concat(F.col(words), pairs))).alias("phrase"))
+    each = posts.select(F.explode(F.array_distinct(F.concat(F.col(words), word_runs(F.col(words), 2)))).alias("phrase"))
     return each.groupBy("phrase").agg(F.count("*").alias("posts")).filter(F.col("posts") >= least).orderBy(F.desc("posts"), "phrase").limit(limit)
 
 
