@@ -28,6 +28,7 @@ MAX_REPEAT_PERCENT = 50
 SUPPORT = 0.75
 STEPS = 3
 MIN_GROUP = 60
+SALTS = 64
 #: Transformed statistics and the least spread that each is given.
 FLOORS = {"log_words": 0.6, "word_length": 0.25, "symbols": 0.5, "dup_lines": 0.8, "repeats": 0.12, "upper": 0.08, "marks": 0.08}
 #: Chi-square quantile of the verdict: far out, as clean texts are many.
@@ -131,7 +132,14 @@ def _groups(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"own": own, "pool": lang})
     sizes = rows.filter(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("n_own"))
     large = sizes.filter(F.col("n_own") >= MIN_GROUP).select("own", F.lit(True).alias("large"))
-    return rows.join(large, "own", "left").withColumn("g", F.when(F.col("large"), F.col("own")).otherwise(F.col("pool"))).drop("own", "pool", "large")
+    return _joined(rows, large, "own", "left").withColumn("g", F.when(F.col("large"), F.col("own")).otherwise(F.col("pool"))).drop("own", "pool", "large")
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with a table of one row per group; a group's rows are dealt to ``SALTS`` places by their id, as one may hold a third of all."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def _moments(rows: DataFrame, dims: int) -> DataFrame:
@@ -178,7 +186,7 @@ def outliers(rows: DataFrame, floors: list[float], support: float = SUPPORT, ste
     """
     d = len(floors)
     spark = rows.sparkSession
-    shaping = rows.filter(~F.col("base_failed")).select("g", "x")
+    shaping = rows.filter(~F.col("base_failed")).select("doc_id", "g", "x")
     median = [F.percentile_approx(F.col("x")[i], 0.5, 10_000).alias(f"c{i}") for i in range(d)]
     centres = shaping.groupBy("g").agg(*median).select("g", F.array(*(f"c{i}" for i in range(d))).alias("m"))
     identity = np.diag(1 / np.array(floors)).ravel().tolist()
@@ -186,14 +194,14 @@ def outliers(rows: DataFrame, floors: list[float], support: float = SUPPORT, ste
     dist = _distance(d)
     inside_scale = support / _chi2_share(chi2_quantile(support, d), d + 2)
     for step in range(steps + 1):
-        measured = shaping.join(params, "g").select("g", "x", dist.alias("q"))
+        measured = _joined(shaping, params, "g").select("doc_id", "g", "x", dist.alias("q"))
         if step < steps:  # concentrate on the nearest rows
             limits = measured.groupBy("g").agg(F.percentile_approx("q", support, 10_000).alias("limit"))
-            inside, scale = measured.join(limits, "g").filter("q <= limit"), inside_scale
+            inside, scale = _joined(measured, limits, "g").filter("q <= limit"), inside_scale
         else:  # reweighting: all rows that are no outliers by the concentrated estimate
             inside, scale = measured.filter(F.col("q") <= chi2_quantile(0.975, d)), 1.0
         params = write_through(_whitened(_moments(inside.select("g", "x"), d), floors, scale), shared_dir(spark))
-    return rows.join(params, "g", "left").withColumn("distance", dist).drop("m", "l")
+    return _joined(rows, params, "g", "left").withColumn("distance", dist).drop("m", "l")
 
 
 def _chi2_share(x: float, dims: int) -> float:
