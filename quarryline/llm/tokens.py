@@ -2,13 +2,15 @@
 
 A text is cut before every blank that a non-blank follows. No pre-token of the vocabulary's pattern crosses
 such a cut, so the ids of the pieces joined are the ids of the text. Each distinct piece of a slice is encoded once,
-frequent ones are kept for the life of the worker, and the ids are gathered with numpy.
+frequent ones are kept for the life of the worker, and the ids are gathered with numpy. An added token of the vocabulary that
+stands in a text is one id, and the texts before and after it are encoded as texts of their own.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -61,9 +63,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.byte_chars = _printable_bytes()
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        #: Added tokens that take blanks around them or depend on neighbours: texts with any are encoded in one go.
+        self.by_context = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.added_pattern = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.kept: dict[str, bytes] = {}
         #: Ids by word that has a blank before it.
         self.words: dict[str, bytes] = {}
@@ -135,6 +141,19 @@ class PieceEncoder:
                 out.append(part if not i else " " + part)
         return out
 
+    def _with_added(self, text: str) -> bytes:
+        """Ids of a text that has added tokens in it."""
+        if self.by_context:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = re.split(f"({self.added_pattern})", text)
+        return b"".join(self.added[x] if i % 2 else b"".join(map(self.ids, self._irregular(x))) for i, x in enumerate(parts))
+
+    def _has_added(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            found |= pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts one after another, and the offsets (n + 1) of each text's ids."""
         texts = texts.cast(pa.string()) if not pa.types.is_string(texts.type) else texts
@@ -155,11 +174,13 @@ class PieceEncoder:
         odd_text = np.zeros(n_texts, bool)
         if odd.any():
             odd_text[np.searchsorted(ends, np.flatnonzero(odd), "right") - 1] = True
+        added_text = self._has_added(texts)
+        odd_text |= added_text
         extra: list[bytes] = []
         for i, at in enumerate(ends[:-1]):
             if odd_text[i]:
                 text = texts[i].as_py()
-                extra.append(b"".join(map(self.ids, self._irregular(text))))
+                extra.append(self._with_added(text) if added_text[i] else b"".join(map(self.ids, self._irregular(text))))
                 index[at : ends[i + 1]] = -1
             else:
                 word = words[index[at]]

@@ -27,6 +27,24 @@ def test_piecewise_ids_equal_whole_text_ids():
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == reference(texts)
 
 
+def fresh(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    return [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_added_tokens_in_texts_are_one_id():
+    rnd = random.Random(6)
+    alphabet = ["a", "the", " ", "  ", "\n", "\t", ".", "'s", "é", "<|endoftext|>", "<|endoftext|>", "<|", "|>"]
+    texts = ["a <|endoftext|> b", "x\n <|endoftext|>  b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n", " <|endoftext|> ", "<|EndOfText|>"]
+    texts += ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) for _ in range(400)]
+    encoder = PieceEncoder.of(vocabulary_path("byte_bpe_50k.json"))
+    ids, ends = encoder.encode(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert got == fresh(texts) and got[0] == [64, 220, 50256, 275]
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, ids string, part int")
 
