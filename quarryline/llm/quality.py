@@ -4,8 +4,9 @@ Each text becomes a vector of transformed statistics. For every (language, sourc
 estimate is found by concentration steps: mean and covariance of the ``SUPPORT`` share of rows with the smallest distances,
 distances from these, and so on, from a start by medians. A last step takes all rows within the 97.5 % ellipsoid. Every step is a grouped
 aggregate of sums, so a source with a third of all rows is pre-aggregated in every task. Small groups use the estimate of all
-small groups of their language together. Spreads have a floor per statistic, so that a group in which a statistic never varies does
-not reject the first text in which it does.
+small groups of their language together. A spread below the least one of its statistic, which is about what one more symbol, mark or
+repetition makes in a text of ``MIN_WORDS`` words, is raised to it, so that a group in which a statistic never varies does not reject
+the first text in which it does.
 
 Null texts have no words and fail the base rules. Null languages and sources are groups of their own. Further columns do not matter.
 """
@@ -29,10 +30,12 @@ SUPPORT = 0.75
 STEPS = 3
 MIN_GROUP = 60
 SALTS = 64
-#: Transformed statistics and the least spread that each is given.
-FLOORS = {"log_words": 0.6, "word_length": 0.25, "symbols": 0.5, "dup_lines": 0.8, "repeats": 0.12, "upper": 0.08, "marks": 0.08}
-#: Chi-square quantile of the verdict: far out, as clean texts are many.
-CUTOFF_P = 0.999_999
+#: Transformed statistics and the least spread of each; larger spreads stay as they are.
+FLOORS = {"log_words": 0.1, "word_length": 0.05, "symbols": 0.25, "dup_lines": 0.7, "repeats": 0.05, "upper": 0.02, "marks": 0.03}
+#: Spreads of the first distances, from the medians.
+START = {"log_words": 0.6, "word_length": 0.25, "symbols": 0.5, "dup_lines": 0.8, "repeats": 0.12, "upper": 0.08, "marks": 0.08}
+#: Chi-square quantiles of the verdict and of the rows that the last estimate takes.
+CUTOFF_P, REWEIGHT_P = 0.999, 0.975
 BLANKS = b" \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 
@@ -162,7 +165,8 @@ def _whitened(moments: DataFrame, floors: list[float], scale: float) -> DataFram
                 for i in range(d):
                     for j in range(i + 1):
                         cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / r["n"] - mean[i] * mean[j]
-                cov = cov * scale + np.diag(np.square(floors))
+                cov *= scale
+                cov += np.diag(np.maximum(np.square(floors) - np.diag(cov), 0) + 1e-6 * np.square(floors))  # the last against rounding
                 out.append((r["g"], mean.tolist(), np.linalg.inv(np.linalg.cholesky(cov)).ravel().tolist()))
             yield pd.DataFrame(out, columns=["g", "m", "l"])
 
@@ -179,7 +183,7 @@ def _distance(d: int):
     return total
 
 
-def outliers(rows: DataFrame, floors: list[float], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+def outliers(rows: DataFrame, floors: list[float], start: list[float], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """``rows`` (``g``, ``x``, ``base_failed``) with ``distance``, the squared robust distance from its group.
 
     Only rows that pass the base rules shape the estimates. Groups without any have a null distance.
@@ -189,17 +193,17 @@ def outliers(rows: DataFrame, floors: list[float], support: float = SUPPORT, ste
     shaping = rows.filter(~F.col("base_failed")).select("doc_id", "g", "x")
     median = [F.percentile_approx(F.col("x")[i], 0.5, 10_000).alias(f"c{i}") for i in range(d)]
     centres = shaping.groupBy("g").agg(*median).select("g", F.array(*(f"c{i}" for i in range(d))).alias("m"))
-    identity = np.diag(1 / np.array(floors)).ravel().tolist()
-    params = centres.withColumn("l", F.array(*map(F.lit, identity)))
+    first = np.diag(1 / np.array(start)).ravel().tolist()
+    params = centres.withColumn("l", F.array(*map(F.lit, first)))
     dist = _distance(d)
-    inside_scale = support / _chi2_share(chi2_quantile(support, d), d + 2)
+    consistency = lambda p: p / _chi2_share(chi2_quantile(p, d), d + 2)
     for step in range(steps + 1):
         measured = _joined(shaping, params, "g").select("doc_id", "g", "x", dist.alias("q"))
         if step < steps:  # concentrate on the nearest rows
             limits = measured.groupBy("g").agg(F.percentile_approx("q", support, 10_000).alias("limit"))
-            inside, scale = _joined(measured, limits, "g").filter("q <= limit"), inside_scale
+            inside, scale = _joined(measured, limits, "g").filter("q <= limit"), consistency(support)
         else:  # reweighting: all rows that are no outliers by the concentrated estimate
-            inside, scale = measured.filter(F.col("q") <= chi2_quantile(0.975, d)), 1.0
+            inside, scale = measured.filter(F.col("q") <= chi2_quantile(REWEIGHT_P, d)), consistency(REWEIGHT_P)
         params = write_through(_whitened(_moments(inside.select("g", "x"), d), floors, scale), shared_dir(spark))
     return _joined(rows, params, "g", "left").withColumn("distance", dist).drop("m", "l")
 
@@ -216,6 +220,6 @@ def judge(spark: SparkSession, docs: DataFrame, cutoff_p: float = CUTOFF_P) -> D
     """Counts, ``base_failed``, ``distance`` and ``kept`` of every document."""
     rows = write_through(statistics(text_counts(docs)), shared_dir(spark))
     floors = list(FLOORS.values())
-    measured = outliers(_groups(rows), floors)
+    measured = outliers(_groups(rows), floors, list(START.values()))
     near = F.coalesce(F.col("distance") <= chi2_quantile(cutoff_p, len(floors)), F.lit(True))
     return measured.withColumn("kept", ~F.col("base_failed") & near)

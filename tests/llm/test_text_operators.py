@@ -121,6 +121,32 @@ def test_quality_counts_and_verdicts(spark):
     assert [r.kept for r in quality.judge(spark, frame(spark, [(1, None), (1, None)])).collect()] == [False, False]
 
 
+def test_one_moderate_outlier_per_statistic(spark):
+    rnd = random.Random(12)
+    word = lambda least, most: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(least, most)))
+    vocabulary = [word(2, 8) for _ in range(5000)]
+    line = lambda n=0: " ".join(rnd.choice(vocabulary) for _ in range(n or rnd.randint(5, 12)))
+    text = lambda n: "\n".join(line() for _ in range(n))
+    clean = [(i, text(rnd.randint(8, 30))) for i in range(400)]
+    marked = lambda c, share: " ".join(w + c * (rnd.random() < share) for w in text(20).split(" "))
+    phrases = [line(4) for _ in range(9)]
+    outliers = {
+        "log_words": text(220),
+        "word_length": "\n".join(" ".join(word(5, 8) for _ in range(8)) for _ in range(20)),
+        "symbols": marked("#", 0.12),
+        "dup_lines": "\n".join(x for i in range(16) for x in (line(), phrases[i % 2][:3] + " x")),
+        "repeats": "\n".join(f"{line(7)} {phrases[i % 9]} {line(1)}" for i in range(18)),
+        "upper": "".join(c.upper() if rnd.random() < 0.12 else c for c in text(20)),
+        "marks": marked("!", 0.35),
+    }
+    assert list(outliers) == list(quality.FLOORS)
+    rows = clean + [(1000 + k, t) for k, t in enumerate(outliers.values())]
+    got = {r.doc_id: r for r in quality.judge(spark, frame(spark, rows).repartition(3)).collect()}
+    assert not any(got[1000 + k].base_failed for k in range(len(outliers)))
+    assert [name for k, name in enumerate(outliers) if got[1000 + k].kept] == []
+    assert sum(got[i].kept for i, _ in clean) >= 0.98 * len(clean)
+
+
 def brute_decontamination(docs, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: pattern.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
