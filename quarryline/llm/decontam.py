@@ -4,10 +4,10 @@ Every task turns slices of whole documents into arrays of word ids and sorts the
 a shard. Suffixes whose first word no test item has cannot match and are left out. All suffixes of the test items are then
 binary-searched in it, word by word, which gives the longest verbatim match of each and the places of every match; documents
 stay whole in one slice, so nothing is shuffled. Test items are sent to the tasks in blocks of at most ``BLOCK_BYTES``; more items mean more
-blocks, each searched against all rows.
+blocks, each searched against all rows. The driver holds one block and the next: a block's result is written through before another is fetched.
 
-Null and empty texts have no words and are never hit; items without words are skipped. Item ids that occur twice are one item with several texts,
-null item ids are left out. Documents keep their rows: repeated ids give repeated results. An empty benchmark hits nothing.
+Null and empty texts have no words and are never hit; items without words are skipped. Item ids that occur twice are one item with several texts;
+texts without an item id are one item without a name, which counts in hits and ``n_items`` and is not in ``items``. Documents keep their rows: repeated ids give repeated results. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.batches import slices, text_rows
+from quarryline.session import remove, shared_dir, write_through
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many.
@@ -42,7 +44,7 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
         self.items: list[np.ndarray] = []
@@ -165,12 +167,13 @@ def _search(batch: pa.RecordBatch, tests: TestSet) -> tuple[np.ndarray, np.ndarr
     return words, ends, longest, np.repeat(hit, sizes), order[index] if len(index) else index, order
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of a bounded size, fetched one partition at a time."""
-    block: list[tuple[str, bytes]] = []
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """Items in blocks of a bounded size, fetched one partition of about that size at a time."""
+    block: list[tuple[str | None, bytes]] = []
     held = 0
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    for row in items.filter("item is not null").toLocalIterator():
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    for row in (items.repartition(ceil(total / block_bytes)) if total > block_bytes else items).toLocalIterator():
         if block and held + len(row.text) > block_bytes:
             yield block
             block, held = [], 0
@@ -180,6 +183,15 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield block
 
 
+def _with_last(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block and whether it is the last; one without items where there is none."""
+    block = next(blocks, [])
+    while (following := next(blocks, None)) is not None:
+        yield block, False
+        block = following
+    yield block, True
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every place where a window of an item occurs: ``doc_id``, ``word`` (offset), ``item_id``, ``item_word``, ``length`` (longest match there)."""
 
@@ -206,8 +218,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         return run
 
     spark, schema = docs.sparkSession, "doc_id long, word long, item_id string, item_word long, length long"
-    blocks = [*_blocks(benchmark, block_bytes)] or [[]]
-    return reduce(DataFrame.union, [text_rows(docs).mapInArrow(make(spark.sparkContext.broadcast(block)), schema) for block in blocks])
+    found = []
+    for block, last in _with_last(_blocks(benchmark, block_bytes)):
+        shared = spark.sparkContext.broadcast(block)
+        found.append(text_rows(docs).mapInArrow(make(shared), schema))
+        if not last:
+            found[-1] = write_through(found[-1], shared_dir(spark))
+            shared.destroy()
+    return reduce(DataFrame.union, found)
 
 
 def _extent(words: np.ndarray, at: int, tests: TestSet, query: int) -> int:
@@ -218,7 +236,7 @@ def _extent(words: np.ndarray, at: int, tests: TestSet, query: int) -> int:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES, rows: bool = False) -> DataFrame:
-    """Per document ``n_words``, ``n_hit``, ``items`` (sorted) and ``contaminated``; with ``rows`` also ``__row``, its columns as a struct.
+    """Per document ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted names) and ``contaminated``; with ``rows`` also ``__row``, its columns as a struct.
 
     Blocks after the first add to the runs of hit words and the items that the earlier ones found.
     """
@@ -247,7 +265,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 pairs = np.unique(np.stack([doc, tests.owner[query]]), axis=1)
                 item_bounds = np.searchsorted(pairs[0], np.arange(len(ends) + 1))
                 items = [
-                    sorted({*had, *(tests.names[k] for k in pairs[1, i:j].tolist())})
+                    sorted({*had, *(tests.names[k] for k in pairs[1, i:j].tolist())}, key=lambda x: (x is None, x))
                     for had, i, j in zip(batch.column("items").to_pylist(), item_bounds[:-1], item_bounds[1:], strict=True)
                 ]
                 text = [] if last else [batch.column("text")]
@@ -260,13 +278,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     extra = [F.struct(*docs.columns).alias("__row")] if rows else []
     found = text_rows(docs, *extra, F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<string>").alias("items"))
-    blocks = [*_blocks(benchmark, block_bytes)] or [[]]
-    for k, block in enumerate(blocks, 1):
-        text = "" if k == len(blocks) else "text binary, "
-        found = found.mapInArrow(make(docs.sparkSession.sparkContext.broadcast(block), not text), f"doc_id long, {row}{text}n_words long, runs array<bigint>, items array<string>")
+    spark, stored = docs.sparkSession, None
+    for block, last in _with_last(_blocks(benchmark, block_bytes)):
+        shared = spark.sparkContext.broadcast(block)
+        text = "" if last else "text binary, "
+        found = found.mapInArrow(make(shared, last), f"doc_id long, {row}{text}n_words long, runs array<bigint>, items array<string>")
+        if not last:
+            before, stored = stored, shared_dir(spark)
+            found = write_through(found, stored)
+            shared.destroy()
+            if before:
+                remove(spark, before)
     ends, starts = F.filter("runs", lambda _, i: i % 2 == 1), F.filter("runs", lambda _, i: i % 2 == 0)
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
-    counted = found.select("doc_id", "n_words", (total(ends) - total(starts)).alias("n_hit"), "items", *carried)
+    names = F.array_compact("items").alias("items")  # a null stands for the item without a name
+    counted = found.select("doc_id", "n_words", (total(ends) - total(starts)).alias("n_hit"), F.size("items").cast("long").alias("n_items"), names, *carried)
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -38,7 +38,7 @@ def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.item_hash().alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.item_hash().alias("items_sha256"), "contaminated")
 
 
 def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -185,6 +186,30 @@ def test_decontamination(spark, block):
     assert decontam.contamination(d, b.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_items_without_id_equal_sql(spark, tmp_path, block):
+    passages = [" ".join(f"{c}{i}" for i in range(15)) for c in "pqrs"]
+    items = [(1, passages[0]), (None, passages[1]), (None, passages[2]), (4, passages[3]), (None, None)]
+    docs = [(k, f"so {p} it is") for k, p in enumerate(passages)] + [(10, " ".join(passages)), (11, f"{passages[1]} {passages[2]}"), (12, "none of them")]
+    d, b = frame(spark, docs).repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    b.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    cur = con.execute(queries.ORACLE_SQL["op6_benchmark_decontamination"])
+    columns = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall())
+    assert sorted(map(tuple, queries.op6_benchmark_decontamination(spark, str(tmp_path)).select(*columns).collect())) == want
+    found = decontam.contamination(d, b, block_bytes=block)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows.values()) == sorted((*x[:4], x[5]) for x in want)
+    assert (rows[11].n_hit, rows[11].n_items, rows[11]["items"]) == (30, 1, []) and rows[10]["items"] == ["1", "4"]
+    assert decontam.decontaminate(d, b, block_bytes=block).select("doc_id").collect() == [(12,)]
+    places = decontam.matches(d, b, block_bytes=block).filter("doc_id = 11").select("word", "item_id").collect()
+    assert sorted(r.word for r in places) == [0, 1, 2, 15, 16, 17] and {r.item_id for r in places} == {None}
+
+
 def test_longest_matches_and_places(spark):
     docs = frame(spark, [(1, "p q one two three four five six seven eight nine ten eleven twelve thirteen fourteen z")])
     items = spark.createDataFrame([(5, "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen")], "item_id long, text string")
