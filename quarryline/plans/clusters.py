@@ -55,10 +55,29 @@ def pairs_by_rare_value(spark, d):
     return rare.join(other, "day").filter("source_id < b").groupBy(F.col("source_id").alias("a"), "b").agg(F.count("*").alias("shared"))
 
 
+@plan()
+def pairs_by_rare_day(spark, d):
+    """J16 in full: pairs of sources that share a day of at most ``RARE_DF`` sources, over all rows, so no value brings together more."""
+    each = contents(spark, d).select("source_id", "day").distinct()
+    few = each.groupBy("day").agg(F.count("*").alias("df")).filter(F.col("df") <= stories.RARE_DF).select("day")
+    rare = each.join(few, "day")
+    other = rare.select(F.col("source_id").alias("b"), "day")
+    return rare.join(other, "day").filter("source_id < b").groupBy(F.col("source_id").alias("a"), "b").agg(F.count("*").alias("shared"))
+
+
 @plan(f"""WITH b AS (SELECT snapshot_id AS id, stage, captured_at AS t, content_id, CAST(FLOOR(EPOCH(captured_at) / 108000) AS BIGINT) AS k FROM {SNAPSHOTS} WHERE stage IN ('purchase', 'signup')) SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON x.content_id = y.content_id AND x.id < y.id AND x.stage <> y.stage WHERE ABS(EPOCH_US(x.t) - EPOCH_US(y.t)) <= 108000000000""")
 def pairs_in_time(spark, d):
     """Pairs within thirty hours, by equal keys and time buckets instead of a nested loop."""
-    rows = snapshots(spark, d).filter("stage in ('purchase', 'signup')")
+    return _pairs_in_time(snapshots(spark, d).filter("stage in ('purchase', 'signup')"))
+
+
+@plan()
+def pairs_in_time_all_stages(spark, d):
+    """J17 in full: pairs of any two stages."""
+    return _pairs_in_time(snapshots(spark, d))
+
+
+def _pairs_in_time(rows):
     at = F.unix_micros(F.col("captured_at").cast("timestamp"))
     bucketed = rows.select("content_id", "snapshot_id", "stage", at.alias("t"), F.floor(at / 108e9).alias("k"))
     left = bucketed.select("content_id", F.col("snapshot_id").alias("a"), F.col("stage").alias("sa"), F.col("t").alias("ta"), F.explode(F.array(F.col("k") - 1, "k", F.col("k") + 1)).alias("k"))

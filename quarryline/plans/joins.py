@@ -66,6 +66,14 @@ def later_echoes(spark, d):
     return rows.select("snapshot_id").join(found, "snapshot_id", "left").select("snapshot_id", F.coalesce("authors", F.lit(0)).alias("authors"))
 
 
+@plan()
+def later_echoes_by_name(spark, d):
+    """J8 in full: other contents whose snapshots name this one's content within 72 hours after; ``k`` of the props is the name."""
+    rows = snapshots(spark, d)
+    named = F.array(F.get_json_object("props", "$.k").try_cast("long"))
+    return L.later_echoes(rows.withColumn("names", named), "names", "content_id", "snapshot_id", "captured_at")
+
+
 @plan(f"""WITH p AS (SELECT snapshot_id AS wanted, content_id, captured_at AS at FROM {SNAPSHOTS} WHERE stage = 'purchase'), v AS (SELECT * FROM {SNAPSHOTS} WHERE stage = 'view')
 SELECT wanted, snapshot_id FROM (SELECT p.wanted, v.snapshot_id, ROW_NUMBER() OVER (PARTITION BY p.wanted ORDER BY ABS(EPOCH_US(v.captured_at) - EPOCH_US(p.at)), v.snapshot_id) AS k
 FROM p JOIN v USING (content_id) WHERE ABS(EPOCH_US(v.captured_at) - EPOCH_US(p.at)) <= 10800000000) WHERE k = 1""")
