@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.session import shared_dir, write_through
+
 
 def cap_per_key(df: DataFrame, key: str, order: list[Column], per_key: int, limit: int | None = None) -> DataFrame:
     """The best ``per_key`` rows of each key, the best ``limit`` of these. Ranks within a key are cut before the shuffle."""
@@ -45,16 +47,27 @@ def within_budget(df: DataFrame, key: list[str], order: list[Column], text: str,
     return df.withColumn("__used", used).filter(F.col("__used") <= budget).drop("__used")
 
 
-def rotation(df: DataFrame, order: list[Column], cursor: int, size: int) -> DataFrame:
-    """``size`` rows from position ``cursor`` on, going on at the beginning.
+def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Every row with its place (from 0) in a total order.
 
-    Positions come from two ordered limits, so no row number is given over the whole table.
+    Rows are sorted by range and numbered per range; the ranges' sizes, one number each, give what comes before. No window runs over the whole table.
     """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    stored = write_through(ranged, shared_dir(df.sparkSession))
+    part = F.shiftright("__at", 33)  # how Spark lays out these ids: partition, then row
+    sizes = stored.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    joined = stored.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row per shuffle partition
+    return joined.select(*df.columns, place.alias(name))
+
+
+def rotation(df: DataFrame, order: list[Column], cursor: int, size: int) -> DataFrame:
+    """``size`` rows from position ``cursor`` on in a total order, going on at the beginning."""
     n = df.count()
     if not n:
         return df
-    start = cursor % n
-    front = df.orderBy(*order).limit(min(n, start + size))
-    ranked = front.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1)
-    wrapped = max(0, start + size - n)
-    return ranked.filter(((F.col("__i") >= start) & (F.col("__i") < start + size)) | (F.col("__i") < min(wrapped, start))).drop("__i")
+    start, size = cursor % n, min(size, n)
+    turned = F.pmod(F.col("__place") - start, F.lit(n))
+    return positions(df, order, "__place").filter(turned < size).drop("__place")

@@ -126,11 +126,11 @@ def caveats(spark, d):
     return out
 
 
-@plan("""SELECT role, ARG_MAX(conv_id, LENGTH(text) * 1000000 - conv_id) AS conv_id FROM (SELECT role, conv_id, MAX(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY role""")
+@plan("""SELECT role, ARG_MAX(conv_id, [LENGTH(text), -conv_id]) AS conv_id FROM (SELECT role, conv_id, MAX(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2) GROUP BY role""")
 def best_comment_per_author(spark, d):
     """The longest comment of each author, the first conversation of equal ones."""
     rows = table(spark, d, "conversations").filter("text is not null").groupBy("role", "conv_id").agg(F.max("text").alias("text"))
-    return rows.groupBy("role").agg(F.max_by("conv_id", F.length("text") * 1000000 - F.col("conv_id")).alias("conv_id"))
+    return rows.groupBy("role").agg(F.max_by("conv_id", F.struct(F.length("text"), -F.col("conv_id"))).alias("conv_id"))
 
 
 @plan(f"""WITH t AS (SELECT source_id, views FROM {CONTENTS} ORDER BY views DESC, content_id LIMIT 200) SELECT source_id, COUNT(*) AS n, CAST(ROUND(SUM(views), 2) AS DOUBLE) AS total FROM t GROUP BY 1""")

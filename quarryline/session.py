@@ -39,13 +39,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` write to the shared folder; keeps a folder that is already set."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-
-
 def write_through(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

@@ -51,41 +51,48 @@ def upsert_into(path: str, keys: list[str], arrival: str):
 
 
 STAGE_ROWS = "content_id long, stage string, status string, at timestamp"
-STAGE_STATE = "published double, done string"
+STAGE_STATE = "published long, done string"
+HOUR = 3_600_000_000
+
+
+def _micros(column: pd.Series) -> pd.Series:
+    return column.astype("datetime64[us]").astype("int64")
 
 
 def stage_tracker(stream: DataFrame, late: str = "6 hours", tolerance_hours: float = 3.0, grace_hours: float = 6.0) -> DataFrame:
     """``content_id``, ``stage``, ``status``, ``at`` from rows (``content_id``, ``published_at``, ``captured_at``).
 
-    State per content is its publication time and the stages that are settled. A snapshot within the tolerance measures a stage, one in the grace
-    measures it late; a timer closes stages whose grace is over without data.
+    State per content is its publication time in microseconds and the stages that are settled. A snapshot within the tolerance measures a stage, one
+    in the grace measures it late; of several in one micro-batch the earliest counts. A timer closes stages whose grace is over without data.
     """
+    offsets = {s: round(h * HOUR) for s, h in times.STAGE_HOURS.items()}
+    tolerance, grace = round(tolerance_hours * HOUR), round((tolerance_hours + grace_hours) * HOUR)
 
     def track(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         published, done = state.get if state.exists else (None, "")
         settled = set(filter(None, done.split(",")))
-        out = []
+        first: dict[str, int] = {}
         for pdf in frames:
-            for row in pdf.sort_values("captured_at").itertuples(index=False):
-                published = published if published is not None else row.published_at.timestamp()
-                for stage, hours in times.STAGE_HOURS.items():
-                    gap = (row.captured_at.timestamp() - published) / 3600 - hours
-                    if stage not in settled and -tolerance_hours <= gap <= tolerance_hours + grace_hours:
-                        settled.add(stage)
-                        out.append((key[0], stage, "measured" if gap <= tolerance_hours else "measured_late", row.captured_at))
-        ends = {s: published + 3600 * (h + tolerance_hours + grace_hours) for s, h in times.STAGE_HOURS.items()}
-        now = state.getCurrentWatermarkMs() / 1000
-        for stage in sorted(ends, key=ends.get):
-            if stage not in settled and ends[stage] <= now:
-                settled.add(stage)
-                out.append((key[0], stage, "closed_no_data", pd.Timestamp(ends[stage], unit="s")))
-        left = [e for s, e in ends.items() if s not in settled]
+            captured = _micros(pdf["captured_at"])
+            if published is None:
+                published = int(_micros(pdf["published_at"]).min())
+            for stage in offsets.keys() - settled:
+                gap = captured - published - offsets[stage]
+                near = captured[(gap >= -tolerance) & (gap <= grace)]
+                if len(near):
+                    first[stage] = min(int(near.min()), first.get(stage, int(near.min())))
+        out = [(s, "measured" if at - published - offsets[s] <= tolerance else "measured_late", at) for s, at in first.items()]
+        now = state.getCurrentWatermarkMs() * 1000
+        ends = {s: published + x + grace for s, x in offsets.items() if s not in settled and s not in first}
+        out += [(s, "closed_no_data", end) for s, end in ends.items() if end <= now]
+        left = [end for end in ends.values() if end > now]
         if left:
-            state.update((published, ",".join(sorted(settled))))
-            state.setTimeoutTimestamp(int(min(left) * 1000) + 1)
+            state.update((published, ",".join(sorted({*settled, *(s for s, _, _ in out)}))))
+            state.setTimeoutTimestamp(min(left) // 1000 + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["content_id", "stage", "status", "at"])
+        rows = [(key[0], s, status, pd.Timestamp(at, unit="us")) for s, status, at in sorted(out, key=lambda row: offsets[row[0]])]
+        yield pd.DataFrame(rows, columns=["content_id", "stage", "status", "at"])
 
     rows = event_time(event_time(stream, "captured_at"), "published_at").withWatermark("captured_at", late)
     return rows.groupBy("content_id").applyInPandasWithState(track, STAGE_ROWS, STAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -100,3 +100,13 @@ def test_upsert_of_micro_batches(spark, tmp_path):
     step(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v long"), 0)
     step(spark.createDataFrame([("a", 5), ("c", 2)], "k string, v long"), 1)
     assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/1").collect())) == [("a", 5), ("b", 1), ("c", 2)]
+
+
+def test_measurement_stages_at_microseconds(spark, tmp_path):
+    """Times that are no whole seconds; of two snapshots in one micro-batch the earlier one measures, whatever their order."""
+    at = T0 + dt.timedelta(microseconds=123_457)
+    frames = [[(1, at, h(7)), (1, at, h(5)), (1, at, h(1))], [(9, h(300), h(301))], [(9, h(300), h(302))]]
+    rows = run(spark, tmp_path, frames, windows.stage_tracker, "content_id long, published_at timestamp, captured_at timestamp")
+    got = {(r.content_id, r.stage): (r.status, r.at) for r in rows}
+    assert got[1, "1h"] == ("measured", h(1)) and got[1, "6h"] == ("measured", h(5))
+    assert got[1, "24h"] == ("closed_no_data", at + dt.timedelta(hours=33))
