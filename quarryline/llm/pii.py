@@ -106,7 +106,7 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[str, int, int]]]:
     out: list[Span] = [("email", a, b, 1.0, True) for a, b in _emails(text)]
     failed = []
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (g.lstrip("0") for g in m.groups())):
             out.append(("ip", m.start(), m.end(), 1.0, True))
     for m in _DIGITS.finditer(text):
         digits = _digits(m[0])

@@ -217,6 +217,14 @@ def test_longest_matches_and_places(spark):
     assert [(r.word, r.item_word, r.length) for r in rows] == [(2, 1, 14), (3, 2, 13)]
 
 
+@pytest.mark.parametrize("part", [0, 255, 256, 10**5])
+def test_ip_parts_of_any_length(part):
+    """Parts with thousands of leading zeros are judged by their value."""
+    text = "0" * 5000 + f"{part}.1.2.3 and 9.9.9.{'0' * 6000}{part}"
+    ends = [(0, 5000 + len(f"{part}.1.2.3")), (len(text) - 6006 - len(str(part)), len(text))]
+    assert [s[1:3] for s in pii.find_spans(text) if s[0] == "ip"] == (ends if part <= 255 else [])
+
+
 def test_simhash(spark):
     rnd = random.Random(9)
     base = [rnd.choice(["alpha", "Beta", "gamma", "delta", "eps"]) + str(rnd.randint(0, 99)) for _ in range(400)]
@@ -262,6 +270,34 @@ def test_covering_masks_meet_every_pair_within_the_radius():
         assert ((masks & diff) == 0).any()
 
 
+@pytest.mark.parametrize("free", [-1, 0xFFFFFFFF, 0b1011_0110_0111_0101_1100])
+def test_finer_masks_cover_the_open_bits(free):
+    """Under any mask the finer ones cover what it does not compare, and every one of them compares a bit at least."""
+    bits = [i for i in range(64) if free >> i & 1]
+    masks = simhash.covering_masks(4, free)
+    assert all(m and not m & ~free for m in masks)
+    rnd = random.Random(3)
+    for _ in range(500):
+        diff = sum(1 << b for b in rnd.sample(bits, 4))
+        assert any(not m & diff for m in masks)
+
+
+def test_large_buckets_are_dealt_to_finer_ones(spark):
+    """Links of a crowd of near fingerprints, in buckets of 32 at most, join what brute force joins."""
+    rnd = random.Random(12)
+    centre = rnd.getrandbits(63)
+    prints = {centre ^ sum(1 << b for b in rnd.sample(range(20), rnd.randint(0, 8))) for _ in range(700)} | {rnd.getrandbits(63) for _ in range(50)}
+    label = {p: p for p in prints}
+    for p in prints:
+        group = {label[q] for q in prints if (p ^ q).bit_count() <= 4}
+        label = {q: min(group) if x in group else x for q, x in label.items()}
+    from quarryline.operators.components import connected_components
+
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(3)
+    found = {r.node: r.component for r in connected_components(simhash.links(nodes, 4, 32)).collect()}
+    assert {p: found.get(p, p) for p in prints} == label
+
+
 def test_chain_of_links_is_one_component(spark):
     from quarryline.operators.components import connected_components
 
