@@ -1,15 +1,17 @@
 """SimHash near-duplicates with covering locality-sensitive hashing.
 
-Bit i of a fingerprint gets the code c(i) in {1, ..., 2^(r+1) - 1}, read as a vector of r + 1 bits. Table v, for each of
+The i-th of the bits to be covered gets a code c(i) in {1, ..., 2^(r+1) - 1}, read as a vector of r + 1 bits. Table v, for each of
 the 2^(r+1) - 1 non-zero vectors v, compares the bits whose code has an odd product with v. The codes of r differing bits span at most
 r dimensions, so some v is orthogonal to all of them and its table ignores every differing bit: each pair within the radius
 meets in a table, without exception.
 
-Equal fingerprints are one node. Inside a bucket nodes are linked breadth first, with one edge per node and component, so the edges
+Equal fingerprints are one node. A bucket of more than ``BUCKET`` nodes is not searched as it is: the bits that its table did not compare are covered
+by structured masks in turn, so its nodes are dealt to finer buckets in which each of their pairs within the radius meets again, and so on; every step
+fixes about half of the open bits. Inside a bucket nodes are linked breadth first, with one edge per node and component, so the edges
 never grow with the square of a bucket. Components come from star contraction over those edges.
 
-Null and blank texts have fingerprint zero and are linked like any other. A row without id is not named by others: its component is the
-smallest id that its fingerprint reaches, or null. Rows with the same id stay rows. An empty table has no rows.
+Null and blank texts have fingerprint zero and are linked like any other. A row without id links others but names none: its component is the
+smallest id that its fingerprint reaches, or null. Rows with the same id stay rows and may be in different components. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ WORDS = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
+#: Nodes of a bucket that one task searches; more are dealt to finer buckets.
+BUCKET = 1 << 13
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -52,22 +56,31 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint's bits as a signed long."""
+    """``doc_id``, ``fp``, the fingerprint's bits as a signed long, and ``md5`` of the text, which tells rows with the same id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64)), batch.column("md5")], names=["doc_id", "fp", "md5"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, fp long")
+    return text_rows(docs, _text_md5()).mapInArrow(run, "doc_id long, fp long, md5 string")
 
 
-def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """One mask per table, as signed longs; see the module's text."""
+def _text_md5():
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("md5")
+
+
+def covering_masks(radius: int = RADIUS, free: int = -1) -> list[int]:
+    """One mask per table over the bits set in ``free``, as signed longs; see the module's text.
+
+    Powers of two come first among the codes, so that from ``radius`` + 1 bits on every table compares a bit at least.
+    """
     tables = (1 << radius + 1) - 1
+    codes = sorted(range(1, tables + 1), key=lambda c: (c & (c - 1) != 0, c))
+    bits = [i for i in range(BITS) if free >> i & 1]
     masks = []
     for v in range(1, tables + 1):
-        mask = sum(1 << i for i in range(bits) if (v & (i % tables + 1)).bit_count() % 2)
+        mask = sum(1 << bit for i, bit in enumerate(bits) if (v & codes[i % tables]).bit_count() % 2)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
@@ -88,13 +101,54 @@ def link_bucket(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.array(roots, np.int64), np.concatenate(members) if members else np.empty(0, np.int64)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (``src``, ``dst``) between nodes (``rep``, ``fp`` distinct) that join all pairs within the radius."""
-    tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for k, m in enumerate(covering_masks(radius))))
-    buckets = nodes.select("rep", "fp", F.explode(tables).alias("b")).select(F.xxhash64("b.t", "b.m").alias("bucket"), "fp", "rep")
+def _dealt(rows: DataFrame, radius: int) -> DataFrame:
+    """Nodes (``mask``, ``fp``) under every finer mask that covers the bits which ``mask`` does not compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finer: dict[int, np.ndarray] = {}
+        for batch in batches:
+            masks, prints = (batch.column(c).to_numpy() for c in ("mask", "fp"))
+            for mask in np.unique(masks).tolist():
+                if mask not in finer:
+                    finer[mask] = np.array([mask | m for m in covering_masks(radius, ~mask)], np.int64)
+                own = prints[masks == mask]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(finer[mask], len(own))), pa.array(np.repeat(own, len(finer[mask])))], names=["mask", "fp"])
+
+    return rows.mapInArrow(run, "mask long, fp long")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (``src``, ``dst``) between distinct fingerprints (``fp``) that join all pairs within the radius.
+
+    Buckets are counted with partial sums before they meet. Large ones, which a group of thousands of near copies makes, are dealt to finer
+    buckets; the loop ends as distinct fingerprints have no more than ``bucket`` values in so few open bits.
+    """
+    if bucket < 1 << radius + 1:
+        raise ValueError("too small a bucket for the radius")
+    spark, found = nodes.sparkSession, None
+    rows = nodes.select(F.lit(0).cast("long").alias("mask"), "fp")
+    while True:
+        dealt = _keyed(_dealt(rows, radius))
+        large = dealt.groupBy("bucket").count().filter(F.col("count") > bucket).select("bucket")
+        large = write_through(large, shared_dir(spark))
+        some = not large.isEmpty()
+        small = dealt.join(large, "bucket", "left_anti") if some else dealt
+        edges = _linked(small, radius)
+        found = edges if found is None else found.union(edges)
+        if not some:
+            return found
+        rows = write_through(dealt.join(large, "bucket", "left_semi").select("mask", "fp"), shared_dir(spark))
+
+
+def _linked(buckets: DataFrame, radius: int) -> DataFrame:
+    """Edges inside buckets, each of a bounded size."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 2
 
         def joined(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(columns[0])) + 1
@@ -102,8 +156,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             src, dst = [], []
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
                 roots, members = link_bucket(columns[1][a:b].view(np.uint64), radius)
-                src.append(columns[2][a:b][roots])
-                dst.append(columns[2][a:b][members])
+                src.append(columns[1][a:b][roots])
+                dst.append(columns[1][a:b][members])
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
@@ -116,29 +170,37 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(held[0]):
             yield from joined(held)
 
-    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(edges, "src long, dst long")
+    return buckets.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(edges, "src long, dst long")
+
+
+def _groups(spark: SparkSession, docs: DataFrame, words: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fingerprints``, and per distinct ``fp`` its smallest id ``rep`` and ``group``, the smallest fingerprint that it reaches."""
+    rows = write_through(fingerprints(docs, words, seed), shared_dir(spark))
+    nodes = write_through(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), shared_dir(spark))
+    labels = connected_components(links(nodes, radius))
+    return rows, nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``: the smallest id among all documents reachable over links."""
-    rows = write_through(fingerprints(docs, words, seed), shared_dir(spark))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    labels = connected_components(links(nodes.filter("rep is not null"), radius))
-    by_fp = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    rows, nodes = _groups(spark, docs, words, radius, seed)
+    smallest = nodes.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return rows.join(nodes.join(smallest, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id. Rows that share this id are one document and one row.
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, of equal ids that of the smallest MD5 of the text, then of the other columns as JSON.
 
-    Rows without id cannot be told apart by it and stay.
+    Rows with the same id whose texts are in different groups all stay. Rows without id cannot be named and stay. No column names are reserved.
     """
-    rows = near_duplicates(spark, docs, **options).filter("doc_id is not null and doc_id = component_id")
-    chosen = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
-    kept = write_through(docs.join(chosen, F.col("doc_id").cast("long") == F.col("__id")), shared_dir(spark))
-    alone = kept.filter("__rows = 1").select(*docs.columns)
-    repeated = kept.filter("__rows > 1").dropDuplicates(["__id"]).select(*docs.columns)
-    return alone.union(repeated).union(docs.filter(F.col("doc_id").cast("long").isNull()))
+    rows, nodes = _groups(spark, docs, words, radius, seed)
+    copies = rows.filter("doc_id is not null").groupBy("doc_id", "md5", "fp").agg(F.count("*").alias("n"))
+    best = copies.join(nodes, "fp").groupBy("group").agg(F.min(F.struct("doc_id", "md5", "n")).alias("best"))
+    chosen = best.select(F.col("best.doc_id").alias("id"), F.col("best.md5").alias("md5"), F.col("best.n").alias("n"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), _text_md5(), F.struct(*docs.columns).alias("row"))
+    kept = write_through(own.join(chosen, ["id", "md5"]), shared_dir(spark))
+    repeated = kept.filter("n > 1").groupBy("id", "md5").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.filter("n = 1").select("row.*").union(repeated.select("row.*")).union(docs.filter(F.col("doc_id").cast("long").isNull()))
 
 
 def hex_fingerprint(column: str = "fp"):

@@ -50,6 +50,14 @@ def test_keep_one_of_each_group(spark):
     assert simhash.keep_one(spark, frame(spark, [])).count() == 0
 
 
+def test_keep_one_keeps_different_texts_of_one_id(spark):
+    """Rows with one id in different groups all stay; of rows alike in id and text the choice does not depend on partitions."""
+    rows = [(5, "a b c d e f", "x"), (5, "totally other words here now yes", "y"), (5, "a b c d e f", "b"), (7, "a b c d e f", "a"), (8, "totally other words here now yes", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    for parts in (1, 4):
+        assert sorted(map(tuple, simhash.keep_one(spark, docs.repartition(parts)).collect())) == [rows[2], rows[1]]
+
+
 def test_decontaminated_rows_keep_their_columns(spark):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(15)))], "item_id long, text string")
     docs = frame(spark, [(1, "x " + " ".join(f"W{i}" for i in range(15))), (2, "clean text"), (None, None)])
