@@ -1,14 +1,19 @@
 """Removal of repeated substrings by prefix-free parsing.
 
-A rolling hash of ``TRIGGER`` bytes runs over every text; in each window of ``length`` bytes its smallest value, the leftmost of equal ones, is the
-trigger. Triggers cut the texts into phrases in a way that depends on content alone, so equal windows have their trigger at the same
-place. All windows with the same trigger and nearly the same place of it make a family: a phrase's suffix and the parse after
-it. The bytes that all windows of a family share are its core, the bytes that they cover together its span.
+Which suffixes agree in their first ``length`` bytes is read off the corpus order, which the suffix arrays of a dictionary and a parse give (``parsing``).
+To sort in many tasks, windows are dealt by content first. In each window of ``length`` bytes the smallest of the rolling hashes of
+``TRIGGER`` bytes, the leftmost of equal ones, is the window's trigger, so equal windows have it at the same place. Windows with the same trigger and
+nearly the same place of it make a family: the bytes that they share are its core, the bytes that they cover together its span. Equal
+windows are in families of equal cores.
 
-Families are put in order by core, then span, over the whole corpus: the dictionary of distinct spans with their frequencies. A span that
-occurs twice repeats all of its windows; a core that occurs once repeats none. Where spans differ below one core, which happens at the edges
-of repeated passages only, suffixes are told apart one by one: each distinct span gives the hashes of its windows, and those found at
-two places are repeats. Both rounds count hashes per slice of the corpus before they are sent, so copies cost one entry per slice.
+First round: slices of the corpus send 48-bit hashes of cores and 128-bit hashes of spans. A core that occurs once repeats none of its windows. The others
+make up the dictionary of the corpus: each distinct span is sent, as bytes and with its frequency, by the first slice that has it.
+Second round: every part of the core hashes is parsed prefix-free, some MB of whole core groups at a time; the suffix arrays of its phrases and of their
+sequence put its windows in order, neighbours with ``length`` bytes or more in common are equal, and a window whose frequencies add up to two is a repeat.
+A span that occurs twice repeats all of its windows, so the slices that did not send it need no answer.
+
+A core with more than ``CROWD`` distinct spans, as a common passage of nearly ``length`` bytes in ever other surroundings has, is not sorted in one place:
+its windows are dealt by 128-bit hashes of their own, one entry per slice and window.
 
 Null and empty texts have no bytes. Matches never cross documents. Rows without id or with the same id are rows of their own; all copies lose what
 they share. An empty table has no rows.
@@ -21,10 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm.batches import flat_bytes
 from quarryline.llm.exchange import KEY_BITS, SCHEMA, Row, answer, ask, batch_of, bounds, deltas, gather, make_slices, pack, part_count, unpack
+from quarryline.llm.parsing import repeated_windows
 from quarryline.session import shared_dir, write_through
 
 LENGTH = 200
@@ -33,9 +40,14 @@ TRIGGER = 24
 PLACES = 50
 SLICE_BYTES = 2 << 20
 SLICES_PER_PART = 16
-SPANS, FOUND, WINDOWS, REPEATED = range(4)
-#: What is known of a span: it repeats nothing, all of its windows are repeats, each window must be looked at, and all are repeats that others must be held against.
-NONE, ALL, SOME, ALL_SHOWN = range(4)
+#: Distinct spans of a core that are sorted together.
+CROWD = 1000
+#: Bytes that are parsed at a time.
+PARSED_BYTES = 4 << 20
+SPANS, FOUND, TEXTS, WINDOWS, ORDERED, REPEATED = range(6)
+#: What is known of a slice's span: no window repeats; all do and another slice has sent it; it is sent to be sorted, as the corpus's only
+#: occurrence or for all of them; it is in a crowd, as one or for all.
+NONE, ALL, ONE, MANY, CROWD_ONE, CROWD_MANY = range(6)
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -84,24 +96,44 @@ def triggers(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
+def digests(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128-bit hashes of ranges of bytes, two columns."""
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before, in any key."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 @dataclass
 class Families:
-    """The window families of a slice: first and last window start, and the distinct (core, span) of each, ascending by core."""
+    """The window families of a slice: first and last window start, and the distinct spans, ascending by core."""
 
     data: np.ndarray
     ends: np.ndarray
-    hashes: RollingHash
     first: np.ndarray
     last: np.ndarray
+    #: Of each family its distinct span; of each distinct span its core, hash, frequency and one family that has it.
+    which: np.ndarray
     core: np.ndarray
     span: np.ndarray
-    which: np.ndarray
     count: np.ndarray
+    sample: np.ndarray
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, length: int) -> Families:
         data, ends = flat_bytes(batch.column("text"))
-        hashes = RollingHash(data)
         trigger = min(TRIGGER, length)
         change = np.zeros(len(data) + 1, np.int8)
         long = np.flatnonzero(np.diff(ends) >= length)
@@ -110,38 +142,40 @@ class Families:
         starts = np.flatnonzero(np.cumsum(change[:-1], dtype=np.int8))
         empty = np.empty(0, np.int64)
         if not len(starts):
-            return cls(data, ends, hashes, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty)
+            return cls(data, ends, empty, empty, empty, empty.astype(np.uint64), np.empty((0, 2), np.uint64), empty, empty)
+        hashes = RollingHash(data)
         at = triggers(hashes.rolling(trigger), length - trigger + 1)[starts]
         block = (at - starts) // PLACES
-        new = np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(at) != 0) | (np.diff(block) != 0)])
-        heads = np.flatnonzero(new)
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(at) != 0) | (np.diff(block) != 0)]))
         first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
         at, block = at[heads], block[heads]
         begin = at - block * PLACES
         stop = np.maximum(begin - PLACES + 1 + length, at + trigger)
         core = _mix(hashes.of(begin, stop) + block.astype(np.uint64)) >> np.uint64(64 - KEY_BITS)
-        span = hashes.of(first, last + length)
-        order = np.lexsort((span, core))
-        same = np.concatenate([[True], (np.diff(core[order]) != 0) | (np.diff(span[order]) != 0)])
+        span = digests(data, first, last + length)
+        order = np.lexsort((span[:, 1], span[:, 0], core))
+        new = _runs(core[order], span[order, 0], span[order, 1])
         which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(same) - 1
-        kept = order[same]
-        return cls(data, ends, hashes, first, last, core[kept], span[kept], which, np.bincount(which))
-
-    def windows(self, status: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the windows that must be looked at, their distinct hashes ascending, and the hash of each start.
-
-        Spans that stand for copies are shown once; the starts of these come last.
-        """
-        some = np.flatnonzero(status[self.which] == SOME)
-        shown = np.flatnonzero(status == ALL_SHOWN)
-        where = np.full(len(status), -1)
-        where[self.which[::-1]] = np.arange(len(self.which))[::-1]
-        chosen = np.concatenate([some, where[shown]])
-        sizes = self.last[chosen] - self.first[chosen] + 1
-        starts = np.repeat(self.first[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        hashes, index = np.unique(self.hashes.of(starts, starts + length), return_inverse=True)
-        return starts[: sizes[: len(some)].sum()], hashes, index
+        which[order] = np.cumsum(new) - 1
+        sample = order[new]
+        return cls(data, ends, first, last, which, core[sample], span[sample], np.bincount(which), sample)
+
+    def texts(self, status: np.ndarray) -> np.ndarray:
+        """The distinct spans that this slice sends."""
+        return np.flatnonzero((status == ONE) | (status == MANY))
+
+    def crowded(self, status: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Window starts of crowded spans, the distinct hashes ascending, which of these each start has, and the frequency that each start stands for."""
+        spans = np.flatnonzero((status == CROWD_ONE) | (status == CROWD_MANY))
+        families = self.sample[spans]
+        sizes = self.last[families] - self.first[families] + 1
+        starts = _ranges(self.first[families], sizes)
+        hashes = digests(self.data, starts, starts + length)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+        new = _runs(hashes[order, 0], hashes[order, 1])
+        index = np.empty(len(order), np.int64)
+        index[order] = np.cumsum(new) - 1
+        return starts, hashes[order][new], index, np.repeat(np.where(status[spans] == CROWD_MANY, 2, 1), sizes)
 
 
 def _ask_spans(parts: int, length: int):
@@ -150,32 +184,36 @@ def _ask_spans(parts: int, length: int):
         edge = bounds(own.core, parts)
         for part in np.flatnonzero(np.diff(edge)).tolist():
             s = slice(edge[part], edge[part + 1])
-            yield part, number, SPANS, pack(deltas(own.core[s]), own.span[s], own.count[s].astype(np.uint32))
+            yield part, number, SPANS, pack(deltas(own.core[s]), own.span[s, 0], own.span[s, 1], own.count[s].astype(np.uint32))
 
     return questions
 
 
-def _answer_spans(part: int, rows: list[Row]) -> Iterator[Row]:
-    """The order of one part's families by core and span, and what follows for the spans of each slice."""
-    columns = [unpack(row[3]) for row in rows]
-    core = np.concatenate([np.cumsum(c[0]) for c in columns])
-    span, count = (np.concatenate([c[i] for c in columns]) for i in (1, 2))
-    order = np.lexsort((span, core))
-    new_core = np.concatenate([[True], np.diff(core[order]) != 0])
-    new_span = new_core | np.concatenate([[True], np.diff(span[order]) != 0])
-    heads, tops = np.flatnonzero(new_span), np.flatnonzero(new_core)
-    of_span = np.add.reduceat(count[order].astype(np.int64), heads)
-    in_core = np.cumsum(new_core)[heads] - 1
-    single = np.bincount(in_core, of_span == 1, len(tops)) > 0
-    of_core = np.bincount(in_core, of_span, len(tops))
-    verdict = np.where(of_core[in_core] == 1, NONE, np.where(of_span == 1, SOME, ALL)).astype(np.uint8)
-    status = np.empty(len(order), np.uint8)
-    status[order] = np.repeat(verdict, np.diff(np.append(heads, len(order))))
-    shown = heads[(verdict == ALL) & single[in_core]]
-    status[order[shown]] = ALL_SHOWN
-    edge = np.concatenate([[0], np.cumsum([len(c[0]) for c in columns])])
-    for i, row in enumerate(rows):
-        yield part, row[1], FOUND, pack(status[edge[i] : edge[i + 1]])
+def _answer_spans(crowd: int):
+    def judge(part: int, rows: list[Row]) -> Iterator[Row]:
+        """What follows from the frequencies of one part's cores and spans, for the spans of each slice."""
+        columns = [unpack(row[3]) for row in rows]
+        core = np.concatenate([np.cumsum(c[0]) for c in columns])
+        high, low, count = (np.concatenate([c[i] for c in columns]) for i in (1, 2, 3))
+        order = np.lexsort((low, high, core))  # stable: the first slice that has a span comes first
+        core, high, low, count = core[order], high[order], low[order], count[order].astype(np.int64)
+        heads = np.flatnonzero(_runs(core, high, low))
+        of_span = np.add.reduceat(count, heads)
+        in_core = np.cumsum(_runs(core)[heads]) - 1
+        of_core, distinct = np.bincount(in_core, of_span)[in_core], np.bincount(in_core)[in_core]
+        crowded = distinct > crowd
+        sent = np.where(of_span > 1, np.where(crowded, CROWD_MANY, MANY), np.where(crowded, CROWD_ONE, ONE))
+        sizes = np.diff(np.append(heads, len(order)))
+        status = np.full(len(order), ALL, np.uint8)
+        status[heads] = sent
+        status[np.repeat(of_core == 1, sizes)] = NONE
+        out = np.empty(len(order), np.uint8)
+        out[order] = status
+        edge = np.concatenate([[0], np.cumsum([len(c[0]) for c in columns])])
+        for i, row in enumerate(rows):
+            yield part, row[1], FOUND, pack(out[edge[i] : edge[i + 1]])
+
+    return judge
 
 
 def _joined(answers: list[Row], kind: int) -> np.ndarray:
@@ -187,39 +225,88 @@ def _ask_windows(parts: int, length: int):
     def questions(number: int, batch: pa.RecordBatch, answers: list[Row]) -> Iterator[pa.RecordBatch]:
         own = Families.of(batch, length)
         status = _joined(answers, FOUND)
-        starts, hashes, index = own.windows(status, length)
-        weight = np.full(len(index), 2)
-        weight[: len(starts)] = 1
-        counts = np.bincount(index, weight, len(hashes))
-        twice = (counts > 1).astype(np.uint8)
-        keys = hashes >> np.uint64(64 - KEY_BITS)
-        edge = bounds(keys, parts)
-        rows = []
+        rows: list[Row] = []
+        spans = own.texts(status)
+        families = own.sample[spans]
+        sizes = own.last[families] - own.first[families] + length
+        stops = np.cumsum(sizes)
+        flat = own.data[_ranges(own.first[families], sizes)]
+        core, weight = own.core[spans], np.where(status[spans] == MANY, 2, 1).astype(np.uint8)
+        edge = bounds(core, parts)
+        for part in np.flatnonzero(np.diff(edge)).tolist():
+            s = slice(edge[part], edge[part + 1])
+            own_bytes = flat[stops[s.start] - sizes[s.start] : stops[s.stop - 1]]
+            rows.append((part, number, TEXTS, pack(deltas(core[s]), weight[s], sizes[s].astype(np.uint32), own_bytes)))
+        _, hashes, index, weights = own.crowded(status, length)
+        twice = (np.bincount(index, weights, len(hashes)) > 1).astype(np.uint8)
+        edge = bounds(hashes[:, 0] >> np.uint64(64 - KEY_BITS), parts)
         for part in np.flatnonzero(np.diff(edge)).tolist():
             s = slice(edge[part], edge[part + 1])
-            rows.append((part, number, WINDOWS, pack(deltas(hashes[s]), twice[s])))
+            rows.append((part, number, WINDOWS, pack(deltas(hashes[s, 0]), hashes[s, 1], twice[s])))
         if rows:
             yield batch_of(rows)
 
     return questions
 
 
-def _answer_windows(part: int, rows: list[Row]) -> Iterator[Row]:
-    columns = [unpack(row[3]) for row in rows]
-    hashes, which = np.unique(np.concatenate([np.cumsum(c[0]) for c in columns]), return_inverse=True)
-    repeated = np.bincount(which, 1 + np.concatenate([c[1] for c in columns]), len(hashes)) > 1
+def _answer_windows(length: int):
+    def judge(part: int, rows: list[Row]) -> Iterator[Row]:
+        for kind, reply, judged in ((TEXTS, ORDERED, _sorted), (WINDOWS, REPEATED, _counted)):
+            asked = [row for row in rows if row[2] == kind]
+            if asked:
+                for row, flags in zip(asked, judged([unpack(row[3]) for row in asked], length), strict=True):
+                    yield part, row[1], reply, pack(flags.astype(np.uint8))
+
+    return judge
+
+
+def _sorted(columns: list[list[np.ndarray]], length: int) -> list[np.ndarray]:
+    """Per slice and window of the spans that it sent, whether it repeats: by the order of all windows of the part."""
+    core = np.concatenate([np.cumsum(c[0]) for c in columns])
+    weight, sizes, data = (np.concatenate([c[i] for c in columns]) for i in (1, 2, 3))
+    sizes = sizes.astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    windows = sizes - length + 1
+    at = np.cumsum(windows) - windows
+    out = np.empty(windows.sum(), bool)
+    order = np.argsort(core, kind="stable")
+    filled = np.cumsum(sizes[order])
+    tops = np.append(np.flatnonzero(_runs(core[order])), len(order))
+    done = 0
+    while done < len(order):
+        limit = (filled[done - 1] if done else 0) + PARSED_BYTES
+        fits = tops[np.searchsorted(tops, np.searchsorted(filled, limit, "right"), "right") - 1]
+        stop = int(max(fits, tops[np.searchsorted(tops, done, "right")]))  # a whole core group at least
+        own = order[done:stop]
+        ends = np.concatenate([[0], np.cumsum(sizes[own])])
+        out[_ranges(at[own], windows[own])] = repeated_windows(data[_ranges(begins[own], sizes[own])], ends, weight[own], length)
+        done = stop
+    edge = np.concatenate([[0], np.cumsum([len(c[0]) for c in columns])])
+    bound = np.append(at, len(out))[edge]
+    return [out[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
+
+def _counted(columns: list[list[np.ndarray]], length: int) -> list[np.ndarray]:
+    """Per slice and window hash that it sent, whether it occurs twice."""
+    high = np.concatenate([np.cumsum(c[0]) for c in columns])
+    low, twice = (np.concatenate([c[i] for c in columns]) for i in (1, 2))
+    order = np.lexsort((low, high))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(_runs(high[order], low[order])) - 1
+    repeated = (np.bincount(which, 1 + twice) > 1)[which]
     edge = np.concatenate([[0], np.cumsum([len(c[0]) for c in columns])])
-    for i, row in enumerate(rows):
-        yield part, row[1], REPEATED, pack(repeated[which[edge[i] : edge[i + 1]]].astype(np.uint8))
+    return [repeated[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _remove(length: int):
     def finish(number: int, batch: pa.RecordBatch, answers: list[Row]) -> Iterator[pa.RecordBatch]:
         own = Families.of(batch, length)
         status = _joined(answers, FOUND)
-        starts, _, index = own.windows(status, length)
-        repeated = starts[_joined(answers, REPEATED)[index[: len(starts)]] == 1]
-        whole = np.isin(status[own.which], (ALL, ALL_SHOWN)) if len(own.which) else np.empty(0, bool)
+        whole = np.isin(status[own.which], (ALL, MANY, CROWD_MANY)) if len(own.which) else np.empty(0, bool)
+        families = own.sample[own.texts(status)]
+        starts = _ranges(own.first[families], own.last[families] - own.first[families] + 1)
+        crowded, _, index, _ = own.crowded(status, length)
+        repeated = np.concatenate([starts[_joined(answers, ORDERED) == 1], crowded[_joined(answers, REPEATED)[index] == 1]])
         n = len(own.data)
         change = np.zeros(n + 1, np.int64)
         np.add.at(change, np.concatenate([own.first[whole], repeated]), 1)
@@ -233,20 +320,19 @@ def _remove(length: int):
         removed = total(gone)
         kept = own.data[~gone].tobytes()
         at = np.concatenate([[0], np.cumsum(np.diff(own.ends) - removed)]).tolist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(own.ends)), pa.array(removed), pa.array(total(begins)), pa.array([kept[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+        texts = [kept[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        columns = [batch.column("doc_id"), pa.array(np.diff(own.ends)), pa.array(removed), pa.array(total(begins)), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return finish
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, slice_bytes: int = SLICE_BYTES, crowd: int = CROWD) -> DataFrame:
     """Per row ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that are in no repeated string of ``length`` bytes."""
     root = shared_dir(spark)
     slices = make_slices(docs, f"{root}/slices", slice_bytes)
     parts = part_count(spark, slices, SLICES_PER_PART)
-    found = write_through(answer(ask(slices, _ask_spans(parts, length)), parts, _answer_spans), f"{root}/spans")
+    found = write_through(answer(ask(slices, _ask_spans(parts, length)), parts, _answer_spans(crowd)), f"{root}/spans")
     windows = gather(slices, found, _ask_windows(parts, length), SCHEMA)
-    repeated = answer(windows, parts, _answer_windows)
-    return gather(slices, found.union(repeated), _remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ordered = answer(windows, parts, _answer_windows(length))
+    return gather(slices, found.union(ordered), _remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

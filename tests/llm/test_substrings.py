@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quarryline.llm import substrings
+from quarryline.llm import parsing, substrings
 from quarryline.llm.queries import op2_repeated_substrings
 
 from .test_text_operators import frame, sha
@@ -53,9 +53,9 @@ def rows():
     return [*rows, (400, None), (401, ""), (None, passages[3]), (304, "twice"), (7, rows[7][1]), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize(("length", "size"), [(200, 1 << 20), (200, 9000), (60, 20_000)])
-def test_removed_bytes(spark, rows, length, size):
-    got = substrings.remove_repeats(spark, frame(spark, rows).repartition(5), length, size).collect()
+@pytest.mark.parametrize(("length", "size", "crowd"), [(200, 1 << 20, 1000), (200, 9000, 1000), (60, 20_000, 3), (200, 9000, 2)])
+def test_removed_bytes(spark, rows, length, size, crowd):
+    got = substrings.remove_repeats(spark, frame(spark, rows).repartition(5), length, size, crowd).collect()
     want = plain(rows, length)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
     assert 0 < sum(r[2] for r in want) < sum(r[1] for r in want)
@@ -76,3 +76,47 @@ def test_triggers_are_the_leftmost_smallest():
     values = rnd.integers(0, 12, 400).astype(np.uint64) << np.uint64(40)
     got = substrings.triggers(values, 37)
     assert got.tolist() == [i + int(values[i : i + 37].argmin()) for i in range(len(values) - 36)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_corpus_order_is_that_of_a_plain_sort(seed):
+    """The order from dictionary and parse, and the bytes that neighbours share, on repetitive texts."""
+    rnd = random.Random(seed)
+    alphabet = rnd.choice(["ab", "abc\0", "abcdefgh ", "\u00ff\0a"])
+    base = text(rnd, rnd.randint(1, 400), alphabet)
+    texts = []
+    for _ in range(rnd.randint(0, 9)):
+        a, b = sorted(rnd.choices(range(len(base) + 1), k=2))
+        texts.append((base[a:b] + text(rnd, rnd.randint(0, 20), alphabet)).encode())
+    texts += [b"", b"a" * rnd.randint(0, 300), *texts[:1]]
+    want = sorted((t[o:], i, o) for i, t in enumerate(texts) for o in range(len(t)))
+    got = parsing.corpus_order(texts)
+    assert [x[:2] for x in got] == [x[1:] for x in want]
+    for (one, _, _), (two, _, _), (_, _, common) in zip(want, want[1:], got[1:]):
+        assert common == next((k for k, (x, y) in enumerate(zip(one, two)) if x != y), min(len(one), len(two)))
+
+
+def test_repetitive_text_has_a_small_dictionary():
+    """A passage in a thousand texts is one entry per phrase; windows are the same as those of brute force."""
+    rnd = random.Random(8)
+    passage = text(rnd, 2000)
+    texts = [(text(rnd, 30) + passage).encode() for _ in range(1000)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    parsed = parsing.Parsing.of(np.frombuffer(b"".join(texts), np.uint8), ends)
+    assert len(parsed.keys) < 100_000 < ends[-1]
+
+
+def test_chunks_of_core_groups(spark, rows, monkeypatch):
+    """Parts that are parsed piece by piece give the same windows."""
+    monkeypatch.setattr(substrings, "PARSED_BYTES", 1)
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(97, 99, n).astype(np.uint8) for n in rnd.integers(20, 30, 60)]
+    core = np.sort(rnd.integers(0, 9, 60).astype(np.uint64))
+    columns = [[substrings.deltas(core[a:b]), np.ones(b - a, np.uint8), np.array([len(t) for t in texts[a:b]], np.uint32), np.concatenate(texts[a:b])] for a, b in ((0, 25), (25, 60))]
+    got = np.concatenate(substrings._sorted(columns, 8))
+    want = []
+    for t, c in zip(texts, core):
+        for i in range(len(t) - 7):
+            same = sum(bytes(t[i : i + 8]) == bytes(u[j : j + 8]) for u, d in zip(texts, core) if c == d for j in range(len(u) - 7))
+            want.append(same > 1)
+    assert got.tolist() == want
