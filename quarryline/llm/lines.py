@@ -1,14 +1,13 @@
 """Line deduplication: two Bloom filters find suspects, only these are shuffled for exact counts.
 
-The first pass sets the bits of every long line in a filter of lines seen once and, where they were set before, in a filter
-of lines seen twice. Filters of tasks are merged by segments: seen twice overall is seen twice in either, or once in both.
-The merged second filter has ``filter_bits`` bits whatever the input, so it can be sent to every task. The second pass emits
-(line hash, document) for lines that it may contain; their documents are counted exactly by a 128-bit hash. A filter that is
-too small for a corpus only passes more suspects on; results stay the same.
+Hashes of long lines, once per slice of whole documents, go to ranges of the hash space. Each range has a filter of lines seen once and, where
+they were seen before, a filter of lines seen twice, ``BITS_PER_LINE`` bits for every hash that it was sent; ranges grow in number with the corpus. So
+the share of false suspects is the same at every size, and no filter is sent to all tasks: a range looks up the hashes that it was sent in its second filter and
+answers each slice with one bit per hash. Slices then emit (document, 128-bit line hash) for suspects; their documents are counted exactly.
 
 A null text is one empty line; a row without id counts as one document below all others; rows with the same id are one document.
 Lines that tie in every way are the same line. An empty table stays empty. Columns ``n_lines`` and ``n_dropped`` of the
-input are replaced, others are kept.
+input are replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,19 +17,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.batches import slices, text_rows
+from quarryline.llm.batches import slices
+from quarryline.llm.exchange import KEY_BITS, Row, answer, ask, bounds, deltas, gather, make_slices, pack, part_count, unpack
 from quarryline.session import shared_dir, write_through
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-FILTER_BITS = 1 << 27
+BITS_PER_LINE = 16.0
 PROBES = 3
-SEGMENT_BYTES = 1 << 17
+SLICE_BYTES = 4 << 20
+SLICES_PER_PART = 16
 BLANKS = b" \t\n\x0b\x0c\r"
+ASKED, SUSPECT = range(2)
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -45,82 +47,81 @@ def _long_keys(text: bytes, min_chars: int) -> set[bytes]:
     return {k for k in (line_key(x, min_chars) for x in text.split(b"\n")) if k is not None}
 
 
-def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers of each hash, one column per probe."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(PROBES)], axis=1).astype(np.int64)
+class Bloom:
+    """A filter of 64-bit hashes with ``PROBES`` bits each."""
 
+    def __init__(self, bits: int) -> None:
+        self.bits = max(64, bits)
+        self.data = np.zeros(self.bits // 8 + 1, np.uint8)
 
-def _has(filter_: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    return (filter_[probes >> 3] >> (probes & 7).astype(np.uint8) & 1).all(axis=1)
+    def probes(self, hashes: np.ndarray) -> np.ndarray:
+        """Bit numbers of each hash, one column per probe; ranges share their upper bits, so these are mixed first."""
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        low, high = mixed & np.uint64(0xFFFFFFFF), mixed >> np.uint64(32) | np.uint64(1)
+        return np.stack([(low + np.uint64(i) * high) % np.uint64(self.bits) for i in range(PROBES)], axis=1).astype(np.int64)
 
+    def has(self, probes: np.ndarray) -> np.ndarray:
+        return (self.data[probes >> 3] >> (probes & 7).astype(np.uint8) & 1).all(axis=1)
 
-def _set(filter_: np.ndarray, probes: np.ndarray) -> None:
-    flat = probes.ravel()
-    np.bitwise_or.at(filter_, flat >> 3, np.left_shift(np.uint8(1), (flat & 7).astype(np.uint8)))
+    def add(self, probes: np.ndarray) -> None:
+        flat = probes.ravel()
+        np.bitwise_or.at(self.data, flat >> 3, np.left_shift(np.uint8(1), (flat & 7).astype(np.uint8)))
 
 
-def twice_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int = FILTER_BITS) -> bytes:
-    """The filter of long lines in two documents or more, of ``bits`` / 8 bytes."""
-    size = bits // 8
-    cut = min(SEGMENT_BYTES, size)
+def seen_twice(shares: list[tuple[np.ndarray, np.ndarray]], bits_per_line: float = BITS_PER_LINE) -> list[np.ndarray]:
+    """For each share (distinct hashes, whether two documents of it have them) which hashes the filter of lines seen twice contains."""
+    bits = int(bits_per_line * sum(len(hashes) for hashes, _ in shares))
+    once, twice = Bloom(bits), Bloom(bits)
+    for hashes, many in shares:
+        probes = once.probes(hashes)
+        twice.add(probes[many | once.has(probes)])
+        once.add(probes)
+    return [twice.has(twice.probes(hashes)) for hashes, _ in shares]
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        for batch in slices(batches):
-            hashes = [xxhash.xxh3_64_intdigest(k) for t in batch.column("text").to_pylist() for k in _long_keys(t, min_chars)]
-            values, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
-            probes = _probes(values, bits)
-            _set(twice, probes[(counts > 1) | _has(once, probes)])
-            _set(once, probes)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for k in range(size // cut):
-            a, b = once[k * cut : (k + 1) * cut], twice[k * cut : (k + 1) * cut]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(a.tobytes())]), pa.array([pack(b.tobytes())])], names=["segment", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # at most the segments of one filter
-        unpack = lambda x: np.frombuffer(zstandard.decompress(x, max_output_size=cut), np.uint8)
-        for batch in batches:
-            for row in batch.to_pylist():
-                once, twice = unpack(row["once"]), unpack(row["twice"])
-                if row["segment"] in seen:
-                    a, b = seen[row["segment"]]
-                    once, twice = a | once, b | twice | a & once
-                seen[row["segment"]] = once, twice
-        for k, (_, twice) in seen.items():
-            if twice.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(twice.tobytes(), 1)])], names=["segment", "twice"])
-
-    parts = text_rows(docs).select("text").mapInArrow(fill, "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").mapInArrow(merge, "segment int, twice binary")
-    out = bytearray(size)
-    for row in merged.toLocalIterator():  # bits / 8 bytes in all
-        out[row.segment * cut : (row.segment + 1) * cut] = zstandard.decompress(row.twice, max_output_size=cut)
-    return bytes(out)
-
-
-def suspects(docs: DataFrame, filter_: bytes, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(document, 128-bit line hash) of the lines that ``filter_`` may contain."""
-    shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(filter_, 1))
-    size = len(filter_)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(zstandard.decompress(shared.value, max_output_size=size), np.uint8)
-        for batch in slices(batches):
-            keys, rows = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                own = _long_keys(text, min_chars)
-                keys += own
-                rows += [i] * len(own)
-            hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            found = np.flatnonzero(_has(twice, _probes(hashes, size * 8)))
-            pairs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(keys[i]) for i in found.tolist()), "<i8").reshape(-1, 2)
-            ids = batch.column("doc_id").take(pa.array(np.array(rows, np.int64)[found]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["doc_id", "k1", "k2"])
+class Lines:
+    """The long lines of a slice: per document and distinct line the row and key; the distinct hashes ascending and which each line has."""
+
+    def __init__(self, batch: pa.RecordBatch, min_chars: int) -> None:
+        self.keys: list[bytes] = []
+        rows: list[int] = []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            own = _long_keys(text, min_chars)
+            self.keys += own
+            rows += [i] * len(own)
+        self.rows = np.array(rows, np.int64)
+        self.hashes, self.which = np.unique(np.array([xxhash.xxh3_64_intdigest(k) for k in self.keys], np.uint64), return_inverse=True)
+
+
+def suspects(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, bits_per_line: float = BITS_PER_LINE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(document, 128-bit line hash) of the lines that may be in two documents or more."""
+    root = shared_dir(spark)
+    whole = make_slices(docs, f"{root}/slices", slice_bytes)
+    parts = part_count(spark, whole, SLICES_PER_PART)
+
+    def questions(number: int, batch: pa.RecordBatch) -> Iterator[Row]:
+        own = Lines(batch, min_chars)
+        many = np.bincount(own.which, minlength=len(own.hashes)) > 1
+        edge = bounds(own.hashes >> np.uint64(64 - KEY_BITS), parts)
+        for part in np.flatnonzero(np.diff(edge)).tolist():
+            s = slice(edge[part], edge[part + 1])
+            yield part, number, ASKED, pack(deltas(own.hashes[s]), many[s].astype(np.uint8))
+
+    def judge(part: int, rows: list[Row]) -> Iterator[Row]:
+        shares = [(np.cumsum(h), m.astype(bool)) for h, m in (unpack(row[3]) for row in rows)]
+        for row, found in zip(rows, seen_twice(shares, bits_per_line), strict=True):
+            yield part, row[1], SUSPECT, pack(found.astype(np.uint8))
+
+    def emit(number: int, batch: pa.RecordBatch, answers: list[Row]) -> Iterator[pa.RecordBatch]:
+        own = Lines(batch, min_chars)
+        flags = np.concatenate([np.empty(0, np.uint8), *(unpack(row[3])[0] for row in answers)])
+        found = np.flatnonzero(flags[own.which])
+        pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(own.keys[i]) for i in found.tolist()]), "<i8").reshape(-1, 2)
+        ids = batch.column("doc_id").take(pa.array(own.rows[found]))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["doc_id", "k1", "k2"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, k1 long, k2 long").withColumn("doc_id", _order_id("doc_id"))
+    marked = gather(whole, answer(ask(whole, questions), parts, judge), emit, "doc_id long, k1 long, k2 long")
+    return marked.withColumn("doc_id", _order_id("doc_id"))
 
 
 def _order_id(name: str):
@@ -128,26 +129,23 @@ def _order_id(name: str):
     return F.coalesce(F.col(name).cast("long"), F.lit(-(1 << 63)))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(
+    spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, bits_per_line: float = BITS_PER_LINE, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """The rows of ``docs`` with repeated lines gone from ``text``, and ``n_lines`` (before), ``n_dropped``."""
-    found = write_through(suspects(docs, twice_filter(docs, min_chars, filter_bits), min_chars), shared_dir(spark)).distinct()
+    found = write_through(suspects(spark, docs, min_chars, bits_per_line, slice_bytes), shared_dir(spark)).distinct()
     frequent = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
     # A line in very many documents is a hot key on the left only; adaptive execution splits that side.
-    drops = (
-        found.join(frequent, ["k1", "k2"])
-        .filter("doc_id <> last")
-        .groupBy(F.col("doc_id").alias("__doc"))
-        .agg(F.collect_list(F.struct("k1", "k2")).alias("__drop"))
-    )
+    drops = found.join(frequent, ["k1", "k2"]).filter("doc_id <> last").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    texts = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), _order_id("doc_id").alias("__doc"))
-    joined = texts.join(drops.hint("shuffle_hash"), "__doc", "left").drop("__doc")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    texts = docs.select(F.struct(*rest).alias("row"), text, _order_id("doc_id").alias("doc"))
+    joined = texts.join(drops, "doc", "left").select("row", "text", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out, lines, dropped = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist(), strict=True):
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
                 gone = 0
                 n = text.count(b"\n") + 1
                 if drop:
@@ -157,11 +155,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS
                 out.append(text)
                 lines.append(n)
                 dropped.append(gone)
-            columns = [batch.column(c) for c in rest] + [pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "text", "n_lines", "n_dropped"])
+            columns = [batch.column("row"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "n_lines", "n_dropped"])
 
-    done = joined.mapInArrow(run, f"{fields}, text string, n_lines long, n_dropped long")
-    return done.select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    own = {c: F.col(c) if c in ("text", "n_lines", "n_dropped") else F.col("row").getField(c).alias(c) for c in [*docs.columns, "n_lines", "n_dropped"]}
+    return joined.mapInArrow(run, schema).select(*own.values())
 
 
 def _pair(key: bytes) -> tuple[int, int]:

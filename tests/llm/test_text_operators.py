@@ -50,8 +50,8 @@ def test_line_dedup(spark):
         keep = [x for x in ls if not (len(w := where.get(fold(x), ())) >= 5 and max(w) != i)]
         want[i] = (len(ls), len(ls) - len(keep), "\n".join(keep))
     assert sum(v[1] for v in want.values()) > 10
-    for bits in (1 << 20, 1 << 10):  # a filter that is far too small gives the same
-        got = lines.dedup_lines(spark, frame(spark, rows).repartition(5), filter_bits=bits)
+    for bits, size in ((16.0, 4 << 20), (0.5, 500)):  # filters that are far too small, and many slices, give the same
+        got = lines.dedup_lines(spark, frame(spark, rows).repartition(5), bits_per_line=bits, slice_bytes=size)
         assert got.columns[:6] == ["doc_id", "text", "lang", "source", "spans", "n_words"]
         assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()} == want
     assert lines.dedup_lines(spark, frame(spark, [])).count() == 0
@@ -217,6 +217,30 @@ def test_longest_matches_and_places(spark):
     assert [(r.word, r.item_word, r.length) for r in rows] == [(2, 1, 14), (3, 2, 13)]
 
 
+@pytest.mark.parametrize(("bits", "least", "most"), [(20.0, 0, 0.01), (16.0, 0, 0.02), (2.0, 0.02, 1), (0.5, 0.5, 1)])
+@pytest.mark.parametrize("lines_", [2_000, 200_000])
+def test_false_suspects_do_not_grow_with_the_corpus(bits, least, most, lines_):
+    """Every line unique: the share that the second filter passes depends on bits per line only. Real repeats are always passed."""
+    rnd = np.random.default_rng(5)
+    hashes = rnd.integers(0, 1 << 45, lines_).astype(np.uint64)  # the upper bits of a range are equal
+    shares = [(np.unique(x), np.zeros(len(np.unique(x)), bool)) for x in np.array_split(hashes, 10)]
+    share = np.concatenate(lines.seen_twice(shares, bits)).mean()
+    assert least <= share <= most
+    repeated = [(np.unique(np.append(x, hashes[:50])), many) for x, many in shares[:3]]
+    repeated = [(x, np.zeros(len(x), bool)) for x, _ in repeated]
+    for (x, _), found in zip(repeated, lines.seen_twice(repeated, bits), strict=True):
+        assert found[np.isin(x, hashes[:50])].all()
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    line = "a line of forty characters or more, in all documents"
+    rows = [(i, line, f"doc{i}", i, "d", "x", True) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string, k1 long, drop string, row string, __doc boolean")
+    got = lines.dedup_lines(spark, docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == [(*r[:1], line if r[0] == 5 else "", *r[2:]) for r in rows]
+
+
 @pytest.mark.parametrize("part", [0, 255, 256, 10**5])
 def test_ip_parts_of_any_length(part):
     """Parts with thousands of leading zeros are judged by their value."""
