@@ -6,11 +6,12 @@ To sort in many tasks, windows are dealt by content first. In each window of ``l
 nearly the same place of it make a family: the bytes that they share are its core, the bytes that they cover together its span. Equal
 windows are in families of equal cores.
 
-First round: slices of the corpus send 48-bit hashes of cores and 128-bit hashes of spans. A core that occurs once repeats none of its windows. The others
-make up the dictionary of the corpus: each distinct span is sent, as bytes and with its frequency, by the first slice that has it.
-Second round: every part of the core hashes is parsed prefix-free, some MB of whole core groups at a time; the suffix arrays of its phrases and of their
-sequence put its windows in order, neighbours with ``length`` bytes or more in common are equal, and a window whose frequencies add up to two is a repeat.
-A span that occurs twice repeats all of its windows, so the slices that did not send it need no answer.
+First round: slices of the corpus send 48-bit hashes of cores and 128-bit hashes of spans, which are counted. A core that occurs once repeats none of its
+windows; a span that occurs twice repeats all of its windows, so copies need no more than that. Where a core has a span that occurs once, which is so at the
+edges of repeated passages and of changes in near copies, windows have to be told apart: each distinct span is sent, as bytes and with its frequency, by
+the first slice that has it.
+Second round: every part of the core hashes is parsed prefix-free, about ``PARSED_BYTES`` of whole core groups at a time; the suffix arrays of its phrases and of
+their sequence put its windows in order, neighbours with ``length`` bytes or more in common are equal, and a window whose frequencies add up to two is a repeat.
 
 A core with more than ``CROWD`` distinct spans, as a common passage of nearly ``length`` bytes in ever other surroundings has, is not sorted in one place:
 its windows are dealt by 128-bit hashes of their own, one entry per slice and window.
@@ -37,15 +38,15 @@ from quarryline.session import shared_dir, write_through
 LENGTH = 200
 TRIGGER = 24
 #: Places of the trigger in a window that make one family.
-PLACES = 50
+PLACES = 100
 SLICE_BYTES = 2 << 20
 SLICES_PER_PART = 16
 #: Distinct spans of a core that are sorted together.
 CROWD = 1000
 #: Bytes that are parsed at a time.
-PARSED_BYTES = 4 << 20
+PARSED_BYTES = 1 << 20
 SPANS, FOUND, TEXTS, WINDOWS, ORDERED, REPEATED = range(6)
-#: What is known of a slice's span: no window repeats; all do and another slice has sent it; it is sent to be sorted, as the corpus's only
+#: What is known of a slice's span: no window repeats; all do, and nothing is sent; it is sent to be sorted, as the corpus's only
 #: occurrence or for all of them; it is in a crowd, as one or for all.
 NONE, ALL, ONE, MANY, CROWD_ONE, CROWD_MANY = range(6)
 
@@ -202,10 +203,11 @@ def _answer_spans(crowd: int):
         in_core = np.cumsum(_runs(core)[heads]) - 1
         of_core, distinct = np.bincount(in_core, of_span)[in_core], np.bincount(in_core)[in_core]
         crowded = distinct > crowd
+        single = (np.bincount(in_core, of_span == 1) > 0)[in_core]
         sent = np.where(of_span > 1, np.where(crowded, CROWD_MANY, MANY), np.where(crowded, CROWD_ONE, ONE))
         sizes = np.diff(np.append(heads, len(order)))
         status = np.full(len(order), ALL, np.uint8)
-        status[heads] = sent
+        status[heads] = np.where(single, sent, ALL)
         status[np.repeat(of_core == 1, sizes)] = NONE
         out = np.empty(len(order), np.uint8)
         out[order] = status
