@@ -2,8 +2,8 @@
 
 Every task turns slices of whole documents into arrays of word ids and sorts their suffixes by prefix doubling: the suffix array of
 a shard. Suffixes whose first word no test item has cannot match and are left out. All suffixes of the test items are then
-binary-searched in it, word by word, which gives the longest verbatim match of each and the places of every match; documents
-stay whole in one slice, so nothing is shuffled. Test items are sent to the tasks in blocks of at most ``BLOCK_BYTES``; more items mean more
+binary-searched in it, word by word, which gives the places of every window; from each of these the longest verbatim match is searched in the suffix array
+of the items (``matches``). Documents stay whole in one slice, so nothing is shuffled. Test items are sent to the tasks in blocks of at most ``BLOCK_BYTES``; more items mean more
 blocks, each searched against all rows. The driver holds one block and the next: a block's result is written through before another is fetched.
 
 Null and empty texts have no words and are never hit; items without words are skipped. Item ids that occur twice are one item with several texts;
@@ -109,40 +109,44 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def longest_matches(words: np.ndarray, order: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every test suffix: its longest match in words, and the range of the suffix array that matches its window (or is empty)."""
-    n, q = len(words), len(tests.starts)
-    padded = np.concatenate([words, np.zeros(tests.depth + 1, np.int64)])
+def longest_matches(words: np.ndarray, order: np.ndarray, flat: np.ndarray, starts: np.ndarray, left: np.ndarray, need: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Suffixes of ``flat`` at ``starts`` (``left`` words each) searched in the suffix array ``order`` of ``words``, up to ``depth`` words.
+
+    Per suffix the words of its longest match, the first suffix of ``words`` that has it, and the range of the suffix array that matches its first ``need`` words (or is empty).
+    """
+    n, q = len(words), len(starts)
+    padded = np.append(words, 0)
     low, high = np.zeros(q, np.int64), np.full(q, len(order), np.int64)
     longest = np.zeros(q, np.int64)
     win_low, win_high = np.zeros(q, np.int64), np.zeros(q, np.int64)
     alive = np.arange(q) if len(order) else np.empty(0, np.int64)
 
-    def bound(live: np.ndarray, depth: int, upper: bool) -> np.ndarray:
+    def bound(live: np.ndarray, at: int, want: np.ndarray, upper: bool) -> np.ndarray:
         a, b = low[live].copy(), high[live].copy()
-        want = tests.flat[tests.starts[live] + depth]
         while True:
             todo = np.flatnonzero(a < b)
             if not len(todo):
                 return a
             mid = (a[todo] + b[todo]) // 2
-            seen = padded[np.minimum(order[mid] + depth, n)]
+            seen = padded[np.minimum(order[mid] + at, n)]
             right = seen <= want[todo] if upper else seen < want[todo]
             a[todo] = np.where(right, mid + 1, a[todo])
             b[todo] = np.where(right, b[todo], mid)
 
-    for depth in range(tests.depth):
-        alive = alive[tests.left[alive] > depth]
+    for at in range(depth):
+        alive = alive[left[alive] > at]
+        want = flat[starts[alive] + at]
+        alive, want = alive[want > 0], want[want > 0]
         if not len(alive):
             break
-        a, b = bound(alive, depth, False), bound(alive, depth, True)
+        a, b = bound(alive, at, want, False), bound(alive, at, want, True)
         found = a < b
         alive = alive[found]
         low[alive], high[alive] = a[found], b[found]
-        longest[alive] = depth + 1
-        full = alive[tests.need[alive] == depth + 1]
+        longest[alive] = at + 1
+        full = alive[need[alive] == at + 1]
         win_low[full], win_high[full] = low[full], high[full]
-    return longest, win_low, win_high
+    return longest, order[np.minimum(low, max(len(order) - 1, 0))] if len(order) else low, win_low, win_high
 
 
 def _shard(batch: pa.RecordBatch, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +161,35 @@ def _shard(batch: pa.RecordBatch, vocabulary: dict[bytes, int]) -> tuple[np.ndar
     return np.array(ids, np.int64), np.array(ends, np.int64)
 
 
-def _search(batch: pa.RecordBatch, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    words, ends = _shard(batch, tests.vocabulary)
-    order = suffix_array(words, tests.depth)
-    longest, low, high = longest_matches(words, order, tests)
-    hit = np.flatnonzero(high > low)
-    sizes = high[hit] - low[hit]
-    index = np.repeat(low[hit] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    return words, ends, longest, np.repeat(hit, sizes), order[index] if len(index) else index, order
+class Hits:
+    """The windows of test items in a slice of documents.
+
+    Windows that are equal have one range of the suffix array; it is followed to its places once, whatever the number of windows. Ranges of one length are
+    disjoint, so a word begins at most one place for each length of a window.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, tests: TestSet, window: int) -> None:
+        self.words, self.ends = _shard(batch, tests.vocabulary)
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        order = suffix_array(self.words, window)
+        _, _, low, high = longest_matches(self.words, order, tests.flat, tests.starts, tests.left, tests.need, window)
+        hit = np.flatnonzero(high > low)
+        ranges, which = np.unique(np.stack([low[hit], high[hit], tests.need[hit]]), axis=1, return_inverse=True)
+        low, high, need = ranges
+        sizes = high - low
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        #: Where a window begins, and its length.
+        self.at = order[np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] if len(order) else of
+        self.length = need[of]
+        self.doc = np.searchsorted(self.ends, self.at, "left")
+        # Distinct (range, document) and (range, item): their pairs by range are what documents have of items.
+        documents = np.unique(np.stack([of, self.doc]), axis=1)
+        items = np.unique(np.stack([which.ravel(), tests.owner[hit]]), axis=1)
+        first = np.searchsorted(items[0], np.arange(len(low) + 1))
+        many = np.diff(first)[documents[0]]
+        index = np.repeat(first[documents[0]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        #: Distinct pairs of documents and items, by document.
+        self.pairs = np.unique(np.stack([np.repeat(documents[1], many), items[1][index]]), axis=1)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
@@ -193,31 +218,43 @@ def _with_last(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every place where a window of an item occurs: ``doc_id``, ``word`` (offset), ``item_id``, ``item_word``, ``length`` (longest match there)."""
+    """Every word of a document at which a window of an item begins, with the longest verbatim match from there on.
+
+    ``doc_id``, ``word`` (offset), ``length`` (words), and the item that has it: ``item_id``, ``item_word`` (offset), the first in the order of the test suffixes. These words are
+    searched in the suffix array of the items, so there is one row per word and block of items of which a window begins there, whatever the number of windows.
+    """
 
     def make(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = TestSet(shared.value, window)
+            # Items stand apart, so that a match ends with its item.
+            apart = np.zeros(len(tests.flat) + len(tests.items), np.int64)
+            own = np.arange(len(tests.starts)) + tests.owner
+            apart[own] = tests.flat[: len(own)]
+            order = suffix_array(apart, tests.depth)
+            base = np.cumsum(tests.sizes) - tests.sizes
             for batch in slices(batches, limit=SHARD_BYTES):
-                words, ends, _, query, at, _ = _search(batch, tests)
-                size = np.array([_extent(words, a, tests, k) for a, k in zip(at.tolist(), query.tolist(), strict=True)], np.int64)
-                doc = np.searchsorted(ends, at, "left")
-                begin = np.concatenate([[0], ends[:-1] + 1])
-                base = np.cumsum(tests.sizes) - tests.sizes
+                found = Hits(batch, tests, window)
+                at = np.unique(found.at)
+                doc = np.searchsorted(found.ends, at, "left")
+                left = found.ends[doc] - at if len(at) else at
+                longest, where, _, _ = longest_matches(apart, order, found.words, at, left, np.zeros(len(at), np.int64), tests.depth)
+                query = np.searchsorted(own, where)
+                item = tests.owner[query]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(doc)),
-                        pa.array(at - begin[doc]) if len(doc) else pa.array([], pa.int64()),
-                        pa.array([tests.names[i] for i in tests.owner[query].tolist()], pa.string()),
-                        pa.array(tests.starts[query] - base[tests.owner[query]]) if len(query) else pa.array([], pa.int64()),
-                        pa.array(size),
+                        pa.array(at - found.begins[doc] if len(at) else at),
+                        pa.array(longest),
+                        pa.array([tests.names[i] for i in item.tolist()], pa.string()),
+                        pa.array(query - base[item] if len(at) else at),
                     ],
-                    names=["doc_id", "word", "item_id", "item_word", "length"],
+                    names=["doc_id", "word", "length", "item_id", "item_word"],
                 )
 
         return run
 
-    spark, schema = docs.sparkSession, "doc_id long, word long, item_id string, item_word long, length long"
+    spark, schema = docs.sparkSession, "doc_id long, word long, length long, item_id string, item_word long"
     found = []
     for block, last in _with_last(_blocks(benchmark, block_bytes)):
         shared = spark.sparkContext.broadcast(block)
@@ -228,13 +265,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     return reduce(DataFrame.union, found)
 
 
-def _extent(words: np.ndarray, at: int, tests: TestSet, query: int) -> int:
-    a = words[at : at + int(tests.left[query])]
-    b = tests.flat[tests.starts[query] : tests.starts[query] + len(a)]
-    differ = np.flatnonzero(a != b)
-    return int(differ[0]) if len(differ) else len(a)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES, rows: bool = False) -> DataFrame:
     """Per document ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted names) and ``contaminated``; with ``rows`` also ``__row``, its columns as a struct.
 
@@ -247,13 +277,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = TestSet(shared.value, window)
             for batch in slices(batches, limit=SHARD_BYTES):
-                words, ends, _, query, at, _ = _search(batch, tests)
-                begin = np.concatenate([[0], ends[:-1] + 1])
+                hits = Hits(batch, tests, window)
+                words, ends, begin = hits.words, hits.ends, hits.begins
                 before = batch.column("runs")
                 edges = before.flatten().to_numpy(zero_copy_only=False) + np.repeat(begin, np.asarray(before.value_lengths()))
                 change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, np.concatenate([at, edges[::2]]), 1)
-                np.add.at(change, np.concatenate([at + tests.need[query], edges[1::2]]), -1)
+                np.add.at(change, np.concatenate([hits.at, edges[::2]]), 1)
+                np.add.at(change, np.concatenate([hits.at + hits.length, edges[1::2]]), -1)
                 covered = np.cumsum(change[:-1]) > 0
                 edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
                 starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -261,11 +291,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 shift = np.repeat(begin, np.diff(per_doc))
                 flat = np.stack([starts - shift, stops - shift], axis=1).ravel()
                 runs = pa.ListArray.from_arrays(pa.array((per_doc * 2).astype(np.int32)), pa.array(flat))
-                doc = np.searchsorted(ends, at, "left")
-                pairs = np.unique(np.stack([doc, tests.owner[query]]), axis=1)
-                item_bounds = np.searchsorted(pairs[0], np.arange(len(ends) + 1))
+                item_bounds = np.searchsorted(hits.pairs[0], np.arange(len(ends) + 1))
                 items = [
-                    sorted({*had, *(tests.names[k] for k in pairs[1, i:j].tolist())}, key=lambda x: (x is None, x))
+                    sorted({*had, *(tests.names[k] for k in hits.pairs[1, i:j].tolist())}, key=lambda x: (x is None, x))
                     for had, i, j in zip(batch.column("items").to_pylist(), item_bounds[:-1], item_bounds[1:], strict=True)
                 ]
                 text = [] if last else [batch.column("text")]

@@ -41,6 +41,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.item_hash().alias("items_sha256"), "contaminated")
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places and longest verbatim matches behind op6's digests."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(spark, table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
         op4_pii_spans,
         op5_quality_outliers,
         op6_benchmark_decontamination,
+        benchmark_matches,
         op7_katz_scores,
         op8_token_orc,
         op9_toxicity,

@@ -186,6 +186,52 @@ def test_decontamination(spark, block):
     assert decontam.contamination(d, b.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
+def test_repeated_words_stay_linear():
+    """An item of a word a thousand times and a document of it 200,000 times: places grow with the document, not with the product."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    tests = decontam.TestSet([("5", b"same " * 1000), ("6", b"same " * 13)])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"same " * 200_000], pa.binary())], names=["doc_id", "text"])
+    tracemalloc.start()
+    hits = decontam.Hits(batch, tests, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hits.at) == 200_000 - 12 and set(hits.length.tolist()) == {13} and peak < 200 << 20
+    assert hits.pairs.tolist() == [[0, 0], [0, 1]]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 90])
+def test_matches_equal_brute_force(spark, block):
+    """One row per word where a window of an item begins, and block; the longest match with any item's text from there on."""
+    rnd = random.Random(21)
+    word = lambda: rnd.choice("abc")
+    items = [(k, [word() for _ in range(rnd.choice([2, 4, 13, 30]))]) for k in range(9)]
+    docs = [(i, [word() for _ in range(rnd.randint(0, 12))] + items[i % 9][1][rnd.randint(0, 3) :] + ["c", "zz"] * (i % 2) + items[(i * 5) % 9][1]) for i in range(12)]
+    docs.append((50, ["a"] * 40))
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")
+    rows = decontam.matches(frame(spark, [(i, " ".join(t)) for i, t in docs]).repartition(3), b, block_bytes=block).collect()
+    text, item = dict(docs), {str(k): t for k, t in items}
+    got = {}
+    for r in rows:
+        a, t = text[r.doc_id][r.word :], item[r.item_id][r.item_word :]
+        assert a[: r.length] == t[: r.length] and (a[r.length : r.length + 1] or [0]) != (t[r.length : r.length + 1] or [1])
+        got[r.doc_id, r.word] = max(r.length, got.get((r.doc_id, r.word), 0))
+    want = {}
+    for i, t in docs:
+        for at in range(len(t)):
+            lengths = []
+            for _, u in items:
+                n = min(13, len(u))
+                for k in range(len(u)):
+                    size = next((x for x, (p, q) in enumerate(zip(t[at:], u[k:])) if p != q), min(len(t) - at, len(u) - k))
+                    lengths.append((size, size >= n and k <= len(u) - n))
+            if any(full for _, full in lengths):
+                want[i, at] = max(size for size, _ in lengths)
+    assert got == want if block > 90 else got.keys() == want.keys() and all(got[k] <= want[k] for k in got)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_items_without_id_equal_sql(spark, tmp_path, block):
     passages = [" ".join(f"{c}{i}" for i in range(15)) for c in "pqrs"]
