@@ -2,13 +2,19 @@
 
 Each text becomes a vector of transformed statistics. For every (language, source) group the minimum-covariance-determinant
 estimate is found by concentration steps: mean and covariance of the ``SUPPORT`` share of rows with the smallest distances,
-distances from these, and so on, from a start by medians. A last step takes all rows within the 97.5 % ellipsoid. Every step is a grouped
-aggregate of sums, so a source with a third of all rows is pre-aggregated in every task. Small groups use the estimate of all
-small groups of their language together. A spread below the least one of its statistic, which is about what one more symbol, mark or
-repetition makes in a text of ``MIN_WORDS`` words, is raised to it, so that a group in which a statistic never varies does not reject
+distances from these, and so on. Three starts are concentrated: from the medians with usual spreads, from the medians with the group's own median
+deviations, and from the mean and covariance of all rows. The one whose covariance has the smallest determinant is concentrated further, and a last step takes all
+rows within its 97.5 % ellipsoid. Every step is a grouped
+aggregate of sums, so a source with a third of all rows is pre-aggregated in every task; medians and the limits of the nearest rows come from counts of
+values in fine steps (``VALUE_STEP``, and ``LIMITS_PER_DOUBLING`` of a distance), so results do not depend on how rows are dealt.
+
+Groups under ``MIN_GROUP`` texts that pass the base rules use the estimate of all such groups of their language together: with seven statistics, fewer rows
+give no estimate of their own. A group that grows to ``MIN_GROUP`` is from then on judged by itself. A spread below the least one of its statistic, which is about what
+one more symbol, mark or repetition makes in a text of ``MIN_WORDS`` words, is raised to it, so that a group in which a statistic never varies does not reject
 the first text in which it does.
 
-Null texts have no words and fail the base rules. Null languages and sources are groups of their own. Further columns do not matter.
+Null texts have no words and fail the base rules. Null languages and sources are groups of their own; a table without one of these columns is judged as if it were null
+everywhere. Further columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.batches import flat_bytes, slices, text_rows
@@ -27,7 +33,10 @@ from quarryline.session import shared_dir, write_through
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SUPPORT = 0.75
-STEPS = 3
+#: Concentration steps of every start, and of the best one after that.
+STEPS, LAST_STEPS = 2, 2
+VALUE_STEP = 0.001
+LIMITS_PER_DOUBLING = 512
 MIN_GROUP = 60
 SALTS = 64
 #: Transformed statistics and the least spread of each; larger spreads stay as they are.
@@ -108,7 +117,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(c) for c in counts], names=["doc_id", "lang", "source", *COUNTS])
 
-    rows = text_rows(docs, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    own = {c.lower() for c in docs.columns}
+    rows = text_rows(docs, *((F.col(c) if c in own else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")))
     return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
@@ -146,14 +156,14 @@ def _joined(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") ->
 
 
 def _moments(rows: DataFrame, dims: int) -> DataFrame:
-    """Count, sums and sums of products per group: all that a mean and a covariance need."""
+    """Count, sums and sums of products per group and start: all that a mean and a covariance need."""
     sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(dims)]
     products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(dims) for j in range(i + 1)]
-    return rows.groupBy("g").agg(F.count("*").alias("n"), *sums, *products)
+    return rows.groupBy("g", "k").agg(F.count("*").alias("n"), *sums, *products)
 
 
 def _whitened(moments: DataFrame, floors: list[float], scale: float) -> DataFrame:
-    """Per group the mean ``m`` and the inverse Cholesky factor ``l`` (row by row) of the floored covariance."""
+    """Per group and start the mean ``m``, the inverse Cholesky factor ``l`` (row by row) of the floored covariance and ``det``, the logarithm of its determinant."""
     d = len(floors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +177,11 @@ def _whitened(moments: DataFrame, floors: list[float], scale: float) -> DataFram
                         cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / r["n"] - mean[i] * mean[j]
                 cov *= scale
                 cov += np.diag(np.maximum(np.square(floors) - np.diag(cov), 0) + 1e-6 * np.square(floors))  # the last against rounding
-                out.append((r["g"], mean.tolist(), np.linalg.inv(np.linalg.cholesky(cov)).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["g", "m", "l"])
+                root = np.linalg.cholesky(cov)
+                out.append((r["g"], r["k"], mean.tolist(), np.linalg.inv(root).ravel().tolist(), 2 * float(np.log(np.diag(root)).sum())))
+            yield pd.DataFrame(out, columns=["g", "k", "m", "l", "det"])
 
-    return moments.mapInPandas(run, "g string, m array<double>, l array<double>")
+    return moments.mapInPandas(run, "g string, k int, m array<double>, l array<double>, det double")
 
 
 def _distance(d: int):
@@ -183,28 +194,69 @@ def _distance(d: int):
     return total
 
 
-def outliers(rows: DataFrame, floors: list[float], start: list[float], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+def _share_value(counts: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """Per group the smallest value up to which ``share`` of the rows lie, from counts ``n`` per value."""
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    reached = counts.select(*keys, value, (upto >= F.ceil(total * share)).alias("reached"))
+    return reached.filter("reached").groupBy(*keys).agg(F.min(value).alias(value))
+
+
+def _medians(rows: DataFrame, values: Column, dims: int) -> DataFrame:
+    """Per group the array ``m`` of the medians of an array column, to ``VALUE_STEP``."""
+    each = rows.select("g", F.posexplode(values).alias("i", "v"))
+    counts = each.groupBy("g", "i", F.round(F.col("v") / VALUE_STEP).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    found = _share_value(counts, ["g", "i"], "v", 0.5)
+    return found.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("v") * VALUE_STEP)).alias(f"v{i}") for i in range(dims))).select("g", F.array(*(f"v{i}" for i in range(dims))).alias("m"))
+
+
+def _starts(shaping: DataFrame, floors: list[float], start: list[float]) -> DataFrame:
+    """The parameters (``g``, ``k``, ``m``, ``l``) of three first distances."""
+    d = len(floors)
+    spark = shaping.sparkSession
+    centres = write_through(_medians(shaping, F.col("x"), d), shared_dir(spark))
+    away = _joined(shaping, centres, "g").withColumn("a", F.array(*(F.abs(F.col("x")[i] - F.col("m")[i]) for i in range(d)))).drop("m")
+    spread = _medians(away, F.col("a"), d).withColumnRenamed("m", "s")
+    diagonal = lambda of: F.array(*(of(i) if i == j else F.lit(0.0) for i in range(d) for j in range(d)))
+    usual = centres.select("g", F.lit(0).alias("k"), "m", diagonal(lambda i: F.lit(1 / start[i])).alias("l"))
+    own = centres.join(spread, "g").select("g", F.lit(1).alias("k"), "m", diagonal(lambda i: 1 / F.greatest(F.col("s")[i] * 1.4826, F.lit(floors[i]))).alias("l"))
+    every = _whitened(_moments(shaping.withColumn("k", F.lit(2)), d), floors, 1.0).select("g", "k", "m", "l")
+    return write_through(usual.union(own).union(every), shared_dir(spark))
+
+
+def outliers(rows: DataFrame, floors: list[float], start: list[float], support: float = SUPPORT, steps: int = STEPS, last_steps: int = LAST_STEPS) -> DataFrame:
     """``rows`` (``g``, ``x``, ``base_failed``) with ``distance``, the squared robust distance from its group.
 
     Only rows that pass the base rules shape the estimates. Groups without any have a null distance.
     """
     d = len(floors)
     spark = rows.sparkSession
-    shaping = rows.filter(~F.col("base_failed")).select("doc_id", "g", "x")
-    median = [F.percentile_approx(F.col("x")[i], 0.5, 10_000).alias(f"c{i}") for i in range(d)]
-    centres = shaping.groupBy("g").agg(*median).select("g", F.array(*(f"c{i}" for i in range(d))).alias("m"))
-    first = np.diag(1 / np.array(start)).ravel().tolist()
-    params = centres.withColumn("l", F.array(*map(F.lit, first)))
+    shaping = write_through(rows.filter(~F.col("base_failed")).select("doc_id", "g", "x"), shared_dir(spark))
     dist = _distance(d)
     consistency = lambda p: p / _chi2_share(chi2_quantile(p, d), d + 2)
-    for step in range(steps + 1):
-        measured = _joined(shaping, params, "g").select("doc_id", "g", "x", dist.alias("q"))
-        if step < steps:  # concentrate on the nearest rows
-            limits = measured.groupBy("g").agg(F.percentile_approx("q", support, 10_000).alias("limit"))
-            inside, scale = _joined(measured, limits, "g").filter("q <= limit"), consistency(support)
-        else:  # reweighting: all rows that are no outliers by the concentrated estimate
-            inside, scale = measured.filter(F.col("q") <= chi2_quantile(REWEIGHT_P, d)), consistency(REWEIGHT_P)
-        params = write_through(_whitened(_moments(inside.select("g", "x"), d), floors, scale), shared_dir(spark))
+    params = _starts(shaping, floors, start)
+
+    def measured(params: DataFrame) -> DataFrame:
+        packed = params.groupBy("g").agg(F.collect_list(F.struct("k", "m", "l")).alias("starts"))  # three of them at most
+        each = _joined(shaping, packed, "g").select("doc_id", "g", "x", F.explode("starts").alias("s"))
+        return each.select("doc_id", "g", "x", F.col("s.k").alias("k"), F.col("s.m").alias("m"), F.col("s.l").alias("l")).withColumn("q", dist).drop("m", "l")
+
+    def concentrated(params: DataFrame) -> DataFrame:
+        level = F.ceil(F.log2(F.greatest("q", F.lit(1e-9))) * LIMITS_PER_DOUBLING).cast("long")
+        seen = measured(params).withColumn("level", level)
+        limits = _share_value(seen.groupBy("g", "k", "level").agg(F.count("*").alias("n")), ["g", "k"], "level", support)
+        packed = limits.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "level"))).alias("limit"))
+        inside = _joined(seen, packed, "g").filter(F.col("level") <= F.col("limit")[F.col("k")])
+        return write_through(_whitened(_moments(inside.select("g", "k", "x"), d), floors, consistency(support)), shared_dir(spark))
+
+    for step in range(steps + last_steps):
+        params = concentrated(params)
+        if step == steps - 1:  # the smallest determinant, of equal ones the first start
+            best = params.groupBy("g").agg(F.min_by(F.struct("k", "m", "l"), F.struct("det", "k")).alias("b"))
+            params = write_through(best.select("g", "b.k", "b.m", "b.l"), shared_dir(spark))
+    # Reweighting: all rows that are no outliers by the concentrated estimate.
+    inside = measured(params).filter(F.col("q") <= chi2_quantile(REWEIGHT_P, d))
+    params = write_through(_whitened(_moments(inside.select("g", "k", "x"), d), floors, consistency(REWEIGHT_P)), shared_dir(spark)).select("g", "m", "l")
     return _joined(rows, params, "g", "left").withColumn("distance", dist).drop("m", "l")
 
 
