@@ -86,20 +86,85 @@ def per_thousand(part, whole) -> Column:
     return F.when(whole > 0, 1000 * part / whole)
 
 
-def candidate_priority(mentions, sources, size) -> Column:
-    """More mentions and sources first, very large accounts a little later."""
-    return 2 * F.coalesce(sources, F.lit(0)) + F.log10(1 + F.coalesce(mentions, F.lit(0))) - 0.1 * F.log10(1 + F.coalesce(size, F.lit(0)))
-
-
-def packaging_score(features: dict[str, Column]) -> Column:
-    """0 to 100 from title features that are known; missing ones do not count against it."""
-    rules = {
-        "length": (30.0, F.when(features["n_chars"].between(20, 70), 1.0).when(features["n_chars"] <= 100, 0.5).otherwise(0.0)),
-        "number": (20.0, features["has_number"].cast("double")),
-        "question": (15.0, features["is_question"].cast("double")),
-        "calm": (20.0, F.when(features["n_caps_words"] <= 1, 1.0).otherwise(0.0)),
-        "words": (15.0, F.when(features["n_words"].between(4, 12), 1.0).otherwise(0.5)),
+def channel_candidate_score(source_weight, size, mentions) -> Column:
+    """Weight of where a channel was found, plus the logarithm of its size, plus a half for every repeated mention."""
+    repeats = F.greatest(F.coalesce(mentions, F.lit(1)), F.lit(1)) - 1
+    return F.round(F.coalesce(source_weight, F.lit(1.0)) + F.log10(F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)) + 1) + 0.5 * repeats, 4)
+
+
+def account_candidate_priority(sources, trusted_sources, is_first_rubric, found_via, is_spam) -> Column:
+    """Sources, three more for every trusted one, two for a first rubric, one for authors (not only mentioned), two less for a name like spam."""
+    flag = lambda c, points: F.when(F.coalesce(c, F.lit(False)), points).otherwise(0.0)
+    as_author = found_via.startswith("author") | found_via.startswith("orig")
+    at_least_one = F.when(F.coalesce(sources, F.lit(0)) == 0, 1).otherwise(sources)
+    return F.round(at_least_one + 3.0 * F.coalesce(trusted_sources, F.lit(0)) + flag(is_first_rubric, 2.0) + flag(as_author, 1.0) - flag(is_spam, 2.0), 4)
+
+
+#: Weights of topics; other and unknown topics weigh one.
+TOPIC_WEIGHTS = {
+    "модели и релизы": 1.40, "агенты и автоматизация": 1.30, "кодинг и разработка": 1.20, "чипы и железо": 1.15, "дата-центры и энергия": 1.15,
+    "наука и медицина": 1.10, "регулирование и безопасность": 1.05, "деньги и сделки": 1.05, "стартапы и бизнес": 1.05, "запуски и анонсы": 1.00,
+    "роботы и физический ИИ": 1.00, "ИИ-инструменты для обычных людей": 1.00, "медиа и творчество": 0.90, "дизайн и креатив": 0.90,
+    "обучение и навыки": 0.90, "влоги и личный опыт": 0.70, "прочее": 0.60,
+}
+
+
+def topic_weight(topic, weights: dict[str, float] = TOPIC_WEIGHTS) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    return F.coalesce(table[F.coalesce(topic, F.lit(""))], F.lit(1.0))
+
+
+# Weights of the parts of a video's packaging, penalties by level, and limits.
+PACKAGING_WEIGHTS = {"title": 30, "description": 30, "hashtags": 10, "tags": 10, "chapters": 10, "topic": 10}
+PENALTY = {"high": 0.5, "mid": 0.25, "low": 0.1}
+TITLE_LENGTHS, TITLE_CAPS, TITLE_EMOJI = (30, 60, 70), 0.5, 3
+SNIPPET_LENGTH, HASHTAGS, TAGS, CHAPTERS_FROM = 150, (3, 5, 15), (8, 12, 50), 480
+
+
+def packaging(title_length, caps_ratio, emoji, description_length, hashtags, tags, duration, timestamps, topic_match) -> Column:
+    """Struct of ``score`` (0 to 100), ``issues`` (codes in order) and ``not_applicable`` (parts whose weight is left out).
+
+    Every issue takes a share of its part by its level. Hashtags need a description, chapters a known duration, the topic a known match.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    low, high, hard = TITLE_LENGTHS
+    few, many, ignored = HASHTAGS
+    tags_few, tags_many, tags_risk = TAGS
+    issues: dict[str, list[tuple[str, str, Column]]] = {
+        "title": [
+            ("title_too_long", "high", zero(title_length) > hard),
+            ("title_too_long", "mid", (zero(title_length) > high) & (zero(title_length) <= hard)),
+            ("title_too_short", "low", zero(title_length) < low),
+            ("title_caps", "mid", zero(caps_ratio) > TITLE_CAPS),
+            ("title_emoji", "low", zero(emoji) > TITLE_EMOJI),
+        ],
+        "description": [("description_no_snippet", "high", zero(description_length) < SNIPPET_LENGTH)],
+        "hashtags": [
+            ("hashtags_missing", "low", zero(hashtags) == 0),
+            ("hashtags_few", "low", zero(hashtags).between(1, few - 1)),
+            ("hashtags_over_limit", "high", zero(hashtags) > ignored),
+            ("hashtags_many", "low", (zero(hashtags) > many) & (zero(hashtags) <= ignored)),
+        ],
+        "tags": [
+            ("tags_missing", "low", zero(tags) == 0),
+            ("tags_few", "low", zero(tags).between(1, tags_few - 1)),
+            ("tags_spam_risk", "mid", zero(tags) > tags_risk),
+            ("tags_many", "low", (zero(tags) > tags_many) & (zero(tags) <= tags_risk)),
+        ],
+        "chapters": [("description_no_chapters", "mid", (duration >= CHAPTERS_FROM) & (zero(timestamps) == 0))],
+        "topic": [("topic_mismatch", "mid", topic_match == 0)],
     }
-    got = reduce(lambda a, b: a + b, (F.coalesce(w * v, F.lit(0.0)) for w, v in rules.values()))
-    possible = reduce(lambda a, b: a + b, (F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for w, v in rules.values()))
-    return F.when(possible > 0, 100 * got / possible)
+    applies = {"hashtags": zero(description_length) > 0, "chapters": duration.isNotNull(), "topic": topic_match.isNotNull()}
+    got, possible, codes, skipped = F.lit(0.0), F.lit(0.0), [], []
+    for part, weight in PACKAGING_WEIGHTS.items():
+        on = applies.get(part, F.lit(True))
+        penalty = F.lit(0.0)
+        for code, level, condition in issues[part]:
+            here = on & F.coalesce(condition, F.lit(False))
+            penalty = penalty + F.when(here, PENALTY[level]).otherwise(0.0)
+            codes.append(F.when(here, code))
+        got = got + F.when(on, weight * F.greatest(F.lit(0.0), 1 - penalty)).otherwise(0.0)
+        possible = possible + F.when(on, float(weight)).otherwise(0.0)
+        skipped.append(F.when(~on, part))
+    score = F.round(100 * got / possible, 1)
+    return F.struct(score.alias("score"), F.array_compact(F.array(*codes)).alias("issues"), F.array_compact(F.array(*skipped)).alias("not_applicable"))

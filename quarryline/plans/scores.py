@@ -91,11 +91,17 @@ def virality_rate(spark, d):
     return joined.select("source_id", F.round(rate, 6).alias("rate"), F.round(S.per_thousand(F.col("n"), F.col("v")), 9).alias("per_thousand"))
 
 
-@plan()
+@plan("""WITH t AS (SELECT doc_id, SPLIT_PART(text, chr(10), 1) AS t, LENGTH(text) - LENGTH(SPLIT_PART(text, chr(10), 1)) AS d FROM documents),
+f AS (SELECT doc_id, LENGTH(t) AS n, d, LEN(REGEXP_EXTRACT_ALL(t, '\\p{L}')) AS letters, LEN(REGEXP_EXTRACT_ALL(t, '\\p{Lu}')) AS upper_ FROM t),
+p AS (SELECT *, GREATEST(0, 1 - CASE WHEN n > 70 THEN 0.5 WHEN n > 60 THEN 0.25 WHEN n < 30 THEN 0.1 ELSE 0 END - CASE WHEN letters > 0 AND upper_ / letters > 0.5 THEN 0.25 ELSE 0 END) AS title,
+  CASE WHEN d < 150 THEN 0.5 ELSE 1 END AS snippet, d > 0 AS hashed FROM f)
+SELECT doc_id, CAST(ROUND(100 * (30 * title + 30 * snippet + CASE WHEN hashed THEN 9 ELSE 0 END + 9) / CASE WHEN hashed THEN 80 ELSE 70 END, 1) AS DOUBLE) AS score FROM p WHERE d IS NOT NULL""")
 def packaging_scores(spark, d):
-    """Titles of documents, 0 to 100. No SQL: capital words need the same Unicode tables; tested by hand."""
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.round(S.packaging_score(T.title_features(first)), 4).alias("score"))
+    """M12 over documents: the first line is the title, the rest the description; no tags, hashtags, duration or topic. ``packaging_cases`` has every rule."""
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    none = F.lit(None).cast("int")
+    scored = S.packaging(F.length(title), T.caps_ratio(title), F.lit(0), F.length("text") - F.length(title), none, none, none, none, none)
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", scored["score"].alias("score"))
 
 
 @plan(f"""WITH c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY day, content_id) AS k FROM {CONTENTS}), p AS (SELECT source_id, MAX(views) FILTER (k = 1) AS m1, MAX(views) FILTER (k = 2) AS m6, MAX(views) FILTER (k = 3) AS m24 FROM c GROUP BY 1)
@@ -110,11 +116,12 @@ def early_block(spark, d):
     return m.select("source_id", F.round((F.col("m3") - F.col("m1")) / 23, 6).alias("velocity"), F.round(F.col("m2") / F.col("m3"), 6).alias("share_6h"), F.round(F.when(v1 > 0, v2 / v1), 6).alias("accel"))
 
 
-@plan(f"""SELECT source_id, CAST(ROUND(2 * (source_id % 6) + LOG10(1 + source_id % 90) - 0.1 * LOG10(1 + GREATEST(size, 0)), 6) AS DOUBLE) AS priority FROM {SOURCES}""")
+@plan(f"""WITH c AS (SELECT source_id, CASE tier WHEN 'BUILDING' THEN 3.0 WHEN 'MACHINERY' THEN 2.0 END AS w, CAST(FLOOR(size) AS BIGINT) AS size, source_id % 4 AS mentions FROM {SOURCES})
+SELECT source_id, CAST(ROUND(COALESCE(w, 1) + LOG10(GREATEST(size, 0) + 1) + 0.5 * (GREATEST(mentions, 1) - 1), 4) AS DOUBLE) AS priority FROM c""")
 def candidate_priorities(spark, d):
-    """M15."""
-    i = F.col("source_id")
-    return sources(spark, d).select("source_id", F.round(S.candidate_priority(i % 90, i % 6, F.greatest("size", F.lit(0.0))), 6).alias("priority"))
+    """M15 over all sources."""
+    weight = F.when(F.col("tier") == "BUILDING", 3.0).when(F.col("tier") == "MACHINERY", 2.0)
+    return sources(spark, d).select("source_id", S.channel_candidate_score(weight, F.floor("size"), F.col("source_id") % 4).alias("priority"))
 
 
 @plan(f"SELECT content_id, CAST(ROUND_EVEN(views / 1000, 0) AS DOUBLE) AS thousands FROM {CONTENTS}")

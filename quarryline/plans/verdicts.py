@@ -1,0 +1,274 @@
+"""Rules over hand-made rows, one row per branch and border; the SQL holds what must come of each."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarryline.functions import scores as S
+from quarryline.functions import text as T
+from quarryline.operators import verdicts as V
+from quarryline.plans.registration import cases
+
+NOW = "2024-01-31 00:00:00"
+
+
+@cases("id, is_ad, status, flood_until", "honest", [
+    (1, None, None, None, True),
+    (2, True, "active", None, False),
+    (3, False, "flooded", None, False),
+    (4, False, "active", "2024-02-01 00:00:00", False),
+    (5, False, "active", "2024-01-31 00:00:00", True),
+    (6, False, "active", "2024-01-01 00:00:00", True),
+])
+def honest_posts(rows):
+    """Not paid, source not flooded, flood window over."""
+    return rows.withColumn("honest", V.honest(F.col("is_ad"), F.col("status"), F.col("flood_until").cast("timestamp"), F.lit(NOW).cast("timestamp")))
+
+
+@cases("id, is_retweet, pinned, deleted_at, metrics_src", "left_out", [
+    (1, None, None, None, None, False),
+    (2, True, None, None, None, True),
+    (3, None, True, None, None, True),
+    (4, None, None, "2024-01-01", None, True),
+    (5, None, None, None, "cdn_rt", True),
+    (6, False, False, None, "cdn", False),
+])
+def excluded_posts(rows):
+    """Reposts, pinned, deleted, and numbers of a repeated post."""
+    return rows.withColumn("left_out", V.left_out(F.col("is_retweet"), F.col("pinned"), F.col("deleted_at"), F.col("metrics_src")))
+
+
+@cases("id, status, promo_source, text", "reason", [
+    (1, "active", False, "calm words", None),
+    (2, None, None, None, None),
+    (3, "candidate", True, "скидка", "candidate"),
+    (4, "dead", True, "скидка", "status"),
+    (5, "Provisional", True, "скидка", "promo_source"),
+    (6, "active", False, "скидка", "ad"),
+])
+def quality_skips(rows):
+    """Why a post is passed over, the first reason that holds."""
+    return rows.withColumn("reason", V.quality_skip(F.col("status"), F.col("promo_source"), T.promo_reason("text").isNotNull()))
+
+
+@cases("id, is_short, lang, channel_russian, title", "format, russian, looks", [
+    (1, 1, "ru", None, "Привет", "short", True, True),
+    (2, 0, "en", 1, "hello ё", "long", True, True),
+    (3, None, "en", 0, "hello", "long", False, False),
+    (4, 2, None, None, None, "long", False, False),
+])
+def formats_and_languages(rows):
+    """Short and long videos, where an unknown format is long; Russian by language or by channel."""
+    russian = F.coalesce(F.col("lang") == "ru", F.lit(False)) | (F.coalesce("channel_russian", F.lit(0)) == 1)
+    return rows.withColumns({"format": F.when(F.col("is_short") == 1, "short").otherwise("long"), "russian": russian, "looks": T.looks_russian(F.col("title"))})
+
+
+@cases("id, handles", "has", [
+    (1, '["ann","bob"]', True),
+    (2, '["anna"]', False),
+    (3, "[]", False),
+    (4, "broken", False),
+    (5, None, False),
+])
+def handle_in_list(rows):
+    """Membership in a list kept as JSON text, by the whole value."""
+    return rows.withColumn("has", T.json_list_has(F.col("handles"), "ann"))
+
+
+@cases("id, known, blocked, outcome, posts30, size", "verdict, reason, status", [
+    (1, True, True, "gone", 0, None, "reject", "duplicate", "rejected"),
+    (2, False, True, "gone", 0, None, "reject", "blocked", "rejected"),
+    (3, False, False, "gone", 9, 5, "reject", "gone", "rejected"),
+    (4, False, False, "no_feed", 9, 5, "reject", "no_feed", "rejected"),
+    (5, False, False, "unreadable", 9, 5, "reject", "no_feed", "rejected"),
+    (6, False, False, "fetch_error", 9, 5, "hold", "no_answer", "hold"),
+    (7, None, None, None, 9, 5, "hold", "no_answer", "hold"),
+    (8, False, False, "ok", None, 5, "reject", "no_posts_30d", "rejected"),
+    (9, False, False, "ok", 2, 5, "hold", "few_posts_30d", "hold"),
+    (10, False, False, "ok", 3, None, "hold", "size_unknown", "hold"),
+    (11, False, False, "ok", 3, 5, "promote", "posts_and_size", "promoted"),
+])
+def channel_verdicts(rows):
+    """Verdicts on channels of short posts."""
+    v = V.channel_verdict(F.col("known"), F.col("blocked"), F.col("outcome"), F.col("posts30"), F.col("size"))
+    status = F.create_map(*(F.lit(x) for pair in V.STATUS_OF.items() for x in pair))
+    return rows.withColumns({"verdict": v["verdict"], "reason": v["reason"], "status": status[v["verdict"]]})
+
+
+@cases("id, found, videos30, subs", "verdict, reason", [
+    (1, False, 9, 5, "reject", "gone"),
+    (2, None, 9, 5, "hold", "no_answer"),
+    (3, True, None, 5, "reject", "no_videos_30d"),
+    (4, True, 2, 5, "hold", "few_videos_30d"),
+    (5, True, 3, None, "hold", "size_unknown"),
+    (6, True, 3, 0, "promote", "videos_and_size"),
+])
+def video_channel_verdicts(rows):
+    """Verdicts on video channels."""
+    v = V.video_channel_verdict(F.col("found"), F.col("videos30"), F.col("subs"))
+    return rows.withColumns({"verdict": v["verdict"], "reason": v["reason"]})
+
+
+@cases("id, known, blocked, place, outcome, posts30, median_likes", "verdict, reason", [
+    (1, True, False, None, "gone", 0, None, "reject", "duplicate"),
+    (2, False, True, None, "gone", 0, None, "reject", "blocked"),
+    (3, False, False, 3, "ok", 9, 99.0, "hold", "budget"),
+    (4, False, False, 2, "gone", 9, 99.0, "reject", "gone"),
+    (5, False, False, 1, "protected", 9, 99.0, "reject", "protected"),
+    (6, False, False, 1, "budget", 9, 99.0, "hold", "no_answer"),
+    (7, False, False, 1, None, 9, 99.0, "hold", "no_answer"),
+    (8, False, False, 1, "ok", 0, 99.0, "reject", "no_posts_30d"),
+    (9, False, False, 1, "ok", 2, 99.0, "hold", "few_posts_30d"),
+    (10, False, False, 1, "ok", 3, 19.9, "hold", "few_likes"),
+    (11, False, False, 1, "ok", 3, None, "hold", "few_likes"),
+    (12, False, False, 2, "ok", 3, 20.0, "promote", "posts_and_likes"),
+])
+def account_verdicts(rows):
+    """Verdicts on accounts under a budget of two requests."""
+    v = V.account_verdict(F.col("known"), F.col("blocked"), F.col("place"), F.lit(2), F.col("outcome"), F.col("posts30"), F.col("median_likes"))
+    return rows.withColumns({"verdict": v["verdict"], "reason": v["reason"]})
+
+
+@cases("id, antifraud, posts, vr_state, vr", "reason, reason_without_vr", [
+    (1, 1, 0, "few", None, "antifraud", "antifraud"),
+    (2, None, 9, "ok", 5.0, "too_few_posts", "too_few_posts"),
+    (3, 0, 10, "few", 5.0, "vr_unknown", None),
+    (4, 0, 10, None, 5.0, "vr_unknown", None),
+    (5, 0, 10, "ok", 4.9, "vr_low", None),
+    (6, 0, 10, "ok", None, "vr_low", None),
+    (7, None, 10, "ok", 5.0, None, None),
+])
+def promotion_reasons(rows):
+    """Why a candidate is not promoted, with and without the rate of views."""
+    given = [F.col(c) for c in ("antifraud", "posts", "vr_state", "vr")]
+    return rows.withColumns({"reason": V.promotion_reason(*given, 10, 5.0), "reason_without_vr": V.promotion_reason(*given, 10, 5.0, need_vr=False)})
+
+
+@cases("id, size, posts14, has_outlier, blocked, growth", "gate", [
+    (1, 999, 3, True, False, 0.5, None),
+    (2, 1000, 3, True, False, 0.10, "verified"),
+    (3, 4999, 3, True, False, 0.09, None),
+    (4, 5000, 3, True, False, 0.03, "verified"),
+    (5, 500000, 3, True, False, 0.02, None),
+    (6, 500001, 3, True, False, 0.5, None),
+    (7, 5000, 2, True, False, 0.5, None),
+    (8, 5000, None, True, False, 0.5, None),
+    (9, 5000, 3, False, False, 0.5, None),
+    (10, 5000, 3, True, True, 0.5, None),
+    (11, 5000, 3, True, None, None, "unknown"),
+    (12, None, 3, True, False, 0.5, None),
+])
+def growth_gates(rows):
+    """The gates of the author selection."""
+    return rows.withColumn("gate", V.growth_gate(F.col("size"), F.col("posts14"), F.col("has_outlier"), F.col("blocked"), F.col("growth")))
+
+
+@cases("id, title, caps, emoji, description, hashtags, tags, duration, marks, topic", "score, issues, not_applicable", [
+    (1, 45, 0.1, 0, 200, 4, 10, 100, 0, 1, 100.0, "", ""),
+    (2, 71, 0.6, 4, 100, 0, 0, 480, 0, 0, 52.5, "title_too_long,title_caps,title_emoji,description_no_snippet,hashtags_missing,tags_missing,description_no_chapters,topic_mismatch", ""),
+    (3, 61, 0.5, 3, 150, 2, 7, 480, 1, None, 89.4, "title_too_long,hashtags_few,tags_few", "topic"),
+    (4, 29, None, None, 0, 9, 13, None, None, None, 72.9, "title_too_short,description_no_snippet,tags_many", "hashtags,chapters,topic"),
+    (5, 30, 0.0, 0, 149, 6, 51, 479, 0, 1, 81.5, "description_no_snippet,hashtags_many,tags_spam_risk", ""),
+    (6, 60, 0.0, 0, 150, 16, 50, 480, 5, 1, 94.0, "hashtags_over_limit,tags_many", ""),
+    (7, None, None, None, None, None, None, None, None, None, 72.9, "title_too_short,description_no_snippet,tags_missing", "hashtags,chapters,topic"),
+])
+def packaging_cases(rows):
+    """The packaging score of a video with its issues and the parts that do not apply."""
+    p = S.packaging(*(F.col(c) for c in ("title", "caps", "emoji", "description", "hashtags", "tags", "duration", "marks", "topic")))
+    return rows.withColumns({"score": p["score"], "issues": F.array_join(p["issues"], ","), "not_applicable": F.array_join(p["not_applicable"], ",")})
+
+
+@cases("id, weight, size, mentions", "score", [
+    (1, 3.0, 999, 1, 6.0),
+    (2, 2.0, None, None, 2.0),
+    (3, None, 9, 3, 3.0),
+    (4, 1.0, -5, 0, 1.0),
+])
+def channel_candidate_scores(rows):
+    """Where a channel was found, its size, and repeated mentions."""
+    return rows.withColumn("score", S.channel_candidate_score(F.col("weight"), F.col("size"), F.col("mentions")))
+
+
+@cases("id, sources, trusted, first_rubric, found_via, handle", "priority", [
+    (1, 4, 2, True, "author:search", "ann", 13.0),
+    (2, None, None, None, None, "ann", 1.0),
+    (3, 0, 0, False, "mention", "1234567", -1.0),
+    (4, 2, 0, False, "orig", "a12345678bcde", 1.0),
+])
+def account_candidate_priorities(rows):
+    """The place of an account in the queue of candidates."""
+    from quarryline.functions import urls
+
+    return rows.withColumn("priority", S.account_candidate_priority(F.col("sources"), F.col("trusted"), F.col("first_rubric"), F.col("found_via"), urls.is_spam_handle(F.col("handle"))))
+
+
+@cases("topic", "weight", [("модели и релизы", 1.4), ("прочее", 0.6), ("запуски и анонсы", 1.0), ("gardening", 1.0), ("", 1.0), (None, 1.0)])
+def topic_weights(rows):
+    """The weight of a post's topic."""
+    return rows.withColumn("weight", S.topic_weight(F.col("topic")))
+
+
+@cases("text, query", "lang", [
+    ("Привет", "lang:en", "ru"),
+    ("hello", "x lang:ru", "ru"),
+    ("hello", "x lang:en", "en"),
+    ("hello", "x", None),
+    (None, None, None),
+])
+def guessed_languages(rows):
+    """Cyrillic letters first, then what the search asked for."""
+    return rows.withColumn("lang", T.guess_language("text", F.col("query")))
+
+
+@cases("text, links", "hit", [
+    ("New LLM today", None, True),
+    ("calm words", "https://huggingface.co/x", True),
+    ("calm words", "https://a.b/x", False),
+    (None, None, False),
+])
+def topic_signs(rows):
+    """words of a topic in the text, or its hosts in the links."""
+    return rows.withColumn("hit", T.shows_topic("text", F.col("links"), ["llm", "нейросет"], ["huggingface.co"]))
+
+
+@cases("words", "templates", [
+    ("a", ""),
+    ("a,b", "a: b — {итог одной фразой}|Как a меняет b: {разбор за N минут}|{N} фактов о a и b"),
+    ("a,b,c,d", "a: b — {итог одной фразой}|Как a меняет b: {разбор за N минут}|{N} фактов о a и b|a против b: {честное сравнение}"),
+    ("a,b,c,d,e", "a: b — {итог одной фразой}|Как a меняет b: {разбор за N минут}|{N} фактов о a и b|a против b: {честное сравнение}|Почему c без a не работает"),
+])
+def title_template_cases(rows):
+    """titles from the most frequent words."""
+    return rows.withColumn("templates", F.array_join(T.title_templates(F.split("words", ",")), "|"))
+
+
+@cases("word", "variants", [("abc", "acb,bac"), ("aa", ""), ("a b", ""), ("ab cd", "ab dc,ba cd"), ("", ""), (None, "")])
+def typo_cases(rows):
+    """neighbouring letters exchanged, never across a blank."""
+    return rows.withColumn("variants", F.array_join(T.typo_variants(F.coalesce("word", F.lit(""))), ","))
+
+
+@cases("title", "inside, first_word, every_word", [
+    ("ZCode beats Gpt-4 today", "gpt-4,zcode", "gpt-4,zcode", "gpt-4,zcode"),
+    ("Radius shows Maps", "", "radius", "maps,radius"),
+    ("8gb and 4k of it", "", "", ""),
+    ("The new Tool", "", "", "tool"),
+    (None, "", "", ""),
+])
+def names_by_capitals(rows):
+    """names inside a title, by the three ways to take capitals."""
+    named = {out: T.distinctive_names("title", mode) for out, mode in (("inside", "none"), ("first_word", "first"), ("every_word", "all"))}
+    return rows.withColumns({k: F.array_join(F.array_sort(v), ",") for k, v in named.items()})
+
+
+@cases("text", "pieces", [
+    ("ab\ncd\nef", "ab\ncd|ef"),
+    ("abcdefghij\nk", "abcdefghij|k"),
+    ("a\n\nb", "a\n\nb"),
+    ("abcd\n  \n", "abcd"),
+    ("", ""),
+    (None, ""),
+])
+def text_pieces(rows):
+    """Pieces of whole lines, six characters with their ends."""
+    return rows.withColumn("pieces", F.array_join(T.split_pieces("text", 6), "|"))
