@@ -14,6 +14,11 @@ def cap_per_key(df: DataFrame, key: str, order: list[Column], per_key: int, limi
     return kept.orderBy(*order).limit(limit) if limit is not None else kept
 
 
+def pool_size(section, factor: int = 8, least: int = 200) -> Column:
+    """Rows that a section looks at before its filters: a multiple of its size, and not too few."""
+    return F.greatest(section * factor, F.lit(least))
+
+
 def best_of_best(df: DataFrame, key: str, score: str, tie: str, keys: int, per_key: int) -> DataFrame:
     """The ``keys`` keys with the highest single score, and ``per_key`` rows of each."""
     top = df.groupBy(key).agg(F.max(score).alias("__best")).orderBy(F.col("__best").desc_nulls_last(), key).limit(keys)
