@@ -105,6 +105,18 @@ def test_tables_and_other_texts(spark, rows):
         assert (scored[i].n_tokens, scored[i].held_out, scored[i].train_tokens) == (len(seq) - 1, True, model.n)
 
 
+@pytest.mark.parametrize("n", [0, 3, 1000])
+def test_scores_do_not_depend_on_the_hot_words(spark, rows, monkeypatch, n):
+    """No hot word but the end, a few, or all words: the same scores."""
+    want = {(str(r.doc_id), r.n_tokens): tuple(r)[1:] for r in katz.score_texts(spark, frame(spark, rows)).collect()}
+    chosen = katz.hot_words
+    monkeypatch.setattr(katz, "hot_words", lambda slices: chosen(slices, n))
+    got = {(str(r.doc_id), r.n_tokens): tuple(r)[1:] for r in katz.score_texts(spark, frame(spark, rows).repartition(5), slice_bytes=900).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k][:4] == v[:4] and got[k][4:] == pytest.approx(v[4:], abs=1e-9)
+
+
 def test_probabilities_add_up_to_one(rows):
     model = Plain(rows)
     for v in ["<s>", "w1", "hot", "pair", "only", "never"]:
