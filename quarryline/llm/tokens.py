@@ -88,7 +88,7 @@ class PieceEncoder:
             # A newline between other characters than blanks is a pre-token of its own.
             lines = piece.split("\n")
             if all(x.strip() == x and x for x in [lines[0][1:] if piece[0] == " " else lines[0], *lines[1:]]):
-                return self.newline.join(map(self._encode, lines))
+                return self.newline.join(map(self.ids, lines))
         # A run of Latin letters with at most one blank before it is a single pre-token, whatever the Unicode version; a mark after it is another.
         blank = piece[:1] == " "
         word = piece[1:] if blank else piece
