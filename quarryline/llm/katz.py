@@ -7,7 +7,7 @@ alpha(v) is the mass that v leaves, divided by the P of all words never seen aft
 
 Words are 48-bit hashes. Counts live in tables partitioned by ranges of the following word, contexts in tables partitioned by ranges of the
 context; all n-grams of the training texts are counted, whatever their frequency. Words that follow very many others, the end of a text before all,
-would make one part grow with the corpus: the ``HOT`` words with the most contexts in the first ``HOT_SLICES`` slices have their bigrams dealt by context instead. This
+would make one part grow with the corpus: the ``HOT`` words with the most contexts in ``HOT_SLICES`` slices have their bigrams dealt by context instead. This
 choice only says where counts are added up. The counts of these few words themselves are sums over all parts, known to every task afterwards. Class counts of a context (its n-grams and their
 followers by frequency) are added up before any discount is known, so one pass over the counts is enough.
 
@@ -37,7 +37,7 @@ START, END = np.uint64(0), np.uint64(1)
 SLICE_BYTES = 8 << 20
 SLICES_PER_PART = 2
 BASE_ADD = 0.1
-HOT, HOT_SLICES = 255, 16
+HOT, HOT_SLICES = 63, 8
 #: Kinds of rows: questions, context statistics, answers, sums over a part, and a part's table of bigrams.
 COUNTS, WANTED, CONTEXTS, COUNTED, ALPHAS, SUMS, TABLE, HOT_COUNTS, HOT_COUNTED, HOT_CONTEXTS, HOT_TABLE = range(11)
 
@@ -113,7 +113,7 @@ def _starts(values: np.ndarray) -> np.ndarray:
 
 
 def hot_words(slices: DataFrame, n: int = HOT, sample: int = HOT_SLICES) -> np.ndarray:
-    """The words with the most distinct contexts in some slices, and the end of a text; ascending."""
+    """The words with the most distinct contexts in the first slice of some partitions, and the end of a text; ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,8 @@ def hot_words(slices: DataFrame, n: int = HOT, sample: int = HOT_SLICES) -> np.n
                 best = np.argsort(-contexts, kind="stable")[: 2 * n]
                 yield pa.RecordBatch.from_arrays([pa.array(grams.words[best].view(np.int64)), pa.array(contexts[best])], names=["word", "n"])
 
-    found = slices.limit(sample).select("data").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    some = [part << 32 for part in range(sample)]  # how slices are numbered: partition, then slice; a filter reads them where they are
+    found = slices.filter(F.col("slice").isin(some)).select("data").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     best = [r.word for r in found.orderBy(F.desc("n"), "word").limit(n).collect()]
     return np.unique(np.array([int(END), *best], np.uint64))
 
