@@ -174,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
         stream = _Stream(_sentence_ends(encoder), length)
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=4 << 20):
             stream.add(*with_end(*encoder.encode(batch.column("text")), end_id), batch.column("doc_id").to_pylist())
             if len(stream.ids) >= plan_tokens and (out := stream.cut(last=False)) is not None:
                 yield out

@@ -24,6 +24,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by a worker between slices; others are encoded again when they come back.
 KEPT_PIECES = 400_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = r"^[A-Za-z]+[!-/:-@\[-`{-~]*$"
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -73,6 +75,8 @@ class PieceEncoder:
         self.kept: dict[str, bytes] = {}
         #: Ids by word that has a blank before it.
         self.words: dict[str, bytes] = {}
+        #: Ids by run of marks.
+        self.marks: dict[str, bytes] = {}
         self.tails = {c: [t.id for t in self.model.tokenize(c)] for c in ",.:;!?"}
         self.newline = np.array([t.id for t in self.model.tokenize(self.byte_chars[10])], np.uint32).tobytes()
 
@@ -109,26 +113,41 @@ class PieceEncoder:
                 self.kept[piece] = found
         return found
 
+    def _tail(self, marks: str) -> bytes:
+        """Ids of a run of ASCII marks after letters, a pre-token of its own."""
+        found = self.marks.get(marks)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(marks)]).tobytes()
+            if len(self.marks) < KEPT_PIECES and len(marks) < 64:
+                self.marks[marks] = found
+        return found
+
     def after_blank(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a blank before each; words of ASCII letters, with a mark after them or not, take a short path."""
-        kept, tails, tokenize, blank = self.words, self.tails, self.model.tokenize, self.byte_chars[32]
+        """Ids of words with a blank before each; words of ASCII letters, with marks after them or not, take a short path, and their letters are looked up alone."""
+        kept, tokenize, blank = self.words, self.model.tokenize, self.byte_chars[32]
         found = [kept.get(w) for w in words]
         new = [i for i, known in enumerate(found) if known is None]
         if not new:
             return found
-        plain = pc.match_substring_regex(pa.array([words[i] for i in new]), "^[A-Za-z]+[,.:;!?]?$").to_pylist()
+        plain = pc.match_substring_regex(pa.array([words[i] for i in new]), _PLAIN).to_pylist()
+        room = KEPT_PIECES - len(kept)
         with _no_cycles():
             for i, short in zip(new, plain, strict=True):
                 word = words[i]
-                if not short:
-                    found[i] = self._encode(f" {word}")
-                elif (tail := tails.get(word[-1])) is None:
-                    found[i] = array("I", [t.id for t in tokenize(blank + word)]).tobytes()
-                else:
-                    found[i] = array("I", [t.id for t in tokenize(blank + word[:-1])] + tail).tobytes()
-        for i in new[: max(0, KEPT_PIECES - len(kept))]:
-            if len(words[i]) < 64:
-                kept[words[i]] = found[i]
+                if short:
+                    stem = word.rstrip(_MARKS)
+                    ids = kept.get(stem)
+                    if ids is None:
+                        ids = array("I", [t.id for t in tokenize(blank + stem)]).tobytes()
+                        if room > 0 and len(stem) < 64:
+                            kept[stem] = ids
+                            room -= 1
+                    found[i] = ids + self._tail(word[len(stem) :]) if len(stem) < len(word) else ids
+                    continue
+                found[i] = (self.newline + self.ids(word[1:]) if word[1:] else b"") if word[:1] == "\n" else self._encode(f" {word}")
+                if room > 0 and len(word) < 64:
+                    kept[word] = found[i]
+                    room -= 1
         return found
 
     def _irregular(self, text: str) -> list[str]:
@@ -157,13 +176,15 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts one after another, and the offsets (n + 1) of each text's ids."""
         texts = texts.cast(pa.string()) if not pa.types.is_string(texts.type) else texts
-        lists = pc.split_pattern(texts, " ")
+        # A newline between other characters than blanks is a pre-token of its own, so texts are cut before it too: words after one differ less than pairs do.
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
         ends -= ends[0]
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         words = coded.dictionary.to_pylist()
-        head = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        after = pc.replace_substring(coded.dictionary, "\n", "", max_replacements=1)  # newlines are at the head of a word only
+        head = pc.utf8_slice_codeunits(after, 0, 1)
         odd_word = pc.or_(pc.equal(head, ""), pc.utf8_is_space(head)).to_numpy(zero_copy_only=False)
         first = np.zeros(len(index), bool)
         first[ends[:-1]] = True

@@ -34,6 +34,18 @@ def fresh(texts):
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_marks_and_newlines_between_words():
+    """Words with runs of marks behind them, newlines between words and inside runs of blanks: ids of a fresh tokenizer, when seen first and when looked up."""
+    rnd = random.Random(7)
+    alphabet = ["word", "Stem", "über", "a1", "don't", *"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\", "***", "'s", "\n", "\n", "\n\n", " ", " ", " ", "\r\n", "…", "—"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(50))) for _ in range(1500)] + ["\na", "a\n", "\n", "a \nb", "a\n b", " \n", "x\n\ny"]
+    encoder = PieceEncoder(vocabulary_path("byte_bpe_50k.json"))
+    want = fresh(texts)
+    for _ in range(2):
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
 def test_added_tokens_in_texts_are_one_id():
     rnd = random.Random(6)
     alphabet = ["a", "the", " ", "  ", "\n", "\t", ".", "'s", "é", "<|endoftext|>", "<|endoftext|>", "<|", "|>"]
@@ -62,7 +74,77 @@ def test_orc_round_trip(spark):
         start += len(ids)
     assert [tuple(r) for r in rows] == sorted(want)
     assert [r.doc_id for r in orc_tokens.read_orc(spark, path, doc_ids=[3]).collect()] == [3]
-    import pyarrow.orc  # noqa: F401
+
+
+def test_orc_files_have_indexes_bloom_filters_and_run_lengths(spark):
+    """What the footers say: several stripes, a row index and a Bloom filter on doc_id in each, ids in run-length encoding; a wanted id reads few row groups."""
+    docs = spark.range(0, 20_000).selectExpr("id * 2 as doc_id", "concat_ws(' ', sha2(string(id), 256), sha2(string(id + 7), 512)) as text")
+    path = shared_dir(spark)
+    orc_tokens.write_orc(orc_tokens.encode_documents(docs.repartition(1)), path, stripe_bytes=1 << 18)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f for f in spark.read.orc(path).inputFiles()]
+    stripes, kinds, encodings, strides = 0, set(), set(), set()
+    for f in files:
+        place = jvm.org.apache.hadoop.fs.Path(f)
+        reader = jvm.org.apache.orc.OrcFile.createReader(place, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        strides.add(reader.getRowIndexStride())
+        rows = reader.rows()
+        doc_column = reader.getSchema().findSubtype("doc_id").getId()
+        for i in range(reader.getStripes().size()):
+            footer = rows.readStripeFooter(reader.getStripes().get(i))
+            stripes += 1
+            own = [footer.getStreams(k) for k in range(footer.getStreamsCount())]
+            kinds |= {str(x.getKind()) for x in own if x.getColumn() == doc_column}
+            encodings |= {str(footer.getColumns(k).getKind()) for k in range(footer.getColumnsCount())}
+        rows.close()
+        reader.close()
+    assert stripes > 1 and strides == {1000}
+    assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds) and "DIRECT_V2" in encodings
+    total = spark.read.schema(orc_tokens.SCHEMA).orc(path).selectExpr("sum(n_tokens) * 4").first()[0]
+    stored = sum(jvm.org.apache.hadoop.fs.Path(f).getFileSystem(conf).getFileStatus(jvm.org.apache.hadoop.fs.Path(f)).getLen() for f in files)
+    assert stored < 0.6 * total
+    # Rows that leave the scan: pushed filters drop row groups by statistics, and, for an odd id between them, by the Bloom filter.
+    def scanned(ids):
+        plan = orc_tokens.read_orc(spark, path, doc_ids=ids).select("doc_id")
+        plan.collect()
+        metrics = plan._jdf.queryExecution().executedPlan()
+        found = []
+
+        def walk(node):
+            if node.nodeName().startswith("Scan orc") or "Scan" in node.nodeName():
+                text = str(node.metadata().get("PushedFilters").getOrElse(None)) if node.metadata().contains("PushedFilters") else ""
+                found.append((node.metrics().apply("numOutputRows").value(), text))
+            kids = node.children()
+            for k in range(kids.size()):
+                walk(kids.apply(k))
+            if node.nodeName() == "AdaptiveSparkPlan":
+                walk(node.executedPlan())
+            if "QueryStage" in node.nodeName():
+                walk(node.plan())
+
+        walk(metrics)
+        return found
+
+    one = [n for n, text in scanned([8000]) if "doc_id" in text]
+    none = [n for n, text in scanned([8001]) if "doc_id" in text]
+    assert one and max(one) <= 2000
+    assert none and max(none) == 0
+
+
+def test_orc_with_very_long_and_clashing_rows(spark):
+    """Long texts, null and repeated ids, and columns named like the operator's own."""
+    long = "word " * 400_000
+    rows = [(None, "a", "x", 1, 2), (3, long, "x", 1, 2), (3, "b", "x", 1, 2), (3, "b", "x", 1, 2), (None, None, "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, part int, n_tokens long")
+    path = shared_dir(spark)
+    orc_tokens.write_orc(orc_tokens.encode_documents(docs.repartition(2)), path)
+    got = sorted(orc_tokens.digests(orc_tokens.read_orc(spark, path)).select("start", "doc_id", "n_tokens").collect())
+    sizes = {t: len(fresh([t or ""])[0]) + 1 for _, t, *_ in rows}
+    want, start = [], 0
+    for i, t in [(None, None), (None, "a"), (3, "b"), (3, "b"), (3, long)]:
+        want.append((start, i, sizes[t]))
+        start += sizes[t]
+    assert [tuple(r) for r in got] == want
 
 
 def test_orc_empty_table_and_null_id(spark):
@@ -110,6 +192,16 @@ def test_packing_pieces(spark, sf_dir):
     assert packing.pack_documents(spark, docs.limit(0)).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids_and_clashing_columns(spark):
+    """Rows keep their id; repeated ids give pieces per row, which the lengths of the rows tell apart."""
+    rows = [(None, "no id here", 1, 2, "p"), (5, "first text of five", 1, 2, "p"), (5, "second and longer text of five", 1, 2, "p"), (7, None, 1, 2, "p"), (None, None, 1, 2, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start int, part int, ids_crc32 string")
+    got = packing.pack_documents(spark, docs.repartition(2)).collect()
+    want = sorted((str(i), len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for (i, t, *_), x in zip(rows, fresh([r[1] or "" for r in rows])))
+    assert sorted((str(r.doc_id), r.doc_tokens, r.ids_crc32) for r in got) == want
+    assert all(r.start == 0 and r.length == r.doc_tokens for r in got)
+
+
 def test_plan_is_optimal():
     rnd = random.Random(3)
     for _ in range(60):
