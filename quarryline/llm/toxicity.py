@@ -1,7 +1,7 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
 Words and their stems are hashed into buckets with embeddings, a word is the sum of its buckets; filters of several widths run over the whole text, each keeps its maximum, and a logistic
-layer weighs the maxima. Training uses at most ``MAX_ROWS`` labelled rows (the rows with the smallest hash of their id), which is the only bound;
+layer weighs the maxima. Training uses at most ``MAX_ROWS`` labelled ids (those with the smallest hash), one text of each, ``MAX_BYTES`` in all and none over ``MAX_TEXT``;
 buckets that fewer than ``MIN_DOCS`` of these hold have no embedding and no effect. A threshold per language, with the language guessed from the
 text's function words, is calibrated on training rows set aside; scores are shifted so that it lies at 0.5. Scores depend on the text alone.
 
@@ -18,13 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.llm.batches import slices, text_rows
 
 BUCKETS = 1 << 20
 MAX_ROWS = 6000
+#: Bytes of the training texts in all, and of the longest that is taken.
+MAX_BYTES, MAX_TEXT = 64 << 20, 1 << 20
 MIN_DOCS = 3
 DIMS = 12
 WIDTHS = (1, 2, 3)
@@ -185,6 +188,43 @@ class Sample:
         return cls(words, [place[t[3]].astype(np.int32) for t in texts], np.array([t[1] for t in texts], np.int64), np.array([t[2] for t in texts], np.int64))
 
 
+def gradients(model: Model, parts: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the weighted mean logistic loss of some texts, which are rows of ``parts`` (embedding rows of each word) with padding behind.
+
+    The gradient of the embedding has the rows that the second result names; the others are zero. Only the window with the largest response of a filter counts.
+    """
+    slots, n_filters = np.concatenate([[0], np.cumsum(WIDTHS)]), len(WIDTHS) * FILTERS
+    rows = np.concatenate(texts)
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    seen, local = np.unique(rows, return_inverse=True)
+    vectors = model.embedding[parts[seen]].sum(axis=1)
+    got = model.responses(local, (vectors @ model.filters).astype(np.float32))
+    top = np.stack([a + got[a : a + n].argmax(axis=0) for a, n in zip(starts, sizes, strict=True)])
+    peak = got[top, np.arange(n_filters)] + model.bias
+    active = np.maximum(peak, 0)
+    p = 1 / (1 + np.exp(-(active @ model.weights + model.offset)))
+    delta = (p - labels) * weight / len(texts)
+    grad_peak = np.where(peak > 0, delta[:, None] * model.weights, 0)
+    grad = {"offset": delta.sum(), "weights": active.T @ delta, "bias": grad_peak.sum(axis=0), "filters": np.zeros_like(model.filters), "embedding": np.zeros((len(seen), DIMS))}
+    touched = [np.empty(0, np.int64)]
+    for k, width in enumerate(WIDTHS):
+        own = slice(k * FILTERS, (k + 1) * FILTERS)
+        for j in range(width):
+            where = np.minimum(top[:, own] + j, len(rows) - 1)
+            columns = (slots[k] + j) * FILTERS + np.arange(FILTERS)
+            g = grad_peak[:, own]
+            grad["filters"][:, columns] += np.einsum("bfd,bf->df", vectors[local[where]], g)
+            touched.append(local[where].ravel())
+            np.add.at(grad["embedding"], local[where].ravel(), (g[:, :, None] * model.filters[:, columns].T[None]).reshape(-1, DIMS))
+    mine = np.unique(np.concatenate(touched))
+    at, where = np.unique(parts[seen[mine]].ravel(), return_inverse=True)
+    summed = np.zeros((len(at), DIMS))
+    np.add.at(summed, where, np.repeat(grad["embedding"][mine], len(STEMS), axis=0))
+    grad["embedding"] = summed
+    return grad, at
+
+
 def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
     """Train by Adam; every fifth row is set aside for the thresholds."""
     words, texts, labels, languages = sample.words, sample.texts, sample.labels, sample.languages
@@ -222,42 +262,13 @@ def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
     pad = np.full(PAD, len(words), np.int32)
     padded = [np.concatenate([t, pad]) for t in texts]
     state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in ("embedding", "filters", "bias", "weights")}
-    slots = np.concatenate([[0], np.cumsum(WIDTHS)])
     weight = np.where(labels == 1, 0.5 / labels[use].mean(), 0.5 / (1 - labels[use].mean()))
     step = 0
     for _ in range(epochs):
         for chosen in np.array_split(rnd.permutation(use), max(1, len(use) // BATCH)):
             step += 1
-            rows = np.concatenate([padded[i] for i in chosen])
-            sizes = np.array([len(padded[i]) for i in chosen])
-            starts = np.cumsum(sizes) - sizes
-            seen, local = np.unique(rows, return_inverse=True)
-            vectors = model.embedding[parts[seen]].sum(axis=1)
-            got = model.responses(local, (vectors @ model.filters).astype(np.float32))
-            top = np.stack([a + got[a : a + n].argmax(axis=0) for a, n in zip(starts, sizes, strict=True)])
-            peak = got[top, np.arange(n_filters)] + model.bias
-            active = np.maximum(peak, 0)
-            p = 1 / (1 + np.exp(-(active @ model.weights + model.offset)))
-            delta = (p - labels[chosen]) * weight[chosen] / len(chosen)
-            grad_peak = np.where(peak > 0, delta[:, None] * model.weights, 0)
-            grad = {"weights": active.T @ delta, "bias": grad_peak.sum(axis=0), "filters": np.zeros_like(model.filters), "embedding": np.zeros((len(seen), DIMS))}
-            touched = [np.empty(0, np.int64)]
-            model.offset -= RATE * float(delta.sum())
-            for k, width in enumerate(WIDTHS):
-                own = slice(k * FILTERS, (k + 1) * FILTERS)
-                for j in range(width):
-                    where = np.minimum(top[:, own] + j, len(rows) - 1)
-                    columns = (slots[k] + j) * FILTERS + np.arange(FILTERS)
-                    g = grad_peak[:, own]
-                    grad["filters"][:, columns] += np.einsum("bfd,bf->df", vectors[local[where]], g)
-                    touched.append(local[where].ravel())
-                    np.add.at(grad["embedding"], local[where].ravel(), (g[:, :, None] * model.filters[:, columns].T[None]).reshape(-1, DIMS))
-            mine = np.unique(np.concatenate(touched))
-            own_rows = parts[seen[mine]]
-            at, where = np.unique(own_rows.ravel(), return_inverse=True)
-            summed = np.zeros((len(at), DIMS))
-            np.add.at(summed, where, np.repeat(grad["embedding"][mine], len(STEMS), axis=0))
-            grad["embedding"] = summed
+            grad, at = gradients(model, parts, [padded[i] for i in chosen], labels[chosen], weight[chosen])
+            model.offset -= RATE * float(grad.pop("offset"))
             for name, g in grad.items():
                 first, second = state[name]
                 part = at if name == "embedding" else slice(None)
@@ -286,45 +297,53 @@ def id_fold(column: str, folds: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS, seed: int = 7) -> Model:
-    """Fit on at most ``max_rows`` labelled rows outside fold 0.
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS, seed: int = 7, max_bytes: int = MAX_BYTES, max_text: int = MAX_TEXT) -> Model:
+    """Fit on at most ``max_rows`` labelled ids outside fold 0, one text of each, of ``max_bytes`` in all; texts over ``max_text`` bytes are not taken.
 
-    The bounded sample meets in one task, which trains; only the model comes to the driver.
+    The bounded sample meets in one task, which trains; only the model comes to the driver. Of several texts of an id the one with the smallest MD5 is taken.
     """
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
     usable = known.filter(id_fold("doc_id", folds) != 0).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    sample = usable.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
-    chosen = F.broadcast(sample)  # at most max_rows pairs of numbers
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
+    sample = usable.orderBy(*order).limit(max_rows)
+    keyed = text_rows(docs).withColumn("md5", F.md5("text"))
+    sized = keyed.join(F.broadcast(sample), "doc_id").filter(F.octet_length("text") <= max_text).select("doc_id", "toxic", F.struct("md5", F.octet_length("text").alias("bytes")).alias("t"))
+    one = sized.groupBy("doc_id").agg(F.min("t").alias("t"), F.max("toxic").alias("toxic"))
+    so_far = F.sum("t.bytes").over(Window.orderBy(*order))  # over max_rows rows of numbers at most
+    chosen = one.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("doc_id", "toxic", F.col("t.md5").alias("md5"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Sample.of(batches), seed))], pa.binary())], names=["model"])
 
-    rows = text_rows(docs).join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    rows = keyed.join(F.broadcast(chosen), ["doc_id", "md5"]).dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else constant(float(np.log(1 / 20)))
 
 
-def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
-    """The rows of ``docs`` with their score, 0 to 1, in column ``into``; an input column of that name is replaced."""
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``row``, the columns of ``docs`` as a struct, whatever their names, and ``score``, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != into]
-    hidden = "__text"
+    texts = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.table()
-        for batch in slices(batches, hidden, SLICE_BYTES):
-            logits = shared.value.logits(*hashed_words(batch.column(hidden).to_pylist()), table)
+        for batch in slices(batches, limit=SLICE_BYTES):
+            logits = shared.value.logits(*hashed_words(batch.column("text").to_pylist()), table)
             values = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values)], names=[*names, into])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values)], names=["row", "score"])
+
+    return texts.mapInArrow(run, T.StructType([texts.schema["row"], T.StructField("score", T.DoubleType())]))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    texts = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias(hidden))
-    return texts.mapInArrow(run, f"{fields}, `{into}` double")
+
+def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with their score in column ``into``; an input column of that name is replaced."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != into]
+    return _scored(docs, model).select(*kept, F.col("score").alias(into))
 
 
 def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't call toxic, with their columns as they were."""
-    return score(docs, train(docs, labels, folds, max_rows), "__toxicity").filter("__toxicity < 0.5").select(*docs.columns)
+    return _scored(docs, train(docs, labels, folds, max_rows)).filter("score < 0.5").select("row.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -14,7 +14,9 @@ from quarryline.llm.queries import op9_toxicity  # noqa: E402
 from .test_text_operators import BL, brute_decontamination, frame  # noqa: E402
 
 
-def test_toxicity_held_out_accuracy(spark, sf_dir):
+def test_toxicity_held_out_accuracy(spark):
+    """Accuracy over fold 0 only, of which training saw no row."""
+    sf_dir = "/root/testdata/sf0.01"
     rows = op9_toxicity(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert len(rows) == docs.count()
@@ -22,8 +24,19 @@ def test_toxicity_held_out_accuracy(spark, sf_dir):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
-    known = [r for r in rows if r.doc_id in label]
-    assert sum(r.predicted == label[r.doc_id] for r in known) >= 0.9 * len(known)
+    unseen = [r for r in rows if r.doc_id in label and r.held_out]
+    assert len(unseen) > 100 and {label[r.doc_id] for r in unseen} == {0, 1}
+    assert sum(r.predicted == label[r.doc_id] for r in unseen) >= 0.9 * len(unseen)
+
+
+def test_rejected_rows_have_any_columns(spark):
+    rnd = random.Random(2)
+    rows = [(i, "calm " * 9 + ("vile" if i % 4 == 0 else "word"), "a", i, "b", "c") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __toxicity string, score long, row string, md5 string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    kept = toxicity.reject(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] % 4]
+    assert rnd
 
 
 def test_toxicity_edges(spark):
