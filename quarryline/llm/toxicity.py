@@ -36,7 +36,8 @@ EPOCHS = 6
 LEAST_STEPS = 900
 BATCH = 32
 RATE = 0.01
-PAD = max(WIDTHS) - 1
+#: Rows behind each text: one that windows may begin at, as every text has one then, and others that they only end on; so no window reaches the next text.
+PAD = max(WIDTHS)
 #: Evidence of a bucket, as a root of a likelihood ratio, from which on it counts at the start of training.
 SURE = 3.5
 STEMS = (0, 4, 5, 6)
@@ -66,17 +67,18 @@ def features(word: bytes) -> tuple[int, ...]:
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each distinct word (one row per word, a last row of -1); the row of every word, with ``PAD`` times the last after
-    each text; the start of each text; the guessed language of each."""
+    """Buckets of each distinct word (one row per word, then two of -1); the row of every word, with the row before the last and then only the last
+    behind each text, ``PAD`` in all; the start of each text; the guessed language of each."""
     words = [t.translate(_WORD_BYTES).split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     coded = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy().astype(np.int64)
-    buckets = np.array([*map(features, distinct), (-1,) * len(STEMS)], np.int64)
+    buckets = np.array([*map(features, distinct), *[(-1,) * len(STEMS)] * 2], np.int64)
     marks = np.fromiter((_LANGUAGE_OF.get(w, 0) for w in distinct), np.int64, len(distinct))
     starts = np.cumsum(sizes + PAD) - (sizes + PAD)
-    flat = np.full(int((sizes + PAD).sum()), len(distinct), np.int64)
+    flat = np.full(int((sizes + PAD).sum()), len(distinct) + 1, np.int64)
+    flat[starts + sizes] = len(distinct)
     doc = np.repeat(np.arange(len(words)), sizes)
     flat[np.arange(len(index)) + PAD * doc] = index
     votes = np.bincount(doc * len(LANGUAGES) + marks[index], minlength=len(words) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
@@ -127,6 +129,7 @@ class Model:
             for a in range(int(starts[at]), int(ends[stop - 1]), block):  # a longer text comes in overlapping parts
                 b = min(a + block, int(ends[stop - 1]))
                 got = self.responses(rows[a : min(b + PAD, int(ends[stop - 1]))], table)[: b - a]
+                got[rows[a:b] == len(table) - 1] = -np.inf
                 first = np.maximum(starts[at:stop], a) - a
                 inside = (starts[at:stop] < b) & (ends[at:stop] > a)
                 best[inside] = np.maximum(best[inside], np.maximum.reduceat(got, first[inside], axis=0))
@@ -179,8 +182,8 @@ class Sample:
             ends = np.append(starts[1:], len(flat)) - PAD
             ids, toxic = (batch.column(c).to_pylist() for c in ("doc_id", "toxic"))
             texts += [(i, y, k, (flat[a:b] + base).astype(np.int32)) for i, y, k, a, b in zip(ids, toxic, languages.tolist(), starts, ends, strict=True)]
-            parts.append(buckets[:-1])
-            base += len(buckets) - 1
+            parts.append(buckets[:-2])
+            base += len(buckets) - 2
         texts.sort(key=lambda t: (t[0], len(t[3])))
         every = np.ascontiguousarray(np.concatenate(parts).astype(np.int32)).view(f"V{4 * len(STEMS)}").ravel()
         words, place = np.unique(every, return_inverse=True)
@@ -200,6 +203,7 @@ def gradients(model: Model, parts: np.ndarray, texts: list[np.ndarray], labels:
     seen, local = np.unique(rows, return_inverse=True)
     vectors = model.embedding[parts[seen]].sum(axis=1)
     got = model.responses(local, (vectors @ model.filters).astype(np.float32))
+    got[rows == len(parts) - 1] = -np.inf
     top = np.stack([a + got[a : a + n].argmax(axis=0) for a, n in zip(starts, sizes, strict=True)])
     peak = got[top, np.arange(n_filters)] + model.bias
     active = np.maximum(peak, 0)
@@ -258,8 +262,8 @@ def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
     model.filters[:, 0] = 0
     model.filters[0, 0] = 2.0
     model.weights[0] = 1.0
-    parts = np.vstack([model.rows(words.ravel()).reshape(words.shape), np.zeros((1, len(STEMS)), np.int64)])  # embedding rows of each word
-    pad = np.full(PAD, len(words), np.int32)
+    parts = np.vstack([model.rows(words.ravel()).reshape(words.shape), np.zeros((2, len(STEMS)), np.int64)])  # embedding rows of each word
+    pad = np.array([len(words), *[len(words) + 1] * (PAD - 1)], np.int32)
     padded = [np.concatenate([t, pad]) for t in texts]
     state = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in ("embedding", "filters", "bias", "weights")}
     weight = np.where(labels == 1, 0.5 / labels[use].mean(), 0.5 / (1 - labels[use].mean()))
@@ -281,7 +285,7 @@ def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
     judge = every[aside] if aside.any() else use
     flat = np.concatenate([padded[i] for i in judge])
     sizes = np.array([len(padded[i]) for i in judge])
-    logits = model.logits(np.vstack([words, np.full((1, len(STEMS)), -1)]), flat, np.cumsum(sizes) - sizes, languages[judge], table)
+    logits = model.logits(np.vstack([words, np.full((2, len(STEMS)), -1)]), flat, np.cumsum(sizes) - sizes, languages[judge], table)
     overall = _threshold(logits, labels[judge])
     model.shift[:] = overall
     for k in range(len(LANGUAGES)):
