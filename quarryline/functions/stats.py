@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.operators.ranking import running_totals
+
 MAD_TO_SIGMA = 1.4826
 
 
@@ -34,18 +38,29 @@ def robust_z(df: DataFrame, keys: list[str], value: str, into: str = "z") -> Dat
 def mid_rank_factor(df: DataFrame, value: str, into: str) -> DataFrame:
     """Adds 1 + the mid-rank percentile of ``value``; 1 for null.
 
-    Ranks come from counts of distinct values, so only these, not the rows, meet in order.
+    Ranks come from counts of distinct values, which are sorted by range and summed per range.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__ties"))
-    order = Window.orderBy(value)
-    ranked = counts.withColumn("__below", F.sum("__ties").over(order) - F.col("__ties")).withColumn("__n", F.sum("__ties").over(Window.partitionBy()))
-    factor = 1 + (2 * F.col("__below") + F.col("__ties")) / (2 * F.col("__n"))
-    return df.join(ranked.select(value, factor.alias(into)), value, "left").withColumn(into, F.coalesce(into, F.lit(1.0)))
+    upto = running_totals(counts, [F.col(value)], "__ties", "__upto")
+    total = counts.agg(F.sum("__ties").alias("__n"))
+    factor = 1 + (2 * F.col("__upto") - F.col("__ties")) / (2 * F.col("__n"))
+    ranked = upto.crossJoin(F.broadcast(total)).select(value, factor.alias(into))  # one row
+    return df.join(ranked, value, "left").withColumn(into, F.coalesce(into, F.lit(1.0)))
 
 
 def share_at_most(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
-    """Adds the percentage of the group's values that are no larger."""
-    return df.withColumn(into, 100 * F.cume_dist().over(Window.partitionBy(*keys).orderBy(value)))
+    """Adds the percentage of the group's values that are no larger; null values come first.
+
+    From counts of distinct values in the order of group and value, so a group with a third of all rows is dealt to many tasks.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__ties"))
+    upto = running_totals(counts, [F.col(k) for k in [*keys, value]], "__ties", "__upto")
+    groups = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
+    firsts = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__ties")).alias("__before"))
+    offset = groups.join(firsts, keys)
+    shares = upto.join(offset, keys).select(*keys, value, (100 * (F.col("__upto") - F.col("__before")) / F.col("__n")).alias(into))
+    same = [df[k].eqNullSafe(shares[k]) for k in [*keys, value]]
+    return df.join(shares, same[0] if len(same) == 1 else reduce(lambda a, b: a & b, same)).select(*(df[c] for c in df.columns), into)
 
 
 def top_fraction(df: DataFrame, keys: list[str], size: str, tie: str, fraction: float) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarryline.functions import text as T
 from quarryline.operators.components import connected_components
+from quarryline.operators.linking import links
 from quarryline.session import shared_dir, write_through
 
 RADIUS = 6
@@ -17,16 +23,32 @@ RADIUS = 6
 def simhash(df: DataFrame, id_: str, text: str) -> DataFrame:
     """``id_`` and ``fp``: bit i is set where more of the text's word runs have it in the first half of their MD5 than not. Texts without words have none.
 
-    The 64 bit sums are partial aggregates, so word runs never meet in one place.
+    Words come from the JVM; a text's runs are hashed and counted in its batch, so nothing is shuffled.
     """
-    runs = df.select(id_, F.explode(T.shingles(text)).alias("s"))
-    hashed = runs.select(id_, F.conv(F.substring(F.md5("s"), 1, 16), 16, -10).cast("long").alias("h"))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)]
-    bits = [F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return hashed.groupBy(id_).agg(*votes).select(id_, total.cast("long").alias("fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("w")
+            ends, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
+            ids, prints = [], []
+            for i, key in enumerate(batch.column(id_).to_pylist()):
+                words = flat[ends[i] : ends[i + 1]]
+                if words:
+                    ids.append(key)
+                    prints.append(_print(words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(id_).type), pa.array(np.array(prints, np.uint64).view(np.int64))], names=[id_, "fp"])
+
+    rows = df.select(id_, T.words(text).alias("w"))
+    return rows.mapInArrow(run, StructType([rows.schema[id_], StructField("fp", LongType())]))
+
+
+def _print(words: list[str], k: int = 3, block: int = 1 << 15) -> int:
+    runs = [*({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} or set(words))]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(runs), block):  # long texts in pieces, so that their bits take little room
+        part = b"".join(md5(r.encode()).digest()[:8] for r in runs[at : at + block])
+        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(runs)).view(">u8")[0])
 
 
 def block_masks(radius: int = RADIUS, spare: int = 1) -> list[int]:
@@ -60,10 +82,15 @@ def near_pairs(prints: DataFrame, id_: str, radius: int = RADIUS, spare: int | N
 
 
 def clusters(df: DataFrame, id_: str, text: str, radius: int = RADIUS) -> DataFrame:
-    """``id_`` and ``cluster``, the smallest id of its chain of near texts; texts without words stand alone."""
-    prints = write_through(simhash(df, id_, text), shared_dir(df.sparkSession))  # read four times below
-    reps = prints.groupBy("fp").agg(F.min(id_).alias("rep"))
-    labels = connected_components(near_pairs(prints, id_, radius))
-    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("cluster"))
-    found = prints.join(named, "fp").select(id_, "cluster")
+    """``id_`` and ``cluster``, the smallest id of its chain of near texts; texts without words stand alone.
+
+    Equal hashes are one node; nodes are linked in buckets of a bounded size, so the work does not grow with the square of a group.
+    """
+    spark = df.sparkSession
+    prints = write_through(simhash(df, id_, text), shared_dir(spark))
+    nodes = write_through(prints.groupBy("fp").agg(F.min(id_).alias("rep")), shared_dir(spark))
+    labels = connected_components(links(nodes, radius)).withColumnRenamed("node", "fp")
+    grouped = nodes.join(labels, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    smallest = grouped.groupBy("group").agg(F.min("rep").alias("cluster"))
+    found = prints.join(grouped.join(smallest, "group").select("fp", "cluster"), "fp").select(id_, "cluster")
     return df.select(id_).join(found, id_, "left").select(id_, F.coalesce("cluster", id_).alias("cluster"))

@@ -68,6 +68,16 @@ def positions(df: DataFrame, order: list[Column], name: str = "position") -> Dat
     return joined.select(*df.columns, place.alias(name))
 
 
+def running_totals(df: DataFrame, order: list[Column], weight: str, name: str = "upto") -> DataFrame:
+    """Every row with the sum of ``weight`` up to and with it in a total order; ranges are summed apart and shifted by what comes before them."""
+    stored = write_through(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), shared_dir(df.sparkSession))
+    own = F.sum(weight).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stored.groupBy("__part").agg(F.sum(weight).alias("__w"))
+    before = sums.select("__part", F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__before"))  # a row per shuffle partition
+    return stored.withColumn(name, own).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).select(*df.columns, name)
+
+
 def rotation(df: DataFrame, order: list[Column], cursor: int, size: int) -> DataFrame:
     """``size`` rows from position ``cursor`` on in a total order, going on at the beginning."""
     n = df.count()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import times
 from quarryline.operators.components import connected_components
+from quarryline.session import shared_dir, write_through
 
 #: Fixed values.
 TIME_GATE_HOURS, GIANT_SHARE, MATCH_MIN = 30.0, 0.10, 0.10
@@ -25,9 +26,11 @@ def weights(posts: DataFrame, column: str) -> DataFrame:
 
 
 def pair_scores(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, gate_hours: float = TIME_GATE_HOURS) -> DataFrame:
-    """``a`` < ``b`` and ``score`` of posts within the time gate that share a token or a rare entity.
+    """``a`` < ``b`` and ``score`` of posts within the time gate that share a rare entity, or two tokens and enough of the lighter post's weight.
 
-    Pairs meet on a shared value and a time bucket of the gate's width, this one or the next; shares are summed per pair.
+    Pairs meet on a shared value and a time bucket of the gate's width, this one or the next. Of the post with less weight only the rarest tokens take part
+    that hold all but ``TEXT_STRONG`` of it: what a pair shares among the others alone is too little, so no pair is lost and common words bring none together.
+    All shares of the pairs that met are summed after.
     """
     bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (gate_hours * 3600))
     kinds = []
@@ -36,14 +39,23 @@ def pair_scores(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str,
         idf = idf.filter(F.col("share") < GIANT_SHARE) if kind == "e" else idf
         each = posts.select(F.col(id_).alias("id"), F.col(ts).alias("ts"), bucket.alias("k"), F.explode(F.array_distinct(column)).alias("v"))
         kinds.append(each.join(idf.select("v", "idf"), "v").withColumn("kind", F.lit(kind)))
-    each = kinds[0].unionByName(kinds[1])
-    mass = kinds[0].groupBy("id").agg(F.sum("idf").alias("mass"))
-    left = each.select("v", "kind", "idf", F.col("id").alias("a"), F.col("ts").alias("ta"), F.explode(F.array("k", F.col("k") + 1, F.col("k") - 1)).alias("k"))
-    right = each.select("v", "kind", F.col("id").alias("b"), F.col("ts").alias("tb"), "k")
-    near = F.abs(times.hours_between(F.col("ta"), F.col("tb"))) <= gate_hours
-    shared = left.join(right, ["v", "kind", "k"]).filter((F.col("a") < F.col("b")) & near)
+    light = Window.partitionBy("id").orderBy("idf", "v").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("id")
+    words = kinds[0].withColumns({"mass": F.sum("idf").over(whole), "lighter": F.sum("idf").over(light)})
+    words = write_through(words.withColumn("leads", F.col("lighter") >= TEXT_STRONG * F.col("mass") * (1 - 1e-9)).drop("lighter"), shared_dir(posts.sparkSession))
+    every = words.select("v", "kind", "k", "id", "ts", "idf", "mass", "leads").unionByName(kinds[1].withColumns({"mass": F.lit(0.0), "leads": F.lit(True)}))
+    left = every.filter("leads").select("v", "kind", F.col("id").alias("x"), F.col("ts").alias("tx"), F.col("mass").alias("mx"), F.explode(F.array("k", F.col("k") + 1, F.col("k") - 1)).alias("k"))
+    right = every.select("v", "kind", "k", F.col("id").alias("y"), F.col("ts").alias("ty"), F.col("mass").alias("my"))
+    near = F.abs(times.hours_between(F.col("tx"), F.col("ty"))) <= gate_hours
+    lighter = (F.col("kind") == "e") | (F.col("mx") < F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
+    met = left.join(right, ["v", "kind", "k"]).filter((F.col("x") != F.col("y")) & near & lighter)
+    pairs = write_through(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), shared_dir(posts.sparkSession))
+    both = words.select("id", "v", "idf", "kind").unionByName(kinds[1].select("id", "v", "idf", "kind"))
+    of_a, of_b = both.withColumnRenamed("id", "a"), both.select(F.col("id").alias("b"), "v", "kind")
+    shared = pairs.join(of_a, "a").join(of_b, ["b", "v", "kind"])
     token = F.col("kind") == "t"
     summed = shared.groupBy("a", "b").agg(F.sum(F.when(token, F.col("idf")).otherwise(0.0)).alias("t"), F.count_if(token).alias("n"), F.sum(F.when(~token, F.col("idf"))).alias("e"))
+    mass = words.groupBy("id").agg(F.max("mass").alias("mass"))
     base = F.least(F.coalesce("ma.mass", F.lit(0.0)), F.coalesce("mb.mass", F.lit(0.0)))
     joined = summed.join(mass.alias("ma"), F.col("a") == F.col("ma.id"), "left").join(mass.alias("mb"), F.col("b") == F.col("mb.id"), "left")
     text = F.when(base > 0, F.col("t") / base).otherwise(0.0)

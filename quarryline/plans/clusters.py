@@ -18,16 +18,17 @@ def near_duplicate_clusters(spark, d):
     return neardup.clusters(table(spark, d, "documents"), "doc_id", "text")
 
 
+#: Words of the invented texts that stand in for a lexicon of names.
+LEXICON = ["ther", "ing", "ment", "ung"]
+
+
 @plan()
 def story_clusters(spark, d):
-    """C2 over the turns of conversations, one hour apart each."""
+    """C2 over the turns of conversations: all words of three letters or more, names and hosts as entities, twenty minutes apart, so that a window of 30 hours holds ninety turns either side."""
     turns = table(spark, d, "conversations")
     rows = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     posts = rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-        F.timestamp_seconds(F.col("conv_id") * 50_000 + F.col("turn") * 3600).alias("ts"),
-        T.content_tokens("text", 6).alias("tokens"),
-        F.filter(T.content_tokens("text", 9), lambda w: F.length(w) >= 12).alias("ents"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.timestamp_seconds(F.col("conv_id") * 1200 + F.col("turn") * 60).alias("ts"), T.content_tokens("text").alias("tokens"), T.entities("text", LEXICON).alias("ents")
     )
     return stories.stories(posts, "id", "ts", "tokens", "ents")
 
@@ -102,7 +103,7 @@ def cross_platform_stories(spark, d):
     """C3, C5 over documents, with the language as platform, one minute apart each."""
     docs = table(spark, d, "documents").select(
         "doc_id", F.col("lang").alias("platform"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"),
-        F.filter(T.words("text"), lambda w: F.length(w) >= 3).alias("words"), F.filter(T.content_tokens("text", 9), lambda w: F.length(w) >= 12).alias("ents"),
+        F.filter(T.words("text"), lambda w: F.length(w) >= 3).alias("words"), F.array_union(T.entities("text"), T.content_tokens("text")).alias("ents"),
     )
     return stories.cross_stories(docs, "doc_id", "ts", "platform", "words", "ents")
 

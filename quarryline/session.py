@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether a table is there, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.times import parse_any
+
 ITEM = "title string, link string, guid string, pubDate string, description string, author string"
 
 
@@ -15,15 +17,30 @@ def rss_items(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
     return parsed.select(*keep, "pos", "__item.*")
 
 
-def feed_summary(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
-    """Title, language and number of entries of each feed, RSS or Atom."""
+def _feed_date(c: Column) -> Column:
+    """A time as feeds write it: day, month's name, year, clock and zone, or ISO."""
+    mail = F.regexp_extract(F.coalesce(c, F.lit("")), r"([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} (?:[+-][0-9]{4}|GMT|UTC|Z))", 1)
+    zoned = F.regexp_replace(mail, "(?:GMT|UTC|Z)$", "+0000")
+    return F.coalesce(F.try_to_timestamp(F.nullif(zoned, F.lit("")), F.lit("d MMM yyyy HH:mm:ss Z")), parse_any(c))
+
+
+def feed_summary(df: DataFrame, body: str, keep: list[str], recent: int = 20) -> DataFrame:
+    """Title, language, number of entries, last entry and entries a day of each feed, RSS or Atom; the last two from its first ``recent`` entries."""
     text = F.coalesce(F.col(body), F.lit(""))
     head = F.regexp_replace(text, r"(?s)<(?:item|entry)[\s>].*$", "")
-    return df.select(
+    entries = F.slice(F.regexp_extract_all(text, F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"), 1), 1, recent)
+    part = lambda e, tag: F.nullif(F.regexp_extract(e, rf"(?s)<{tag}>\s*(.*?)\s*</{tag}>", 1), F.lit(""))
+    dated = F.array_compact(F.transform(entries, lambda e: _feed_date(F.coalesce(part(e, "pubDate"), part(e, "updated"), part(e, "published")))))
+    days = (F.unix_timestamp(F.array_max("__d")) - F.unix_timestamp(F.array_min("__d"))) / 86400
+    lang = F.coalesce(F.nullif(F.regexp_extract(head, r"<language>\s*([a-zA-Z-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r'<feed[^>]*xml:lang="([^"]+)"', 1), F.lit("")))
+    summed = df.withColumn("__d", dated)
+    return summed.select(
         *keep,
         plain_text(F.regexp_extract(head, r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        F.nullif(F.regexp_extract(head, r"<language>\s*([a-zA-Z-]+)", 1), F.lit("")).alias("lang"),
+        lang.alias("lang"),
         F.regexp_count(text, F.lit(r"<(?:item|entry)[\s>]")).alias("entries"),
+        F.array_max("__d").alias("last_at"),
+        F.when(F.size("__d") == 0, 0.0).when(days > 0, F.round(F.size("__d") / days, 3)).otherwise(F.size("__d").cast("double")).alias("per_day"),
     )
 
 
@@ -77,3 +94,18 @@ def posts_from_json(df: DataFrame, body: str, keep: list[str]) -> DataFrame:
         *keep, F.col("p.id_str").alias("external_id"), F.lower("p.user.screen_name").alias("handle"), F.col("p.full_text").alias("text"),
         F.col("p.favorite_count").alias("likes"), F.col("p.reply_count").alias("replies"), F.col("p.retweet_count").alias("reposts"), F.col("p.created_at").alias("created_at"),
     )
+
+
+def timeline_posts(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
+    """Posts of the timeline that a page carries as JSON: the first entry is the pinned one, texts that begin with RT @ are reposts; entries of other types are left out."""
+    entries = F.try_variant_get(next_data(F.col(html)), "$.props.pageProps.timeline.entries", "array<variant>")
+    each = df.select(*keep, F.posexplode(entries).alias("pos", "__e"))
+    field = lambda path, kind: F.try_variant_get("__e", path, kind)
+    kind, id_ = field("$.type", "string"), F.coalesce(field("$.content.tweet.id_str", "string"), field("$.content.tweet.id", "string"))
+    text = F.coalesce(field("$.content.tweet.full_text", "string"), field("$.content.tweet.text", "string"), F.lit(""))
+    counts = {"likes": "favorite_count", "reposts": "retweet_count", "replies": "reply_count"}
+    rows = each.filter((F.coalesce(kind, F.lit("tweet")).isin("tweet", "")) & field("$.content.tweet", "variant").isNotNull())
+    return rows.select(
+        *keep, id_.alias("external_id"), text.alias("text"), *(field(f"$.content.tweet.{v}", "long").alias(k) for k, v in counts.items()), field("$.content.tweet.lang", "string").alias("lang"),
+        F.lower(field("$.content.tweet.user.screen_name", "string")).alias("handle"), text.startswith("RT @").alias("is_repost"), (F.col("pos") == 0).alias("pinned"),
+    )

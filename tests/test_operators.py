@@ -2,8 +2,11 @@
 
 import datetime as dt
 import hashlib
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +182,76 @@ def test_near_duplicate_clusters(spark):
     assert len(set(label.values())) < len(label)
 
 
+def test_links_of_large_buckets():
+    """Masks over open bits compare a bit each and lose no pair."""
+    from quarryline.operators import linking
+
+    rnd = random.Random(2)
+    for free in (-1, 0xFFFF_FFFF, 0b1011_0110_0111_0101_1100_1110):
+        bits = [i for i in range(64) if free >> i & 1]
+        masks = linking.covering_masks(6, free)
+        assert all(m and not m & ~free for m in masks)
+        for _ in range(300):
+            diff = sum(1 << b for b in rnd.sample(bits, 6))
+            assert any(not m & diff for m in masks)
+
+
+def plain_pair_scores(posts):
+    n = len(posts)
+    df = [Counter(v for p in posts.values() for v in set(p[k])) for k in (1, 2)]
+    idf = [{v: 1 + math.log((n + 1) / (1 + c)) for v, c in d.items()} for d in df]
+    out = {}
+    for a, b in itertools.combinations(sorted(posts), 2):
+        (ta, wa, ea), (tb, wb, eb) = posts[a], posts[b]
+        if abs((ta - tb).total_seconds()) > 30 * 3600:
+            continue
+        shared, rare = set(wa) & set(wb), [v for v in set(ea) & set(eb) if df[1][v] / n < 0.10]
+        base = min(sum(idf[0][v] for v in set(w)) for w in (wa, wb))
+        text = sum(idf[0][v] for v in shared) / base if base else 0.0
+        if rare or (len(shared) >= 2 and text >= 0.15):
+            out[a, b] = text + 0.10 * min(1.0, sum(idf[1][v] for v in rare) / 3.0)
+    return out
+
+
+def test_pair_scores_equal_all_pairs(spark):
+    """Prefix filtering loses no pair: frequent words, light posts, equal weights, posts without words, entities alone."""
+    rnd = random.Random(9)
+    common, rest = [f"c{i}" for i in range(4)], [f"w{i}" for i in range(60)]
+    posts = {}
+    for i in range(90):
+        words = [w for w in common if rnd.random() < 0.7] + rnd.sample(rest, rnd.choice([0, 0, 1, 2, 5, 9]))
+        ents = [e for e in ("rare1", "rare2", "wide") if rnd.random() < (0.7 if e == "wide" else 0.04)]
+        posts[i] = (dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(0, 90)), words, ents)
+    posts[90], posts[91] = (posts[0][0], [], []), (posts[0][0], list(posts[1][1]), [])
+    df = spark.createDataFrame([(i, *p) for i, p in posts.items()], "id long, ts timestamp, tokens array<string>, ents array<string>")
+    got = {(r.a, r.b): r.score for r in stories.pair_scores(df.repartition(3), "id", "ts", "tokens", "ents").collect()}
+    want = plain_pair_scores(posts)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert 20 < len(want) < len(posts) * (len(posts) - 1) / 2
+
+
+def test_running_totals_and_positions(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randint(0, 9)) for i in rnd.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "k long, w long").repartition(5)
+    total, want = 0, {}
+    for k, w in sorted(rows):
+        total += w
+        want[k] = total
+    assert {r.k: r.upto for r in ranking.running_totals(df, [F.col("k")], "w").collect()} == want
+    assert {r.k: r.position for r in ranking.positions(df, [F.col("k").desc()]).collect()} == {k: i for i, (k, _) in enumerate(sorted(rows, reverse=True))}
+    assert ranking.rotation(df, [F.col("k")], 498, 5).count() == 5
+
+
+def test_share_at_most_with_nulls_and_ties(spark):
+    from quarryline.functions import stats
+
+    rows = [("a", 1), ("a", 1), ("a", None), ("a", 3), ("b", 5), (None, 2), (None, 1)]
+    got = sorted(map(str, stats.share_at_most(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", "pct").collect()))
+    want = {("a", 1): 75.0, ("a", None): 25.0, ("a", 3): 100.0, ("b", 5): 100.0, (None, 2): 100.0, (None, 1): 50.0}
+    assert got == sorted(f"Row(k={k!r}, v={v!r}, pct={want[k, v]})" for k, v in rows)
+
+
 def test_stories_split_inside_a_component(spark):
     a, b = ["quake", "island", "harbour", "rescue"], ["merger", "bank", "shares", "board"]
     rows = [(1, at(0), a, ["@coast"]), (2, at(1), a[:3], ["@coast"]), (3, at(2), b, ["@stock"]), (4, at(3), b[1:], ["@stock"]), (5, at(4), ["lone"], []), (6, at(60), a, ["@coast"])]
