@@ -55,12 +55,16 @@ def share_at_most(df: DataFrame, keys: list[str], value: str, into: str) -> Data
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__ties"))
     upto = running_totals(counts, [F.col(k) for k in [*keys, value]], "__ties", "__upto")
-    groups = counts.groupBy(*keys).agg(F.sum("__ties").alias("__n"))
-    firsts = upto.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__ties")).alias("__before"))
-    offset = groups.join(firsts, keys)
-    shares = upto.join(offset, keys).select(*keys, value, (100 * (F.col("__upto") - F.col("__before")) / F.col("__n")).alias(into))
-    same = [df[k].eqNullSafe(shares[k]) for k in [*keys, value]]
-    return df.join(shares, same[0] if len(same) == 1 else reduce(lambda a, b: a & b, same)).select(*(df[c] for c in df.columns), into)
+    groups = upto.groupBy(*keys).agg(F.sum("__ties").alias("__n"), F.min(F.col("__upto") - F.col("__ties")).alias("__before"))
+    shares = _null_safe(upto, groups, keys).withColumn(into, 100 * (F.col("__upto") - F.col("__before")) / F.col("__n"))
+    return _null_safe(df, shares.select(*keys, value, into), [*keys, value])
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on keys of which nulls are equal."""
+    named = right.withColumnsRenamed({k: f"__{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)))
+    return left.join(named, same).drop(*(f"__{i}" for i in range(len(keys))))
 
 
 def top_fraction(df: DataFrame, keys: list[str], size: str, tie: str, fraction: float) -> DataFrame:
