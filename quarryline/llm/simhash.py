@@ -1,14 +1,8 @@
 """SimHash near-duplicates with covering locality-sensitive hashing.
 
-The i-th of the bits to be covered gets a code c(i) in {1, ..., 2^(r+1) - 1}, read as a vector of r + 1 bits. Table v, for each of
-the 2^(r+1) - 1 non-zero vectors v, compares the bits whose code has an odd product with v. The codes of r differing bits span at most
-r dimensions, so some v is orthogonal to all of them and its table ignores every differing bit: each pair within the radius
-meets in a table, without exception.
-
-Equal fingerprints are one node. A bucket of more than ``BUCKET`` nodes is not searched as it is: the bits that its table did not compare are covered
-by structured masks in turn, so its nodes are dealt to finer buckets in which each of their pairs within the radius meets again, and so on; every step
-fixes about half of the open bits. Inside a bucket nodes are linked breadth first, with one edge per node and component, so the edges
-never grow with the square of a bucket. Components come from star contraction over those edges.
+Structured masks (``operators.linking``) make 2^(r+1) - 1 tables of the fingerprints; each pair within the radius r meets in a table, without exception. Equal
+fingerprints are one node, large buckets are dealt to finer masks over the bits that their table left open, and inside a bucket nodes are linked breadth first, with one
+edge per node and component. Components come from star contraction over those edges.
 
 Null and blank texts have fingerprint zero and are linked like any other. A row without id links others but names none: its component is the
 smallest id that its fingerprint reaches, or null. Rows with the same id stay rows and may be in different components. An empty table has no rows.
@@ -26,14 +20,13 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.batches import slices, text_rows
 from quarryline.operators.components import connected_components
+from quarryline.operators.linking import links
 from quarryline.session import shared_dir, write_through
 
 WORDS = 4
 RADIUS = 4
 BITS = 64
 SEED = 42
-#: Nodes of a bucket that one task searches; more are dealt to finer buckets.
-BUCKET = 1 << 13
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -70,109 +63,6 @@ def _text_md5():
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("md5")
 
 
-def covering_masks(radius: int = RADIUS, free: int = -1) -> list[int]:
-    """One mask per table over the bits set in ``free``, as signed longs; see the module's text.
-
-    Powers of two come first among the codes, so that from ``radius`` + 1 bits on every table compares a bit at least.
-    """
-    tables = (1 << radius + 1) - 1
-    codes = sorted(range(1, tables + 1), key=lambda c: (c & (c - 1) != 0, c))
-    bits = [i for i in range(BITS) if free >> i & 1]
-    masks = []
-    for v in range(1, tables + 1):
-        mask = sum(1 << bit for i, bit in enumerate(bits) if (v & codes[i % tables]).bit_count() % 2)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    return masks
-
-
-def link_bucket(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the components of one bucket: a root's index and the index of each other member."""
-    roots, members = [], []
-    left = np.arange(len(values))
-    while len(left):
-        root, left = left[0], left[1:]
-        frontier = [root]
-        while frontier and len(left):
-            near = np.bitwise_count(values[left] ^ values[frontier.pop()]) <= radius
-            hits, left = left[near], left[~near]
-            frontier += hits.tolist()
-            roots += [root] * len(hits)
-            members.append(hits)
-    return np.array(roots, np.int64), np.concatenate(members) if members else np.empty(0, np.int64)
-
-
-def _dealt(rows: DataFrame, radius: int) -> DataFrame:
-    """Nodes (``mask``, ``fp``) under every finer mask that covers the bits which ``mask`` does not compare."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finer: dict[int, np.ndarray] = {}
-        for batch in batches:
-            masks, prints = (batch.column(c).to_numpy() for c in ("mask", "fp"))
-            for mask in np.unique(masks).tolist():
-                if mask not in finer:
-                    finer[mask] = np.array([mask | m for m in covering_masks(radius, ~mask)], np.int64)
-                own = prints[masks == mask]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(finer[mask], len(own))), pa.array(np.repeat(own, len(finer[mask])))], names=["mask", "fp"])
-
-    return rows.mapInArrow(run, "mask long, fp long")
-
-
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (``src``, ``dst``) between distinct fingerprints (``fp``) that join all pairs within the radius.
-
-    Buckets are counted with partial sums before they meet. Large ones, which a group of thousands of near copies makes, are dealt to finer
-    buckets; the loop ends as distinct fingerprints have no more than ``bucket`` values in so few open bits.
-    """
-    if bucket < 1 << radius + 1:
-        raise ValueError("too small a bucket for the radius")
-    spark, found = nodes.sparkSession, None
-    rows = nodes.select(F.lit(0).cast("long").alias("mask"), "fp")
-    while True:
-        dealt = _keyed(_dealt(rows, radius))
-        large = dealt.groupBy("bucket").count().filter(F.col("count") > bucket).select("bucket")
-        large = write_through(large, shared_dir(spark))
-        some = not large.isEmpty()
-        small = dealt.join(large, "bucket", "left_anti") if some else dealt
-        edges = _linked(small, radius)
-        found = edges if found is None else found.union(edges)
-        if not some:
-            return found
-        rows = write_through(dealt.join(large, "bucket", "left_semi").select("mask", "fp"), shared_dir(spark))
-
-
-def _linked(buckets: DataFrame, radius: int) -> DataFrame:
-    """Edges inside buckets, each of a bounded size."""
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 2
-
-        def joined(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(columns[0])]])
-            src, dst = [], []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                roots, members = link_bucket(columns[1][a:b].view(np.uint64), radius)
-                src.append(columns[1][a:b][roots])
-                dst.append(columns[1][a:b][members])
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
-
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                at = int(np.searchsorted(held[0], held[0][-1]))
-                yield from joined([h[:at] for h in held])
-                held = [h[at:].copy() for h in held]
-        if len(held[0]):
-            yield from joined(held)
-
-    return buckets.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(edges, "src long, dst long")
-
-
 def _groups(spark: SparkSession, docs: DataFrame, words: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``fingerprints``, and per distinct ``fp`` its smallest id ``rep`` and ``group``, the smallest fingerprint that it reaches."""
     rows = write_through(fingerprints(docs, words, seed), shared_dir(spark))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from quarryline.llm import decontam, lines, pii, quality, queries, simhash
+from quarryline.operators import linking
 
 BL = " \t\n\x0b\x0c\r"
 
@@ -332,7 +333,7 @@ def test_simhash(spark):
 
 def test_covering_masks_meet_every_pair_within_the_radius():
     rnd = np.random.default_rng(1)
-    masks = np.array(simhash.covering_masks(), np.int64).view(np.uint64)
+    masks = np.array(linking.covering_masks(4), np.int64).view(np.uint64)
     assert len(masks) == 31
     for _ in range(2000):
         bits = rnd.choice(64, 4, replace=False)
@@ -344,7 +345,7 @@ def test_covering_masks_meet_every_pair_within_the_radius():
 def test_finer_masks_cover_the_open_bits(free):
     """Under any mask the finer ones cover what it does not compare, and every one of them compares a bit at least."""
     bits = [i for i in range(64) if free >> i & 1]
-    masks = simhash.covering_masks(4, free)
+    masks = linking.covering_masks(4, free)
     assert all(m and not m & ~free for m in masks)
     rnd = random.Random(3)
     for _ in range(500):
@@ -364,7 +365,7 @@ def test_large_buckets_are_dealt_to_finer_ones(spark):
     from quarryline.operators.components import connected_components
 
     nodes = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(3)
-    found = {r.node: r.component for r in connected_components(simhash.links(nodes, 4, 32)).collect()}
+    found = {r.node: r.component for r in connected_components(linking.links(nodes, 4, 32)).collect()}
     assert {p: found.get(p, p) for p in prints} == label
 
 
