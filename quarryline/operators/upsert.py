@@ -65,3 +65,9 @@ def migrate(rows: DataFrame, legacy_map: DataFrame, key: str, new_key: str) -> t
     """Rows under their new key, and the rows that the map does not know."""
     known = rows.join(legacy_map.select(key, new_key), key)
     return known, rows.join(legacy_map.select(key), key, "left_anti")
+
+
+def migrate_all(rows: DataFrame, legacy_map: DataFrame, keys: list[str], new_key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of several databases under their new keys, and those that the map does not know; ``keys`` name the database and its own key."""
+    known = legacy_map.select(*keys, new_key)
+    return rows.join(known, keys), rows.join(known.select(*keys), keys, "left_anti")
