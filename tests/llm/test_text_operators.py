@@ -94,6 +94,69 @@ def test_pii(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def plain_luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def added_pii(text):
+    """The spans that the method adds, from its rules: candidates in their order, each kept if no character of it is taken and its score is enough."""
+    taken = {i for _, a, b in base_pii(text) for i in range(a, b)}
+    context = {"card": ("card", "credit", "visa"), "phone": ("call", "phone"), "iban": ("iban", "bank", "account"), "ssn": ("ssn",)}
+    score = {"card": 20, "phone": 30, "iban": 10, "ssn": 20}
+    out = []
+
+    def offer(kind, a, b, checked):
+        sides = (text[max(0, a - 40) : a].lower(), text[b : b + 40].lower())
+        points = score[kind] + 50 * checked + 30 * any(w in side for w in context[kind] for side in sides)
+        if points >= 50 and not taken & set(range(a, b)):
+            out.append((kind, a, b))
+            taken.update(range(a, b))
+
+    failed = [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text)] + [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)]
+    for kind, m in failed:
+        digits = re.sub("[^0-9]", "", m[0])
+        if kind == "card" and len(digits) > 14 and not (len(digits) <= 19 and plain_luhn(digits)):
+            groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer("[0-9]+", m[0])]
+            i = 0
+            while i < len(groups):
+                whole = [(j, re.sub("[^0-9]", "", text[groups[i][0] : groups[j][1]])) for j in range(i, len(groups))]
+                good = next((j for j, d in whole if 14 <= len(d) <= 19 and plain_luhn(d)), None)
+                if good is not None:
+                    offer("card", groups[i][0], groups[good][1], True)
+                i = i + 1 if good is None else good + 1
+        if kind == "phone" and len(digits) > 15:
+            first = re.match(r"\+[0-9]{1,3}[ .-]?(\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])", m[0])
+            if first:
+                offer("phone", m.start(), m.start() + first.end(), 10 <= len(re.sub("[^0-9]", "", first[0])) <= 15)
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", text):
+        code = m[0].replace(" ", "")
+        moved = code[4:] + code[:4]
+        number = "".join(c if c.isdigit() else str("ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c) + 10) for c in moved)
+        if 15 <= len(code) <= 34 and int(number) % 97 == 1:
+            offer("iban", m.start(), m.end(), True)
+    for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text):
+        offer("ssn", m.start(), m.end(), False)
+    for m in re.finditer(r"(?<![0-9+])(\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            offer("phone", m.start(), m.end(), False)
+    return out
+
+
+def test_added_spans_equal_plain_rules(spark):
+    """Every added kind with and without its context, next to base spans and inside longer runs."""
+    rnd = random.Random(11)
+    bits = ["4111 1111 1111 1111", "12345678 4111111111111111 12345678", "4111 1111 1111 1112 9", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 33", "123-45-6789", "030-1234-5678", "(030) 123 4567",
+            "+1 212 555 0100 212 555 0100", "+49 30 123456 7890 1234 99", "card", "Call me", "IBAN", "ssn:", "bank account", "a@b.cd", "10.0.0.1", "word", "plain words that go on for more than forty characters in all", ",", " ", "\n"]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7))) for _ in range(500)]
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans if not s["base"]] for r in pii.find_pii(frame(spark, list(enumerate(texts)))).collect()}
+    kinds = set()
+    for i, t in enumerate(texts):
+        want = added_pii(t)
+        assert sorted(got[i]) == sorted(want), t
+        kinds |= {k for k, _, _ in want}
+    assert kinds == {"card", "phone", "iban", "ssn"}
+
+
 def brute_quality(t):
     t = t or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -296,6 +359,28 @@ def test_ip_parts_of_any_length(part):
     assert [s[1:3] for s in pii.find_spans(text) if s[0] == "ip"] == (ends if part <= 255 else [])
 
 
+def plain_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(rows):
+    """Fingerprints, and the smallest id that each id reaches, by all pairs."""
+    prints = {i: plain_fingerprint(t) for i, t in rows}
+    label = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if label[b] < label[a] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                    label[a], changed = label[b], True
+    return prints, label
+
+
 def test_simhash(spark):
     rnd = random.Random(9)
     base = [rnd.choice(["alpha", "Beta", "gamma", "delta", "eps"]) + str(rnd.randint(0, 99)) for _ in range(400)]
@@ -307,22 +392,7 @@ def test_simhash(spark):
         rows.append((1000 - i, "  ".join(copy)))
     rows += [(2000, " \t "), (2001, "one two"), (2002, "ONE two"), (2003, "a b c d")]
 
-    def fp(t):
-        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        if not w:
-            return 0
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    prints = {i: fp(t) for i, t in rows}
-    label = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 4 and label[b] < label[a]:
-                    label[a], changed = label[b], True
+    prints, label = plain_components(rows)
     got = queries.simhash.near_duplicates(spark, frame(spark, rows).repartition(6)).select("doc_id", simhash.hex_fingerprint().alias("h"), "component_id").collect()
     assert {r.doc_id: (r.h, r.component_id) for r in got} == {i: (f"{prints[i]:016x}", label[i]) for i in prints}
     assert len(set(label.values())) < len(label) - 20
