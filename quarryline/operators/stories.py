@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -15,6 +16,8 @@ from quarryline.session import shared_dir, write_through
 
 #: Fixed values.
 TIME_GATE_HOURS, GIANT_SHARE, MATCH_MIN = 30.0, 0.10, 0.10
+#: Pairs of a component that one task links; larger components are linked in rounds.
+PAIRS_IN_TASK = 200_000
 ENTITY_WEIGHT, ENTITY_NORM, TEXT_STRONG, MIN_SHARED = 0.10, 3.0, 0.15, 2
 
 
@@ -107,20 +110,64 @@ def _linkage(platforms: dict[int, str], scores: dict[tuple[int, int], float], th
     return [groups[i] for i in sorted(groups)]
 
 
-def stories(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, threshold: float = MATCH_MIN, gate_hours: float = TIME_GATE_HOURS) -> DataFrame:
+def merge_in_rounds(pairs: DataFrame, threshold: float, cliques: bool = False) -> DataFrame:
+    """``id`` and ``story`` of all items of scored pairs, for components of any size: groups that are each other's best partner merge, round by round.
+
+    A merge never brings a third group nearer than the nearer of the two was, so merging all mutual best pairs at once gives what one merge at a time gives; of
+    equal means the smaller ids come first. With ``cliques`` groups merge only if all of their pairs across platforms are linked, and only these count in the mean.
+    Every round is written to the shared folder; sums of scores per pair of groups shuffle, members do not meet.
+    """
+    spark = pairs.sparkSession
+    sides = [pairs.select(F.col(i).alias("id"), (F.col(p) if cliques else F.lit("")).alias("p")) for i, p in (("a", "pa"), ("b", "pb"))]
+    groups = write_through(sides[0].union(sides[1]).distinct().withColumn("g", F.col("id")), shared_dir(spark))
+    edges = write_through(pairs.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("score").alias("s"), F.count("*").alias("n")), shared_dir(spark))
+    while True:
+        held = groups.groupBy("g", "p").agg(F.count("*").alias("k")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("held"))  # an entry per platform
+        known = edges.join(held.withColumnsRenamed({"g": "x", "held": "hx"}), "x").join(held.withColumnsRenamed({"g": "y", "held": "hy"}), "y")
+        size = lambda h: F.aggregate(F.map_values(h), F.lit(0).cast("long"), lambda t, k: t + k)
+        same = F.aggregate(F.map_keys("hx"), F.lit(0).cast("long"), lambda t, k: t + F.col("hx")[k] * F.coalesce(F.try_element_at(F.col("hy"), k), F.lit(0)))
+        between = size(F.col("hx")) * size(F.col("hy")) - (same if cliques else F.lit(0))
+        able = known.withColumns({"mean": F.col("s") / between, "whole": between == F.col("n")}).filter((F.col("mean") >= threshold) & (F.col("whole") | F.lit(not cliques)))
+        rank = F.struct("mean", -F.col("x"), -F.col("y"))
+        ranked = able.select("x", "y", rank.alias("r"))
+        best = ranked.select(F.explode(F.array("x", "y")).alias("g"), "r").groupBy("g").agg(F.max("r").alias("r"))
+        mutual = best.groupBy("r").agg(F.count("*").alias("k")).filter("k = 2").select((-F.col("r.col2")).alias("x"), (-F.col("r.col3")).alias("y"))
+        merges = write_through(mutual, shared_dir(spark))
+        if merges.isEmpty():
+            return groups.select("id", F.col("g").alias("story"))
+        moved = lambda df, c: df.join(merges.select(F.col("y").alias(c), F.col("x").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        groups = write_through(moved(groups, "g"), shared_dir(spark))
+        joined = moved(moved(edges, "x"), "y").filter("x <> y")
+        edges = write_through(joined.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")), shared_dir(spark))
+
+
+def _grouped(pairs: DataFrame, threshold: float, link: Callable[[pd.DataFrame], pd.DataFrame], cliques: bool, in_task: int) -> DataFrame:
+    """Linkage inside each connected component of the pairs: by ``link`` in one task for up to ``in_task`` pairs, in rounds for larger ones."""
+    spark = pairs.sparkSession
+    pairs = write_through(pairs, shared_dir(spark))
+    labels = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "a")
+    sizes = pairs.join(labels, "a").groupBy("component").agg(F.count("*").alias("n"))
+    large = write_through(sizes.filter(F.col("n") > in_task).select("component"), shared_dir(spark))
+    labelled = pairs.join(labels, "a")
+    small = labelled.join(large, "component", "left_anti").groupBy("component").applyInPandas(link, "id long, story long")
+    if large.isEmpty():
+        return small
+    return small.union(merge_in_rounds(labelled.join(large, "component", "left_semi").drop("component"), threshold, cliques))
+
+
+def stories(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, threshold: float = MATCH_MIN, gate_hours: float = TIME_GATE_HOURS, in_task: int = PAIRS_IN_TASK) -> DataFrame:
     """``id_`` and ``story``, the smallest id of its group.
 
     Groups never leave a connected component of scores, so components are found first and average linkage runs inside each.
     """
     pairs = pair_scores(posts, id_, ts, tokens, entities, gate_hours)
-    labels = connected_components(pairs.withColumnsRenamed({"a": "src", "b": "dst"}))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         scores = {(int(a), int(b)): float(s) for a, b, s in zip(pdf.a, pdf.b, pdf.score, strict=True)}
         groups = average_linkage(sorted({*pdf.a.astype(int), *pdf.b.astype(int)}), scores, threshold)
         return pd.DataFrame([(i, min(g)) for g in groups for i in g], columns=["id", "story"])
 
-    grouped = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(link, "id long, story long")
+    grouped = _grouped(pairs, threshold, link, False, in_task)
     return posts.select(id_).join(grouped.withColumnRenamed("id", id_), id_, "left").select(id_, F.coalesce("story", F.col(id_).cast("long")).alias("story"))
 
 
@@ -188,17 +235,16 @@ def clique_linkage(platforms: dict[int, str], scores: dict[tuple[int, int], floa
     return _linkage(platforms, scores, threshold, across)
 
 
-def cross_stories(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entities: str, threshold: float = COSINE_SUPPORT) -> DataFrame:
+def cross_stories(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entities: str, threshold: float = COSINE_SUPPORT, in_task: int = PAIRS_IN_TASK) -> DataFrame:
     """``id_`` and ``story``, the smallest id of its group across platforms, which stays the same from run to run."""
     pairs = cross_pairs(posts, id_, ts, platform, words, entities)
-    labels = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         platforms = {**dict(zip(pdf.a.astype(int), pdf.pa, strict=True)), **dict(zip(pdf.b.astype(int), pdf.pb, strict=True))}
         scores = {(int(a), int(b)): float(s) for a, b, s in zip(pdf.a, pdf.b, pdf.score, strict=True)}
         return pd.DataFrame([(i, min(g)) for g in clique_linkage(platforms, scores, threshold) for i in g], columns=["id", "story"])
 
-    grouped = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(link, "id long, story long")
+    grouped = _grouped(pairs, threshold, link, True, in_task)
     return posts.select(id_).join(grouped.withColumnRenamed("id", id_), id_, "left").select(id_, F.coalesce("story", F.col(id_).cast("long")).alias("story"))
 
 

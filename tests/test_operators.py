@@ -230,6 +230,23 @@ def test_pair_scores_equal_all_pairs(spark):
     assert 20 < len(want) < len(posts) * (len(posts) - 1) / 2
 
 
+@pytest.mark.parametrize("cliques", [False, True])
+def test_linkage_in_rounds_equals_one_merge_at_a_time(spark, cliques):
+    rnd = random.Random(31)
+    items = range(60)
+    platform = {i: "xyz"[i % 3] for i in items}
+    scores = {}
+    for a, b in itertools.combinations(items, 2):
+        near = a // 6 == b // 6
+        if rnd.random() < (0.8 if near else 0.05) and (not cliques or platform[a] != platform[b]):
+            scores[a, b] = rnd.random() * (1.0 if near else 0.4)
+    want = stories.clique_linkage(platform, scores, 0.2) if cliques else plain_linkage(items, scores, 0.2)
+    rows = [(a, b, platform[a], platform[b], s) for (a, b), s in scores.items()]
+    pairs = spark.createDataFrame(rows, "a long, b long, pa string, pb string, score double").repartition(3)
+    got = {r.id: r.story for r in stories.merge_in_rounds(pairs, 0.2, cliques).collect()}
+    assert got == {i: min(g) for g in want for i in g if i in got} and len(set(got.values())) < len(got)
+
+
 def test_running_totals_and_positions(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.randint(0, 9)) for i in rnd.sample(range(10_000), 500)]
