@@ -26,8 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    """Whether a table is there, in any store that Spark reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    """Whether a table is there."""
+    return exists(spark, f"{sf_dir}/{name}.parquet")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarryline.functions import times
 from quarryline.operators import upsert
+from quarryline.session import exists
 
 
 def event_time(stream: DataFrame, ts: str) -> DataFrame:
@@ -36,16 +37,34 @@ def once_per_key(stream: DataFrame, ts: str, keys: list[str], late: str) -> Data
     return event_time(stream, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_into(path: str, keys: list[str], arrival: str):
-    """A foreachBatch step that merges each micro-batch into a Parquet table, one folder per batch; the last folder is the table."""
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_into`` keeps: of every bucket of keys the rows of its last version."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))  # a row per bucket
+    return rows.join(F.broadcast(last), ["bucket", "version"]).drop("bucket", "version")
+
+
+def upsert_into(path: str, keys: list[str], arrival: str, buckets: int = 64):
+    """A foreachBatch step that merges each micro-batch into a Parquet table of ``buckets`` hash ranges of its keys.
+
+    Only buckets that the batch has keys of are written again, as a new version; a batch that is tried again replaces its own version.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number:
-            old = spark.read.parquet(f"{path}/{number - 1}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+        new = batch.withColumn("bucket", bucket)
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # numbers below ``buckets``
+        if not touched:
+            return
+        if number and exists(spark, path):
+            rows = spark.read.option("basePath", path).parquet(f"{path}/version=*").filter(F.col("bucket").isin(touched) & (F.col("version") < number))
+            versions = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+            old = rows.join(F.broadcast(versions), ["bucket", "version"]).drop("bucket", "version")
         else:
             old = batch.limit(0)
-        upsert.merge(old, batch, keys, arrival).write.mode("overwrite").parquet(f"{path}/{number}")
+        merged = upsert.merge(old, batch, keys, arrival).withColumn("bucket", bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
 
     return step
 

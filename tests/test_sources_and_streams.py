@@ -99,7 +99,12 @@ def test_upsert_of_micro_batches(spark, tmp_path):
     step = windows.upsert_into(f"file://{tmp_path}/t", ["k"], "v")
     step(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v long"), 0)
     step(spark.createDataFrame([("a", 5), ("c", 2)], "k string, v long"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/t/1").collect())) == [("a", 5), ("b", 1), ("c", 2)]
+    for _ in range(2):  # the same batch again changes nothing
+        step(spark.createDataFrame([("b", 7)], "k string, v long"), 2)
+    assert sorted(map(tuple, windows.upserted(spark, f"file://{tmp_path}/t").collect())) == [("a", 5), ("b", 7), ("c", 2)]
+    step(spark.createDataFrame([], "k string, v long"), 3)
+    written = {p.parent.name for p in (tmp_path / "t" / "version=2").rglob("*.parquet")}
+    assert len(written) == 1  # one bucket of one key
 
 
 def test_measurement_stages_at_microseconds(spark, tmp_path):
