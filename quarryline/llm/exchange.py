@@ -26,6 +26,8 @@ SCHEMA = "part int, slice long, kind int, data binary"
 NAMES = ["part", "slice", "kind", "data"]
 #: Keys are hashes of so many bits; parts are ranges of them.
 KEY_BITS = 48
+#: Slices that a task gathers answers for.
+SLICES_PER_TASK = 4
 
 Row = tuple[int, int, int, bytes]
 
@@ -146,12 +148,15 @@ def answer(rows: DataFrame, parts: int, answers: Callable[[int, list[Row]], Iter
     return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "slice", "kind").mapInArrow(run, SCHEMA)
 
 
-def gather(slices_: DataFrame, answered: DataFrame, finish: Callable[[int, pa.RecordBatch, list[Row]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``finish`` (slice, its documents, the answers by kind and part) makes of every slice."""
+def gather(
+    slices_: DataFrame, answered: DataFrame, finish: Callable[[int, pa.RecordBatch, list[Row]], Iterator[pa.RecordBatch]], schema: str, per_task: int = SLICES_PER_TASK
+) -> DataFrame:
+    """What ``finish`` (slice, its documents, the answers by kind and part) makes of every slice; tasks grow in number with the slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, group in _groups(batches, "slice"):
             yield from finish(number, open_slice(group[0][3]), group[1:])
 
-    both = slices_.union(answered).repartition("slice").sortWithinPartitions("slice", "kind", "part")
+    tasks = max(1, slices_.count() // per_task)
+    both = slices_.union(answered).repartition(tasks, "slice").sortWithinPartitions("slice", "kind", "part")
     return both.mapInArrow(run, schema)

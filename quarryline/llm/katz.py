@@ -458,7 +458,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, slice_
     slices = make_slices(docs, f"{root}/slices", slice_bytes)
     model = train(spark, slices, f"{root}/tables", folds)
     weights = answer(model.rows(spark, WANTED, CONTEXTS, HOT_CONTEXTS), model.parts, _alphas(model.discounts))
-    return gather(slices, model.rows(spark, COUNTED, HOT_COUNTED).union(weights), _scores(model.discounts, folds, model.hot), RESULT)
+    return gather(slices, model.rows(spark, COUNTED, HOT_COUNTED).union(weights), _scores(model.discounts, folds, model.hot), RESULT, per_task=2)
 
 
 def score_others(spark: SparkSession, model: Tables, docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -468,4 +468,4 @@ def score_others(spark: SparkSession, model: Tables, docs: DataFrame, slice_byte
     counts = asked.filter(F.col("kind").isin(COUNTS, HOT_COUNTS)).union(model.rows(spark, TABLE, HOT_TABLE))
     counted = answer(counts, model.parts, _add_up(model.parts, len(model.hot)))
     weights = answer(asked.filter(F.col("kind") == WANTED).union(model.rows(spark, CONTEXTS, HOT_CONTEXTS)), model.parts, _alphas(model.discounts))
-    return gather(slices, counted.union(weights), _scores(model.discounts, 0, model.hot), RESULT)
+    return gather(slices, counted.union(weights), _scores(model.discounts, 0, model.hot), RESULT, per_task=2)
