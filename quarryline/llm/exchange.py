@@ -151,12 +151,15 @@ def answer(rows: DataFrame, parts: int, answers: Callable[[int, list[Row]], Iter
 def gather(
     slices_: DataFrame, answered: DataFrame, finish: Callable[[int, pa.RecordBatch, list[Row]], Iterator[pa.RecordBatch]], schema: str, per_task: int = SLICES_PER_TASK
 ) -> DataFrame:
-    """What ``finish`` (slice, its documents, the answers by kind and part) makes of every slice; tasks grow in number with the slices."""
+    """What ``finish`` (slice, its documents, the answers by kind and part) makes of every slice; tasks grow in number with the slices, which are dealt to them in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, group in _groups(batches, "slice"):
             yield from finish(number, open_slice(group[0][3]), group[1:])
 
-    tasks = max(1, slices_.count() // per_task)
-    both = slices_.union(answered).repartition(tasks, "slice").sortWithinPartitions("slice", "kind", "part")
+    n, last = slices_.agg(F.count("*"), F.max("slice")).first()
+    tasks = max(1, n // per_task)
+    # Slices are numbered by the partition that made them, then in it; counted across the partitions, they are nearly without gaps.
+    turn = F.col("slice").bitwiseAND((1 << 32) - 1) * (((last or 0) >> 32) + 1) + F.shiftright("slice", 32)
+    both = slices_.union(answered).repartitionById(tasks, F.pmod(turn, F.lit(tasks)).cast("int")).sortWithinPartitions("slice", "kind", "part")
     return both.mapInArrow(run, schema)
