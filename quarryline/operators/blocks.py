@@ -23,8 +23,20 @@ def _gated(passed: DataFrame, skip: Column | None) -> tuple[DataFrame, DataFrame
     return marked.filter("skip is null").drop("skip"), marked.filter("skip is not null").groupBy("skip").agg(F.count("*").alias("n"))
 
 
-def viral_by_coverage(posts: DataFrame, source: str, views: str, size: str, id_: str, fresh: Column, skip: Column | None = None, per_source: int = VIDEO_PER_CHANNEL, limit: int = VIDEO_LIMIT,
-                      least_size: float = VIDEO_MIN_SIZE, least_views: float = VIDEO_MIN_VIEWS, least: float = VIDEO_MIN_COVERAGE) -> tuple[DataFrame, DataFrame]:
+def viral_by_coverage(
+    posts: DataFrame,
+    source: str,
+    views: str,
+    size: str,
+    id_: str,
+    fresh: Column,
+    skip: Column | None = None,
+    per_source: int = VIDEO_PER_CHANNEL,
+    limit: int = VIDEO_LIMIT,
+    least_size: float = VIDEO_MIN_SIZE,
+    least_views: float = VIDEO_MIN_VIEWS,
+    least: float = VIDEO_MIN_COVERAGE,
+) -> tuple[DataFrame, DataFrame]:
     """Posts by ``coverage``, their views per follower of their own source, at most some of each; and what the quality gate passed over.
 
     A source of unknown or no size has no coverage. Floors come before the gate, the gate before the ranking.
@@ -35,8 +47,20 @@ def viral_by_coverage(posts: DataFrame, source: str, views: str, size: str, id_:
     return cap_per_key(kept, source, [F.desc("coverage"), F.desc(views), F.col(id_)], per_source, limit), skipped
 
 
-def viral_by_author(posts: DataFrame, author: str, likes: str, id_: str, fresh: Column, skip: Column | None = None, least_likes: float = POST_MIN_LIKES, least_posts: int = POST_MIN_AUTHOR_POSTS,
-                    least_median: float = POST_MIN_AUTHOR_MEDIAN, least: float = POST_MIN_RATIO, per_author: int = POST_PER_AUTHOR, limit: int = POST_LIMIT) -> tuple[DataFrame, DataFrame]:
+def viral_by_author(
+    posts: DataFrame,
+    author: str,
+    likes: str,
+    id_: str,
+    fresh: Column,
+    skip: Column | None = None,
+    least_likes: float = POST_MIN_LIKES,
+    least_posts: int = POST_MIN_AUTHOR_POSTS,
+    least_median: float = POST_MIN_AUTHOR_MEDIAN,
+    least: float = POST_MIN_RATIO,
+    per_author: int = POST_PER_AUTHOR,
+    limit: int = POST_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
     """Posts by ``ratio`` to the median likes of their author; authors with few posts or hardly any likes have no norm."""
     norms = posts.groupBy(author).agg(F.median(likes).alias("norm"), F.count("*").alias("__n")).filter((F.col("__n") >= least_posts) & (F.col("norm") >= least_median) & (F.col("norm") > 0))
     rated = posts.join(norms.drop("__n"), author).withColumn("ratio", F.col(likes) / F.col("norm"))
@@ -44,15 +68,37 @@ def viral_by_author(posts: DataFrame, author: str, likes: str, id_: str, fresh:
     return cap_per_key(kept, author, [F.desc("ratio"), F.desc(likes), F.col(id_)], per_author, limit), skipped
 
 
-def viral_by_baseline(posts: DataFrame, source: str, views: str, base: str, id_: str, fresh: Column, skip: Column | None = None, least_views: float = CHANNEL_MIN_VIEWS, least: float = CHANNEL_MIN_RATIO,
-                      per_source: int = CHANNEL_PER_CHANNEL, limit: int = CHANNEL_LIMIT) -> tuple[DataFrame, DataFrame]:
+def viral_by_baseline(
+    posts: DataFrame,
+    source: str,
+    views: str,
+    base: str,
+    id_: str,
+    fresh: Column,
+    skip: Column | None = None,
+    least_views: float = CHANNEL_MIN_VIEWS,
+    least: float = CHANNEL_MIN_RATIO,
+    per_source: int = CHANNEL_PER_CHANNEL,
+    limit: int = CHANNEL_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
     """Posts by ``ratio`` to the stored norm of their source; without a norm there is none."""
     rated = posts.withColumn("ratio", F.when(F.col(base) > 0, F.col(views) / F.col(base)))
     kept, skipped = _gated(rated.filter(fresh & (F.col(views) >= least_views) & (F.col("ratio") >= least)), skip)
     return cap_per_key(kept, source, [F.desc("ratio"), F.desc(views), F.col(id_)], per_source, limit), skipped
 
 
-def viral_products(posts: DataFrame, platform: str, source: str, metric: str, id_: str, fresh: Column, product: Column, floors: dict[str, float], per_source: int = PRODUCT_PER_CHANNEL, limit: int = PRODUCT_LIMIT) -> DataFrame:
+def viral_products(
+    posts: DataFrame,
+    platform: str,
+    source: str,
+    metric: str,
+    id_: str,
+    fresh: Column,
+    product: Column,
+    floors: dict[str, float],
+    per_source: int = PRODUCT_PER_CHANNEL,
+    limit: int = PRODUCT_LIMIT,
+) -> DataFrame:
     """Releases and products of several platforms, each with a floor of its own and its own short list, by their metric."""
     floor = F.create_map(*(F.lit(x) for pair in floors.items() for x in pair))[F.col(platform)]
     passed = posts.filter(fresh & product & (F.col(metric) >= floor))
@@ -94,8 +140,14 @@ def window_stats(rows: DataFrame, index: str, views: str, likes: str, least_view
     marked = index_parts(rows, index, views, likes, least_views)
     some = F.col(index).isNotNull()
     counters = {
-        "candidates": F.count("*"), "indexed": F.count_if(some), "null_index": F.count_if(~some), "likes_zero": F.count_if(F.col(likes) == 0), "likes_null": F.count_if(F.col(likes).isNull()),
-        "many_views_likes_null": F.count_if(F.col(likes).isNull() & (F.coalesce(views, F.lit(0)) > many_views)), "above_floor": F.count_if(F.col("part") == "top"), "below_floor": F.count_if(F.col("part") == "small_sample"),
+        "candidates": F.count("*"),
+        "indexed": F.count_if(some),
+        "null_index": F.count_if(~some),
+        "likes_zero": F.count_if(F.col(likes) == 0),
+        "likes_null": F.count_if(F.col(likes).isNull()),
+        "many_views_likes_null": F.count_if(F.col(likes).isNull() & (F.coalesce(views, F.lit(0)) > many_views)),
+        "above_floor": F.count_if(F.col("part") == "top"),
+        "below_floor": F.count_if(F.col("part") == "small_sample"),
     }
     totals = marked.agg(*(c.alias(n) for n, c in counters.items()))
     return totals.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in counters))).alias("r")).select("r.*")

@@ -255,4 +255,13 @@ def build(members: DataFrame, older: DataFrame, story: str, id_: str, author: st
     each = members.select(story, F.explode(F.array_distinct(entities)).alias("e")).distinct()
     new = each.join(older.select(F.explode(entities).alias("e")).distinct(), "e", "left_anti").select(story).distinct().withColumn("is_new", F.lit(True))
     joined = base.join(new, story, "left")
-    return joined.select(story, "posts", "authors", F.col("f.id").alias("first_id"), F.col("f.author").alias("first_author"), F.col("f.ts").alias("first_at"), (F.col("authors") == 1).alias("is_single"), F.coalesce("is_new", F.lit(False)).alias("is_new"))
+    return joined.select(
+        story,
+        "posts",
+        "authors",
+        F.col("f.id").alias("first_id"),
+        F.col("f.author").alias("first_author"),
+        F.col("f.ts").alias("first_at"),
+        (F.col("authors") == 1).alias("is_single"),
+        F.coalesce("is_new", F.lit(False)).alias("is_new"),
+    )
