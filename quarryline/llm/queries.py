@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontam, katz, lines, orc_tokens, packing, pii, quality, simhash, sql, substrings, toxicity
+from quarryline.llm import audit, decontam, katz, lines, orc_tokens, packing, pii, quality, simhash, sql, substrings, toxicity
 from quarryline.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -79,7 +83,12 @@ QUERIES: dict[str, Query] = {
         op8_token_orc,
         op9_toxicity,
         op10_simhash_components,
+        op13_filter_audit,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": sql.LINE_DEDUP, "op6_benchmark_decontamination": sql.DECONTAMINATION}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": sql.LINE_DEDUP,
+    "op6_benchmark_decontamination": sql.DECONTAMINATION,
+    "op13_filter_audit": sql.FILTER_AUDIT,
+}

@@ -28,3 +28,23 @@ items AS (SELECT doc_id, COUNT(*) AS n_items, STRING_AGG(item, ',' ORDER BY item
 SELECT d.doc_id, CAST(LEN(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, SHA256(COALESCE(names, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= LEN(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, BOOL_OR(COALESCE(quality = 1, FALSE)) AS good, BOOL_OR(COALESCE(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, COALESCE(good, FALSE) AS good, COALESCE(toxic, FALSE) AS toxic,
+    CASE WHEN LEN(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * LEN(LIST_DISTINCT(w)) < 80 * LEN(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * LEN(REGEXP_EXTRACT_ALL(t, '[A-Z]')) > 10 * LENGTH(t) THEN 'C' ELSE '' END || CASE WHEN REGEXP_MATCHES(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > MIN(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+orders AS (SELECT '' AS o UNION ALL SELECT o || x FROM orders, (SELECT UNNEST(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT CONTAINS(o, x)),
+steps AS (SELECT o, CAST(UNNEST([1, 2, 3, 4, 5]) AS INT) AS step FROM orders WHERE LENGTH(o) = 5),
+walked AS (
+  SELECT part, o, step, o[step] AS x, f, good, toxic, CONTAINS(f, o[step]) AS fails, LENGTH(TRANSLATE(f, LEFT(o, step - 1), '')) < LENGTH(f) AS earlier FROM failed, steps),
+counted AS (
+  SELECT part, o AS filter_order, step, x, COUNT(*) FILTER (NOT fails AND NOT earlier) AS kept, COUNT(*) FILTER (fails AND NOT earlier) AS removed, COUNT(*) FILTER (fails AND earlier) AS redundant,
+    COUNT(*) FILTER (f = x) AS unique_fails, COUNT(*) FILTER (fails AND NOT earlier AND good) AS good_lost, COUNT(*) FILTER (fails AND NOT earlier AND toxic) AS toxic_lost
+  FROM walked GROUP BY ALL)
+SELECT * EXCLUDE (x), CAST(SUM(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted
+"""
