@@ -48,3 +48,19 @@ counted AS (
   FROM walked GROUP BY ALL)
 SELECT * EXCLUDE (x), CAST(SUM(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted
 """
+
+#: CRC-32 with the table of bytes made by rule: ``crc`` has 256 entries.
+_CRC_TABLE = "SELECT LIST(LIST_REDUCE(RANGE(8), lambda a, k: CASE WHEN a & 1 = 1 THEN XOR(a >> 1, 3988292384) ELSE a >> 1 END, CAST(b AS BIGINT)) ORDER BY b) AS crc FROM RANGE(256) AS r(b)"
+_BYTES = "LIST_TRANSFORM(REGEXP_EXTRACT_ALL(HEX(ENCODE({})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+_CRC = "XOR(LIST_REDUCE({}, lambda a, x: XOR(a >> 8, crc[1 + (XOR(a, x) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+RENDEZVOUS = f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, COALESCE(text, '') AS text, {_BYTES.format("COALESCE(text, '')")} AS b FROM documents),
+drawn AS (SELECT d.*, LIST_TRANSFORM(RANGE(9), lambda k: -LN((CAST('0x' || LEFT(MD5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || k), 13) AS BIGINT) + 0.5) / 4503599627370496)) AS draws FROM d),
+sized AS (
+  SELECT doc_id, CAST(LEN(b) + 1 AS BIGINT) AS size, {_CRC.format("b")} AS text_crc32,
+    CAST(LIST_POSITION(draws, LIST_MIN(draws[1:8])) - 1 AS INT) AS shard, CAST(LIST_POSITION(draws, LIST_MIN(draws)) - 1 AS INT) AS grown_shard
+  FROM drawn, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM sized
+"""
