@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import audit, decontam, katz, lines, orc_tokens, packing, pii, quality, sharding, simhash, sql, substrings, toxicity
+from quarryline.llm import audit, decontam, katz, lines, orc_tokens, packing, pii, quality, sharding, simhash, sql, substrings, toxicity, turns
 from quarryline.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.Repair(spark, turns.damage(rows), conversations=rows).digest()
+
+
 def op12_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, weights = shared_dir(spark), [1.0] * 8
     sharding.write_shards(table(spark, sf_dir, "documents"), path, weights)
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op8_token_orc,
         op9_toxicity,
         op10_simhash_components,
+        op11_conversation_repair,
         op12_rendezvous_shards,
         op13_filter_audit,
     )
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op6_benchmark_decontamination": sql.DECONTAMINATION,
+    "op11_conversation_repair": sql.REPAIR,
     "op12_rendezvous_shards": sql.RENDEZVOUS,
     "op13_filter_audit": sql.FILTER_AUDIT,
 }

@@ -64,3 +64,51 @@ sized AS (
   FROM drawn, t)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM sized
 """
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+REPAIR = f"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+c AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, {_BYTES.format("COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ')")} AS b FROM conversations),
+f AS (SELECT c.*, {_CRC.format("b")} % 20 AS fault FROM c, t),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN TRANSLATE(text, '.!?', '') ELSE text END AS text, UNNEST(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM f WHERE fault <> 0),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, RTRIM(text, {_BLANKS}) AS bare FROM damaged),
+judged AS (
+  SELECT *, LEFT(role, 1) AS x, LAG(LEFT(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || LEFT(role, 1) AS pair,
+    CASE WHEN bare = '' THEN 'blank' WHEN ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN RIGHT(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+states(state, wanted) AS (VALUES (0, 'u'), (1, 'u'), (2, 'a'), (3, 'u')),
+-- Insertions before a turn that stays: none, or one.
+opened AS (
+  SELECT state AS begun, state, wanted, 0 AS cost, '' AS letters, '' AS written FROM states
+  UNION ALL SELECT s.state, z.state, z.wanted, 5, 'I', chr(10) || CASE s.wanted WHEN 'u' THEN 'user:' ELSE 'assistant:' END FROM states s JOIN states z ON z.state = CASE s.wanted WHEN 'u' THEN 2 ELSE 3 END),
+walk AS (
+  SELECT DISTINCT conv_id, 0 AS n, 0 AS state, {{'cost': 0, 'audit': '', 'written': ''}} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, n, state, MIN(best) FROM (
+    SELECT w.conv_id, j.n, m.state, {{'cost': (w.best).cost + m.cost, 'audit': (w.best).audit || m.letters, 'written': (w.best).written || m.written}} AS best
+    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.n = w.n + 1,
+    LATERAL (
+      SELECT w.state AS state, 2 AS cost, 'D' AS letters, '' AS written
+      UNION ALL SELECT CASE o.wanted WHEN 'u' THEN 2 ELSE 3 END, o.cost + 1 + CASE j.fault WHEN 'truncated' THEN 5 ELSE 0 END, o.letters || 'R', o.written || chr(10) || CASE o.wanted WHEN 'u' THEN 'user:' ELSE 'assistant:' END || j.text
+        FROM opened o WHERE o.begun = w.state AND j.fault NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT CASE j.x WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, o.cost + CASE j.fault WHEN 'truncated' THEN 5 ELSE 0 END, o.letters || 'K', o.written || chr(10) || j.role || ':' || j.text
+        FROM opened o WHERE o.begun = w.state AND j.fault NOT IN ('blank', 'duplicate') AND (j.x = o.wanted OR j.x = 's' AND o.state = 0)) m)
+  GROUP BY conv_id, n, state),
+lengths AS (SELECT conv_id, MAX(n) AS n FROM walk GROUP BY conv_id),
+ended AS (
+  SELECT conv_id, MIN({{'cost': (best).cost + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': (best).audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'written': (best).written || CASE state WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}}) AS best
+  FROM walk w WHERE n = (SELECT n FROM lengths l WHERE l.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'blank') AS blank, COUNT(*) FILTER (fault = 'duplicate') AS duplicate,
+    COUNT(*) FILTER (fault = 'truncated') AS truncated, COUNT(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT e.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+  CAST((best).cost AS BIGINT) AS cost, (best).audit AS audit, SHA256(SUBSTR((best).written, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
