@@ -15,10 +15,17 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
 
 
-def _finished(spark: SparkSession, out: DataFrame) -> DataFrame:
-    """Run a stream over what is there; results and checkpoints go to the shared folder."""
+def _finished(spark: SparkSession, out: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there; results and checkpoints go to the shared folder. ``settings`` hold while it starts."""
     root = shared_dir(spark)
-    out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append").start(f"{root}/rows").awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).outputMode("append").start(f"{root}/rows").awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 

@@ -10,7 +10,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def names(root):
     code = "import __spark_entry__ as e; print('NAMES', *e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
-    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    # Without PYTHONPATH, which may lead to the repository and to what was left out of the copy.
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if "site-packages" in p or "dist-packages" in p)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True, env=env)
     return set(done.stdout.rpartition("NAMES")[2].split())
 
 

@@ -103,7 +103,7 @@ def test_upsert_of_micro_batches(spark, tmp_path):
         step(spark.createDataFrame([("b", 7)], "k string, v long"), 2)
     assert sorted(map(tuple, windows.upserted(spark, f"file://{tmp_path}/t").collect())) == [("a", 5), ("b", 7), ("c", 2)]
     step(spark.createDataFrame([], "k string, v long"), 3)
-    written = {p.parent.name for p in (tmp_path / "t" / "version=2").rglob("*.parquet")}
+    written = {p.parent.name for p in (tmp_path / "t" / "version=3").rglob("*.parquet")}
     assert len(written) == 1  # one bucket of one key
 
 
