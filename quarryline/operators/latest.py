@@ -53,16 +53,3 @@ def scaled_to_age(rows: DataFrame, key: str, age: str, values: list[str], target
     exact = F.abs(F.col("r.age") - target) <= tolerance
     scaled = [F.when(exact, F.coalesce(F.col(f"r.{v}"), F.lit(0)).cast("double")).otherwise(F.bround(F.coalesce(F.col(f"r.{v}"), F.lit(0)) * target / F.col("r.age"))).alias(v) for v in values]
     return best.filter(exact | (F.col("r.age") > 0)).select(key, F.col("r.age").alias("age"), exact.alias("exact"), *scaled)
-
-
-def later_echoes(posts: DataFrame, keys_of: str, author: str, id_: str, ts: str, hours: float = 72.0) -> DataFrame:
-    """Per post the number of other authors whose posts name its author within ``hours`` after it.
-
-    ``keys_of`` is an array of the names in a post. Names are exploded and joined on equality; time filters after.
-    """
-    named = posts.select(F.explode(keys_of).alias("__name"), F.col(author).alias("__by"), F.col(ts).alias("__ts"))
-    own = posts.select(id_, author, ts)
-    found = own.join(named, (F.col(author) == F.col("__name")) & (F.col("__by") != F.col(author)))
-    gap = times.hours_between(F.col(ts), F.col("__ts"))
-    counted = found.filter((gap >= 0) & (gap <= hours)).groupBy(id_).agg(F.countDistinct("__by").alias("authors"))
-    return own.join(counted, id_, "left").select(id_, F.coalesce("authors", F.lit(0)).alias("authors"))

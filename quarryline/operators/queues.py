@@ -156,22 +156,3 @@ def leave_one_out_growth(rows: DataFrame, id_: str, author: str, value: str, tim
     joined = ranked.join(middle, author)
     median = F.when(F.col("__n") - 1 >= least, (at(low) + at(high)) / 2)
     return joined.select(id_, author, value, median.alias("median")).withColumn("grows", F.coalesce(F.col(value) >= times * F.col("median"), F.lit(False)))
-
-
-def spread(posts: DataFrame, verified: DataFrame, hours: float = 72.0, weight: float = 1.5, bonus: float = 0.10) -> DataFrame:
-    """Independent authors who took a post up: ``post``, ``author``, ``weight``, a little more for verified ones.
-
-    An author does so by naming, repeating or linking the post within the time. ``posts`` has ``id``, ``author``, ``at``, ``mentions``, ``origin``, ``links``, ``counts``.
-    Posts meet on the name or the linked id, times filter after.
-    """
-    named = posts.filter("counts").select(F.lower("author").alias("by"), "at", F.explode(F.array_compact(F.array_append(F.transform("mentions", F.lower), F.lower("origin")))).alias("named"), F.col("id").alias("other"))
-    linked = posts.filter("counts").select(F.lower("author").alias("by"), "at", F.explode("links").alias("link"), F.col("id").alias("other"))
-    linked = linked.select("by", "at", "other", F.regexp_extract("link", "([0-9]+)(?:[^0-9]*)$", 1).alias("linked"))
-    own = posts.filter("author is not null and at is not null").select("id", F.lower("author").alias("owner"), F.col("at").alias("__at"))
-    hits = own.join(named, F.col("owner") == F.col("named")).select("id", "owner", "__at", "by", "at", "other").union(
-        own.join(linked, F.col("id") == F.col("linked")).select("id", "owner", "__at", "by", "at", "other")
-    )
-    late = (F.unix_timestamp("at") - F.unix_timestamp("__at")).between(0, int(hours * 3600))
-    found = hits.filter(late & (F.col("by") != F.col("owner")) & (F.col("other") != F.col("id"))).select("id", "by").distinct()
-    marked = found.join(verified.select(F.lower("author").alias("by"), F.lit(True).alias("__v")).distinct(), "by", "left")
-    return marked.select(F.col("id").alias("post"), F.col("by").alias("author"), F.round(weight * F.when(F.col("__v"), 1 + bonus).otherwise(1.0), 6).alias("weight"))

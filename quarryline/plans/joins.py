@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import times
+from quarryline.operators import influence
 from quarryline.operators import latest as L
 from quarryline.plans.registration import plan
 from quarryline.plans.roles import CONTENTS, EDGES, EVENTS_NOW, SNAPSHOTS, SOURCES, contents, edges, snapshots, sources
@@ -66,12 +67,13 @@ def later_echoes(spark, d):
     return rows.select("snapshot_id").join(found, "snapshot_id", "left").select("snapshot_id", F.coalesce("authors", F.lit(0)).alias("authors"))
 
 
-@plan()
+@plan(f"""WITH s AS (SELECT snapshot_id, content_id, EPOCH_US(captured_at) AS us, TRY_CAST(props->>'$.k' AS BIGINT) AS named FROM {SNAPSHOTS})
+SELECT a.snapshot_id, COUNT(DISTINCT b.content_id) AS authors FROM s a LEFT JOIN s b ON b.named = a.content_id AND b.content_id <> a.content_id AND b.us BETWEEN a.us AND a.us + 259200000000 GROUP BY 1""")
 def later_echoes_by_name(spark, d):
     """J8 in full: other contents whose snapshots name this one's content within 72 hours after; ``k`` of the props is the name."""
     rows = snapshots(spark, d)
     named = F.array(F.get_json_object("props", "$.k").try_cast("long"))
-    return L.later_echoes(rows.withColumn("names", named), "names", "content_id", "snapshot_id", "captured_at")
+    return influence.later_echoes(rows.withColumn("names", named), "names", "content_id", "snapshot_id", "captured_at")
 
 
 @plan(f"""WITH p AS (SELECT snapshot_id AS wanted, content_id, captured_at AS at FROM {SNAPSHOTS} WHERE stage = 'purchase'), v AS (SELECT * FROM {SNAPSHOTS} WHERE stage = 'view')

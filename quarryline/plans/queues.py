@@ -224,27 +224,6 @@ def early_growth(spark, d):
     return found.select("content_id", F.round("median", 4).alias("median"), "grows")
 
 
-_SPREAD = literal("id, author, at, mentions, origin, links, counts", [
-    ("101", "Ann", "2024-01-01 00:00:00", "", None, "", True),
-    ("102", "bob", "2024-01-01 05:00:00", "ANN", None, "", True),
-    ("103", "cat", "2024-01-04 00:00:00", "", "ann", "", True),
-    ("104", "dan", "2024-01-04 00:00:01", "ann", None, "", True),
-    ("105", "eve", "2024-01-02 00:00:00", "", None, "https://x.com/ann/status/101", True),
-    ("106", "fay", "2024-01-02 00:00:00", "ann", None, "", False),
-    ("107", "ann", "2024-01-02 00:00:00", "ann", None, "https://x.com/ann/status/101", True),
-    ("108", "gus", "2023-12-31 00:00:00", "ann", None, "", True),
-    ("109", "bob", "2024-01-02 00:00:00", "ann,cat", None, "", True),
-])
-
-
-@plan(f"SELECT * FROM {literal('post, author, weight', [('101', 'bob', 1.65), ('101', 'cat', 1.5), ('101', 'eve', 1.5), ('107', 'cat', 1.5), ('107', 'dan', 1.5), ('107', 'bob', 1.65)])}")
-def spread_weights(spark, d):
-    """C20: independent authors who took a post up within 72 hours, by name, repetition or link."""
-    split = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    posts = _hand_made(spark, _SPREAD).withColumns({"at": F.col("at").cast("timestamp"), "mentions": split("mentions"), "links": split("links")})
-    return K.spread(posts, spark.createDataFrame([("Bob",)], "author string"))
-
-
 @plan(f"""WITH w AS (SELECT MAX(captured_at) - INTERVAL 3 DAY AS since FROM {SNAPSHOTS}), k AS (SELECT DISTINCT content_id FROM {SNAPSHOTS}, w WHERE captured_at > since)
 SELECT content_id, COUNT(*) AS n, CAST(ROUND(SUM(views), 4) AS DOUBLE) AS views FROM {SNAPSHOTS} WHERE content_id IN (SELECT content_id FROM k) GROUP BY 1""")
 def changed_since_watermark(spark, d):

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import graph, latest, neardup, quality, quantiles, ranking, snapshots, stories, trends, upsert
+from quarryline.operators import graph, influence, latest, neardup, quality, quantiles, ranking, snapshots, stories, trends, upsert
 from quarryline.operators.components import connected_components
 
 T0 = dt.datetime(2024, 1, 1)
@@ -51,7 +51,7 @@ def test_values_scaled_to_an_age(spark):
 
 def test_later_echoes(spark):
     df = spark.createDataFrame([(1, "ann", at(0), []), (2, "bob", at(1), ["ann"]), (3, "cy", at(80), ["ann"]), (4, "ann", at(2), ["ann"])], "id long, author string, ts timestamp, names array<string>")
-    assert {r.id: r.authors for r in latest.later_echoes(df, "names", "author", "id", "ts").collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert {r.id: r.authors for r in influence.later_echoes(df, "names", "author", "id", "ts").collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
 
 
 def test_deltas_of_both_kinds(spark):
