@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.operators.ranking import running_totals
+from quarryline.operators.ranking import null_safe, running_totals
+from quarryline.operators.selection import medians
 
 MAD_TO_SIGMA = 1.4826
 
@@ -20,12 +19,13 @@ def median_of_at_least(c, k: int) -> Column:
 def mad_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group ``n``, ``med`` and ``sigma`` = 1.4826 times the median distance from it, 0 for one value.
 
-    Two aggregates and one join of group rows; no window over raw rows.
+    Two selections and a join of group rows; a group is dealt to as many tasks as it has rows for.
     """
-    centre = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("med"))
-    near = df.filter(F.col(value).isNotNull()).join(centre, keys).withColumn("__d", F.abs(F.col(value) - F.col("med")))
-    spread = near.groupBy(*keys).agg(F.median("__d").alias("__mad"))
-    return centre.join(spread, keys).select(*keys, "n", "med", F.when(F.col("n") > 1, F.col("__mad") * MAD_TO_SIGMA).otherwise(0.0).alias("sigma"))
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    centre = medians(known, keys, value)
+    near = null_safe(known, centre, keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("__d"))
+    spread = medians(near, keys, "__d", "__mad").drop("n")
+    return null_safe(centre, spread, keys).select(*keys, "n", "med", F.when(F.col("n") > 1, F.col("__mad") * MAD_TO_SIGMA).otherwise(0.0).alias("sigma"))
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str, into: str = "z") -> DataFrame:
@@ -56,15 +56,8 @@ def share_at_most(df: DataFrame, keys: list[str], value: str, into: str) -> Data
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__ties"))
     upto = running_totals(counts, [F.col(k) for k in [*keys, value]], "__ties", "__upto")
     groups = upto.groupBy(*keys).agg(F.sum("__ties").alias("__n"), F.min(F.col("__upto") - F.col("__ties")).alias("__before"))
-    shares = _null_safe(upto, groups, keys).withColumn(into, 100 * (F.col("__upto") - F.col("__before")) / F.col("__n"))
-    return _null_safe(df, shares.select(*keys, value, into), [*keys, value])
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``left`` with the other columns of ``right``, joined on keys of which nulls are equal."""
-    named = right.withColumnsRenamed({k: f"__{i}" for i, k in enumerate(keys)})
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)))
-    return left.join(named, same).drop(*(f"__{i}" for i in range(len(keys))))
+    shares = null_safe(upto, groups, keys).withColumn(into, 100 * (F.col("__upto") - F.col("__before")) / F.col("__n"))
+    return null_safe(df, shares.select(*keys, value, into), [*keys, value])
 
 
 def top_fraction(df: DataFrame, keys: list[str], size: str, tie: str, fraction: float) -> DataFrame:

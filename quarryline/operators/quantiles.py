@@ -1,22 +1,17 @@
-"""Quantiles that need positions: exclusive ones, from counts of distinct values."""
+"""Quantiles that need positions: exclusive ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.operators.selection import order_statistics
 
-def p95_exclusive(df: DataFrame, keys: list[str], value: str, into: str = "p95", q: float = 0.95, least: int = 20) -> DataFrame:
-    """Per group the quantile at position q (n + 1), between neighbours by line; the maximum for fewer than ``least`` values.
 
-    Values are counted first, so a window over a group holds its distinct values, not its rows.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    own = Window.partitionBy(*keys)
-    upto = F.sum("__c").over(own.orderBy(value))
-    placed = counts.withColumn("__to", upto).withColumn("__n", F.sum("__c").over(own)).withColumn("__h", q * (F.col("__n") + 1))
-    low, high = F.least(F.floor("__h"), F.col("__n")), F.least(F.floor("__h") + 1, F.col("__n"))
-    at = lambda place: F.max(F.when((F.col("__to") >= place) & (F.col("__to") - F.col("__c") < place), F.col(value)))
-    found = placed.groupBy(*keys).agg(F.max("__n").alias("__n"), F.max("__h").alias("__h"), at(low).alias("__a"), at(high).alias("__b"), F.max(value).alias("__max"))
-    inside = F.col("__a") + (F.col("__h") - F.floor("__h")) * (F.col("__b") - F.col("__a"))
-    return found.select(*keys, F.when(F.col("__n") >= least, inside).otherwise(F.col("__max")).alias(into))
+def p95_exclusive(df: DataFrame, keys: list[str], value: str, into: str = "p95", q: float = 0.95, least: int = 20) -> DataFrame:
+    """Per group the quantile at position q (n + 1), between neighbours by line; the maximum for fewer than ``least`` values."""
+    position = lambda n: q * (n + 1)
+    place = lambda n, more: F.when(n < least, n).otherwise(F.least(F.floor(position(n)) + more, n))
+    found = order_statistics(df, keys, value, q, {"__a": lambda n: place(n, 0), "__b": lambda n: place(n, 1)})
+    between = F.col("__a") + (position(F.col("n")) - F.floor(position(F.col("n")))) * (F.col("__b") - F.col("__a"))
+    return found.select(*keys, F.when(F.col("n") >= least, between).otherwise(F.col("__a")).alias(into))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,10 @@ def rotation(df: DataFrame, order: list[Column], cursor: int, size: int) -> Data
     start, size = cursor % n, min(size, n)
     turned = F.pmod(F.col("__place") - start, F.lit(n))
     return positions(df, order, "__place").filter(turned < size).drop("__place")
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on keys of which nulls are equal."""
+    named = right.withColumnsRenamed({k: f"__{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)))
+    return left.join(named, same).drop(*(f"__{i}" for i in range(len(keys))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import stats
 from quarryline.operators import graph, quality, trends
 from quarryline.operators.quantiles import p95_exclusive as p95
+from quarryline.operators.selection import medians
 from quarryline.plans.registration import plan
 from quarryline.plans.roles import CONTENTS, EDGES, EVENTS_NOW, ORDERS_NOW, SNAPSHOTS, SOURCES, contents, edges, snapshots, sources
 from quarryline.session import table
@@ -115,7 +116,8 @@ def baselines(spark, d):
 @plan(f"SELECT CAST(ROUND(MEDIAN(content_id / views), 9) AS DOUBLE) AS median_er FROM {CONTENTS} WHERE views > 0")
 def global_median(spark, d):
     """One row, broadcast where it is used."""
-    return contents(spark, d).filter("views > 0").agg(F.round(F.median(F.col("content_id") / F.col("views")), 9).alias("median_er"))
+    rates = contents(spark, d).filter("views > 0").select((F.col("content_id") / F.col("views")).alias("er"))
+    return medians(rates, [], "er").select(F.round("med", 9).alias("median_er"))
 
 
 @plan("SELECT MD5(text) AS text_hash, COUNT(*) AS copies, COUNT(DISTINCT source) AS channels FROM documents GROUP BY MD5(text) HAVING COUNT(*) > 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import scores as S
 from quarryline.functions import text as T
+from quarryline.operators.selection import medians
 from quarryline.plans.registration import plan
 from quarryline.plans.roles import CONTENTS, ORDERS_NOW, SOURCES, contents, sources
 from quarryline.session import table
@@ -16,8 +17,8 @@ SELECT content_id, CAST(ROUND(er, 9) AS DOUBLE) AS er, CAST(ROUND(CASE WHEN er /
 def engagement(spark, d):
     """M1: rate, and its ratio to two medians as one."""
     rows = contents(spark, d).withColumn("er", S.engagement_rate(F.col("views"), F.col("content_id")))
-    by_topic = rows.groupBy("topic").agg(F.median("er").alias("m"))
-    overall = rows.agg(F.median("er").alias("g"))
+    by_topic = medians(rows, ["topic"], "er", "m").drop("n")
+    overall = medians(rows, [], "er", "g").drop("n")
     joined = rows.join(by_topic, "topic").crossJoin(F.broadcast(overall))  # one row
     return joined.select("content_id", F.round("er", 9).alias("er"), F.round(S.combined_engagement(F.col("er") / F.col("m"), F.col("er") / F.col("g")), 6).alias("eng"))
 
