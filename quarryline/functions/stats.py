@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators.ranking import null_safe, running_totals
-from quarryline.operators.selection import medians
+from quarryline.operators.selection import largest_group, medians
 
 MAD_TO_SIGMA = 1.4826
 
@@ -22,9 +22,10 @@ def mad_sigma(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Two selections and a join of group rows; a group is dealt to as many tasks as it has rows for.
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    centre = medians(known, keys, value)
+    largest = largest_group(known, keys)
+    centre = medians(known, keys, value, largest=largest)
     near = null_safe(known, centre, keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("__d"))
-    spread = medians(near, keys, "__d", "__mad").drop("n")
+    spread = medians(near, keys, "__d", "__mad", largest).drop("n")
     return null_safe(centre, spread, keys).select(*keys, "n", "med", F.when(F.col("n") > 1, F.col("__mad") * MAD_TO_SIGMA).otherwise(0.0).alias("sigma"))
 
 

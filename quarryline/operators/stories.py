@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import times
-from quarryline.operators.components import connected_components
+from quarryline.operators.components import connected_components, contracted
+from quarryline.operators.ranking import null_safe
 from quarryline.session import shared_dir, write_through
 
 #: Fixed values.
 TIME_GATE_HOURS, GIANT_SHARE, MATCH_MIN = 30.0, 0.10, 0.10
-#: Pairs of a component that one task links; larger components are linked in rounds.
+#: Share of the weight that a pair has to have in common which the commonest words of a post hold that bring it together with none.
+REST = 0.3
+#: Pairs of a component that one task links; larger components are linked in rounds, with the same result.
 PAIRS_IN_TASK = 200_000
 ENTITY_WEIGHT, ENTITY_NORM, TEXT_STRONG, MIN_SHARED = 0.10, 3.0, 0.15, 2
 
@@ -28,43 +31,55 @@ def weights(posts: DataFrame, column: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select("v", "df", (1 + F.ln((F.col("__n") + 1) / (1 + F.col("df")))).alias("idf"), (F.col("df") / F.col("__n")).alias("share"))
 
 
-def pair_scores(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, gate_hours: float = TIME_GATE_HOURS) -> DataFrame:
-    """``a`` < ``b`` and ``score`` of posts within the time gate that share a rare entity, or two tokens and enough of the lighter post's weight.
+def candidates(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, gate_hours: float = TIME_GATE_HOURS) -> tuple[DataFrame, DataFrame]:
+    """Pairs that may be one event, and the weighted words of all posts (written to the shared folder).
 
-    Pairs meet on a shared value and a time bucket of the gate's width, this one or the next. Of the post with less weight only the rarest tokens take part
-    that hold all but ``TEXT_STRONG`` of it: what a pair shares among the others alone is too little, so no pair is lost and common words bring none together.
-    All shares of the pairs that met are summed after.
+    Posts meet on a shared value and a time bucket of the gate's width, this one or the next; the post with less weight is ``x``, its lead words are all but the commonest, which
+    hold ``REST`` of the weight that a pair has to share. What a pair shares among the lead words (``t``, ``n``) is summed where it meets; if this and
+    all of the rest stay below the limit, the pair is dropped, however common the word it met on. Pairs with a rare entity in common (``e``) stay.
     """
     bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (gate_hours * 3600))
-    kinds = []
-    for kind, column in (("t", tokens), ("e", entities)):
-        idf = weights(posts, column)
-        idf = idf.filter(F.col("share") < GIANT_SHARE) if kind == "e" else idf
-        each = posts.select(F.col(id_).alias("id"), F.col(ts).alias("ts"), bucket.alias("k"), F.explode(F.array_distinct(column)).alias("v"))
-        kinds.append(each.join(idf.select("v", "idf"), "v").withColumn("kind", F.lit(kind)))
+    exploded = lambda c: posts.select(F.col(id_).alias("id"), F.col(ts).alias("ts"), bucket.alias("k"), F.explode(F.array_distinct(c)).alias("v"))
+    words = exploded(tokens).join(weights(posts, tokens).select("v", "idf"), "v")
     light = Window.partitionBy("id").orderBy("idf", "v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("id")
-    words = kinds[0].withColumns({"mass": F.sum("idf").over(whole), "lighter": F.sum("idf").over(light)})
-    words = write_through(words.withColumn("leads", F.col("lighter") >= TEXT_STRONG * F.col("mass") * (1 - 1e-9)).drop("lighter"), shared_dir(posts.sparkSession))
-    every = words.select("v", "kind", "k", "id", "ts", "idf", "mass", "leads").unionByName(kinds[1].withColumns({"mass": F.lit(0.0), "leads": F.lit(True)}))
-    left = every.filter("leads").select("v", "kind", F.col("id").alias("x"), F.col("ts").alias("tx"), F.col("mass").alias("mx"), F.explode(F.array("k", F.col("k") + 1, F.col("k") - 1)).alias("k"))
-    right = every.select("v", "kind", "k", F.col("id").alias("y"), F.col("ts").alias("ty"), F.col("mass").alias("my"))
+    words = words.withColumns({"mass": F.sum("idf").over(Window.partitionBy("id")), "lighter": F.sum("idf").over(light)})
+    words = write_through(words.withColumn("leads", F.col("lighter") >= REST * TEXT_STRONG * F.col("mass") * (1 - 1e-9)).drop("lighter"), shared_dir(posts.sparkSession))
+    masses = words.groupBy("id").agg(F.max("mass").alias("mass"), F.sum(F.when(~F.col("leads"), F.col("idf")).otherwise(0.0)).alias("rest"))
+    rare = weights(posts, entities).filter(F.col("share") < GIANT_SHARE).select("v", "idf")
+    named = exploded(entities).join(rare, "v").join(masses.drop("rest"), "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    nearby = F.explode(F.array("k", F.col("k") + 1, F.col("k") - 1)).alias("k")
     near = F.abs(times.hours_between(F.col("tx"), F.col("ty"))) <= gate_hours
-    lighter = (F.col("kind") == "e") | (F.col("mx") < F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
-    met = left.join(right, ["v", "kind", "k"]).filter((F.col("x") != F.col("y")) & near & lighter)
-    pairs = write_through(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), shared_dir(posts.sparkSession))
-    both = words.select("id", "v", "idf", "kind").unionByName(kinds[1].select("id", "v", "idf", "kind"))
-    of_a, of_b = both.withColumnRenamed("id", "a"), both.select(F.col("id").alias("b"), "v", "kind")
-    shared = pairs.join(of_a, "a").join(of_b, ["b", "v", "kind"])
-    token = F.col("kind") == "t"
-    summed = shared.groupBy("a", "b").agg(F.sum(F.when(token, F.col("idf")).otherwise(0.0)).alias("t"), F.count_if(token).alias("n"), F.sum(F.when(~token, F.col("idf"))).alias("e"))
-    mass = words.groupBy("id").agg(F.max("mass").alias("mass"))
-    base = F.least(F.coalesce("ma.mass", F.lit(0.0)), F.coalesce("mb.mass", F.lit(0.0)))
-    joined = summed.join(mass.alias("ma"), F.col("a") == F.col("ma.id"), "left").join(mass.alias("mb"), F.col("b") == F.col("mb.id"), "left")
-    text = F.when(base > 0, F.col("t") / base).otherwise(0.0)
-    strong = F.col("e").isNotNull() | ((F.col("n") >= MIN_SHARED) & (text >= TEXT_STRONG))
+    lighter = (F.col("mx") < F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
+
+    def met(lead: DataFrame, every: DataFrame) -> DataFrame:
+        left = lead.select("v", F.col("id").alias("x"), F.col("ts").alias("tx"), F.col("mass").alias("mx"), "idf", nearby)
+        right = every.select("v", "k", F.col("id").alias("y"), F.col("ts").alias("ty"), F.col("mass").alias("my"))
+        return left.join(right, ["v", "k"]).filter((F.col("x") != F.col("y")) & near & lighter)
+
+    base = F.least("mx", "my").alias("base")
+    by_word = met(words.filter("leads"), words).select("x", "y", base, F.col("idf").alias("t"), F.lit(1).alias("n"), F.lit(None).cast("double").alias("e"))
+    by_name = met(named, named).select("x", "y", base, F.lit(0.0).alias("t"), F.lit(0).alias("n"), F.col("idf").alias("e"))
+    sums = by_word.unionByName(by_name).groupBy("x", "y").agg(F.max("base").alias("base"), F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("e").alias("e"))
+    joined = sums.join(masses.select(F.col("id").alias("x"), "rest"), "x", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    able = F.col("e").isNotNull() | (F.col("t") + F.col("rest") >= TEXT_STRONG * F.col("base") * (1 - 1e-9))
+    return write_through(joined.filter(able).drop("rest"), shared_dir(posts.sparkSession)), words
+
+
+def pair_scores(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, gate_hours: float = TIME_GATE_HOURS) -> DataFrame:
+    """``a`` < ``b`` and ``score`` of posts within the time gate that share a rare entity, or two tokens and enough of the lighter post's weight.
+
+    To what the candidates share among lead words comes what they share of the lighter post's few other words.
+    """
+    pairs, words = candidates(posts, id_, ts, tokens, entities, gate_hours)
+    others = words.filter("NOT leads").select(F.col("id").alias("x"), "v", "idf")
+    common = pairs.select("x", "y").join(others, "x").join(words.select(F.col("id").alias("y"), "v"), ["y", "v"])
+    more = common.groupBy("x", "y").agg(F.sum("idf").alias("more_t"), F.count("*").alias("more_n"))
+    joined = pairs.join(more, ["x", "y"], "left")
+    t, n = F.col("t") + F.coalesce("more_t", F.lit(0.0)), F.col("n") + F.coalesce("more_n", F.lit(0))
+    text = F.when(F.col("base") > 0, t / F.col("base")).otherwise(0.0)
+    strong = F.col("e").isNotNull() | ((n >= MIN_SHARED) & (text >= TEXT_STRONG))
     score = text + ENTITY_WEIGHT * F.least(F.lit(1.0), F.coalesce("e", F.lit(0.0)) / ENTITY_NORM)
-    return joined.filter(strong).select("a", "b", score.alias("score"))
+    return joined.filter(strong).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), score.alias("score"))
 
 
 def average_linkage(items: list[int], scores: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
@@ -145,7 +160,7 @@ def _grouped(pairs: DataFrame, threshold: float, link: Callable[[pd.DataFrame],
     """Linkage inside each connected component of the pairs: by ``link`` in one task for up to ``in_task`` pairs, in rounds for larger ones."""
     spark = pairs.sparkSession
     pairs = write_through(pairs, shared_dir(spark))
-    labels = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "a")
+    labels = connected_components(contracted(pairs, "a", "b")).withColumnRenamed("node", "a")
     sizes = pairs.join(labels, "a").groupBy("component").agg(F.count("*").alias("n"))
     large = write_through(sizes.filter(F.col("n") > in_task).select("component"), shared_dir(spark))
     labelled = pairs.join(labels, "a")
@@ -160,6 +175,7 @@ def stories(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, thr
 
     Groups never leave a connected component of scores, so components are found first and average linkage runs inside each.
     """
+    posts = write_through(posts.select(id_, ts, tokens, entities), shared_dir(posts.sparkSession))  # words are made once
     pairs = pair_scores(posts, id_, ts, tokens, entities, gate_hours)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,18 +190,23 @@ def stories(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, thr
 def roles(members: DataFrame, story: str, id_: str, ts: str, entities: str, points_to: str) -> DataFrame:
     """primary for the first post, amplifier where ``points_to`` names it, extender for a post with a new entity, echo for the others.
 
-    What earlier posts had comes from a running set of entities per story.
+    A post extends its story if it is the first with one of its entities. First posts are aggregates over (story) and (story, entity), joined back: no row
+    holds what came before it, and a story of any length is spread by its posts. Posts are told apart by ``ts`` and ``id_``.
     """
-    order = Window.partitionBy(story).orderBy(ts, id_)
-    before = F.flatten(F.collect_list(entities).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    first = F.first(id_).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    order = F.struct(F.col(ts).alias("ts"), F.col(id_).alias("id"))
+    firsts = members.groupBy(story).agg(F.min(order).alias("__first"))
+    each = members.select(*dict.fromkeys([story, id_, ts]), F.explode(entities).alias("__e"))
+    keys = list(dict.fromkeys([story, ts, id_]))
+    told = {ts: F.col("__o.ts").alias(ts), id_: F.col("__o.id").alias(id_)}
+    new = each.groupBy(story, "__e").agg(F.min(order).alias("__o")).select(story, *(told[k] for k in keys[1:])).distinct()
+    joined = null_safe(null_safe(members, firsts, [story]), new.withColumn("__new", F.lit(True)), keys, "left")
     role = (
-        F.when(F.row_number().over(order) == 1, "primary")
-        .when(F.coalesce(F.col(points_to) == first, F.lit(False)), "amplifier")
-        .when(F.size(F.array_except(entities, before)) > 0, "extender")
+        F.when(order == F.col("__first"), "primary")
+        .when(F.coalesce(F.col(points_to) == F.col("__first.id"), F.lit(False)), "amplifier")
+        .when(F.col("__new"), "extender")
         .otherwise("echo")
     )
-    return members.withColumn("role", role)
+    return joined.withColumn("role", role).select(*members.columns, "role")
 
 
 def pair_quality(clusters: DataFrame, labels: DataFrame, id_: str, cluster: str) -> DataFrame:

@@ -121,16 +121,19 @@ def rising(spark, d):
     return hits.groupBy("content_id").agg(F.countDistinct("day").alias("hits")).filter("hits >= 2")
 
 
-@plan(f"""WITH m AS (SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k, LIST_DISTINCT(REGEXP_EXTRACT_ALL(LOWER(COALESCE(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS e FROM (SELECT conv_id, turn, MIN(role) AS role, MIN(text) AS text FROM conversations GROUP BY 1, 2)),
-p AS (SELECT m.conv_id, m.turn, m.k, m.e, COALESCE(FLATTEN(LIST(b.e) FILTER (b.k < m.k)), []) AS before FROM m JOIN m b ON b.conv_id = m.conv_id GROUP BY ALL)
-SELECT conv_id, turn, CASE WHEN k = 1 THEN 'primary' WHEN LEN(LIST_FILTER(e, lambda x: NOT LIST_CONTAINS(before, x))) > 0 THEN 'extender' ELSE 'echo' END AS role FROM p""")
+@plan("""WITH m AS (SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS k, LIST_DISTINCT(w) AS e, w[1] AS handle FROM (SELECT conv_id, turn, REGEXP_EXTRACT_ALL(LOWER(COALESCE(MIN(text), '')), '[\\p{L}\\p{N}_]+') AS w FROM conversations GROUP BY 1, 2)),
+f AS (SELECT conv_id, handle FROM m WHERE k = 1), u AS (SELECT conv_id, k, UNNEST(e) AS x FROM m), n AS (SELECT conv_id, k FROM (SELECT conv_id, x, MIN(k) AS k FROM u GROUP BY 1, 2) GROUP BY 1, 2)
+SELECT m.conv_id, turn, CASE WHEN m.k = 1 THEN 'primary' WHEN LIST_CONTAINS(e, f.handle) THEN 'amplifier' WHEN n.k IS NOT NULL THEN 'extender' ELSE 'echo' END AS role
+FROM m JOIN f USING (conv_id) LEFT JOIN n ON n.conv_id = m.conv_id AND n.k = m.k""")
 def story_roles(spark, d):
-    """Roles from a running set of what was said before."""
+    """Roles in a conversation; a turn points to the first one by using its handle, its first word."""
     from quarryline.functions import text as T
 
     rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    rows = rows.select("conv_id", "turn", F.array_distinct(T.words("text")).alias("ents"), F.lit(None).cast("long").alias("points_to"))
-    return stories.roles(rows, "conv_id", "turn", "turn", "ents", "points_to").select("conv_id", "turn", "role")
+    rows = rows.select("conv_id", "turn", T.words("text").alias("w"))
+    first = rows.groupBy("conv_id").agg(F.min_by(F.struct("turn", F.get("w", F.lit(0)).alias("handle")), "turn").alias("f"))
+    linked = rows.join(first, "conv_id").select("conv_id", "turn", F.array_distinct("w").alias("ents"), F.when(F.array_contains("w", F.col("f.handle")), F.col("f.turn")).alias("points_to"))
+    return stories.roles(linked, "conv_id", "turn", "turn", "ents", "points_to").select("conv_id", "turn", "role")
 
 
 @plan(f"""WITH w AS (SELECT content_id, stage, props, CASE WHEN FLOOR(EPOCH(captured_at)) >= EPOCH(TIMESTAMP '{EVENTS_NOW}') - 86400 THEN 'now' ELSE 'before' END AS w FROM {SNAPSHOTS} WHERE FLOOR(EPOCH(captured_at)) >= EPOCH(TIMESTAMP '{EVENTS_NOW}') - 172800 AND FLOOR(EPOCH(captured_at)) < EPOCH(TIMESTAMP '{EVENTS_NOW}')),

@@ -285,6 +285,44 @@ def test_story_roles(spark):
     assert {r.id: r.role for r in stories.roles(df, "story", "id", "ts", "ents", "points_to").collect()} == {1: "primary", 2: "amplifier", 3: "extender", 4: "echo", 9: "primary"}
 
 
+def test_roles_of_a_long_story(spark):
+    """100,000 posts of one story, each with an entity of a few posts: linear, in many tasks."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("s").alias("story"), "id", F.timestamp_seconds("id").alias("ts"), F.array(F.floor(F.col("id") / 3).cast("string"), F.lit("all")).alias("ents"), F.when(F.col("id") % 7 == 1, F.lit(0)).alias("points_to"))
+    got = stories.roles(rows.repartition(6), "story", "id", "ts", "ents", "points_to").groupBy("role").agg(F.count("*").alias("n"))
+    amplifiers = sum(i % 7 == 1 for i in range(1, n))
+    extenders = sum(i % 3 == 0 and i % 7 != 1 for i in range(1, n))
+    assert dict(map(tuple, got.collect())) == {"primary": 1, "amplifier": amplifiers, "extender": extenders, "echo": n - 1 - amplifiers - extenders}
+
+
+def test_candidates_are_bounded(spark):
+    """Words in every eighth post bring posts together, but what they share of the rest decides which are scored."""
+    rnd = random.Random(3)
+    posts = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), [f"w{i}x{j}" for j in range(12)] + [f"c{j}" for j in range(24) if rnd.random() < 0.125] + [f"e{i // 2}a", f"e{i // 2}b", f"e{i // 2}c"], []) for i in range(600)]
+    df = spark.createDataFrame(posts, "id long, ts timestamp, tokens array<string>, ents array<string>")
+    pairs, _ = stories.candidates(df, "id", "ts", "tokens", "ents")
+    scored = stories.pair_scores(df, "id", "ts", "tokens", "ents")
+    met, kept = pairs.count(), scored.count()
+    assert kept >= 300 and met <= 3 * kept
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_contraction_keeps_components(spark, monkeypatch, kind):
+    from quarryline.operators import components
+
+    rnd = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(rnd.randint(400, 900), rnd.randint(400, 900)) for _ in range(400)] + [(1000, 1000), (None, 3), (7, 8), (8, 7)]
+    cast = (lambda x: x) if kind == "long" else (lambda x: None if x is None else f"n{x:05}")
+    df = spark.createDataFrame([(cast(a), cast(b)) for a, b in edges], f"src {kind}, dst {kind}")
+    want = dict(map(tuple, connected_components(df).collect()))
+    for size in (1_000_000, 7):  # workers take the chunk size from the function
+        monkeypatch.setattr(components, "CHUNK_EDGES", size)
+        stars = components.contracted(df.repartition(5))
+        assert dict(map(tuple, connected_components(stars).collect())) == want
+        assert stars.count() <= 2 * len(edges)
+    assert components.contracted(df.limit(0)).count() == 0
+
+
 def test_pair_quality(spark):
     clusters = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "id long, c string")
     labels = spark.createDataFrame([(1, 2, True), (1, 3, True), (3, 4, False), (2, 4, False)], "a_id long, b_id long, same boolean")

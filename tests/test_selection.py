@@ -21,9 +21,10 @@ def test_medians_and_mad(spark, monkeypatch):
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k string, v double").repartition(6)
     # Sketches with few points: bounds are far apart, and all groups over 100 values use them.
-    for accuracy, small in ((10_000, 20_000), (100, 100), (100, 0)):
+    for accuracy, small, in_task in ((10_000, 20_000, 10**6), (10_000, 20_000, 0), (100, 400, 0)):
         monkeypatch.setattr(selection, "ACCURACY", accuracy)
-        monkeypatch.setattr(selection, "SMALL", small if small else 400)
+        monkeypatch.setattr(selection, "SMALL", small)
+        monkeypatch.setattr(selection, "IN_TASK", in_task)
         got = {r.k: (r.n, r.med) for r in selection.medians(df, ["k"], "v").collect()}
         assert got == {k: (len(v), statistics.median(v)) for k, v in groups.items()}
         spread = {r.k: r.sigma for r in stats.mad_sigma(df, ["k"], "v").collect()}
@@ -40,8 +41,9 @@ def test_exclusive_quantiles(spark, monkeypatch):
     rows, groups = values(monkeypatch)
     groups |= {str(n): [float((i * 37) % n) for i in range(n)] for n in (19, 20, 38, 39, 40, 59)}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
-    for accuracy, small in ((10_000, 20_000), (200, 400)):
+    for accuracy, small, in_task in ((10_000, 20_000, 10**6), (10_000, 20_000, 0), (200, 400, 0)):
         monkeypatch.setattr(selection, "ACCURACY", accuracy)
+        monkeypatch.setattr(selection, "IN_TASK", in_task)
         monkeypatch.setattr(selection, "SMALL", small)
         for r in p95_exclusive(df, ["k"], "v").collect():
             vs = groups[r.k]
