@@ -90,8 +90,11 @@ def rotation(df: DataFrame, order: list[Column], cursor: int, size: int) -> Data
     return positions(df, order, "__place").filter(turned < size).drop("__place")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``left`` with the other columns of ``right``, joined on keys of which nulls are equal."""
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", keep: bool = False) -> DataFrame:
+    """``left`` with the other columns of ``right``, joined on keys of which nulls are equal. ``keep``: keys that only the right side has stay too."""
     named = right.withColumnsRenamed({k: f"__{i}" for i, k in enumerate(keys)})
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)))
-    return left.join(named, same, how).drop(*(f"__{i}" for i in range(len(keys))))
+    joined = left.join(named, same, how)
+    if keep:
+        joined = joined.withColumns({k: F.coalesce(k, f"__{i}") for i, k in enumerate(keys)})
+    return joined.drop(*(f"__{i}" for i in range(len(keys))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarryline.plans import aggregates, blocks, boards, clusters, feeds, influence, joins, measuring, queues, reports, scalars, scores, selections, sequences, sinks, streams, verdicts  # noqa: F401
+from quarryline.plans import aggregates, blocks, boards, clusters, feeds, influence, joins, measuring, migration, queues, reports, scalars, scores, selections, sequences, sinks, streams, verdicts  # noqa: F401
 from quarryline.plans.registration import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

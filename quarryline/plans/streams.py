@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions import times
 from quarryline.plans.registration import plan
 from quarryline.session import shared_dir, table
+from quarryline.streaming import incremental
 from quarryline.streaming import windows as W
+from quarryline.streaming.windows import event_time
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -58,3 +61,23 @@ def stream_stages(spark, d):
     first = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("published_at"))
     rows = _stream(spark, d).join(first, "user_id").select(F.col("user_id").alias("content_id"), "published_at", F.col("ts").alias("captured_at"))
     return _finished(spark, W.stage_tracker(rows)).select("content_id", "stage", "status", F.unix_micros("at").alias("at_us"))
+
+
+def _momentum(rows: DataFrame) -> DataFrame:
+    """Per user the events, the total value, and the value gained an hour."""
+    hours = times.hours_between(F.min("ts"), F.max("ts"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.try_divide(F.sum("value"), hours), 6).alias("speed"))
+
+
+@plan("""SELECT user_id, COUNT(*) AS n, CAST(ROUND(SUM(value), 4) AS DOUBLE) AS total, CAST(ROUND(SUM(value) / NULLIF((EPOCH_US(MAX(ts)) - EPOCH_US(MIN(ts))) / 3.6e9, 0), 6) AS DOUBLE) AS speed,
+EPOCH_US(MAX(ts)) AS scored_us FROM events GROUP BY user_id""")
+def stream_scores(spark, d):
+    """Scores kept up with arrivals in five micro-batches; each batch scores the users that it has events of again."""
+    root = shared_dir(spark)
+    events = event_time(table(spark, d, "events"), "ts")
+    for part in range(5):  # arrivals: the last digit of the id, so that every batch touches most users
+        events.filter(F.pmod("event_id", F.lit(5)) == part).write.parquet(f"{root}/arrivals/part{part}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
+    step = incremental.score_changed(f"{root}/scored", "user_id", "event_id", "ts", _momentum, "events", buckets=8)
+    stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return incremental.scored(spark, f"{root}/scored").select("user_id", "n", "total", "speed", F.unix_micros("scored_at").alias("scored_us"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,13 +61,18 @@ def _rows_of(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
     return spark.read.option("basePath", path).parquet(*folders).drop("version", "run", "batch", "bucket")
 
 
-def upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``upsert_into`` keeps: of every bucket of keys the rows of its last version."""
-    return _rows_of(spark, path, [folder for _, folder in _last(_versions(spark, path)).values()])
+def upserted(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The table that ``upsert_into`` keeps: of every bucket of keys (or of those named) the rows of its last version."""
+    last = _last(_versions(spark, path))
+    return _rows_of(spark, path, [folder for bucket, (_, folder) in last.items() if buckets is None or bucket in buckets])
 
 
-def upsert_into(path: str, keys: list[str], arrival: str, buckets: int = 64, run: str | None = None):
-    """A foreachBatch step that merges each micro-batch into a Parquet table of ``buckets`` hash ranges of its keys.
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets))
+
+
+def upsert_into(path: str, keys: list[str], arrival: str, buckets: int = 64, run: str | None = None, bucket_by: list[str] | None = None):
+    """A foreachBatch step that merges each micro-batch into a Parquet table of ``buckets`` hash ranges of its keys, or of ``bucket_by``, some of these.
 
     Only buckets that the batch has keys of are written again, as a version one higher than any there is. ``run`` (by default the id that
     the query has from its checkpoint, else one of this step) and the number of the batch are stored with it: the last batch tried again replaces its own version, and a
@@ -80,7 +85,7 @@ def upsert_into(path: str, keys: list[str], arrival: str, buckets: int = 64, run
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         name = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or own
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+        bucket = bucket_of(bucket_by or keys, buckets)
         touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # numbers below ``buckets``
         if not touched:
             return
