@@ -11,7 +11,7 @@ from quarryline.operators import blocks as B
 from quarryline.operators import quality as Q
 from quarryline.operators import snapshots as N
 from quarryline.operators import verdicts as V
-from quarryline.plans.registration import ORACLE_SQL, QUERIES, cases, plan
+from quarryline.plans.registration import ORACLE_SQL, QUERIES, plan
 from quarryline.plans.roles import CONTENTS, EDGES, EVENTS_NOW, ORDERS_NOW, SNAPSHOTS, SOURCES, contents, edges, snapshots, sources
 from quarryline.session import table
 
@@ -270,18 +270,6 @@ def topic_story_windows(spark, d):
     return trends.topic_windows(stories, "topic", "day", F.lit(ORDERS_NOW).cast("date"), 365).select("topic", "current", "previous")
 
 
-@cases("id, authors, ratios", "suspect", [
-    (1, "a,b,c", "0.6,0.7,0.8", True),
-    (2, "a,b", "0.6,0.7", False),
-    (3, "a,b,c", "0.6,0.5,0.8", False),
-    (4, "a,b,c", "0.6,,0.8", False),
-])
-def suspect_stories(rows):
-    """C4: stories of authors who all repeat texts."""
-    ratios = F.transform(F.split("ratios", ","), lambda x: F.nullif(x, F.lit("")).try_cast("double"))
-    return rows.withColumn("suspect", B.is_suspect(F.split("authors", ","), ratios))
-
-
 @plan(f"""SELECT 'orders' AS name, (SELECT COUNT(*) FROM orders) AS n, TRUE AS present UNION ALL SELECT 'documents', (SELECT COUNT(*) FROM documents), TRUE UNION ALL SELECT 'nothing', 0, FALSE""")
 def table_probes(spark, d):
     """S3: whether tables are there and how many rows they have."""

@@ -1,69 +1,78 @@
-"""Feeds, timelines and news of other sites from hand-made answers; the SQL holds what must come of them."""
+"""Feeds, timelines and answers of other sites: written as XML, HTML and JSON from the rows of tables, then read as they come."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarryline.plans.registration import cases, literal, plan
+from quarryline.plans.registration import plan
+from quarryline.session import table
 from quarryline.sources import external, markup
 
-_RSS = "<rss><channel><title>News &amp; more</title><language>en-us</language><item><title>a</title><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item><item><pubDate>Wed, 03 Jan 2024 12:00:00 +0200</pubDate></item><item><pubDate>soon</pubDate></item></channel></rss>"
-_ATOM = '<feed xml:lang="de"><title>Blatt</title><entry><updated>2024-01-05T00:00:00Z</updated><published>2023-01-01T00:00:00Z</published></entry></feed>'
 
+def _turns(spark, d):
+    """One text per turn, with a time: conversations begin an hour apart, turns come six hours apart."""
+    rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    return rows.withColumn("at", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("conv_id") % 500 * 3600 + F.col("turn") * 21600))
 
-@cases("id, body", "title, lang, entries, last_at, per_day", [
-    (1, _RSS, "News & more", "en-us", 3, "2024-01-03 10:00:00", 1.0),
-    (2, _ATOM, "Blatt", "de", 1, "2024-01-05 00:00:00", 1.0),
-    (3, "<rss><channel><title>Empty</title></channel></rss>", "Empty", None, 0, None, 0.0),
-    (4, None, "", None, 0, None, 0.0),
-])
-def feed_summaries(rows):
-    """Title, language, entries, last entry and frequency of feeds."""
-    found = markup.feed_summary(rows, "body", ["id", "body"])
-    return found.withColumns({"entries": F.col("entries").cast("long"), "last_at": F.date_format("last_at", "yyyy-MM-dd HH:mm:ss")})
 
+_TURNS = "t AS (SELECT conv_id, turn, MIN(role) AS role, TIMESTAMP '2024-01-01 00:00:00' + TO_SECONDS(CAST(conv_id % 500 * 3600 + turn * 21600 AS BIGINT)) AS at_, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations GROUP BY conv_id, turn)"
 
-_TIMELINE = (
-    '<html><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"timeline":{"entries":['
-    '{"type":"tweet","content":{"tweet":{"id_str":"7","full_text":"old but pinned","favorite_count":5,"retweet_count":1,"reply_count":0,"lang":"en","user":{"screen_name":"Ann"}}}},'
-    '{"type":"cursor","content":{"tweet":{"id_str":"8","full_text":"no"}}},'
-    '{"content":{"tweet":{"id_str":"9","text":"RT @bob: hi","user":{"screen_name":"ANN"}}}},'
-    '{"type":"tweet","content":{}}]}}}}</script></html>'
-)
-_PAGES = literal("page, html", [(1, _TIMELINE), (2, "<html></html>"), (3, '<script id="__NEXT_DATA__">broken</script>'), (4, None)])
 
+@plan(f"""WITH {_TURNS}, s AS (SELECT conv_id, COUNT(*) AS n, MAX(at_) FILTER (k <= 20) AS last_at, COUNT(*) FILTER (k <= 20) AS few, (EPOCH(MAX(at_) FILTER (k <= 20)) - EPOCH(MIN(at_) FILTER (k <= 20))) / 86400 AS days FROM t GROUP BY 1)
+SELECT conv_id, 'Talk ' || conv_id || ' & more' AS title, CASE WHEN conv_id % 3 = 0 THEN 'en-us' END AS lang, n AS entries, STRFTIME(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, CAST(CASE WHEN days > 0 THEN ROUND(few / days, 3) ELSE few END AS DOUBLE) AS per_day FROM s""")
+def feed_summaries(spark, d):
+    """Title, language, entries, last entry and frequency of feeds; every conversation is a feed, of every second kind (RSS, Atom)."""
+    rss = F.concat(F.lit("<item><title>"), "role", F.lit("</title><pubDate>"), F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title>"), "role", F.lit("</title><updated>"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
+    item = F.when(F.col("conv_id") % 2 == 0, rss).otherwise(atom)
+    feeds = _turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("xml")))).alias("items"))
+    items = F.array_join(F.transform("items", lambda x: x["xml"]), "\n")
+    name = F.concat(F.lit("<title>Talk "), "conv_id", F.lit(" &amp; more</title>"))
+    lang = F.col("conv_id") % 3 == 0
+    as_rss = F.concat(F.lit("<rss><channel>"), name, F.when(lang, "<language>en-us</language>").otherwise(""), items, F.lit("</channel></rss>"))
+    as_atom = F.concat(F.when(lang, '<feed xml:lang="en-us">').otherwise("<feed>"), name, items, F.lit("</feed>"))
+    bodies = feeds.select("conv_id", F.when(F.col("conv_id") % 2 == 0, as_rss).otherwise(as_atom).alias("body"))
+    found = markup.feed_summary(bodies, "body", ["conv_id"])
+    return found.select("conv_id", "title", "lang", F.col("entries").cast("long").alias("entries"), F.date_format("last_at", "yyyy-MM-dd HH:mm:ss").alias("last_at"), "per_day")
 
-@plan(f"SELECT * FROM {literal('page, external_id, text, likes, reposts, replies, lang, handle, is_repost, pinned', [(1, '7', 'old but pinned', 5, 1, 0, 'en', 'ann', False, True), (1, '9', 'RT @bob: hi', None, None, None, None, 'ann', True, False)])}")
+
+@plan(f"""WITH {_TURNS} SELECT conv_id AS page, CAST(conv_id * 1000 + turn AS VARCHAR) AS external_id, CASE WHEN turn % 3 = 1 THEN 'RT @bob: ' ELSE '' END || role || ' says "hi"' AS text, CASE WHEN turn % 2 = 0 THEN turn * 10 END AS likes, turn AS reposts, conv_id AS replies, 'en' AS lang,
+'ann' || conv_id AS handle, turn % 3 = 1 AS is_repost, k = 1 AS pinned FROM t WHERE role <> 'system'""")
 def timeline_posts(spark, d):
-    """Posts of an embedded timeline, with the pinned one and reposts marked."""
-    return markup.timeline_posts(spark.sql(f"SELECT * FROM {_PAGES}"), "html", ["page"])
+    """Posts of the timelines that pages carry, with the pinned one and reposts marked; every conversation is a page."""
+    text = F.concat(F.when(F.col("turn") % 3 == 1, "RT @bob: ").otherwise(""), "role", F.lit(' says "hi"'))
+    tweet = F.struct(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id_str"), text.alias("full_text"), F.when(F.col("turn") % 2 == 0, F.col("turn") * 10).alias("favorite_count"),
+        F.col("turn").alias("retweet_count"), F.col("conv_id").alias("reply_count"), F.lit("en").alias("lang"), F.struct(F.concat(F.lit("Ann"), "conv_id").alias("screen_name")).alias("user"),
+    )
+    entry = F.struct("turn", F.when(F.col("role") == "system", "cursor").otherwise("tweet").alias("type"), F.struct(tweet.alias("tweet")).alias("content"))
+    pages = _turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    data = F.to_json(F.struct(F.struct(F.struct(F.struct("entries").alias("timeline")).alias("pageProps")).alias("props")))
+    html = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script></html>"))
+    return markup.timeline_posts(pages.select(F.col("conv_id").alias("page"), html.alias("html")), "html", ["page"])
 
 
-_ANSWERS = literal("site, body", [
-    ("hn", '{"hits":[{"objectID":"1","title":"Show HN: Radius","points":10,"num_comments":3,"created_at":"2024-01-30T10:00:00Z"},{"objectID":"2","title":null},{"title":"bare","url":"https://a.b"}]}'),
-    ("gh", '{"items":[{"full_name":"ann/tool","description":"does <b>things</b>","html_url":"https://github.com/ann/tool","stargazers_count":99,"created_at":"2024-01-29T00:00:00Z"},{"name":"old","html_url":"https://github.com/old","stargazers_count":5,"created_at":"2023-01-01T00:00:00Z"}]}'),
-    ("ph", '<feed><entry><title>Supacut</title><link rel="alternate" href="https://p.h/s"/><published>2024-01-30T01:00:00Z</published></entry><entry><title></title></entry></feed>'),
-    ("ax", "<feed><entry><title>On\n things</title><id>http://arxiv.org/abs/1</id><published>2024-01-28T00:00:00Z</published></entry></feed>"),
-    ("hm", '[{"id":"org/my-big_model","trendingScore":7,"createdAt":"2024-01-30T00:00:00.000Z"},{"id":null}]'),
-    ("hp", '[{"title":"outer","paper":{"id":"2401.1","title":"A paper","upvotes":4,"publishedAt":"2024-01-30T00:00:00.000Z"}},{"title":"no paper"}]'),
-    ("hn", "broken"),
-])
-_NEWS = [
-    ("hackernews", "Show HN: Radius", "https://news.ycombinator.com/item?id=1", 10, 3, "2024-01-30 10:00:00"),
-    ("hackernews", "bare", "https://a.b", None, None, None),
-    ("github", "ann/tool: does things", "https://github.com/ann/tool", 99, None, "2024-01-29 00:00:00"),
-    ("producthunt", "Supacut", "https://p.h/s", None, None, "2024-01-30 01:00:00"),
-    ("huggingface", "my big model", "https://huggingface.co/org/my-big_model", 7, None, "2024-01-30 00:00:00"),
-    ("huggingface", "A paper", "https://huggingface.co/papers/2401.1", 4, None, "2024-01-30 00:00:00"),
-    ("huggingface", "no paper", None, None, None, None),
-]
+_NOW = "2024-01-30 12:00:00"
 
 
-@plan(f"SELECT * FROM {literal('platform, title, url, score, comments, published_at', _NEWS)}")
+@plan(f"""WITH s AS (SELECT *, CASE WHEN doc_id % 10 <> 0 THEN TIMESTAMP '{_NOW}' - TO_HOURS(CAST(doc_id % 97 AS INT)) END AS at_ FROM documents), r AS (
+SELECT 'hackernews' AS platform, 'Show & tell: ' || source AS title, 'https://news.ycombinator.com/item?id=' || doc_id AS url, n_chars AS score, doc_id % 7 AS comments, at_ FROM s WHERE doc_id % 4 = 0
+UNION ALL SELECT 'github', source || '/tool: does ' || lang, 'https://github.com/' || source, n_chars, NULL, at_ FROM s WHERE doc_id % 4 = 1
+UNION ALL SELECT 'producthunt', 'Product ' || doc_id, 'https://p.example/' || doc_id, NULL, NULL, at_ FROM s WHERE doc_id % 4 = 2
+UNION ALL SELECT 'huggingface', 'my ' || lang || ' model', 'https://huggingface.co/' || source || '/my-' || lang || '_model', n_chars, NULL, at_ FROM s WHERE doc_id % 4 = 3)
+SELECT platform, title, url, score, comments, STRFTIME(at_, '%Y-%m-%d %H:%M:%S') AS published_at FROM r WHERE at_ IS NULL OR at_ >= TIMESTAMP '{_NOW}' - INTERVAL 48 HOUR""")
 def external_news(spark, d):
-    """News of six sites from saved answers, of the last 48 hours."""
-    of = lambda site: spark.sql(f"SELECT * FROM {_ANSWERS}").filter(F.col("site") == site)
-    found = external.hackernews(of("hn"), "body").union(external.github(of("gh"), "body")).union(external.atom(of("ph"), "body", "producthunt"))
-    found = found.union(external.atom(of("ax"), "body", "arxiv")).union(external.models(of("hm"), "body")).union(external.papers(of("hp"), "body"))
-    recent = external.within(found, F.lit("2024-01-30 12:00:00").cast("timestamp"))
+    """News of four sites from answers in their formats, one a document, of the last 48 hours and those without a time."""
+    at = F.when(F.col("doc_id") % 10 != 0, F.timestamp_seconds(F.unix_timestamp(F.lit(_NOW).cast("timestamp")) - F.col("doc_id") % 97 * 3600))
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = table(spark, d, "documents").withColumns({"at": iso, "id": F.col("doc_id").cast("string")})
+    one = lambda k: rows.filter(F.col("doc_id") % 4 == k)
+    json = lambda s, name=None: F.to_json(F.struct(F.array(s).alias(name)) if name else F.array(s)).alias("body")
+    hit = F.struct(F.col("id").alias("objectID"), F.concat(F.lit("Show &amp; tell: "), "source").alias("title"), F.col("n_chars").alias("points"), (F.col("doc_id") % 7).alias("num_comments"), F.col("at").alias("created_at"))
+    tool = F.struct(F.concat("source", F.lit("/tool")).alias("full_name"), F.concat(F.lit("does <b>"), "lang", F.lit("</b>")).alias("description"), F.concat(F.lit("https://github.com/"), "source").alias("html_url"), F.col("n_chars").alias("stargazers_count"), F.col("at").alias("created_at"))
+    entry = F.concat(F.lit("<feed><entry><title>Product "), "id", F.lit('</title><link rel="alternate" href="https://p.example/'), "id", F.lit('"/>'), F.coalesce(F.concat(F.lit("<published>"), "at", F.lit("</published>")), F.lit("")), F.lit("</entry></feed>"))
+    model = F.struct(F.concat("source", F.lit("/my-"), "lang", F.lit("_model")).alias("id"), F.col("n_chars").alias("trendingScore"), F.col("at").alias("createdAt"))
+    found = external.hackernews(one(0).select(json(hit, "hits")), "body").union(external.github(one(1).select(json(tool, "items")), "body"))
+    found = found.union(external.atom(one(2).select(entry.alias("body")), "body", "producthunt")).union(external.models(one(3).select(json(model)), "body"))
+    recent = external.within(found, F.lit(_NOW).cast("timestamp"))
     return recent.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))

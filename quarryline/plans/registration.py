@@ -24,37 +24,3 @@ def plan(sql: str | None = None) -> Callable[[Query], Query]:
         return query
 
     return register
-
-
-def literal(columns: str, rows: list[tuple]) -> str:
-    """Hand-made rows as a table that both engines read; whole numbers are BIGINT, others DOUBLE."""
-
-    def written(value) -> str:
-        if value is None:
-            return "NULL"
-        if isinstance(value, bool):
-            return str(value).upper()
-        if isinstance(value, (int, float)):
-            return f"CAST({value!r} AS {'BIGINT' if isinstance(value, int) else 'DOUBLE'})"
-        return "'" + str(value).replace("'", "''") + "'"
-
-    body = ",\n  ".join("(" + ", ".join(map(written, row)) + ")" for row in rows)
-    return f"(VALUES {body}) AS t({columns})"
-
-
-def cases(inputs: str, outputs: str, rows: list[tuple]) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
-    """Register a query over hand-made rows; ``rows`` hold the inputs and what must come of them, which is the SQL's answer.
-
-    The function gets the rows of the inputs and adds the outputs.
-    """
-    n = len(inputs.split(","))
-
-    def register(function: Callable[[DataFrame], DataFrame]) -> Query:
-        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            given = spark.sql(f"SELECT * FROM {literal(inputs, [row[:n] for row in rows])}")
-            return function(given).select(*(c.strip() for c in f"{inputs},{outputs}".split(",")))
-
-        query.__name__, query.__doc__ = function.__name__, function.__doc__
-        return plan(f"SELECT * FROM {literal(f'{inputs}, {outputs}', rows)}")(query)
-
-    return register

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as T
 from quarryline.functions import times, urls
-from quarryline.plans.registration import cases, plan
+from quarryline.plans.registration import plan
 from quarryline.plans.roles import EVENTS_NOW, SNAPSHOTS, snapshots
 from quarryline.session import table
 from quarryline.sources import feeds, markup
@@ -59,47 +59,9 @@ def promo_signs(spark, d):
     return rows.select("doc_id", F.round(T.caps_ratio("text"), 9).alias("caps"), T.promo_signs("text")["marker"].alias("marked"))
 
 
-@cases("text", "reason, origin", [
-    ("Скидка 20 % только сегодня", "marker", "original"),
-    ("нескидка", None, "original"),
-    ("Промокод внутри", "marker", "original"),
-    ("жмите сюда", "marker", "original"),
-    ("Реклама: новый сервис", "marker", "original"),
-    ("Воркфлоу рекламы Firefox", None, "original"),
-    ("a giveaway today", "marker", "original"),
-    ("employer-sponsored insurance", None, "original"),
-    ("sponsored by Acme", "marker", "original"),
-    ("the referral of Iran", None, "original"),
-    ("referral link below", "marker", "original"),
-    ("скачай https://a.b/c?x=1&REF=2", "call_link", "original"),
-    ("скачай https://a.b?ref=2", None, "original"),
-    ("скачай https://a.b/c?refer=2", None, "original"),
-    ("смотри https://a.b/c?ref=2", None, "original"),
-    ("оформи t.me/some_bot", "call_link", "original"),
-    ("КУПИ СЕЙЧАС ЛУЧШИЙ ТЕЛЕФОН https://a.b/c", "caps", "original"),
-    ("КУПИ СЕЙЧАС ЛУЧШИЙ ТЕЛЕФОН", None, "original"),
-    ("КУПИ ТУТ https://a.b/c", None, "original"),
-    ("купи 🎁🎁🎁🎁🎁 https://a.b/c", "emoji", "original"),
-    ("купи 🎁🎁🎁🎁 https://a.b/c", None, "original"),
-    ("новости 🎁🎁🎁🎁🎁 https://a.b/c", None, "original"),
-    ("По материалам газеты", None, "retelling"),
-    ("Источник: газета", None, "retelling"),
-    ("news via @someone", None, "retelling"),
-    ("https://a.b/c - смотрите", None, "retelling"),
-    ("https://a.b/c\n\nдлинный собственный текст после первого абзаца", None, "retelling"),
-    ("https://a.b/c и ещё много собственных слов автора в том же первом абзаце поста", None, "original"),
-    ("@ann https://a.b/c", None, "retelling"),
-    ("", None, "original"),
-    (None, None, "original"),
-])
-def promo_cases(rows):
-    """The first sign of a paid post and whose the text is, one row per rule and border."""
-    return rows.withColumns({"reason": T.promo_reason("text"), "origin": T.origin("text")})
-
-
 @plan()
 def promo_reasons(spark, d):
-    """F8, F9 over all documents; ``promo_cases`` holds the rules to hand-made rows."""
+    """F8, F9 over all documents; tests/rule_cases.py holds the rules to hand-made rows."""
     return table(spark, d, "documents").select("doc_id", T.promo_reason("text").alias("reason"), T.origin("text").alias("origin"))
 
 
@@ -138,50 +100,6 @@ def link_targets(spark, d):
     return rows.select("page_id", *(F.col("t").getField(c).alias(c) for c in ("kind", "platform", "value", "skip")))
 
 
-@cases("url", "kind, platform, value, cleaned, competitor, skip", [
-    (None, None, None, None, None, 0, "bad_url"),
-    ("  ", None, None, None, None, 0, "bad_url"),
-    ("https://bit.ly/x", None, None, None, None, 0, "skip_host"),
-    ("https://docs.google.com/d", None, None, None, None, 0, "skip_host"),
-    ("https://telegram.org/faq", None, None, None, None, 0, "skip_host"),
-    ("https://nitter.net/ann", None, None, None, None, 0, "skip_host"),
-    ("https://google.com/a", "domain", "web", "google.com", "https://google.com/a", 0, None),
-    ("https://x.com/", None, None, None, None, 0, "no_target"),
-    ("https://X.com/@Ann", "account", "x", "ann", None, 0, None),
-    ("https://m.twitter.com/Search?q=1", None, None, None, None, 0, "service_path"),
-    ("https://twitter.com/ann/status/12", None, None, None, None, 0, "service_path"),
-    ("https://twitter.com/a-b", None, None, None, None, 0, "no_target"),
-    ("https://x.com/sixteen_letters_", None, None, None, None, 0, "no_target"),
-    ("t.me/s/Some_Channel", "channel", "telegram", "some_channel", None, 0, None),
-    ("https://t.me/Abc/12", "channel", "telegram", "abc", None, 0, None),
-    ("https://t.me/+secret", None, None, None, None, 0, "invite"),
-    ("https://t.me/s", None, None, None, None, 0, "no_target"),
-    ("https://telegram.dog/ab", None, None, None, None, 0, "no_target"),
-    ("https://youtu.be/abcDEF", "video", "youtube", "abcDEF", None, 0, None),
-    ("https://youtu.be/abc", None, None, None, None, 0, "no_target"),
-    ("https://piped.video/watch?t=1&v=abcdefghijk", "video", "youtube", "abcdefghijk", None, 0, None),
-    ("https://youtube.com/watch?v=abc", None, None, None, None, 0, "no_target"),
-    ("https://www.youtube.com/shorts/abcdef_-1", "video", "youtube", "abcdef_-1", None, 0, None),
-    ("https://youtube.com/shorts/abc?v=abcdefgh", None, None, None, None, 0, "no_target"),
-    ("https://youtube.com/live?v=abcdefgh", "video", "youtube", "abcdefgh", None, 0, None),
-    ("https://youtube.com/channel/UC0123456789abcdefABCD", "channel", "youtube", "UC0123456789abcdefABCD", None, 0, None),
-    ("https://youtube.com/channel/UCshort", None, None, None, None, 0, "service_path"),
-    ("https://youtube.com/user/Some.One/videos", "channel", "youtube", "some.one", None, 0, None),
-    ("https://youtube.com/playlist?list=PL1", None, None, None, None, 0, "service_path"),
-    ("https://m.youtube.com/@Some.One", "channel", "youtube", "some.one", None, 0, None),
-    ("https://youtube.com/", None, None, None, None, 0, "no_target"),
-    ("https://youtube.com/x", None, None, None, None, 0, "no_target"),
-    ("https://user@WWW.Rutube.ru:80/v?utm_source=a&id=1&yclid=2#top", "domain", "web", "rutube.ru", "https://user@WWW.Rutube.ru:80/v?id=1#top", 1, None),
-    ("news.org/a?b&REF=1", "domain", "web", "news.org", "http://news.org/a?b=", 0, None),
-])
-def link_target_cases(rows):
-    """typed targets and reasons of literal links, one row per rule and border."""
-    t = urls.target(F.col("url"))
-    found = rows.withColumn("t", t)
-    named = {"kind": "kind", "platform": "platform", "value": "value", "cleaned": "url", "competitor": "competitor", "skip": "skip"}
-    return found.withColumns({new: F.col("t").getField(old) for new, old in named.items()}).withColumn("competitor", F.col("competitor").cast("long"))
-
-
 @plan("""WITH u AS (SELECT page_id, REGEXP_EXTRACT(url, '^[^?#]*') AS p, REGEXP_EXTRACT(url, '^[^?#]*[?]([^#]*)', 1) AS q, REGEXP_EXTRACT(url, '#.*$') AS f FROM pages),
 k AS (SELECT page_id, p, f, LIST_FILTER(STRING_SPLIT(q, '&'), lambda x: x <> '' AND NOT REGEXP_MATCHES(LOWER(x), '^(?:utm_[^=]*|ref|ref_src|fbclid|gclid|igshid|mc_cid|yclid)(?:=|$)')) AS q FROM u)
 SELECT page_id, p || CASE WHEN LEN(q) = 0 THEN '' ELSE '?' || ARRAY_TO_STRING(LIST_TRANSFORM(q, lambda x: CASE WHEN CONTAINS(x, '=') THEN x ELSE x || '=' END), '&') END || f AS url FROM k""")
