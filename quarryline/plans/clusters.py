@@ -56,7 +56,8 @@ def pairs_by_rare_value(spark, d):
     return rare.join(other, "day").filter("source_id < b").groupBy(F.col("source_id").alias("a"), "b").agg(F.count("*").alias("shared"))
 
 
-@plan()
+@plan(f"""WITH e AS (SELECT DISTINCT source_id, day FROM {CONTENTS}), f AS (SELECT day FROM e GROUP BY 1 HAVING COUNT(*) <= 50), r AS (SELECT source_id, day FROM e JOIN f USING (day))
+SELECT x.source_id AS a, y.source_id AS b, COUNT(*) AS shared FROM r x JOIN r y ON x.day = y.day AND x.source_id < y.source_id GROUP BY 1, 2""")
 def pairs_by_rare_day(spark, d):
     """J16 in full: pairs of sources that share a day of at most ``RARE_DF`` sources, over all rows, so no value brings together more."""
     each = contents(spark, d).select("source_id", "day").distinct()
@@ -72,7 +73,7 @@ def pairs_in_time(spark, d):
     return _pairs_in_time(snapshots(spark, d).filter("stage in ('purchase', 'signup')"))
 
 
-@plan()
+@plan(f"""WITH b AS (SELECT snapshot_id AS id, stage, EPOCH_US(captured_at) AS t, content_id FROM {SNAPSHOTS}) SELECT x.id AS a, y.id AS b FROM b x JOIN b y ON x.content_id = y.content_id AND x.id < y.id AND x.stage <> y.stage AND ABS(x.t - y.t) <= 108000000000""")
 def pairs_in_time_all_stages(spark, d):
     """J17 in full: pairs of any two stages."""
     return _pairs_in_time(snapshots(spark, d))

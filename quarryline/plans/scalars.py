@@ -85,9 +85,10 @@ def topic_match(spark, d):
     return table(spark, d, "documents").filter(T.matches_topic("text", ["tioned", "edthe", "stand"], ["with"])).select("doc_id")
 
 
-@plan()
+@plan("""WITH w AS (SELECT DISTINCT LOWER(SPLIT_PART(p_type, ' ', 1)) AS word FROM part), v AS (SELECT word, UNNEST(RANGE(1, LENGTH(word))) AS i FROM w)
+SELECT DISTINCT word, LEFT(word, i - 1) || word[i + 1] || word[i] || SUBSTR(word, i + 2) AS variant FROM v WHERE word[i] <> word[i + 1] AND NOT CONTAINS(word[i:i + 1], ' ')""")
 def typo_variants(spark, d):
-    """each part type with neighbouring letters exchanged. No SQL; tested by hand."""
+    """each part type with neighbouring letters exchanged."""
     word = F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))
     return table(spark, d, "part").select(word.alias("word")).distinct().select("word", F.explode(T.typo_variants("word")).alias("variant"))
 

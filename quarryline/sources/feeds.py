@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -23,6 +23,52 @@ def split_feed(rows: DataFrame, kind: str, wanted: list[str]) -> tuple[DataFrame
     return rows.filter(is_wanted).drop(CORRUPT), counters
 
 
+def observed_feed(rows: DataFrame, kind: str, wanted: list[str], name: str = "feed") -> tuple[DataFrame, Observation]:
+    """The rows of wanted kinds, and counters of all lines (``lines``, ``bad``, ``wanted``, ``other``) that are there once they have been read: one pass for both."""
+    bad = F.col(CORRUPT).isNotNull()
+    is_wanted = ~bad & F.coalesce(F.col(kind).isin(wanted), F.lit(False))
+    counters = Observation(name)
+    counts = [F.count(F.lit(1)).alias("lines"), F.count_if(bad).alias("bad"), F.count_if(is_wanted).alias("wanted"), F.count_if(~bad & ~is_wanted).alias("other")]
+    return rows.observe(counters, *counts).filter(is_wanted).drop(CORRUPT), counters
+
+
+#: Fields of an object that can be its id, the first that has one. Fixed values.
+ID_FIELDS = ["id", "video_id", "url", "link", "video_url", "text"]
+
+
+def _scalar_id(v: Column) -> Column:
+    """The id in a variant that is text or a number; null for anything else."""
+    kind = F.schema_of_variant(v)
+    text = F.nullif(F.trim(F.try_variant_get(v, "$", "string")), F.lit(""))
+    return F.when((kind == "STRING") | kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text)
+
+
+def as_id(v: Column) -> Column:
+    """An id from a variant of any type: text, a number, or an object by its first field that has one."""
+    fields = [_scalar_id(F.try_variant_get(v, f"$.{name}", "variant")) for name in ID_FIELDS]
+    return F.coalesce(_scalar_id(v), *fields)
+
+
+def as_ids(v: Column) -> Column:
+    """The different ids of a variant that is a list, in order; of anything else its own id, if it has one."""
+    listed = F.try_variant_get(v, "$", "array<variant>")
+    own = F.array_compact(F.array(as_id(v)))
+    return F.coalesce(F.array_distinct(F.array_compact(F.transform(listed, as_id))), own)
+
+
+def as_count(v: Column) -> Column:
+    """A count from a variant: a number (its whole part), text of digits, true as 1, a list by its different ids; null for anything else."""
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double").cast("long")
+    text = F.try_variant_get(v, "$", "string")
+    return (
+        F.when(kind.startswith("ARRAY"), F.size(as_ids(v)).cast("long"))
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("long"))
+        .when(kind == "STRING", F.when(F.trim(text).rlike("^[+-]?[0-9]+$"), F.trim(text).try_cast("long")))
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), number)
+    )
+
+
 def as_list(text) -> Column:
     """A JSON list as strings; a single value or an object becomes a list of one, nothing an empty list."""
     raw = F.trim(F.coalesce(text, F.lit("")))
