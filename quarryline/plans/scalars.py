@@ -9,7 +9,7 @@ from quarryline.functions import times, urls
 from quarryline.plans.registration import plan
 from quarryline.plans.roles import EVENTS_NOW, SNAPSHOTS, snapshots
 from quarryline.session import table
-from quarryline.sources import feeds, markup
+from quarryline.sources import feeds, markup, walker
 
 _W = "REGEXP_EXTRACT_ALL(LOWER(text), '[\\p{L}\\p{N}_]+')"
 
@@ -246,3 +246,19 @@ def page_paragraphs(spark, d):
 def names_in_titles(spark, d):
     """words of first lines that look like names. No SQL; tested by hand."""
     return table(spark, d, "documents").select("doc_id", T.distinctive_names(F.split_part("text", F.lit("\n"), F.lit(1))).alias("names"))
+
+
+@plan()
+def page_blocks(spark, d):
+    """All blocks of text of every page by its tags, nested or unclosed. No SQL; tests/test_walker.py has pages by hand and the table's."""
+    return walker.page_blocks(table(spark, d, "pages"), "page_id", "html")
+
+
+@plan(r"""WITH h AS (SELECT page_id, REGEXP_REPLACE(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g') AS html FROM pages)
+SELECT page_id, LEN(REGEXP_EXTRACT_ALL(html, '(?i)<p[ >]')) AS paragraphs, LEN(REGEXP_EXTRACT_ALL(html, '(?i)<li[ >]')) AS items, LEN(REGEXP_EXTRACT_ALL(html, '(?i)<a ')) AS links FROM h""")
+def page_outlines(spark, d):
+    """Paragraphs, items of lists and links of every page, from its blocks."""
+    count = lambda tag: F.count_if(F.col("tag") == tag)
+    counted = walker.page_blocks(table(spark, d, "pages"), "page_id", "html").groupBy("page_id").agg(count("p").alias("paragraphs"), count("li").alias("items"), F.sum("links").alias("links"))
+    known = table(spark, d, "pages").select("page_id").join(counted, "page_id", "left")
+    return known.select("page_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("paragraphs", "items", "links")))
