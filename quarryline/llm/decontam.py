@@ -149,6 +149,71 @@ def longest_matches(words: np.ndarray, order: np.ndarray, flat: np.ndarray, star
     return longest, order[np.minimum(low, max(len(order) - 1, 0))] if len(order) else low, win_low, win_high
 
 
+class Prefixes:
+    """Classes of equal runs of 1, 2, 4 ... words of an array, up to ``depth``; other words get the same classes, where they have a run that the array has."""
+
+    def __init__(self, words: np.ndarray, depth: int) -> None:
+        self.levels, self.keys = [np.append(words, 0)], []
+        while 2 << len(self.keys) <= depth:
+            pairs, known, base = self._pairs(self.levels[-1], 1 << len(self.keys), len(words) + 2)
+            keys = np.unique(pairs[known])
+            self.keys.append((base, keys))
+            self.levels.append(np.where(known, np.searchsorted(keys, pairs) + 1, 0))
+
+    @staticmethod
+    def _pairs(level: np.ndarray, half: int, base: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Both halves of each run as one number, and whether all of its words are known."""
+        after = np.zeros_like(level)
+        after[:-half] = level[half:]
+        return level * base + after, (level > 0) & (after > 0), base
+
+    def of(self, words: np.ndarray) -> list[np.ndarray]:
+        """Levels of other words, 0 where the array has no such run."""
+        levels = [np.append(words, 0)]
+        for k, (base, keys) in enumerate(self.keys):
+            pairs, known, _ = self._pairs(levels[-1], 1 << k, base)
+            place = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+            found = known & (keys[place] == pairs) if len(keys) else np.zeros(len(pairs), bool)
+            levels.append(np.where(found, place + 1, 0))
+        return levels
+
+    def common(self, at: np.ndarray, others: list[np.ndarray], to: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at ``at`` of the array and at ``to`` of the others have in common."""
+        size = np.zeros(len(at), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            here, there = self.levels[k], others[k]
+            a, b = here[np.minimum(at + size, len(here) - 1)], there[np.minimum(to + size, len(there) - 1)]
+            size += ((a == b) & (a > 0)).astype(np.int64) << k
+        return size
+
+
+def longest_in(prefixes: Prefixes, order: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest match of each suffix of ``words`` in a suffix array, and the first suffix in its order that has it.
+
+    Binary search by the words in common, which come from classes of runs: log(suffixes) times log(depth) steps, however long the match.
+    """
+    if not len(order) or not len(starts):
+        return np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    others, own = prefixes.of(words), prefixes.levels[0]
+    padded = np.append(words, 0)
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
+    while len(todo := np.flatnonzero(low < high)):
+        mid = (low[todo] + high[todo]) // 2
+        same = prefixes.common(order[mid], others, starts[todo])
+        less = own[np.minimum(order[mid] + same, len(own) - 1)] < padded[np.minimum(starts[todo] + same, len(words))]
+        low[todo], high[todo] = np.where(less, mid + 1, low[todo]), np.where(less, high[todo], mid)
+    before, after = np.maximum(low - 1, 0), np.minimum(low, len(order) - 1)
+    sizes = [prefixes.common(order[at], others, starts) for at in (before, after)]
+    longest = np.maximum(*sizes)
+    # Towards the place of the suffix the words in common never get fewer.
+    a, b = np.zeros(len(starts), np.int64), np.where(sizes[0] == longest, before, after)
+    while len(todo := np.flatnonzero(a < b)):
+        mid = (a[todo] + b[todo]) // 2
+        there = prefixes.common(order[mid], others, starts[todo]) >= longest[todo]
+        a[todo], b[todo] = np.where(there, a[todo], mid + 1), np.where(there, mid, b[todo])
+    return longest, order[a]
+
+
 def _shard(batch: pa.RecordBatch, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word ids of the slice with a 0 after each document, and the end of each document's words."""
     get = vocabulary.get
@@ -192,6 +257,24 @@ class Hits:
         self.pairs = np.unique(np.stack([np.repeat(documents[1], many), items[1][index]]), axis=1)
 
 
+def _runs(found: Hits, at: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that matches from ``at`` on can have, runs apart by a 0, and where each match begins in them.
+
+    All windows of a match longer than a window are found too, so that a match ends a window after the last word of its run.
+    """
+    if not len(at):
+        return np.empty(0, np.int64), at
+    change = np.zeros(len(found.words) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, np.minimum(at + window, found.ends[doc]), -1)
+    kept = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    run = np.cumsum(np.concatenate([[0], np.diff(kept) > 1]))
+    place = np.arange(len(kept)) + run
+    words = np.zeros(place[-1] + 2, np.int64)
+    words[place] = found.words[kept]
+    return words, place[np.searchsorted(kept, at)]
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in blocks of a bounded size, fetched one partition of about that size at a time."""
     block: list[tuple[str | None, bytes]] = []
@@ -218,10 +301,10 @@ def _with_last(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every word of a document at which a window of an item begins, with the longest verbatim match from there on.
+    """The longest verbatim matches of documents with items, each once: of the words at which a window of an item begins, those whose longest match is more than the rest of the one before.
 
-    ``doc_id``, ``word`` (offset), ``length`` (words), and the item that has it: ``item_id``, ``item_word`` (offset), the first in the order of the test suffixes. These words are
-    searched in the suffix array of the items, so there is one row per word and block of items of which a window begins there, whatever the number of windows.
+    ``doc_id``, ``word`` (offset), ``length`` (words), and the item that has it: ``item_id``, ``item_word`` (offset), the first in the order of the test suffixes. The
+    runs of such words, and no others, are searched in the suffix array of the items. A match of any length is one row per block of items that has it.
     """
 
     def make(shared):
@@ -232,13 +315,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
             own = np.arange(len(tests.starts)) + tests.owner
             apart[own] = tests.flat[: len(own)]
             order = suffix_array(apart, tests.depth)
+            prefixes = Prefixes(apart, tests.depth)
             base = np.cumsum(tests.sizes) - tests.sizes
             for batch in slices(batches, limit=SHARD_BYTES):
                 found = Hits(batch, tests, window)
                 at = np.unique(found.at)
                 doc = np.searchsorted(found.ends, at, "left")
-                left = found.ends[doc] - at if len(at) else at
-                longest, where, _, _ = longest_matches(apart, order, found.words, at, left, np.zeros(len(at), np.int64), tests.depth)
+                longest, where = longest_in(prefixes, order, *_runs(found, at, doc, window))
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (longest[1:] >= longest[:-1])
+                at, doc, longest, where = at[fresh], doc[fresh], longest[fresh], where[fresh]
                 query = np.searchsorted(own, where)
                 item = tests.owner[query]
                 yield pa.RecordBatch.from_arrays(
