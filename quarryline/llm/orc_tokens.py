@@ -19,15 +19,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.batches import flat_bytes, slices, text_rows
+from quarryline.llm.sharding import ranges_for
 from quarryline.llm.tokens import DEFAULT_VOCABULARY, PieceEncoder, vocabulary_path
 
 END_ID = 2
+#: Name of the table of starts; readers of the files pass over names that begin like this.
+STARTS = "_starts"
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """Texts range-partitioned by document id and sorted: partition i holds smaller ids than partition i + 1."""
-    return text_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+def in_order(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Texts range-partitioned by document id and sorted: partition i holds smaller ids than partition i + 1. All rows of one id are in one range."""
+    rows = text_rows(docs)
+    ranged = rows.repartitionByRange(ranges, "doc_id") if ranges else rows.repartitionByRange("doc_id")
+    return ranged.sortWithinPartitions("doc_id", "text")
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +56,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, end_
             )
             done += len(ids)
 
-    return in_order(docs).mapInArrow(run, SCHEMA)
+    return in_order(docs, ranges_for(docs)).mapInArrow(run, SCHEMA)
 
 
 def write_orc(encoded: DataFrame, path: str, stripe_bytes: int = 16 << 20, index_stride: int = 1000, false_positives: float = 0.01) -> None:
-    """Write encoded documents with row indexes and Bloom filters on ``doc_id``."""
+    """Write encoded documents with row indexes and Bloom filters on ``doc_id``, and beside them where each partition's ids begin, a row per partition."""
     (
         encoded.write.mode("overwrite")
         .option("orc.compress", "ZSTD")
@@ -66,15 +71,16 @@ def write_orc(encoded: DataFrame, path: str, stripe_bytes: int = 16 << 20, index
         .option("orc.bloom.filter.fpp", str(false_positives))
         .orc(path)
     )
+    sums = encoded.sparkSession.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"))
+    starts.coalesce(1).write.mode("overwrite").parquet(f"{path}/{STARTS}")
 
 
 def read_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """Documents with ``start``, the ids of all documents before them. ``doc_ids`` is pushed down to the stripes."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    # One row per written partition: the sums below are as many as the files, however many documents there are.
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("before"))
+    starts = spark.read.schema("part int, before long").parquet(f"{path}/{STARTS}")  # stored when the files were: a lookup reads no other file's numbers
     if doc_ids is not None:
         rows = rows.filter(F.col("doc_id").isin(doc_ids))
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")

@@ -131,6 +131,27 @@ def test_orc_files_have_indexes_bloom_filters_and_run_lengths(spark):
     assert none and max(none) == 0
 
 
+def test_a_lookup_reads_the_stripes_of_its_ids_only(spark):
+    """No sums over all files; of 40,000 rows in many files the scan gives a few row groups."""
+    docs = spark.range(0, 40_000).selectExpr("id as doc_id", "concat('t ', sha2(string(id), 256)) as text")
+    path = shared_dir(spark)
+    orc_tokens.write_orc(orc_tokens.encode_documents(docs.repartition(4)), path)
+    one = orc_tokens.read_orc(spark, path, doc_ids=[31_234])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan and "PushedFilters: [In(doc_id" in plan or "EqualTo(doc_id" in plan
+    everything = {r.doc_id: r.start for r in orc_tokens.read_orc(spark, path).select("doc_id", "start").collect()}
+    assert [(r.doc_id, r.start) for r in one.collect()] == [(31_234, everything[31_234])]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "one id")
+    one.select("ids").collect()
+    store, read = spark.sparkContext._jsc.sc().statusStore(), 0
+    for job in tracker.getJobIdsForGroup("lookup"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            read += store.lastStageAttempt(stage).inputRecords()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert read <= 3_000
+
+
 def test_orc_with_very_long_and_clashing_rows(spark):
     """Long texts, null and repeated ids, and columns named like the operator's own."""
     long = "word " * 400_000
