@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,36 +50,6 @@ def _print(words: list[str], k: int = 3, block: int = 1 << 15) -> int:
     return int(np.packbits(2 * ones > len(runs)).view(">u8")[0])
 
 
-def block_masks(radius: int = RADIUS, spare: int = 1) -> list[int]:
-    """Masks (signed) of all choices of ``spare`` among ``radius`` + ``spare`` blocks of bits.
-
-    Differing bits touch at most ``radius`` blocks, so two hashes within the radius agree under one of the masks at least.
-    """
-    n = radius + spare
-    widths = [64 // n + (i < 64 % n) for i in range(n)]
-    block = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
-    masks = [sum(chosen) for chosen in combinations(block, spare)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def spare_for(nodes: int, radius: int = RADIUS, most: int = 4) -> int:
-    """So many spare blocks that keys have about as many values as there are nodes: buckets stay small as the corpus grows."""
-    return next((m for m in range(1, most) if 64 * m // (radius + m) >= nodes.bit_length()), most)
-
-
-def near_pairs(prints: DataFrame, id_: str, radius: int = RADIUS, spare: int | None = None) -> DataFrame:
-    """Pairs of distinct hashes within the radius, as the smallest ids that have them.
-
-    Equal hashes are one node before keys are joined, so copies add no pairs.
-    """
-    nodes = prints.groupBy("fp").agg(F.min(id_).alias("rep"))
-    masks = block_masks(radius, spare_for(nodes.count(), radius) if spare is None else spare)
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks))))
-    spread = nodes.select("rep", "fp", keys.alias("k")).select("rep", "fp", "k.b", "k.v")
-    other = spread.select(F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), "b", "v")
-    return spread.join(other, ["b", "v"]).filter((F.col("rep") < F.col("rep2")) & (T.hamming("fp", "fp2") <= radius)).select(F.col("rep").alias("src"), F.col("rep2").alias("dst")).distinct()
-
-
 def clusters(df: DataFrame, id_: str, text: str, radius: int = RADIUS) -> DataFrame:
     """``id_`` and ``cluster``, the smallest id of its chain of near texts; texts without words stand alone.
 

@@ -39,13 +39,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Intermediate tables live here, so that any executor can read what another one wrote. Where
-    ``spark.checkpoint.dir`` is unset (single-machine tests) a folder in the warehouse stands in.
+    Intermediate tables live here, so that any executor can read what another one wrote. Where ``spark.checkpoint.dir`` is unset, a
+    folder in the warehouse stands in on a single machine; a cluster has to name one.
     """
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
 
