@@ -246,3 +246,31 @@ def candidate_mention_details(spark, d):
 def candidate_pools(spark, d):
     """K6: how many rows a section of a report looks at; a section shows a hundredth of a topic."""
     return contents(spark, d).groupBy(F.col("topic").alias("section")).agg(F.count("*").alias("posts")).select("section", "posts", R.pool_size(F.floor(F.col("posts") / 100)).alias("pool"))
+
+
+@plan("""WITH RECURSIVE l AS (SELECT conv_id, turn, STRING_SPLIT(COALESCE(text, ''), chr(10)) AS ls FROM (SELECT conv_id, turn, MIN(text) AS text FROM conversations GROUP BY 1, 2)),
+w AS (SELECT conv_id, turn, 0 AS i, 1 AS piece, CAST('' AS VARCHAR) AS held FROM l
+  UNION ALL SELECT w.conv_id, w.turn, i + 1, CASE WHEN held <> '' AND LENGTH(held) + LENGTH(ls[i + 1]) + 1 > 120 THEN piece + 1 ELSE piece END,
+    CASE WHEN held <> '' AND LENGTH(held) + LENGTH(ls[i + 1]) + 1 > 120 THEN '' ELSE held END || ls[i + 1] || chr(10)
+  FROM w JOIN l ON l.conv_id = w.conv_id AND l.turn = w.turn WHERE i < LEN(ls)),
+p AS (SELECT conv_id, turn, piece, ARG_MAX(held, i) AS held FROM w WHERE i > 0 GROUP BY 1, 2, 3)
+SELECT conv_id, turn, COUNT(*) AS pieces, MD5(STRING_AGG(REGEXP_REPLACE(held, '\\s+$', ''), '|' ORDER BY piece)) AS text_hash FROM p
+WHERE NOT (REGEXP_MATCHES(held, '^\\s*$') AND piece = (SELECT MAX(q.piece) FROM p q WHERE q.conv_id = p.conv_id AND q.turn = p.turn)) GROUP BY 1, 2""")
+def text_pieces(spark, d):
+    """Turns in pieces of whole lines of 120 characters with their ends."""
+    rows = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    pieces = rows.select("conv_id", "turn", T.split_pieces("text", 120).alias("p")).filter(F.size("p") > 0)
+    return pieces.select("conv_id", "turn", F.size("p").cast("long").alias("pieces"), F.md5(F.array_join("p", "|")).alias("text_hash"))
+
+
+@plan("""WITH t AS (SELECT doc_id, lang, source, TIMESTAMP '2024-01-01' + TO_MINUTES(CAST(doc_id * 37 AS INT)) + INTERVAL 3 HOUR AS at_ FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS emoji, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_tags, HOUR(at_) AS hour, ISODOW(at_) AS weekday FROM t""")
+def title_details(spark, d):
+    """emoji and tags of titles, the hour and weekday (Monday is 1) of a zone three hours ahead."""
+    rows = table(spark, d, "documents")
+    title = F.concat(F.when(F.col("doc_id") % 4 == 0, "🎁✅ ").when(F.col("doc_id") % 4 == 1, "⭐").otherwise(""), "source")
+    tags = F.when(F.col("doc_id") % 5 == 0, "broken").otherwise(F.to_json(F.array("lang", "source")))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 37 * 60)
+    local = F.from_utc_timestamp(at, "Europe/Moscow")
+    n_tags = F.size(F.coalesce(F.from_json(tags, "array<string>"), F.array().cast("array<string>")))
+    return rows.select("doc_id", T.title_emoji(title).cast("long").alias("emoji"), n_tags.cast("long").alias("n_tags"), F.hour(local).cast("long").alias("hour"), (F.weekday(local) + 1).cast("long").alias("weekday"))
