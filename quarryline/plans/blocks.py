@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import scores as S
@@ -288,3 +289,40 @@ def table_probes(spark, d):
 def ordered_scan(spark, d):
     """A table in a fixed order."""
     return table(spark, d, "nation").orderBy("n_regionkey", "n_name").select("n_nationkey", "n_name")
+
+
+#: The topic that stands in for tools.
+_TOOLS = "1-URGENT"
+
+
+def _shelf(platform: str, passed: str, value: str) -> str:
+    return f"SELECT '{platform}' AS platform, content_id, CAST(ROUND({value}, 6) AS DOUBLE) AS value, views, ROW_NUMBER() OVER (ORDER BY {value} DESC, views DESC, content_id) AS place FROM ({passed}) WHERE topic = '{_TOOLS}'"
+
+
+@plan(f"""WITH n AS (SELECT source_id, MEDIAN(views) AS norm FROM {_POSTS} GROUP BY 1 HAVING COUNT(*) >= 5 AND MEDIAN(views) >= 20),
+b AS (SELECT source_id, CASE WHEN COUNT(*) >= 3 THEN MEDIAN(views) END AS base FROM {CONTENTS} WHERE NOT ({_YEAR}) GROUP BY 1),
+shelves AS (
+  {_shelf('youtube', f"SELECT *, views / size AS coverage FROM {_POSTS} WHERE {_YEAR} AND size >= 1000 AND views >= 5000 AND views / size >= 3 AND skip IS NULL", 'coverage')}
+  UNION ALL {_shelf('x', f"SELECT p.*, views / norm AS ratio FROM {_POSTS} p JOIN n USING (source_id) WHERE {_YEAR} AND views >= 200 AND views / norm >= 1.4 AND skip IS NULL", 'ratio')}
+  UNION ALL {_shelf('telegram', f"SELECT p.*, views / base AS ratio FROM {_POSTS} p JOIN b USING (source_id) WHERE {_YEAR} AND base > 0 AND views >= 1000 AND views / base >= 1.5 AND skip IS NULL", 'ratio')})
+SELECT platform, place, content_id, value FROM shelves WHERE place <= 10""")
+def ai_tools_board(spark, d):
+    """C17: posts of one topic that pass the floors of a platform, by its own norm; norms come from all topics."""
+    from quarryline.functions import stats
+
+    posts = _posts(spark, d)
+    base = contents(spark, d).filter(~_fresh()).groupBy("source_id").agg(stats.median_of_at_least("views", 3).alias("base"))
+    whole = {"limit": None}  # neither cut nor capped before the topic is looked at
+    every = 1 << 30
+    found = {
+        "youtube": (B.viral_by_coverage(posts, "source_id", "views", "size", "content_id", _fresh(), _skip(), per_source=every, **whole)[0], "coverage"),
+        "x": (B.viral_by_author(posts, "source_id", "views", "content_id", _fresh(), _skip(), least=1.4, per_author=every, **whole)[0], "ratio"),
+        "telegram": (B.viral_by_baseline(posts.join(base, "source_id", "left"), "source_id", "views", "base", "content_id", _fresh(), _skip(), least=1.5, per_source=every, **whole)[0], "ratio"),
+    }
+    out = None
+    for platform, (rows, value) in found.items():
+        best = rows.filter(F.col("topic") == _TOOLS).orderBy(F.desc(value), F.desc("views"), "content_id").limit(10)
+        placed = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc(value), F.desc("views"), "content_id")).cast("long"))  # ten rows
+        one = placed.select(F.lit(platform).alias("platform"), "place", "content_id", F.round(value, 6).alias("value"))
+        out = one if out is None else out.union(one)
+    return out

@@ -264,7 +264,7 @@ def text_pieces(spark, d):
 
 
 @plan("""WITH t AS (SELECT doc_id, lang, source, TIMESTAMP '2024-01-01' + TO_MINUTES(CAST(doc_id * 37 AS INT)) + INTERVAL 3 HOUR AS at_ FROM documents)
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS emoji, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS n_tags, HOUR(at_) AS hour, ISODOW(at_) AS weekday FROM t""")
+SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS emoji, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_tags, HOUR(at_) AS hour, ISODOW(at_) AS weekday FROM t""")
 def title_details(spark, d):
     """emoji and tags of titles, the hour and weekday (Monday is 1) of a zone three hours ahead."""
     rows = table(spark, d, "documents")

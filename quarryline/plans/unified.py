@@ -37,7 +37,7 @@ REPORT = [
     ("first_movers", "first_mover_ledger", "stage", "share"),
     ("comments", "hot_discussions", "conv_id", "replies"),
     ("dark_horses", "dark_horses", "content_id", "outlier"),
-    ("tools", "tool_board", "host", "pages"),
+    ("tools", "ai_tools_board", "content_id", "value"),
     ("caveats", "caveat_counters", "name", "part"),
     ("health", "health_panel", "name", "value"),
 ]
