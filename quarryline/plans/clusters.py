@@ -12,7 +12,16 @@ from quarryline.plans.roles import CONTENTS, SNAPSHOTS, contents, snapshots
 from quarryline.session import table
 
 
-@plan()
+@plan("""WITH RECURSIVE w AS (SELECT doc_id, REGEXP_EXTRACT_ALL(LOWER(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+r AS (SELECT doc_id, UNNEST(LIST_DISTINCT(CASE WHEN LEN(w) < 3 THEN w ELSE LIST_TRANSFORM(RANGE(1, LEN(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS r FROM w),
+h AS (SELECT doc_id, CAST('0x' || LEFT(MD5(r), 16) AS UBIGINT) AS h FROM r),
+bits AS (SELECT doc_id, b, 2 * SUM((h >> b) & 1) > COUNT(*) AS one FROM h, (SELECT CAST(UNNEST(RANGE(64)) AS UBIGINT) AS b) GROUP BY 1, 2),
+prints AS (SELECT doc_id, CAST(SUM(CASE WHEN one THEN CAST(1 AS HUGEINT) << CAST(b AS INT) ELSE 0 END) AS UBIGINT) AS fp FROM bits GROUP BY 1),
+nodes AS (SELECT fp, MIN(doc_id) AS rep FROM prints GROUP BY 1),
+links AS (SELECT x.fp AS a, y.fp AS b FROM nodes x JOIN nodes y ON BIT_COUNT(CAST(XOR(x.fp, y.fp) AS BIT)) <= 6),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+found AS (SELECT a AS fp, MIN(rep) AS cluster FROM reached JOIN nodes ON nodes.fp = b GROUP BY 1)
+SELECT doc_id, COALESCE(cluster, doc_id) AS cluster FROM documents LEFT JOIN prints USING (doc_id) LEFT JOIN found USING (fp)""")
 def near_duplicate_clusters(spark, d):
     """F3, J15, C1."""
     return neardup.clusters(table(spark, d, "documents"), "doc_id", "text")
