@@ -82,17 +82,18 @@ def registry_rows(spark, d):
 
 @plan("SELECT conv_id, turn, role, '2024-01-01' AS exported_at, ROW_NUMBER() OVER (ORDER BY conv_id, turn) - 1 AS place FROM conversations")
 def exported_lines(spark, d):
-    """An export in order with its time, read back in the order of its files and lines."""
+    """An export in order with its time, read back in the order of its files, their blocks and lines."""
     path = shared_dir(spark)
     feeds.export_jsonl(table(spark, d, "conversations").select("conv_id", "turn", "role"), path, ["conv_id", "turn"], "2024-01-01")
     stored = spark.read.schema("conv_id long, turn long, role string, exported_at string").json(path)
-    placed = stored.withColumns({"__file": F.col("_metadata.file_name"), "__line": F.monotonically_increasing_id()})
-    counts = placed.groupBy("__file").agg(F.count("*").alias("__n"), F.min("__line").alias("__first"))
+    # Tasks read blocks of a file, in any order, so only the lines of a block are numbered one after another.
+    placed = stored.withColumns({"__file": F.col("_metadata.file_name"), "__block": F.col("_metadata.file_block_start"), "__line": F.monotonically_increasing_id()})
+    counts = placed.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__line").alias("__first"))
     from pyspark.sql import Window
 
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
-    starts = counts.select("__file", (before - F.col("__first")).alias("__shift"))
-    return placed.join(starts, "__file").select("conv_id", "turn", "role", "exported_at", (F.col("__line") + F.col("__shift")).alias("place"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block
+    starts = counts.select("__file", "__block", (before - F.col("__first")).alias("__shift"))
+    return placed.join(starts, ["__file", "__block"]).select("conv_id", "turn", "role", "exported_at", (F.col("__line") + F.col("__shift")).alias("place"))
 
 
 @plan("SELECT event_type AS kind, COUNT(*) + COUNT(*) FILTER (value > 100) AS n, CAST(ROUND(SUM(value) + SUM(CASE WHEN value > 100 THEN value ELSE 0 END), 2) AS DOUBLE) AS total FROM events GROUP BY 1")

@@ -115,3 +115,20 @@ def test_measurement_stages_at_microseconds(spark, tmp_path):
     got = {(r.content_id, r.stage): (r.status, r.at) for r in rows}
     assert got[1, "1h"] == ("measured", h(1)) and got[1, "6h"] == ("measured", h(5))
     assert got[1, "24h"] == ("closed_no_data", at + dt.timedelta(hours=33))
+
+
+def test_exported_lines_keep_their_places_in_split_files(spark, sf_dir):
+    """A file that several tasks read is numbered through."""
+    from quarryline.plans import registry
+
+    small = {"spark.sql.files.maxPartitionBytes": "512b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        found = registry.QUERIES["exported_lines"](spark, sf_dir).orderBy("conv_id", "turn").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.place for r in found] == list(range(len(found)))
+    assert len(found) > 20
