@@ -12,6 +12,7 @@ finer buckets in which each of their pairs within the radius meets again, and so
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,36 @@ from quarryline.session import shared_dir, write_through
 BITS = 64
 #: Hashes of a bucket that one task searches; more are dealt to finer buckets.
 BUCKET = 1 << 13
+#: Rows of all tables that one task deals out.
+ROWS_IN_TASK = 1_000_000
 
 
+@lru_cache
+def balanced_codes(radius: int, n: int) -> tuple[int, ...]:
+    """Codes of ``n`` bits. Powers of two come first, so that from ``radius`` + 1 bits on every table compares a bit at least; each further
+    code is the one that helps the tables with the fewest bits most, so that all tables compare about half of the bits."""
+    tables = (1 << radius + 1) - 1
+    vectors = np.arange(1, tables + 1)
+    odd = np.bitwise_count(vectors[:, None] & vectors[None, :]) % 2  # table, code
+    codes = [1 << i for i in range(min(n, radius + 1))]
+    held = odd[:, np.array(codes, np.int64) - 1].sum(axis=1, dtype=np.int64)
+    while len(codes) < n:
+        lack = 0.5 ** held.astype(float)
+        best = int(np.argmax(lack @ odd))
+        codes.append(best + 1)
+        held += odd[:, best]
+    return tuple(codes)
+
+
+@lru_cache(1 << 12)
 def covering_masks(radius: int, free: int = -1) -> list[int]:
-    """One mask per table over the bits set in ``free``, as signed longs; see the module's text.
-
-    Powers of two come first among the codes, so that from ``radius`` + 1 bits on every table compares a bit at least.
-    """
+    """One mask per table over the bits set in ``free``, as signed longs; see the module's text."""
     tables = (1 << radius + 1) - 1
-    codes = sorted(range(1, tables + 1), key=lambda c: (c & (c - 1) != 0, c))
     bits = [i for i in range(BITS) if free >> i & 1]
+    codes = balanced_codes(radius, len(bits))
     masks = []
     for v in range(1, tables + 1):
-        mask = sum(1 << bit for i, bit in enumerate(bits) if (v & codes[i % tables]).bit_count() % 2)
+        mask = sum(1 << bit for bit, code in zip(bits, codes, strict=True) if (v & code).bit_count() % 2)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
@@ -80,7 +98,8 @@ def links(nodes: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     if bucket < 1 << radius + 1:
         raise ValueError("too small a bucket for the radius")
     spark, found = nodes.sparkSession, None
-    rows = nodes.select(F.lit(0).cast("long").alias("mask"), "fp")
+    tasks = nodes.count() * ((1 << radius + 1) - 1) // ROWS_IN_TASK + 1  # a hash becomes a row per table, so few bytes are much work
+    rows = nodes.select(F.lit(0).cast("long").alias("mask"), "fp").repartition(tasks, "fp")
     while True:
         dealt = _dealt(rows, radius)
         large = dealt.groupBy("bucket").count().filter(F.col("count") > bucket).select("bucket")

@@ -385,3 +385,13 @@ def test_average_linkage_equals_the_plain_one():
         assert sorted(map(sorted, got)) == sorted(map(sorted, plain_linkage(range(n), scores, 0.15)))
     chain = {(i, i + 1): 0.5 + i / 1e6 for i in range(20_000)}
     assert len(stories.average_linkage(list(range(20_001)), chain, 0.3)) < 20_001
+
+
+def test_covering_masks_compare_many_bits_in_every_table():
+    """A table that compares a bit or two holds all hashes in a few buckets, each of which is dealt to every table again."""
+    from quarryline.operators import linking
+
+    for radius in (4, 6):
+        for free in (-1, (1 << 32) - 1):
+            bits = (free & (1 << 64) - 1).bit_count()
+            assert min((m & (1 << 64) - 1).bit_count() for m in linking.covering_masks(radius, free)) >= bits // 3
