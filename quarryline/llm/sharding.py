@@ -79,11 +79,11 @@ def read_shards(spark: SparkSession, path: str, schema: str, shards: Sequence[in
         rows = rows.filter(F.col("shard").isin(*shards))
     part = F.shiftright("place", 33)
     rows = rows.withColumn("__part", part)
-    # A row for each range and shard in it, about as many as files.
+    # A row for each range and shard in it, about as many as files: sent to the records, so that no text is shuffled to meet them.
     runs = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n"), F.min("place").alias("__first"))
     earlier = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("shard", "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return rows.join(runs, ["shard", "__part"]).withColumn("slot", F.col("place") + F.col("__shift")).drop("place", "__part", "__shift")
+    return rows.join(F.broadcast(runs), ["shard", "__part"]).withColumn("slot", F.col("place") + F.col("__shift")).drop("place", "__part", "__shift")
 
 
 def digests(rows: DataFrame, weights: Sequence[float], grown: Sequence[float], key: str = "doc_id") -> DataFrame:

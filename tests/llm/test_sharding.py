@@ -80,3 +80,18 @@ def test_reading_one_shard_reads_its_folder_only(spark, tmp_path):
     one = sharding.read_shards(spark, f"{tmp_path}/s", "doc_id long", shards=[2])
     assert re.search(r"PartitionFilters: \[[^\]]*\(shard#\d+ = 2\)", one._jdf.queryExecution().toString())
     assert [r.slot for r in one.orderBy("slot").collect()] == list(range(one.count()))
+
+
+def test_texts_are_not_shuffled_to_get_their_slots(spark, tmp_path):
+    """The first places of the runs go to the records."""
+    path = f"file://{tmp_path}/shards"
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    sharding.write_shards(spark.createDataFrame([(i, "a b", "x", "y", 0) for i in range(40)], SCHEMA), path, [1.0] * 8)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = sharding.read_shards(spark, path, "doc_id long, text string")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
