@@ -395,3 +395,21 @@ def test_covering_masks_compare_many_bits_in_every_table():
         for free in (-1, (1 << 32) - 1):
             bits = (free & (1 << 64) - 1).bit_count()
             assert min((m & (1 << 64) - 1).bit_count() for m in linking.covering_masks(radius, free)) >= bits // 3
+
+
+def test_pairs_of_a_shared_day_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from quarryline.plans import clusters
+
+    monkeypatch.setattr(clusters, "PAIRS_IN_TASK", 50)
+    monkeypatch.setattr(clusters, "SOURCES_AT_ONCE", 7)
+    days = {0: range(40), 1: range(30, 60), 2: [5], 3: [1, 2]}
+    rare = spark.createDataFrame([(s, d) for d, own in days.items() for s in own], "source_id long, day long").coalesce(1)
+    found = clusters._shared(rare)
+    want = {}
+    for own in days.values():
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.shared for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() == (40 * 39 // 2 + 30 * 29 // 2 + 1) // 50 + 1
