@@ -13,13 +13,14 @@ from quarryline.session import table
 def _posts(spark: SparkSession, d: str) -> DataFrame:
     """Every event names the user ``k`` of its props; clicks repeat another, purchases link an earlier event; errors do not count."""
     k = F.get_json_object("props", "$.k").try_cast("long")
+    linked = F.col("event_id") - 1 - F.pmod("event_id", F.lit(3))  # below 0 there is no event, and an address would be read without its sign
     return table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("id"),
         F.concat(F.lit("U"), "user_id").alias("author"),
         F.col("ts").alias("at"),
         F.when(k.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("u"), k))).alias("mentions"),
         F.when(F.col("event_type") == "click", F.concat(F.lit("u"), F.pmod("event_id", F.lit(97)))).alias("origin"),
-        F.when(F.col("event_type") == "purchase", F.array(F.concat(F.lit("https://h.example/u/status/"), F.col("event_id") - 1 - F.pmod("event_id", F.lit(3))))).otherwise(F.array().cast("array<string>")).alias("links"),
+        F.when((F.col("event_type") == "purchase") & (linked >= 0), F.array(F.concat(F.lit("https://h.example/u/status/"), linked))).otherwise(F.array().cast("array<string>")).alias("links"),
         (F.col("event_type") != "error").alias("counts"),
     )
 

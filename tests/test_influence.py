@@ -75,3 +75,15 @@ def test_a_name_in_a_third_of_all_posts(spark):
     assert got.filter("id % 3 = 0 AND authors <> (60000 - id) div 3").count() == 0 and got.count() == 60_000
     assert got.filter("id % 3 <> 0 AND authors > 0").count() == 0
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().toString()) and "BroadcastNestedLoop" not in plan
+
+
+def test_first_events_link_no_event(spark, tmp_path):
+    """What the first three events would link lies before the table; its sign is no part of an id."""
+    from quarryline.plans import registry
+
+    at = "CAST(timestamp_seconds(1704067200 + id * 60) AS timestamp_ntz) AS ts"
+    spark.range(5).selectExpr("id AS event_id", at, "200 + id AS user_id", "IF(id IN (2, 4), 'purchase', 'view') AS event_type", "1.0D AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["spread_weights"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("2", "u204", 1.5)]
+    scores = dict(map(tuple, registry.QUERIES["spread_scores"](spark, str(tmp_path)).collect()))
+    assert scores == {"0": 0.0, "1": 0.0, "2": 1.5, "3": 0.0, "4": 0.0}
