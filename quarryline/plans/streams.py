@@ -63,6 +63,10 @@ def stream_stages(spark, d):
     return _finished(spark, W.stage_tracker(rows)).select("content_id", "stage", "status", F.unix_micros("at").alias("at_us"))
 
 
+#: Arrivals that the table is dealt to, and its rows for each file of one.
+ARRIVALS, ARRIVAL_ROWS = 5, 5_000_000
+
+
 def _momentum(rows: DataFrame) -> DataFrame:
     """Per user the events, the total value, and the value gained an hour."""
     hours = times.hours_between(F.min("ts"), F.max("ts"))
@@ -75,9 +79,10 @@ def stream_scores(spark, d):
     """Scores kept up with arrivals in five micro-batches; each batch scores the users that it has events of again."""
     root = shared_dir(spark)
     events = event_time(table(spark, d, "events"), "ts")
-    for part in range(5):  # arrivals: the last digit of the id, so that every batch touches most users
-        events.filter(F.pmod("event_id", F.lit(5)) == part).write.parquet(f"{root}/arrivals/part{part}")
-    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
+    files = events.count() // ARRIVAL_ROWS + 1  # of one arrival: a batch reads them all, so that history is written again as often for any number of rows
+    for part in range(ARRIVALS):  # arrivals: the last digit of the id, so that every batch touches most users
+        events.filter(F.pmod("event_id", F.lit(ARRIVALS)) == part).repartition(files).write.parquet(f"{root}/arrivals/part{part}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(f"{root}/arrivals")
     step = incremental.score_changed(f"{root}/scored", "user_id", "event_id", "ts", _momentum, "events", buckets=8)
     stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
     return incremental.scored(spark, f"{root}/scored").select("user_id", "n", "total", "speed", F.unix_micros("scored_at").alias("scored_us"))

@@ -132,3 +132,18 @@ def test_exported_lines_keep_their_places_in_split_files(spark, sf_dir):
             spark.conf.set(k, v)
     assert [r.place for r in found] == list(range(len(found)))
     assert len(found) > 20
+
+
+def test_stream_scores_takes_an_arrival_a_batch_however_many_files_it_has(spark, tmp_path, monkeypatch):
+    """A batch for each file would write the history again as often as there are files."""
+    from quarryline.plans import streams
+
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(streams, "shared_dir", lambda _: f"file://{shared}")
+    rows = spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 60) AS ts", "id % 7 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value", "'{}' AS props")
+    rows.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(streams, "ARRIVAL_ROWS", 150)
+    found = streams.stream_scores(spark, str(tmp_path)).collect()
+    assert {r.user_id: (r.n, r.total) for r in found} == {u: (len(range(u, 400, 7)), float(sum(range(u, 400, 7)))) for u in range(7)}
+    assert len(list((shared / "arrivals").glob("part*/part-*.parquet"))) == 15
+    assert sorted(p.name for p in (shared / "state" / "commits").glob("[0-9]*")) == ["0", "1", "2", "3", "4"]
