@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ PAD = max(WIDTHS)
 #: Evidence of a bucket, as a root of a likelihood ratio, from which on it counts at the start of training.
 SURE = 3.5
 STEMS = (0, 4, 5, 6)
-#: Text that is split into words at once.
-SLICE_BYTES = 2 << 20
+#: Text that is split into words at once, and embeddings that meet the filters at once.
+SLICE_BYTES, TABLE_ROWS = 2 << 20, 1 << 14
 
 _WORD_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -71,7 +72,9 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     behind each text, ``PAD`` in all; the start of each text; the guessed language of each."""
     words = [t.translate(_WORD_BYTES).split() for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n = len(words)
     coded = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
+    del words  # an object per word
     distinct = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy().astype(np.int64)
     buckets = np.array([*map(features, distinct), *[(-1,) * len(STEMS)] * 2], np.int64)
@@ -79,9 +82,9 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = np.cumsum(sizes + PAD) - (sizes + PAD)
     flat = np.full(int((sizes + PAD).sum()), len(distinct) + 1, np.int64)
     flat[starts + sizes] = len(distinct)
-    doc = np.repeat(np.arange(len(words)), sizes)
+    doc = np.repeat(np.arange(n), sizes)
     flat[np.arange(len(index)) + PAD * doc] = index
-    votes = np.bincount(doc * len(LANGUAGES) + marks[index], minlength=len(words) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
+    votes = np.bincount(doc * len(LANGUAGES) + marks[index], minlength=n * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
     votes[:, 0] = 0
     return buckets, flat, starts, votes.argmax(axis=1)
 
@@ -115,11 +118,18 @@ class Model:
         return out
 
     def table(self) -> np.ndarray:
-        """Every embedding times every place of every filter, so that scoring only looks up and adds."""
-        return (self.embedding @ self.filters).astype(np.float32)
+        """Every embedding times every place of every filter, so that scoring only looks up and adds; by blocks of rows, as the product is in doubles."""
+        out = np.empty((len(self.embedding), self.filters.shape[1]), np.float32)
+        for at in range(0, len(out), TABLE_ROWS):
+            out[at : at + TABLE_ROWS] = self.embedding[at : at + TABLE_ROWS] @ self.filters
+        return out
 
     def logits(self, buckets: np.ndarray, rows: np.ndarray, starts: np.ndarray, languages: np.ndarray, table: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-        table = sum(table[self.rows(column)] for column in buckets.T)
+        first, *others = buckets.T
+        words = table[self.rows(first)]
+        for column in others:
+            words += table[self.rows(column)]
+        table = words
         out = np.empty(len(starts))
         ends = np.append(starts[1:], len(rows))
         at = 0
@@ -241,12 +251,16 @@ def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
     if len(labels) < 200 or not 0 < labels[~aside].sum() < (~aside).sum():
         aside[:] = False
     use = every[~aside]
-    held = [np.unique(words[np.unique(texts[i])]) for i in use]
-    buckets, counts = np.unique(np.concatenate(held), return_counts=True)
+    counts, positives = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i in use:  # text by text: the buckets of all texts together would be the most that training holds
+        own = np.unique(words[np.unique(texts[i])])
+        counts[own] += 1
+        positives[own] += labels[i]
+    buckets = np.flatnonzero(counts)
+    counts, positives = counts[buckets], positives[buckets]
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(use)))
     known = buckets[counts >= min(MIN_DOCS, len(use))]
     n_filters = len(WIDTHS) * FILTERS
-    positives = np.bincount(np.searchsorted(buckets, np.concatenate([h for h, i in zip(held, use, strict=True) if labels[i]])), minlength=len(buckets))
     signs = evidence(positives, counts, float(labels[use].mean()))[np.isin(buckets, known)]
     model = Model(
         known,
@@ -285,7 +299,8 @@ def fit(sample: Sample, seed: int = 7, epochs: int = EPOCHS) -> Model:
     judge = every[aside] if aside.any() else use
     flat = np.concatenate([padded[i] for i in judge])
     sizes = np.array([len(padded[i]) for i in judge])
-    logits = model.logits(np.vstack([words, np.full((2, len(STEMS)), -1)]), flat, np.cumsum(sizes) - sizes, languages[judge], table)
+    seen, flat = np.unique(flat, return_inverse=True)  # padding stands last in both
+    logits = model.logits(np.vstack([words, np.full((2, len(STEMS)), -1)])[seen], flat, np.cumsum(sizes) - sizes, languages[judge], table)
     overall = _threshold(logits, labels[judge])
     model.shift[:] = overall
     for k in range(len(LANGUAGES)):
@@ -327,11 +342,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     """``row``, the columns of ``docs`` as a struct, whatever their names, and ``score``, 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    at = docs.columns.index("text")
+    inside = isinstance(docs.schema[at].dataType, T.StringType)  # then a text is sent once, in its row
+    texts = docs.select(F.struct(*docs.columns).alias("row"), *([] if inside else [F.col("text").cast("string").alias("text")]))
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pc.struct_field(batch.column("row"), [at]) if inside else batch.column("text")
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pc.fill_null(own, "").cast(pa.binary())], names=["row", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.table()
-        for batch in slices(batches, limit=SLICE_BYTES):
+        for batch in slices(with_text(batches), limit=SLICE_BYTES):
             logits = shared.value.logits(*hashed_words(batch.column("text").to_pylist()), table)
             values = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values)], names=["row", "score"])
