@@ -147,3 +147,13 @@ def test_stream_scores_takes_an_arrival_a_batch_however_many_files_it_has(spark,
     assert {r.user_id: (r.n, r.total) for r in found} == {u: (len(range(u, 400, 7)), float(sum(range(u, 400, 7)))) for u in range(7)}
     assert len(list((shared / "arrivals").glob("part*/part-*.parquet"))) == 15
     assert sorted(p.name for p in (shared / "state" / "commits").glob("[0-9]*")) == ["0", "1", "2", "3", "4"]
+
+
+def test_times_of_a_key_are_an_array():
+    import numpy as np
+    import pandas as pd
+
+    from quarryline.streaming.windows import _micros
+
+    got = _micros(pd.Series(pd.to_datetime(["2024-01-01 00:00:00.000001", "1969-12-31 23:59:59.5"], format="ISO8601")))
+    assert isinstance(got, np.ndarray) and got.tolist() == [1_704_067_200_000_001, -500_000]
