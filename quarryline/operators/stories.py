@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,35 +126,134 @@ def _linkage(platforms: dict[int, str], scores: dict[tuple[int, int], float], th
     return [groups[i] for i in sorted(groups)]
 
 
-def merge_in_rounds(pairs: DataFrame, threshold: float, cliques: bool = False) -> DataFrame:
+def _between(here: dict[str, int], there: dict[str, int], cliques: bool) -> int:
+    """Pairs of two groups, given their members per platform; with ``cliques`` those across platforms."""
+    same = sum(k * there.get(p, 0) for p, k in here.items()) if cliques else 0
+    return sum(here.values()) * sum(there.values()) - same
+
+
+def _merged_inside(pdf: pd.DataFrame, threshold: float, cliques: bool) -> pd.DataFrame:
+    """``was`` and ``now`` of the groups of a block that merge, whatever comes of the groups outside; ``inx`` and ``iny`` tell whose links are all here.
+
+    Links are taken best first. One to a group that may still merge elsewhere holds up the group on this side, and so on from there; any other is
+    the best of both of its groups, and they merge.
+    """
+    links: dict[int, dict[int, tuple[float, int]]] = {}
+    held: dict[int, Counter] = {}
+    waiting = set()
+    for x, y, s, n, hx, hy, inx, iny in pdf[["x", "y", "s", "n", "hx", "hy", "inx", "iny"]].itertuples(index=False, name=None):
+        links.setdefault(x, {})[y] = links.setdefault(y, {})[x] = (s, n)
+        for g, h, inside in ((x, hx, inx), (y, hy, iny)):
+            if g not in held:
+                held[g] = Counter(dict(h))
+                if not inside:
+                    waiting.add(g)
+    groups = {g: [g] for g in links}
+    age = dict.fromkeys(links, 0)
+    heap: list[tuple[float, int, int, int, int]] = []
+
+    def offer(a: int, b: int) -> None:
+        total, linked = links[a][b]
+        n = _between(held[a], held[b], cliques)
+        if n and total / n >= threshold and (n == linked or not cliques):
+            a, b = min(a, b), max(a, b)
+            heappush(heap, (-total / n, a, b, age[a], age[b]))
+
+    for a in links:
+        for b in links[a]:
+            if a < b:
+                offer(a, b)
+    while heap:
+        _, a, b, age_a, age_b = heappop(heap)
+        if age.get(a) != age_a or age.get(b) != age_b:
+            continue  # one of them has changed since
+        if a in waiting or b in waiting:
+            waiting |= {a, b}
+            continue
+        groups[a] += groups.pop(b)
+        held[a].update(held.pop(b))
+        age[a] += 1
+        del age[b], links[a][b]
+        for c, (total, linked) in links.pop(b).items():
+            if c != a:
+                had = links[a].get(c, (0.0, 0))
+                links[a][c] = links[c][a] = (had[0] + total, had[1] + linked)
+                del links[c][b]
+        for c in links[a]:
+            offer(a, c)
+    return pd.DataFrame([(i, g) for g, own in groups.items() for i in own if i != g], columns=["was", "now"])
+
+
+def _merges_in_blocks(edges: DataFrame, n: int, threshold: float, cliques: bool, in_task: int, shifted: bool) -> DataFrame:
+    """Merges inside blocks of neighbouring ids with ``in_task`` ends of edges or so; ``shifted`` moves the borders by half a block.
+
+    A group is inside the block of its id, and its edges come there too; one with more edges than ``in_task`` is inside none.
+    """
+    ends = edges.select(F.explode(F.array("x", "y")).alias("g"))
+    huge = ends.groupBy("g").agg(F.count("*").alias("k")).filter(F.col("k") > in_task).select("g")
+    blocks = 2 * n // in_task + 1
+    shares = [(i + (0.5 if shifted else 0.0)) / blocks for i in range(0 if shifted else 1, blocks)]
+    borders = sorted(set(ends.agg(F.percentile_approx("g", shares, 100 * blocks)).first()[0]))  # one number per block
+
+    @F.pandas_udf("int")
+    def block(g: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(borders, g, "right").astype("int32"))
+
+    known = edges.withColumns({"bx": block("x"), "by": block("y")})
+    for side in ("x", "y"):
+        known = known.join(huge.select(F.col("g").alias(side), F.lit(-1).alias("none")), side, "left").withColumn(f"b{side}", F.coalesce("none", f"b{side}")).drop("none")
+    dealt = known.withColumn("block", F.explode(F.array_distinct(F.array("bx", "by")))).filter("block >= 0")
+    inside = dealt.select("block", "x", "y", "s", "n", "hx", "hy", (F.col("bx") == F.col("block")).alias("inx"), (F.col("by") == F.col("block")).alias("iny"))
+    return inside.groupBy("block").applyInPandas(lambda pdf: _merged_inside(pdf, threshold, cliques), "was long, now long")
+
+
+def merge_in_rounds(pairs: DataFrame, threshold: float, cliques: bool = False, in_task: int = PAIRS_IN_TASK) -> DataFrame:
     """``id`` and ``story`` of all items of scored pairs, for components of any size: groups that are each other's best partner merge, round by round.
 
     A merge never brings a third group nearer than the nearer of the two was, so merging all mutual best pairs at once gives what one merge at a time gives; of
     equal means the smaller ids come first. With ``cliques`` groups merge only if all of their pairs across platforms are linked, and only these count in the mean.
+    For the same reason a round merges whole blocks of groups as far as these do not depend on others, with other borders each time, and edges of groups that no
+    edge can merge any more are left out. So rounds are few however long the chains are; where blocks give nothing, one merge of each group is done.
     Every round is written to the shared folder; sums of scores per pair of groups shuffle, members do not meet.
     """
     spark = pairs.sparkSession
     sides = [pairs.select(F.col(i).alias("id"), (F.col(p) if cliques else F.lit("")).alias("p")) for i, p in (("a", "pa"), ("b", "pb"))]
     groups = write_through(sides[0].union(sides[1]).distinct().withColumn("g", F.col("id")), shared_dir(spark))
-    edges = write_through(pairs.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("score").alias("s"), F.count("*").alias("n")), shared_dir(spark))
+    edges = pairs.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+    in_blocks, number = True, 0
     while True:
         held = groups.groupBy("g", "p").agg(F.count("*").alias("k")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("held"))  # an entry per platform
         known = edges.join(held.withColumnsRenamed({"g": "x", "held": "hx"}), "x").join(held.withColumnsRenamed({"g": "y", "held": "hy"}), "y")
         size = lambda h: F.aggregate(F.map_values(h), F.lit(0).cast("long"), lambda t, k: t + k)
         same = F.aggregate(F.map_keys("hx"), F.lit(0).cast("long"), lambda t, k: t + F.col("hx")[k] * F.coalesce(F.try_element_at(F.col("hy"), k), F.lit(0)))
         between = size(F.col("hx")) * size(F.col("hy")) - (same if cliques else F.lit(0))
-        able = known.withColumns({"mean": F.col("s") / between, "whole": between == F.col("n")}).filter((F.col("mean") >= threshold) & (F.col("whole") | F.lit(not cliques)))
-        rank = F.struct("mean", -F.col("x"), -F.col("y"))
-        ranked = able.select("x", "y", rank.alias("r"))
-        best = ranked.select(F.explode(F.array("x", "y")).alias("g"), "r").groupBy("g").agg(F.max("r").alias("r"))
-        mutual = best.groupBy("r").agg(F.count("*").alias("k")).filter("k = 2").select((-F.col("r.col2")).alias("x"), (-F.col("r.col3")).alias("y"))
-        merges = write_through(mutual, shared_dir(spark))
-        if merges.isEmpty():
+        rated = write_through(known.withColumns({"mean": F.col("s") / between, "able": (F.col("s") / between >= threshold) & ((between == F.col("n")) | F.lit(not cliques))}), shared_dir(spark))
+        able = rated.filter("able")
+        alive = able.select(F.explode(F.array("x", "y")).alias("g")).distinct()
+        live = write_through(rated.join(alive.select(F.col("g").alias("x")), "x", "left_semi").join(alive.select(F.col("g").alias("y")), "y", "left_semi"), shared_dir(spark))
+        n = live.count()
+        if not n:
             return groups.select("id", F.col("g").alias("story"))
-        moved = lambda df, c: df.join(merges.select(F.col("y").alias(c), F.col("x").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        if in_blocks:
+            found = _merges_in_blocks(live, n, threshold, cliques, in_task, number % 2 == 1) if n > in_task else live.withColumns({"inx": F.lit(True), "iny": F.lit(True)}).groupBy().applyInPandas(
+                lambda pdf: _merged_inside(pdf, threshold, cliques), "was long, now long"
+            )
+        else:
+            rank = F.struct("mean", -F.col("x"), -F.col("y"))
+            ranked = able.select("x", "y", rank.alias("r"))
+            best = ranked.select(F.explode(F.array("x", "y")).alias("g"), "r").groupBy("g").agg(F.max("r").alias("r"))
+            found = best.groupBy("r").agg(F.count("*").alias("k")).filter("k = 2").select((-F.col("r.col3")).alias("was"), (-F.col("r.col2")).alias("now"))
+        merges = write_through(found, shared_dir(spark))
+        none = merges.isEmpty()
+        if none and (not in_blocks or n <= in_task):
+            return groups.select("id", F.col("g").alias("story"))
+        in_blocks, number = not none, number + 1
+        moved = lambda df, c: df.join(merges.select(F.col("was").alias(c), F.col("now").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
         groups = write_through(moved(groups, "g"), shared_dir(spark))
-        joined = moved(moved(edges, "x"), "y").filter("x <> y")
-        edges = write_through(joined.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")), shared_dir(spark))
+        if n <= in_task:  # nothing was outside
+            return groups.select("id", F.col("g").alias("story"))
+        joined = moved(moved(live.select("x", "y", "s", "n"), "x"), "y").filter("x <> y")
+        edges = joined.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def _grouped(pairs: DataFrame, threshold: float, link: Callable[[pd.DataFrame], pd.DataFrame], cliques: bool, in_task: int) -> DataFrame:
@@ -167,7 +267,7 @@ def _grouped(pairs: DataFrame, threshold: float, link: Callable[[pd.DataFrame],
     small = labelled.join(large, "component", "left_anti").groupBy("component").applyInPandas(link, "id long, story long")
     if large.isEmpty():
         return small
-    return small.union(merge_in_rounds(labelled.join(large, "component", "left_semi").drop("component"), threshold, cliques))
+    return small.union(merge_in_rounds(labelled.join(large, "component", "left_semi").drop("component"), threshold, cliques, max(in_task, 1)))
 
 
 def stories(posts: DataFrame, id_: str, ts: str, tokens: str, entities: str, threshold: float = MATCH_MIN, gate_hours: float = TIME_GATE_HOURS, in_task: int = PAIRS_IN_TASK) -> DataFrame:

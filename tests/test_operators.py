@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import graph, influence, latest, neardup, quality, quantiles, ranking, snapshots, stories, trends, upsert
 from quarryline.operators.components import connected_components
+from quarryline.session import write_through
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -243,6 +244,22 @@ def test_linkage_in_rounds_equals_one_merge_at_a_time(spark, cliques):
     assert got == {i: min(g) for g in want for i in g if i in got} and len(set(got.values())) < len(got)
 
 
+@pytest.mark.parametrize("cliques", [False, True])
+def test_rounds_of_linkage_do_not_follow_the_length_of_chains(spark, monkeypatch, cliques):
+    """Of a chain of rising scores only the last two are each other's best; blocks merge it in few rounds, and a hub with more edges than a block has is left to the others."""
+    rnd = random.Random(3)
+    scores = {(i, i + 1): 0.5 + i / 1000 for i in range(60)} | {(0, i): 0.2 + rnd.random() / 10 for i in range(61, 161, 2)} | {(a, b): rnd.random() for a in range(200, 212) for b in range(a + 1, 212) if (b - a) % 2}
+    items = sorted({i for pair in scores for i in pair})
+    platform = {i: "xy"[i % 2] for i in items}
+    want = stories.clique_linkage(platform, scores, 0.2) if cliques else stories.average_linkage(items, scores, 0.2)
+    pairs = spark.createDataFrame([(a, b, platform[a], platform[b], s) for (a, b), s in scores.items()], "a long, b long, pa string, pb string, score double")
+    written = []
+    monkeypatch.setattr(stories, "write_through", lambda df, path: written.append(path) or write_through(df, path))
+    got = {r.id: r.story for r in stories.merge_in_rounds(pairs, 0.2, cliques, in_task=40).collect()}
+    assert got == {i: min(g) for g in want for i in g}
+    assert len(written) <= 60  # 90 and more by one merge of each group a round
+
+
 def test_running_totals_and_positions(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.randint(0, 9)) for i in rnd.sample(range(10_000), 500)]
