@@ -35,9 +35,9 @@ LEXICON = ["ther", "ing", "ment", "ung"]
 def story_clusters(spark, d):
     """C2 over the turns of conversations: all words of three letters or more, names and hosts as entities, twenty minutes apart, so that a window of 30 hours holds ninety turns either side."""
     turns = table(spark, d, "conversations")
-    rows = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    rows = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("w", T.words("text"))
     posts = rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.timestamp_seconds(F.col("conv_id") * 1200 + F.col("turn") * 60).alias("ts"), T.content_tokens("text").alias("tokens"), T.entities("text", LEXICON).alias("ents")
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.timestamp_seconds(F.col("conv_id") * 1200 + F.col("turn") * 60).alias("ts"), T.content_of(F.col("w")).alias("tokens"), T.entities("text", LEXICON, F.col("w")).alias("ents")
     )
     return stories.stories(posts, "id", "ts", "tokens", "ents")
 
@@ -130,9 +130,9 @@ def pair_quality(spark, d):
 @plan()
 def cross_platform_stories(spark, d):
     """C3, C5 over documents, with the language as platform, one minute apart each."""
-    docs = table(spark, d, "documents").select(
+    docs = table(spark, d, "documents").withColumn("w", T.words("text")).select(
         "doc_id", F.col("lang").alias("platform"), F.timestamp_seconds(F.col("doc_id") * 60).alias("ts"),
-        F.filter(T.words("text"), lambda w: F.length(w) >= 3).alias("words"), F.array_union(T.entities("text"), T.content_tokens("text")).alias("ents"),
+        F.filter("w", lambda w: F.length(w) >= 3).alias("words"), F.array_union(T.entities("text"), T.content_of(F.col("w"))).alias("ents"),
     )
     return stories.cross_stories(docs, "doc_id", "ts", "platform", "words", "ents")
 

@@ -369,6 +369,21 @@ def test_cross_platform_stories_need_every_link(spark):
     assert stories.clique_linkage({1: "x", 2: "y", 3: "z"}, {(1, 2): 0.9, (2, 3): 0.8}, 0.1) == [[1, 2], [3]]
 
 
+def test_cross_platform_stories_make_words_once(spark):
+    """The expression of the words stands in one plan only: that of the table which the rest reads."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def spied(text):
+        made.add(1)
+        return text.split()
+
+    rows = [(i, "xy"[i % 2], at(i), f"quake island harbour{i // 2}") for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, p string, ts timestamp, text string").select("id", "p", "ts", spied("text").alias("words"), F.split("text", " ").alias("ents"))
+    got = {r.id: r.story for r in stories.cross_stories(df, "id", "ts", "p", "words", "ents").collect()}
+    assert set(got) == set(range(6)) and made.value == 6
+
+
 def test_story_build_and_migration(spark):
     rows = [(1, 1, "Ann", at(0), ["a"]), (1, 2, "ann", at(1), ["b"]), (2, 3, "bob", at(2), ["a"]), (2, 4, "cy", at(3), [])]
     df = spark.createDataFrame(rows, "story long, id long, author string, ts timestamp, ents array<string>")
