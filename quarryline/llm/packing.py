@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +74,13 @@ def plan_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -
 def _exact_starts(places: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     """For every place the earlier ones at a distance that is a power of two under ``length``, nearest first, and where each place's begin."""
     ends, starts = [], []
+    index = np.full(int(places[-1]) + 1, -1, np.int32)  # of a place, by its position
+    index[places] = np.arange(len(places), dtype=np.int32)
     for power in (1 << k for k in range(length.bit_length()) if 1 << k < length):
-        at = np.searchsorted(places, places - power)
-        hit = np.flatnonzero((places[at] == places - power) & (places >= power))
-        ends.append(hit)
+        far = int(np.searchsorted(places, power))
+        at = index[places[far:] - power]
+        hit = np.flatnonzero(at >= 0)
+        ends.append(hit + far)
         starts.append(at[hit])
     ends, starts = np.concatenate(ends), np.concatenate(starts)
     order = np.argsort(ends, kind="stable")
@@ -85,22 +89,27 @@ def _exact_starts(places: np.ndarray, length: int) -> tuple[list[int], list[int]
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut is allowed, with penalties: document ends, sentence ends, and a grid where both are far apart."""
-    ends = np.flatnonzero(sentence_end[ids]) + 1
-    natural = np.union1d(np.concatenate([[0], doc_ends]), ends)
-    natural = natural[natural <= len(ids)]
+    kind = np.zeros(len(ids) + 1, np.uint8)  # 0: no place; else the index of its penalty, from the last
+    np.take(sentence_end, ids, out=kind[1:].view(bool))
+    kind[1:] *= 2
+    kind[doc_ends] = 3
+    natural = np.flatnonzero(kind)
+    natural = natural if kind[0] else np.concatenate([[0], natural])
     gaps = np.diff(natural)
     long = np.flatnonzero(gaps > grid)
     counts = (gaps[long] - 1) // grid
     step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-    places = np.union1d(natural, np.repeat(natural[long], counts) + step * grid)
-    penalties = np.full(len(places), PENALTIES[2])
-    penalties[np.searchsorted(places, ends)] = PENALTIES[1]
-    penalties[np.searchsorted(places, doc_ends)] = PENALTIES[0]
+    kind[np.repeat(natural[long], counts) + step * grid] = 1
+    kind[0] = 3
+    places = np.flatnonzero(kind)
+    penalties = np.array([0.0, *PENALTIES[::-1]])[kind[places]]
     penalties[0] = 0.0
     return places, penalties
 
 
+@lru_cache(maxsize=1)
 def _sentence_ends(encoder: PieceEncoder) -> np.ndarray:
+    """Whether an id ends a sentence; made once a worker, as reading the vocabulary takes as long as packing some hundred thousand ids."""
     size = encoder.tokenizer.get_vocab_size()
     newline = encoder.byte_chars[10]
     flags = np.zeros(size + 1, bool)

@@ -238,3 +238,8 @@ def test_plan_is_optimal():
         cuts = packing.plan_cuts(np.array(places), np.array(pen), length)
         got = sum(cost(places[a], places[b]) + pen[b] for a, b in zip(cuts, cuts[1:]))
         assert got == pytest.approx(best[-1])
+
+
+def test_sentence_ends_are_made_once_a_worker():
+    encoder = PieceEncoder.of(vocabulary_path())
+    assert packing._sentence_ends(encoder) is packing._sentence_ends(encoder)
