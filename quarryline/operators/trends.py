@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import word_runs
+from quarryline.session import shared_dir, write_through
 
 ACCEL_MIN, MIN_AUTHORS = 0.5, 5
 
@@ -58,10 +59,29 @@ def daily_counts(posts: DataFrame, keys: list[str], day: str, start, end) -> Dat
     return days.join(counted, [*keys, day], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+#: Words that pairs are looked up in; where more are left, all pairs are made.
+KNOWN_WORDS = 5000
+
+
 def phrases(posts: DataFrame, id_: str, words: str, least: int, limit: int) -> DataFrame:
-    """Single words and pairs of neighbours by the number of posts that have them."""
-    each = posts.select(F.explode(F.array_distinct(F.concat(F.col(words), word_runs(F.col(words), 2)))).alias("phrase"))
-    return each.groupBy("phrase").agg(F.count("*").alias("posts")).filter(F.col("posts") >= least).orderBy(F.desc("posts"), "phrase").limit(limit)
+    """Single words and pairs of neighbours by the number of posts that have them; words have no blanks.
+
+    No pair is in more posts than either of its words. So a pair that has a word in fewer posts than the last of the ``limit`` most frequent words comes
+    after all of these, and is not made; ties stay.
+    """
+    spark = posts.sparkSession
+    posts = write_through(posts.select(F.col(words).alias("w")), shared_dir(spark))  # words are made once
+    count = lambda each: posts.select(F.explode(F.array_distinct(each)).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("posts")).filter(F.col("posts") >= least)
+    singles = write_through(count(F.col("w")), shared_dir(spark))
+    last = singles.orderBy(F.desc("posts")).limit(limit).agg(F.min("posts").alias("posts"), F.count("*").alias("n")).first()
+    floor = last.posts if limit and last.n == limit else least
+    known = [r.phrase for r in singles.filter(F.col("posts") >= floor).select("phrase").limit(KNOWN_WORDS + 1).collect()]
+    runs = word_runs(F.col("w"), 2)
+    if len(known) <= KNOWN_WORDS:
+        n = F.greatest(F.size("w") - 1, F.lit(0))
+        pairs = F.filter(F.arrays_zip(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n)), lambda z: z["0"].isin(known) & z["1"].isin(known))
+        runs = F.transform(pairs, lambda z: F.concat_ws(" ", z["0"], z["1"]))
+    return singles.unionByName(count(runs)).orderBy(F.desc("posts"), "phrase").limit(limit)
 
 
 def presence_z(posts: DataFrame, words: str, group: str, least: int = 5) -> DataFrame:

@@ -445,3 +445,14 @@ def test_pairs_of_a_shared_day_are_dealt_to_as_many_tasks_as_they_need(spark, mo
                     want[a, b] = want.get((a, b), 0) + 1
     assert {(r.a, r.b): r.shared for r in found.collect()} == want
     assert found.rdd.getNumPartitions() == (40 * 39 // 2 + 30 * 29 // 2 + 1) // 50 + 1
+
+
+def test_phrases_make_only_pairs_that_can_be_among_the_first(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [[f"w{int(rnd.random() ** 3 * 30)}" for _ in range(rnd.randint(0, 12))] for _ in range(60)]
+    counted = Counter(p for w in texts for p in {*w, *(f"{a} {b}" for a, b in itertools.pairwise(w))})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, w array<string>")
+    for known, limit in ((5000, 12), (5000, 1000), (3, 12)):
+        monkeypatch.setattr(trends, "KNOWN_WORDS", known)
+        want = sorted(((p, n) for p, n in counted.items() if n >= 3), key=lambda x: (-x[1], x[0]))[:limit]
+        assert [tuple(r) for r in trends.phrases(df, "id", "w", 3, limit).collect()] == want
