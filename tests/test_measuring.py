@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,86 @@ def test_rows_after_the_end_settle_nothing_again(spark, tmp_path):
     )
 
 
+class Handle:
+    """State of one key and its timers as plain values; counts the calls, each of which is a message between a worker and Spark."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValueState(self, name, value):
+        return Value(self)
+
+    def count(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self):
+        return self.count(bool(self.values))
+
+    def getValue(self, key):
+        return self.count(self.values.get(key))
+
+    def updateValue(self, key, value):
+        self.count(self.values.update({key: value}))
+
+    def removeKey(self, key):
+        self.count(self.values.pop(key))
+
+    def iterator(self):
+        return self.count(iter(list(self.values.items())))
+
+    def clear(self):
+        self.count(self.values.clear())
+
+    def registerTimer(self, ms):
+        self.count(self.timers.add(ms))
+
+    def deleteTimer(self, ms):
+        self.count(self.timers.remove(ms))
+
+
+class Value:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def get(self):
+        return self.handle.count(self.value)
+
+    def update(self, value):
+        self.value = self.handle.count(value)
+
+    def clear(self):
+        self.value = self.handle.count()
+
+
+@pytest.mark.parametrize("held", [7, 20_000])
+def test_posts_of_a_part_share_calls(monkeypatch, held):
+    """All posts in one key: results as by hand, one timer, and a few calls per post, however many posts are held at once."""
+    monkeypatch.setattr(streaming, "HELD", held)
+    posts, rows = corpus(3, 400)
+    events = [(i, us(p), us(p), None, True) for i, p in posts.items()] + [(i, us(posts[i]), us(c), b, False) for i, c, b in rows]
+    random.Random(3).shuffle(events)
+    frame = pd.DataFrame(events, columns=["content_id", "published_us", "captured_us", "bucket", "is_plan"])
+    handle, queue, got = Handle(), streaming.MeasurementQueue(), []
+    queue.init(handle)
+    clock = lambda at: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: at)
+    chunks = (frame[at : at + 50] for at in range(0, len(frame), 50))
+    got += queue.handleInputRows((0,), chunks, clock(0))
+    while handle.timers:
+        assert len(handle.timers) == 1
+        ms = min(handle.timers)
+        got += queue.handleExpiredTimer((0,), clock(us(h(990)) // 1000), None)
+        handle.timers.discard(ms)
+    got = list(pd.concat(got).astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None))
+    assert len(got) == 4 * len(posts) and not handle.values
+    assert {r[:2]: r[2:] for r in got} == by_hand(posts, rows, h(990))
+    if held > len(posts):
+        assert handle.calls < 2 * len(posts)
+
+
 def test_stage_tracker_gives_no_stage_twice(spark, tmp_path):
     """All stages measured, then a snapshot long after the last one, before and after the state is gone."""
     first = [(1, T0, h(x)) for x in (1, 6, 24, 72)]
