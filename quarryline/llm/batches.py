@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,19 @@ def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def release() -> None:
+    """Give unused memory of this process back to the system; of the C library where it is one that can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes at most; a longer single value stands alone.
 
-    What a slice took is given back to the system: Arrow's pool would keep the most that any slice took for the life of the worker, which later stages share.
+    What a slice took is given back to the system: Arrow's pool and the C library would keep it for the life of the worker, which later stages share.
     """
-    pool = pa.default_memory_pool()
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
         start = 0
@@ -35,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             before = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
-            pool.release_unused()
+            release()
             start = stop
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.batches import slices, text_rows
+from quarryline.llm import tokens
+from quarryline.llm.batches import release, slices, text_rows
 
 BUCKETS = 1 << 20
 MAX_ROWS = 6000
@@ -332,7 +333,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
     chosen = one.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes).select("doc_id", "toxic", F.col("t.md5").alias("md5"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(Sample.of(batches), seed))], pa.binary())], names=["model"])
+        tokens.forget()
+        sample = Sample.of(batches)
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample, seed))], pa.binary())], names=["model"])
 
     rows = keyed.join(F.broadcast(chosen), ["doc_id", "md5"]).dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
     found = rows.repartition(1).mapInArrow(run, "model binary").collect()
@@ -352,6 +356,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pc.fill_null(own, "").cast(pa.binary())], names=["row", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         table = shared.value.table()
         for batch in slices(with_text(batches), limit=SLICE_BYTES):
             logits = shared.value.logits(*hashed_words(batch.column("text").to_pylist()), table)
