@@ -37,6 +37,16 @@ def test_pairs_by_rare_day(spark, sf_dir, tmp_path):
     assert got == want and got[10**6, 10**6 + 1] == 1 and (10**6, 10**6 + RARE_DF) not in got
 
 
+def test_pairs_by_rare_value_reads_all_rows(spark, sf_dir):
+    """Prices of every height and days of any number of sources."""
+    by_day = defaultdict(set)
+    for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate").collect():
+        by_day[r.o_orderdate.date()].add(r.o_custkey)
+    want = Counter(p for s in by_day.values() for p in combinations(sorted(s), 2))
+    got = {(r.a, r.b): r.shared for r in QUERIES["pairs_by_rare_value"](spark, sf_dir).collect()}
+    assert got == want and len(got) > 300
+
+
 def test_pairs_in_time_all_stages(spark, sf_dir):
     by_user = defaultdict(list)
     for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type").collect():
