@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import times
 from quarryline.operators.components import connected_components, contracted
+from quarryline.operators.cosines import POST, cosines, encode
 from quarryline.operators.ranking import null_safe
 from quarryline.session import shared_dir, write_through
 
@@ -328,22 +329,12 @@ def cross_pairs(posts: DataFrame, id_: str, ts: str, platform: str, words: str,
     Candidates share an entity of at most ``RARE_DF`` posts, so no value brings together more. A cosine of 0.30 is enough, or 0.10 with two such
     entities that are not everywhere. ``words`` keeps repeats.
     """
-    spark = posts.sparkSession
-    entity = weights(posts, entities).filter((F.col("df") <= RARE_DF) & (F.col("share") < 1.0))
-    each = write_through(posts.select(F.col(id_).alias("id"), F.col(ts).alias("ts"), F.col(platform).alias("p"), F.explode(F.array_distinct(entities)).alias("v")).join(entity.select("v", "share"), "v"), shared_dir(spark))
-    right = each.select("v", F.col("id").alias("b"), F.col("ts").alias("tb"), F.col("p").alias("pb"))
-    near = F.abs(times.hours_between(F.col("ts"), F.col("tb"))) <= gate_hours
-    met = each.join(right, "v").filter((F.col("id") < F.col("b")) & (F.col("p") != F.col("pb")) & near)
-    pairs = met.groupBy(F.col("id").alias("a"), "b", F.col("p").alias("pa"), "pb").agg(F.count_if(F.col("share") < GIANT_SHARE).alias("rare"))
-    tf = posts.select(F.col(id_).alias("id"), F.explode(words).alias("v")).groupBy("id", "v").agg(F.count("*").alias("tf"))
-    vectors = write_through(tf.join(weights(posts, words).select("v", "idf"), "v").select("id", "v", ((1 + F.ln("tf")) * F.col("idf")).alias("w")), shared_dir(spark))  # three joins read them
-    norms = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    va, vb = vectors.withColumnsRenamed({"id": "a", "w": "wa"}), vectors.withColumnsRenamed({"id": "b", "w": "wb"})
-    dots = pairs.select("a", "b").join(va, "a").join(vb, ["b", "v"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    na, nb = norms.withColumnsRenamed({"id": "a", "norm": "na"}), norms.withColumnsRenamed({"id": "b", "norm": "nb"})
-    scored = pairs.join(dots, ["a", "b"]).join(na, "a").join(nb, "b").withColumn("score", F.col("dot") / (F.col("na") * F.col("nb")))
+    return _linked(encode(posts, id_, ts, platform, words, entities), gate_hours)
+
+
+def _linked(encoded: DataFrame, gate_hours: float) -> DataFrame:
     ok = (F.col("score") >= COSINE_MIN) | ((F.col("score") >= COSINE_SUPPORT) & (F.col("rare") >= SHARED_ENTITIES))
-    return scored.filter(ok).select("a", "b", "pa", "pb", "score")
+    return cosines(encoded, gate_hours, RARE_DF, GIANT_SHARE).filter(ok).select("a", "b", "pa", "pb", "score")
 
 
 def clique_linkage(platforms: dict[int, str], scores: dict[tuple[int, int], float], threshold: float) -> list[list[int]]:
@@ -359,8 +350,8 @@ def clique_linkage(platforms: dict[int, str], scores: dict[tuple[int, int], floa
 
 def cross_stories(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entities: str, threshold: float = COSINE_SUPPORT, in_task: int = PAIRS_IN_TASK) -> DataFrame:
     """``id_`` and ``story``, the smallest id of its group across platforms, which stays the same from run to run."""
-    posts = write_through(posts.select(id_, ts, platform, words, entities), shared_dir(posts.sparkSession))  # words are made once
-    pairs = cross_pairs(posts, id_, ts, platform, words, entities)
+    encoded = encode(posts, id_, ts, platform, words, entities)  # words are made once
+    pairs = _linked(encoded, TIME_GATE_HOURS)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         platforms = {**dict(zip(pdf.a.astype(int), pdf.pa, strict=True)), **dict(zip(pdf.b.astype(int), pdf.pb, strict=True))}
@@ -368,7 +359,7 @@ def cross_stories(posts: DataFrame, id_: str, ts: str, platform: str, words: str
         return pd.DataFrame([(i, min(g)) for g in clique_linkage(platforms, scores, threshold) for i in g], columns=["id", "story"])
 
     grouped = _grouped(pairs, threshold, link, True, in_task)
-    return posts.select(id_).join(grouped.withColumnRenamed("id", id_), id_, "left").select(id_, F.coalesce("story", F.col(id_).cast("long")).alias("story"))
+    return encoded.filter(F.col("kind") == POST).select(F.col("id").alias(id_)).join(grouped.withColumnRenamed("id", id_), id_, "left").select(id_, F.coalesce("story", F.col(id_).cast("long")).alias("story"))
 
 
 def build(members: DataFrame, older: DataFrame, story: str, id_: str, author: str, ts: str, entities: str) -> DataFrame:

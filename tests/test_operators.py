@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import graph, influence, latest, neardup, quality, quantiles, ranking, snapshots, stories, trends, upsert
+from quarryline.operators import cosines, graph, influence, latest, neardup, quality, quantiles, ranking, snapshots, stories, trends, upsert
 from quarryline.operators.components import connected_components
 from quarryline.session import write_through
 
@@ -384,6 +384,50 @@ def test_cross_platform_stories_make_words_once(spark):
     assert set(got) == set(range(6)) and made.value == 6
 
 
+def plain_cosines(rows, gate, most, giant):
+    n = len(rows)
+    df, de = Counter(w for r in rows for w in {*r[3]} - {None}), Counter(e for r in rows for e in {*(r[4] or [])} - {None})
+    vectors = [{w: (1 + math.log(k)) * (1 + math.log((n + 1) / (1 + df[w]))) for w, k in Counter(x for x in r[3] if x is not None).items()} for r in rows]
+    norm = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    out = {}
+    for (i, x), (j, y) in itertools.permutations(enumerate(rows), 2):
+        if None in (x[0], y[0], x[1], y[1], x[2], y[2]) or x[0] >= y[0] or x[1] == y[1] or abs((x[2] - y[2]).total_seconds()) > gate * 3600:
+            continue
+        shared = [e for e in {*(x[4] or [])} & {*(y[4] or [])} - {None} if de[e] <= most and de[e] < n]
+        dot = sum(w * vectors[j].get(v, 0.0) for v, w in vectors[i].items())
+        if shared and dot:
+            out[x[0], y[0]] = (x[1], y[1], sum(de[e] / n < giant for e in shared), dot / norm[i] / norm[j])
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(5 << 20, 2 << 20, 2 << 20), (40, 60, 1), (1, 1, 7)])
+def test_cosines_equal_the_plain_ones_in_slices_and_blocks_of_any_size(spark, monkeypatch, sizes):
+    """Posts at one moment that stand on several borders, values without posts, and posts without id, platform, time, words or entities."""
+    for name, size in zip(("SLICE_VALUES", "BLOCK_VALUES", "PAIRS_AT_ONCE"), sizes, strict=True):
+        monkeypatch.setattr(cosines, name, size)
+    rnd = random.Random(17)
+    some = lambda k, m, c: [f"{c}{int(rnd.random() ** 2 * m)}" for _ in range(rnd.randint(0, k))]
+    rows = [(i * 3 - 20, rnd.choice("xyz"), at(rnd.choice([5, 5, rnd.randint(0, 200)])), some(9, 30, "w"), some(4, 25, "w") + some(3, 30, "@")) for i in range(90)]
+    rows += [(None, "x", at(5), ["w1", "w2"], ["@1"]), (900, None, at(5), ["w1"], ["@1", "w20"]), (901, "y", None, ["w1", "w3"], ["@2"]), (902, "y", at(5), ["w1", None, "w1"], None), (903, "z", at(5), [], ["@1", None])]
+    df = spark.createDataFrame(rows, "id long, p string, ts timestamp, words array<string>, ents array<string>").repartition(3)
+    found = cosines.cosines(cosines.encode(df, "id", "ts", "p", "words", "ents"), 30.0, 12, 0.10).collect()
+    want = plain_cosines(rows, 30.0, 12, 0.10)
+    got = {(r.a, r.b): (r.pa, r.pb, r.rare, r.score) for r in found}
+    assert len(found) == len(got) > 60 and got.keys() == want.keys()
+    assert all(got[k][:3] == want[k][:3] and abs(got[k][3] - want[k][3]) < 1e-9 for k in want) and {v[2] > 0 for v in want.values()} == {True, False}
+
+
+def test_cross_platform_stories_shuffle_no_row_for_a_word_of_a_post(spark):
+    """400 posts have 40,000 words; what is exchanged is a row per value of a slice."""
+    text = " ".join(f"word{i}" for i in range(100))
+    rows = [(i, "xy"[i % 2], at(i / 100), text.split(), [f"@{i // 2}"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, p string, ts timestamp, words array<string>, ents array<string>").coalesce(1)
+    pairs = stories.cross_pairs(df, "id", "ts", "p", "words", "ents")
+    assert "Generate" not in pairs._jdf.queryExecution().toString()
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, i + 1) for i in range(0, 400, 2)}
+    assert cosines.encode(df, "id", "ts", "p", "words", "ents").groupBy("kind").count().orderBy("kind").collect() == [(cosines.POST, 400), (cosines.VALUE, 300), (cosines.SLICE, 1)]
+
+
 def test_story_build_and_migration(spark):
     rows = [(1, 1, "Ann", at(0), ["a"]), (1, 2, "ann", at(1), ["b"]), (2, 3, "bob", at(2), ["a"]), (2, 4, "cy", at(3), [])]
     df = spark.createDataFrame(rows, "story long, id long, author string, ts timestamp, ents array<string>")
