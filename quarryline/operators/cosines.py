@@ -7,6 +7,7 @@ of a post nor a pair is a row that shuffles, and memory follows the size of a sl
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import struct
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quarryline.session import shared_dir, write_through
 
 #: Words and entities that a slice holds, distinct ones that a block of times holds on average, and pairs that are scored at once.
-SLICE_VALUES, BLOCK_VALUES, PAIRS_AT_ONCE = 5 << 20, 2 << 20, 2 << 20
+SLICE_VALUES, BLOCK_VALUES, PAIRS_AT_ONCE = 3 << 20, 2 << 20, 2 << 20
 #: Kinds of encoded rows: a post, a value of a slice, a slice.
 POST, VALUE, SLICE = 0, 1, 2
 #: Bits of a value's number in its slice, and of a slice's number in its partition.
@@ -49,10 +50,32 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    """Ascending; numpy's own way by hashes takes many times as long."""
-    keys = np.sort(keys)
-    return keys[np.diff(keys, prepend=-1) != 0]
+def _counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each stands there; sorts in place, as numpy's own way by hashes takes many times as long."""
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _counted(lists: pa.Array, codes: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_counted_keys` of row times ``size`` plus code, for the values of ``lists`` that are not null."""
+    keys = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    keys *= size
+    keys += codes.fill_null(0).to_numpy(zero_copy_only=False)
+    return _counted_keys(keys[codes.is_valid().to_numpy(zero_copy_only=False)] if codes.null_count else keys)
+
+
+def _split(codes: pa.Array, lists: list[pa.Array]) -> list[pa.Array]:
+    n = len(codes) - len(lists[1].flatten())
+    return [codes[:n], codes[n:]]
+
+
+def _release() -> None:
+    """Give unused memory back to the system: the next stage shares this worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _texts(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +119,11 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
 def _slice(number: int, rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The encoded rows of a slice."""
     rows = rows.combine_chunks()
-    lists = [rows.column(c).combine_chunks() for c in ("words", "ents")]
-    flat = [a.flatten() for a in lists]
-    coded = pa.concat_arrays(flat).dictionary_encode()
-    code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = [rows.column(c).combine_chunks() for c in ("words", "ents")]
+    coded = pa.concat_arrays([a.flatten() for a in flat]).dictionary_encode()
     size = max(len(coded.dictionary), 1)
-    key = np.concatenate([pc.list_parent_indices(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in lists]) * size + code
-    word = np.arange(len(code)) < len(flat[0])
-    (of_words, tf), of_ents = np.unique(key[word & (code >= 0)], return_counts=True), _distinct(key[~word & (code >= 0)])
-    keys = _distinct(np.concatenate([of_words, of_ents]))
+    (of_words, tf), (of_ents, _) = (_counted(a, codes, size) for a, codes in zip(flat, _split(coded.indices, flat), strict=True))
+    keys = _counted_keys(np.concatenate([of_words, of_ents]))[0]
     times, named = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint8)
     times[np.searchsorted(keys, of_words)] = tf
     named[np.searchsorted(keys, of_ents)] = 1
@@ -142,6 +161,7 @@ def encode(posts: DataFrame, id_: str, ts: str, platform: str, words: str, entit
         first = TaskContext.get().partitionId() << COUNT_BITS
         for number, rows in enumerate(_cut(batches, limit)):
             yield from _slice(first + number, rows, arrow)
+            _release()
 
     at = F.unix_micros(F.col(ts).cast("timestamp")).alias("ts")
     rows = posts.select(F.col(id_).alias("id"), F.col(id_).cast("long").alias("key"), at, F.col(platform).cast("string").alias("p"), F.col(words).alias("words"), F.col(entities).alias("ents"))
@@ -212,7 +232,7 @@ def _met(records: Iterator[bytes], same: bool, n: int, gate: float, at_once: int
         row, value = np.divmod(np.cumsum(steps).astype(np.int64), max(len(gids), 1))
         w = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0.0) * _idf(dfs[value], n)
         own = np.array([platforms.setdefault(name, len(platforms)) for name in _names(*names)], np.int64)
-        parts.append((ids, ts, own[p], home, norm, row + posts, gids[value], w, named * rares[value]))
+        parts.append((ids, ts, own[p], home, norm, (row + posts).astype(np.int32), gids[value], w, named * rares[value]))
         posts += len(ids)
     ids, ts, p, home, norm, row, gid, w, rare = (np.concatenate(c) for c in zip(*parts, strict=True))
     del parts
@@ -282,10 +302,12 @@ def cosines(encoded: DataFrame, gate_hours: float, most: int, giant_share: float
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y, data in _placed(pa.Table.from_batches(batches), n, borders, gate_hours):
             yield pa.RecordBatch.from_arrays([pa.array([x]), pa.array([y]), pa.array([data], pa.binary())], names=["x", "y", "data"])
+        _release()
 
     def met(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (data for b in batches for data in b.column("data").to_pylist())
         yield from _met(records, key[0].as_py() == key[1].as_py(), n, gate_hours, at_once)
+        _release()
 
     dealt = known.unionByName(slices, allowMissingColumns=True).groupBy("slice").applyInArrow(placed, "x long, y long, data binary")
     return dealt.groupBy("x", "y").applyInArrow(met, "a long, b long, pa string, pb string, rare long, score double")
