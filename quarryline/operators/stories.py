@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -185,13 +186,42 @@ def _merged_inside(pdf: pd.DataFrame, threshold: float, cliques: bool) -> pd.Dat
     return pd.DataFrame([(i, g) for g, own in groups.items() for i in own if i != g], columns=["was", "now"])
 
 
+def _merged_to_hub(pdf: pd.DataFrame, threshold: float, cliques: bool) -> pd.DataFrame:
+    """``was`` and ``now`` of a hub and of those leaves (groups with no edge but that to the hub) that merge with it before anything else does, best first.
+
+    Means only fall as the hub grows, so a leaf is rated again when its turn comes. Other edges of the hub have a mean of ``bound`` at most, then as now.
+    """
+    hub, bound = int(pdf["hub"].iloc[0]), pdf["bound"].iloc[0]
+    held = Counter(dict(pdf["hh"].iloc[0]))
+    leaves = {leaf: (s, n, dict(h)) for leaf, s, n, h in pdf[["leaf", "s", "n", "hl"]].itertuples(index=False, name=None)}
+    heap = [(-s / _between(held, own, cliques), leaf) for leaf, (s, n, own) in leaves.items()]
+    heapify(heap)
+    merged = [hub]
+    while heap:
+        rated, leaf = heappop(heap)
+        total, linked, own = leaves[leaf]
+        n = _between(held, own, cliques)
+        if total / n < threshold or (cliques and n != linked):
+            continue  # now and later
+        if -total / n != rated:
+            heappush(heap, (-total / n, leaf))
+            continue
+        if total / n <= bound:
+            break
+        held.update(own)
+        merged.append(leaf)
+    now = min(merged)
+    return pd.DataFrame([(i, now) for i in merged if i != now], columns=["was", "now"])
+
+
 def _merges_in_blocks(edges: DataFrame, n: int, threshold: float, cliques: bool, in_task: int, shifted: bool) -> DataFrame:
     """Merges inside blocks of neighbouring ids with ``in_task`` ends of edges or so; ``shifted`` moves the borders by half a block.
 
-    A group is inside the block of its id, and its edges come there too; one with more edges than ``in_task`` is inside none.
+    A group is inside the block of its id, and its edges come there too; one with more edges than ``in_task`` is inside none. Such a hub meets the best ``in_task`` of its leaves elsewhere.
     """
     ends = edges.select(F.explode(F.array("x", "y")).alias("g"))
-    huge = ends.groupBy("g").agg(F.count("*").alias("k")).filter(F.col("k") > in_task).select("g")
+    degrees = ends.groupBy("g").agg(F.count("*").alias("k"))
+    huge = degrees.filter(F.col("k") > in_task).select("g")
     blocks = 2 * n // in_task + 1
     shares = [(i + (0.5 if shifted else 0.0)) / blocks for i in range(0 if shifted else 1, blocks)]
     borders = sorted(set(ends.agg(F.percentile_approx("g", shares, 100 * blocks)).first()[0]))  # one number per block
@@ -205,7 +235,15 @@ def _merges_in_blocks(edges: DataFrame, n: int, threshold: float, cliques: bool,
         known = known.join(huge.select(F.col("g").alias(side), F.lit(-1).alias("none")), side, "left").withColumn(f"b{side}", F.coalesce("none", f"b{side}")).drop("none")
     dealt = known.withColumn("block", F.explode(F.array_distinct(F.array("bx", "by")))).filter("block >= 0")
     inside = dealt.select("block", "x", "y", "s", "n", "hx", "hy", (F.col("bx") == F.col("block")).alias("inx"), (F.col("by") == F.col("block")).alias("iny"))
-    return inside.groupBy("block").applyInPandas(lambda pdf: _merged_inside(pdf, threshold, cliques), "was long, now long")
+    merges = inside.groupBy("block").applyInPandas(lambda pdf: _merged_inside(pdf, threshold, cliques), "was long, now long")
+    if huge.isEmpty():
+        return merges
+    sides = [edges.filter("able").select(F.col(a).alias("hub"), F.col(b).alias("leaf"), "s", "n", F.col(f"h{a}").alias("hh"), F.col(f"h{b}").alias("hl"), "mean") for a, b in ("xy", "yx")]
+    stars = sides[0].union(sides[1]).join(huge.withColumnRenamed("g", "hub"), "hub", "left_semi").join(degrees.withColumnRenamed("g", "leaf"), "leaf")
+    ranked = stars.withColumn("place", F.row_number().over(Window.partitionBy("hub", F.col("k") == 1).orderBy(F.desc("mean"), "leaf"))).withColumn("near", (F.col("k") == 1) & (F.col("place") <= in_task))
+    rest = ranked.groupBy("hub").agg(F.coalesce(F.max(F.when(~F.col("near"), F.col("mean"))), F.lit(-math.inf)).alias("bound"))
+    near = ranked.filter("near").join(rest, "hub").select("hub", "leaf", "s", "n", "hh", "hl", "bound")
+    return merges.union(near.groupBy("hub").applyInPandas(lambda pdf: _merged_to_hub(pdf, threshold, cliques), "was long, now long"))
 
 
 def merge_in_rounds(pairs: DataFrame, threshold: float, cliques: bool = False, in_task: int = PAIRS_IN_TASK) -> DataFrame:

@@ -260,6 +260,26 @@ def test_rounds_of_linkage_do_not_follow_the_length_of_chains(spark, monkeypatch
     assert len(written) <= 60  # 90 and more by one merge of each group a round
 
 
+@pytest.mark.parametrize("cliques", [False, True])
+def test_hubs_merge_with_many_leaves_in_a_round(spark, monkeypatch, cliques):
+    """Two linked hubs with more leaves than a block has, of smaller and larger ids and with equal scores, some linked to each other."""
+    rnd = random.Random(9)
+    score = lambda: 0.5 + rnd.randint(0, 30) / 100
+    hubs = {40: [*range(0, 36, 4), *range(60, 82)], 141: [*range(1, 36, 6), *range(150, 161)]}
+    platform = dict.fromkeys([*hubs], "x") | {i: "y" for own in hubs.values() for i in own}
+    platform[141] = "z"
+    scores = {(min(h, i), max(h, i)): score() for h, own in hubs.items() for i in own} | {(40, 141): 0.6, (40, 150): 0.55, (20, 141): 0.7}
+    if not cliques:
+        scores |= {(4, 8): 0.9, (60, 151): 0.65}
+    want = stories.clique_linkage(platform, scores, 0.02) if cliques else stories.average_linkage([*platform], scores, 0.02)
+    pairs = spark.createDataFrame([(a, b, platform[a], platform[b], s) for (a, b), s in scores.items()], "a long, b long, pa string, pb string, score double")
+    written = []
+    monkeypatch.setattr(stories, "write_through", lambda df, path: written.append(path) or write_through(df, path))
+    got = {r.id: r.story for r in stories.merge_in_rounds(pairs, 0.02, cliques, in_task=10).collect()}
+    assert got == {i: min(g) for g in want for i in g} and max(Counter(got.values()).values()) > 10
+    assert len(written) <= 60 or not cliques  # elsewhere means fall with each leaf, and other edges come first
+
+
 def test_running_totals_and_positions(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.randint(0, 9)) for i in rnd.sample(range(10_000), 500)]
